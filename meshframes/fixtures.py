@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meshframes.operators.scan import ordered_scan
+from meshframes.session import scratch_path
 from meshframes.sources.frames import decode_frames, stamp_frames
 
 
@@ -55,10 +56,26 @@ def raw_event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_from_events(spark: SparkSession, sf_dir: str, decode: bool = True, keep_event_id: bool = False) -> DataFrame:
+    """Stamped (and decoded) frames from events.
+
+    Decoded frames are written once as a parquet table in the checkpoint folder and
+    read back: payloads are parsed once, later filters on ``payload_type`` /
+    ``content_hash`` reach the parquet scan, and the lineage is cut.
+    """
     f = stamp_frames(raw_event_frames(spark, sf_dir), tiebreak=["_tb"], keep_tiebreak=keep_event_id)
     if keep_event_id:
         f = f.withColumnRenamed("_tb", "event_id")
-    return decode_frames(f) if decode else f
+    if not decode:
+        return f
+    return write_table(decode_frames(f), "frames")
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def frames_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,37 @@ CONV_GAPS = """conv_frames as (
 
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
+
+
+def be(n: str, width: int) -> str:
+    """Big-endian fixed-width bytes of a non-negative integer expression."""
+    return f"unhex(lpad(hex({n}), {2 * width}, '0'))"
+
+
+def envelope(source: str, sequence: str, ms: str, kind: str, payload_blob: str, source_blob: str | None = None) -> str:
+    src = source_blob or f"encode({source})"
+    return (
+        f"('CSR1'::BLOB || {be(kind, 1)} || {be(f'octet_length({src})', 2)} || {be(sequence, 8)} || {be(ms, 8)}"
+        f" || {be(f'octet_length({payload_blob})', 4)} || {src} || {payload_blob})"
+    )
+
+
+def json_line(source: str, sequence: str, ms: str, kind: str, encoding: str, payload_text: str) -> str:
+    return (
+        f"('{{\"source\":' || to_json({source}) || ',\"sequence\":' || {sequence} || ',\"timestamp_ms\":' || {ms}"
+        f" || ',\"kind\":' || {kind} || ',\"encoding\":' || to_json({encoding}) || ',\"payload\":' ||"
+        f" (case when {encoding} = 'json' then {payload_text} else to_json({payload_text}) end) || '}}')"
+    )
+
+
+# Document and page frames as the Spark fixtures build them.
+DOC_FRAMES = """doc_frames as (
+  select source, doc_id as sequence, doc_id as received_at_ms, cast(1 as tinyint) as kind, text as payload_text,
+         cast(strlen(text) as bigint) as payload_bytes,
+         case when json_valid(text) then 'json' else 'utf8' end as encoding
+  from documents)"""
+
+PAGE_FRAMES = """page_frames as (
+  select 'pages' as source, page_id as sequence, page_id as received_at_ms, cast(2 as tinyint) as kind,
+         base64(encode(html)) as payload_text, cast(strlen(html) as bigint) as payload_bytes, 'base64' as encoding
+  from pages)"""

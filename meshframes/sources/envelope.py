@@ -33,9 +33,9 @@ def envelope(source, sequence, received_at_ms, kind, payload) -> Column:
     )
 
 
-def to_capture(frames: DataFrame) -> DataFrame:
-    """Frames to the ``capture(envelope)`` table."""
-    return frames.select(envelope("source", "sequence", "received_at_ms", "kind", "payload").alias("envelope"))
+def to_capture(frames: DataFrame, keep=()) -> DataFrame:
+    """Frames to the ``capture(envelope)`` table (``keep``: pass-through columns)."""
+    return frames.select(*keep, envelope("source", "sequence", "received_at_ms", "kind", "payload").alias("envelope"))
 
 
 def write_capture(frames: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -79,7 +79,7 @@ def decode_envelopes(capture: DataFrame, col: str = "envelope") -> DataFrame:
     )
     good = reason.isNull()
     return capture.select(
-        F.col(col),
+        *[F.col(c) for c in capture.columns],
         reason.alias("reason"),
         F.when(good, source).alias("source"),
         F.when(good, sequence.cast("long")).alias("sequence"),
@@ -100,9 +100,11 @@ def read_capture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return split_decoded(dec)
 
 
-def split_decoded(dec: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_decoded(dec: DataFrame, col: str = "envelope") -> tuple[DataFrame, DataFrame]:
+    decoded = ("reason", "source", "sequence", "received_at_ms", "kind", "payload", "trailing_bytes")
+    extra = [c for c in dec.columns if c not in decoded and c != col]
     frames = dec.filter(F.col("reason").isNull()).select(
-        "source", "sequence", "received_at_ms", "kind", "payload", "trailing_bytes"
+        *extra, "source", "sequence", "received_at_ms", "kind", "payload", "trailing_bytes"
     )
-    quarantine = dec.filter(F.col("reason").isNotNull()).select("envelope", "reason")
+    quarantine = dec.filter(F.col("reason").isNotNull()).select(*extra, col, "reason")
     return frames, quarantine

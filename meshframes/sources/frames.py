@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshframes.functions.payload import (
+    _obj_or_null,
+    _str_or_null,
     base64_flat,
     encoding_of,
     is_strict_json,
     json_trim,
-    packet_meta,
     utf8_text,
 )
-from meshframes.functions.scalars import payload_bytes
+from meshframes.functions.scalars import ascii_upper, payload_bytes
 from meshframes.operators.scan import DEFAULT_BUCKET_MS, ordered_scan
 from meshframes.schema import KIND_TEXT
 
@@ -73,48 +74,59 @@ def stamp_frames(
     return out
 
 
-def decoded_columns(kind: Column, payload: Column) -> dict[str, Column]:
-    """P1 + P2 columns computed once per frame (the relay parses each frame once)."""
-    text = utf8_text(payload)
-    valid_json = (kind == F.lit(KIND_TEXT)) & is_strict_json(text)
-    encoding = encoding_of(kind, text.isNotNull(), valid_json)
-    payload_text = (
-        F.when(encoding == "json", json_trim(text))
-        .when(encoding == "utf8", text)
-        .otherwise(base64_flat(payload))
-    )
-    doc = F.when(encoding == "json", F.try_parse_json(text))
-    meta = packet_meta(doc)
-    return {
-        "encoding": encoding,
-        "payload_text": payload_text,
-        "payload_type": meta["payload_type"],
-        "content_hash": meta["content_hash"],
-    }
-
-
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """Adds ``encoding``, ``payload_text``, ``payload_type``, ``content_hash``.
+    """P1 + P2: adds ``encoding``, ``payload_text``, ``payload_type``, ``content_hash``.
 
-    Written once into the frames table; every subscriber reads the columns instead
-    of re-parsing payloads.
+    Computed once per frame and written with the frames table (the relay parses each
+    frame once for all subscribers). Staged projections keep every intermediate
+    (UTF-8 text, validity, parsed document, probed levels) a column of its own, so
+    each is evaluated once and the generated code stays small.
     """
-    cols = decoded_columns(F.col("kind"), F.col("payload"))
-    # one struct so the utf-8 check and the parse are shared by all four columns
-    d = frames.withColumn("_dec", F.struct(*[c.alias(n) for n, c in cols.items()]))
-    return d.select(*[c for c in frames.columns if c not in cols], *[F.col("_dec")[n].alias(n) for n in cols])
+    base = frames.columns
+    kind, payload = F.col("kind"), F.col("payload")
+    d = frames.withColumn("_text", utf8_text(payload))
+    d = d.withColumn("_json_ok", (kind == F.lit(KIND_TEXT)) & is_strict_json(F.col("_text")))
+    d = d.withColumn("encoding", encoding_of(kind, F.col("_text").isNotNull(), F.col("_json_ok")))
+    d = d.withColumn(
+        "payload_text",
+        F.when(F.col("encoding") == "json", json_trim(F.col("_text")))
+        .when(F.col("encoding") == "utf8", F.col("_text"))
+        .otherwise(base64_flat(payload)),
+    )
+    d = d.withColumn("_doc", F.when(F.col("encoding") == "json", F.try_parse_json(F.col("_text"))))
+    d = with_meta_from_doc(d, "_doc")
+    keep = [c for c in base if c not in ("encoding", "payload_text", "payload_type", "content_hash")]
+    return d.select(*keep, "encoding", "payload_text", "payload_type", "content_hash")
+
+
+def with_meta_from_doc(d: DataFrame, doc: str) -> DataFrame:
+    """Staged form of :func:`packet_meta` on a parsed-document column."""
+    d = d.withColumn("_m_data", F.try_variant_get(F.col(doc), "$.data", "struct<hash:variant,decoded:variant>"))
+    d = d.withColumn("_m_dec", F.try_variant_get(F.col("_m_data.decoded"), "$", "struct<header:variant>"))
+    d = d.withColumn("_m_hdr", F.try_variant_get(F.col("_m_dec.header"), "$", "struct<payloadTypeName:variant>"))
+    hash_v, dec_v, hdr_v, name_v = (F.col("_m_data.hash"), F.col("_m_data.decoded"), F.col("_m_dec.header"),
+                                   F.col("_m_hdr.payloadTypeName"))
+    ok = (
+        F.col("_m_data").isNotNull()
+        & _str_or_null(hash_v)
+        & _obj_or_null(dec_v, F.col("_m_dec"))
+        & _obj_or_null(hdr_v, F.col("_m_hdr"))
+        & _str_or_null(name_v)
+    )
+    d = d.withColumn("_m_ok", ok)
+    d = d.withColumn("payload_type", F.when(F.col("_m_ok"), ascii_upper(F.try_variant_get(name_v, "$", "string"))))
+    d = d.withColumn("content_hash", F.when(F.col("_m_ok"), F.nullif(F.try_variant_get(hash_v, "$", "string"), F.lit(""))))
+    return d
 
 
 def with_packet_meta(frames: DataFrame) -> DataFrame:
     """P1 alone: ``payload_type`` and ``content_hash`` from kind-1 JSON payloads."""
-    cols = decoded_columns(F.col("kind"), F.col("payload"))
-    return frames.withColumn("payload_type", cols["payload_type"]).withColumn("content_hash", cols["content_hash"])
+    return decode_frames(frames).drop("encoding", "payload_text") if "encoding" not in frames.columns else decode_frames(frames)
 
 
 def with_encoding(frames: DataFrame) -> DataFrame:
     """P2 alone: ``encoding`` and the projected ``payload_text``."""
-    cols = decoded_columns(F.col("kind"), F.col("payload"))
-    return frames.withColumn("encoding", cols["encoding"]).withColumn("payload_text", cols["payload_text"])
+    return decode_frames(frames).drop("payload_type", "content_hash")
 
 
 class UnknownSourceError(ValueError):
