@@ -133,6 +133,7 @@ def conn_events_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("connected"))
         .alias("state"),
         F.when(et == "error", F.lit("upstream error")).alias("error"),
+        F.col("event_id").alias("seq"),
     )
 
 
@@ -146,6 +147,7 @@ def subscription_events_from_events(spark: SparkSession, sf_dir: str) -> DataFra
         F.when(F.col("user_id") % 3 == 0, F.lit(None).cast("string"))
         .otherwise(_src(F.col("user_id") % 8))
         .alias("source"),
+        "event_id",
     )
 
 
@@ -162,7 +164,8 @@ def process_samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "value",
     )
-    s = ordered_scan(ev, ["instance"], "at_ms", ["event_id"], running_sum={"cpu_seconds": F.col("value")})
+    # summed as exact decimals (values carry two decimals), so every engine agrees
+    s = ordered_scan(ev, ["instance"], "at_ms", ["event_id"], running_sum={"cpu_seconds": F.col("value").cast("decimal(18,2)")})
     return s.select(
         "instance",
         "at_ms",

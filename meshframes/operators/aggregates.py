@@ -38,7 +38,7 @@ def connected_counts(states: DataFrame, by=None) -> DataFrame:
     return states.groupBy(*by).agg(*aggs) if by else states.agg(*aggs)
 
 
-def client_counts(subscription_events: DataFrame) -> DataFrame:
+def client_counts(subscription_events: DataFrame, tiebreak=("subscription_id",)) -> DataFrame:
     """A5: open subscriptions after every event: all-source ones + per-source ones.
 
     A global running sum ordered by time, computed as a bucketed scan (no single
@@ -51,12 +51,11 @@ def client_counts(subscription_events: DataFrame) -> DataFrame:
         e,
         ["_k"],
         "at_ms",
-        ["subscription_id"],
+        list(tiebreak),
         running_sum={"clients": F.col("_d"), "all_source_clients": F.col("_da")},
     )
     return s.select(
-        "subscription_id",
-        "at_ms",
+        *[c for c in subscription_events.columns if c not in ("source", "opened")],
         "opened",
         "source",
         F.col("clients").cast("long"),

@@ -55,7 +55,8 @@ CONN_EVENTS = f"""conn_events as (
   select 'src-'||(user_id % 8) as source, {MS} as at_ms,
          case event_type when 'error' then 'reconnect_wait' when 'signup' then 'connecting'
               when 'purchase' then 'disconnected' else 'connected' end as state,
-         case when event_type='error' then 'upstream error' end as error
+         case when event_type='error' then 'upstream error' end as error,
+         event_id as seq
   from events)"""
 
 SUBSCRIPTION_EVENTS = f"""subscription_events as (
@@ -67,7 +68,7 @@ SUBSCRIPTION_EVENTS = f"""subscription_events as (
 
 PROCESS_SAMPLES = f"""process_samples as (
   select 'i-'||(user_id % 2) as instance, {MS} as at_ms, event_id,
-         sum(value) over (partition by user_id % 2 order by ts, event_id) as cpu_seconds,
+         cast(sum(value::decimal(18,2)) over (partition by user_id % 2 order by ts, event_id rows between unbounded preceding and current row) as double) as cpu_seconds,
          event_id*1000 as rss_bytes, cast(64 as bigint) as open_fds, cast(1024 as bigint) as max_fds,
          1704067200.0::double as start_time_s
   from events)"""

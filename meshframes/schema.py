@@ -58,10 +58,11 @@ class DedupPolicy:
 
 @dataclass(frozen=True)
 class ReconnectPolicy:
+    # relay defaults: 1 s initial, 30 s max, degraded after 60 s offline, then 300 s
     initial_delay_s: float = 1.0
-    max_delay_s: float = 60.0
-    offline_threshold_s: float = 300.0
-    offline_delay_s: float = 60.0
+    max_delay_s: float = 30.0
+    offline_threshold_s: float = 60.0
+    offline_delay_s: float = 300.0
 
 
 @dataclass(frozen=True)
