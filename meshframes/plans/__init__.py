@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every query module so it registers itself."""
-    from meshframes.plans import frame_queries, queries, telemetry_queries  # noqa: F401
+    from meshframes.plans import frame_queries, health_queries, queries, telemetry_queries  # noqa: F401
