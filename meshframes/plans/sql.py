@@ -123,3 +123,28 @@ PAGE_FRAMES = """page_frames as (
   select 'pages' as source, page_id as sequence, page_id as received_at_ms, cast(2 as tinyint) as kind,
          base64(encode(html)) as payload_text, cast(strlen(html) as bigint) as payload_bytes, 'base64' as encoding
   from pages)"""
+
+
+_URL_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def websocket_url(u: str) -> str:
+    """DuckDB form of the analyzer URL normalisation (null = rejected)."""
+    re_ = _URL_RE
+    scheme = f"lower(regexp_extract({u}, '{re_}', 1))"
+    authority = f"regexp_extract({u}, '{re_}', 3)"
+    path0 = f"regexp_extract({u}, '{re_}', 4)"
+    query = f"regexp_extract({u}, '{re_}', 5)"
+    new_scheme = (f"(case {scheme} when 'https' then 'wss' when 'http' then 'ws' when 'ws' then 'ws' "
+                  f"when 'wss' then 'wss' end)")
+    userinfo = f"regexp_extract({authority}, '^(.*@)?', 1)"
+    hostport = f"regexp_replace({authority}, '^.*@', '')"
+    host = f"lower(regexp_extract({hostport}, '^(\\[[^\\]]*\\]|[^:]*)', 1))"
+    port0 = f"regexp_extract({hostport}, '^(?:\\[[^\\]]*\\]|[^:]*)(:\\d*)?$', 1)"
+    dport = f"(case when {new_scheme} = 'wss' then ':443' else ':80' end)"
+    port = f"(case when {port0} = {dport} or {port0} = ':' then '' else {port0} end)"
+    path = f"(case when {path0} = '' then '/' else {path0} end)"
+    cut = f"regexp_replace({path}, '/+$', '')"
+    new_path = f"(case when suffix({cut}, '/ws') then {path} else {cut} || '/ws' end)"
+    out = f"({new_scheme} || '://' || {userinfo} || {host} || {port} || {new_path} || {query})"
+    return f"(case when regexp_matches({u}, '{re_}') and {new_scheme} is not null and {host} <> '' then {out} end)"
