@@ -81,3 +81,123 @@ def duplicate_report(frames: DataFrame) -> DataFrame:
             F.max("received_at_ms").alias("last_seen_ms"),
         )
     )
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    # reliable checkpoint into the session's shared checkpoint folder
+    from meshframes.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def rotation_generations(arrivals: DataFrame, keys: Sequence[str], window_ms: int, origin: str = "_origin") -> DataFrame:
+    """Generation number of every distinct arrival time under arrival-driven rotation.
+
+    ``arrivals``: distinct ``(keys, received_at_ms, origin)``. The relay rotates on
+    the first arrival at least W after the last rotation (the first "rotation" is the
+    subscription start). With time cut into W-blocks from the origin, a block holds
+    at most one rotation, and the rotation in block b is the first arrival whose
+    offset is >= the offset of the rotation in block b-1 (any offset if b-1 had
+    none). Each block is thus a step function offset -> offset; the functions of
+    consecutive blocks are composed by a parallel prefix (log2(longest run of
+    non-empty blocks) rounds of a join-free union + window), each round
+    checkpointed. Work per round is one pass over the distinct arrival times.
+    """
+    keys = list(keys)
+    w = int(window_ms)
+    ms = F.col("received_at_ms")
+    a = (
+        arrivals.withColumn("_x", ms - F.col(origin))
+        .filter(F.col("_x") >= 0)
+        .withColumn("_b", F.floor(F.col("_x") / F.lit(w)).cast("long"))
+        .withColumn("_o", F.col("_x") - F.col("_b") * F.lit(w))
+    )
+    a = _checkpoint(a)
+    blocks = a.filter(F.col("_b") >= 1).groupBy(*keys, "_b").agg(F.max("_o").alias("_omax"))
+    bl = ordered_scan(blocks, keys, "_b", bucket_ms=4096, lag=["_b"], lag_prefix="_p")
+    bl = bl.withColumn("_new", F.when(F.col("_p_b").isNull() | (F.col("_b") - F.col("_p_b") > 1), F.lit(1)).otherwise(F.lit(0)))
+    bl = ordered_scan(bl, keys, "_b", bucket_ms=4096, running_sum={"_seg": F.col("_new")})
+    seg = bl.groupBy(*keys, "_seg").agg(F.min("_b").alias("_s0"), F.max("_b").alias("_s1"))
+    bl = _checkpoint(bl.join(seg, [*keys, "_seg"]).select(*keys, "_b", "_omax", "_s0", "_s1"))
+    longest = bl.agg(F.max(F.col("_s1") - F.col("_s0") + 1).alias("n")).first()["n"] or 0
+
+    # level 0: for each block, classes (prev_hi, hi] -> (out, rotated)
+    arr_rows = a.filter(F.col("_b") >= 1).select(*keys, "_b", F.col("_o").alias("hi"), F.col("_o").alias("out"), F.lit(1).alias("rot"))
+    fin_rows = bl.filter(F.col("_omax") < w - 1).select(*keys, "_b", F.lit(w - 1).cast("long").alias("hi"),
+                                                        F.lit(0).cast("long").alias("out"), F.lit(0).alias("rot"))
+    g = arr_rows.unionByName(fin_rows).join(bl.select(*keys, "_b", "_s0", "_s1"), [*keys, "_b"])
+    g = _checkpoint(g)
+    step = 1
+    while step < longest:
+        # compose G[b] o G[b - step] for blocks whose span does not yet reach the run start
+        probes = g.filter(F.col("_b") + step <= F.col("_s1")).select(
+            *keys, (F.col("_b") + step).alias("_b"), F.col("out").alias("_v"), F.lit(0).alias("_kind"),
+            F.struct("hi", "rot").alias("_p"), F.lit(None).cast("struct<out:bigint,rot:bigint>").alias("_t"), "_s0", "_s1")
+        targets = g.filter(F.col("_b") - step >= F.col("_s0"))
+        trows = targets.select(
+            *keys, "_b", F.col("hi").alias("_v"), F.lit(1).alias("_kind"),
+            F.lit(None).cast("struct<hi:bigint,rot:bigint>").alias("_p"),
+            F.struct(F.col("out").cast("long").alias("out"), F.col("rot").cast("long").alias("rot")).alias("_t"), "_s0", "_s1")
+        win = (Window.partitionBy(*keys, "_b").orderBy(F.col("_v").desc(), F.col("_kind").desc())
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        m = probes.unionByName(trows).withColumn("_m", F.last("_t", ignorenulls=True).over(win)).filter(F.col("_kind") == 0)
+        new = m.select(*keys, "_b", F.col("_p.hi").alias("hi"), F.col("_m.out").alias("out"),
+                       (F.col("_p.rot") + F.col("_m.rot")).alias("rot"), "_s0", "_s1")
+        g = _checkpoint(g.filter(~(F.col("_b") - step >= F.col("_s0"))).unionByName(new))
+        step *= 2
+
+    # state after block b = the composed function at input 0 (its lowest class)
+    after = g.groupBy(*keys, "_b").agg(F.min_by("out", "hi").alias("_after"))
+    bl = bl.join(after.select(*keys, (F.col("_b") + 1).alias("_b"), "_after"), [*keys, "_b"], "left")
+    bl = bl.withColumn("_sin", F.when(F.col("_b") - 1 >= F.col("_s0"), F.col("_after")).otherwise(F.lit(0)))
+    rot_at = (
+        a.join(bl.select(*keys, "_b", "_sin"), [*keys, "_b"])
+        .filter(F.col("_o") >= F.col("_sin"))
+        .groupBy(*keys, "_b")
+        .agg(F.min("_o").alias("_r"))
+    )
+    bl = bl.join(rot_at, [*keys, "_b"], "left").withColumn("_rot", F.when(F.col("_r").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
+    bl = ordered_scan(bl, keys, "_b", bucket_ms=4096, running_sum={"_rsum": F.col("_rot")})
+    bl = _checkpoint(bl.select(*keys, "_b", "_r", (F.col("_rsum") - F.col("_rot")).alias("_rin")))
+    out = a.join(bl, [*keys, "_b"], "left")
+    gen = F.when(F.col("_b") < 1, F.lit(0)).otherwise(
+        F.col("_rin") + F.when(F.col("_r").isNotNull() & (F.col("_o") >= F.col("_r")), F.lit(1)).otherwise(F.lit(0))
+    )
+    return out.select(*keys, "received_at_ms", gen.cast("long").alias("_gen"))
+
+
+def dedup_replay(
+    frames: DataFrame, window_s: int, origin_ms: int | None = None, sub: str | None = None
+) -> DataFrame:
+    """The relay's two-generation dedup, generations rotated by arrivals.
+
+    The origin is the subscription start (``origin_ms``), by default the first
+    hashed arrival of each subscription; earlier frames are not part of it. Only
+    hashed frames drive rotation (run after source and type filters).
+    """
+    w_ms = int(window_s) * 1000
+    subk = _sub_keys(sub)
+    cols = frames.columns
+    f = frames if origin_ms is None else frames.filter(F.col("received_at_ms") >= origin_ms)
+    hashed = f.filter(F.col("content_hash").isNotNull())
+    arrivals = hashed.select(*subk, "received_at_ms").distinct()
+    if origin_ms is None and subk:
+        # one origin per subscription (a small table: one row each)
+        first = hashed.groupBy(*subk).agg(F.min("received_at_ms").alias("_origin"))
+        arrivals = arrivals.join(first, subk)
+    else:
+        if origin_ms is None:
+            origin_ms = hashed.agg(F.min("received_at_ms").alias("o")).first()["o"]
+            if origin_ms is None:
+                return frames.select(*cols)
+        arrivals = arrivals.withColumn("_origin", F.lit(int(origin_ms)))
+    gens = rotation_generations(arrivals, subk, w_ms)
+    keys = [*subk, "content_hash"]
+    firsts = (
+        hashed.join(gens, [*subk, "received_at_ms"])
+        .groupBy(*keys, "_gen")
+        .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*ARRIVAL_ORDER)).alias("_row"))
+    )
+    admitted = _admit_generations(firsts, keys).select("_row.*")
+    return admitted.select(*cols).unionByName(f.filter(F.col("content_hash").isNull()).select(*cols))

@@ -177,3 +177,45 @@ def subscribe_types(spark, sf_dir):
     """payload types in any case, blanks ignored."""
     f = _frames(spark, sf_dir)
     return flt.filter_payload_types(f, " error,, Signup ").select("source", "sequence", "payload_type")
+
+
+_D1_SQL = with_(FRAMES).replace("with ", "with recursive ", 1) + f"""
+, arr as (select distinct received_at_ms as ms from frames where content_hash is not null)
+, rot(r, k) as (
+    select min(ms), 0 from arr
+    union all
+    select (select min(ms) from arr where arr.ms >= rot.r + {DEDUP_WINDOW_S * 1000}), k + 1 from rot where r is not null)
+, rots as (select r, k from rot where r is not null)
+, gens as (select arr.ms, rots.k as gen from arr asof join rots on arr.ms >= rots.r)
+, g as (select frames.*, gens.gen,
+               row_number() over (partition by content_hash, gens.gen order by received_at_ms, source, sequence) as rn
+        from frames join gens on frames.received_at_ms = gens.ms where content_hash is not null)
+, f as (select * from g where rn = 1)
+, l as (select *, lag(gen) over (partition by content_hash order by gen) as pgen from f)
+, r as (select *, max(case when pgen is null or gen - pgen > 1 then gen end)
+                  over (partition by content_hash order by gen rows between unbounded preceding and current row) as run_start
+        from l)
+select source, sequence, received_at_ms, content_hash from r where (gen - run_start) % 2 = 0
+union all select source, sequence, received_at_ms, content_hash from frames where content_hash is null
+"""
+
+
+@query("dedup_replay", _D1_SQL)
+def dedup_replay(spark, sf_dir):
+    """The relay's arrival-driven two-generation dedup, W = 1 h, from the first arrival."""
+    f = _frames(spark, sf_dir)
+    return dedup.dedup_replay(f, DEDUP_WINDOW_S).select("source", "sequence", "received_at_ms", "content_hash")
+
+
+@query(
+    "dedup_first",
+    with_(FRAMES)
+    + """select source, sequence, received_at_ms, content_hash from (
+  select *, row_number() over (partition by content_hash order by received_at_ms, source, sequence) as rn
+  from frames where content_hash is not null) x where rn = 1
+union all select source, sequence, received_at_ms, content_hash from frames where content_hash is null""",
+)
+def dedup_first(spark, sf_dir):
+    """D4 (batch form): first copy of each hash only."""
+    f = _frames(spark, sf_dir)
+    return dedup.dedup_first(f).select("source", "sequence", "received_at_ms", "content_hash")
