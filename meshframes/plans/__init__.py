@@ -3,4 +3,11 @@
 
 def load_all() -> None:
     """Import every query module so it registers itself."""
-    from meshframes.plans import catalog_queries, frame_queries, health_queries, queries, telemetry_queries  # noqa: F401
+    from meshframes.plans import (  # noqa: F401
+        catalog_queries,
+        frame_queries,
+        health_queries,
+        queries,
+        stream_queries,
+        telemetry_queries,
+    )
