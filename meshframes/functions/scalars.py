@@ -78,8 +78,9 @@ def effective_window(requested, default_s, max_s, enabled=None) -> Column:
     """Max at least 1; default and requested clamped to 1..max; null when off."""
     mx = F.greatest(_c(max_s).cast("long"), F.lit(1).cast("long"))
     dflt = F.least(F.greatest(_c(default_s).cast("long"), F.lit(1).cast("long")), mx)
-    req = F.least(F.greatest(_c(requested).cast("long"), F.lit(1).cast("long")), mx)
-    secs = F.coalesce(req, dflt)
+    r = _c(requested).cast("long")
+    # greatest/least skip nulls, so an absent request must be tested first
+    secs = F.when(r.isNull(), dflt).otherwise(F.least(F.greatest(r, F.lit(1).cast("long")), mx))
     return secs if enabled is None else F.when(_c(enabled), secs)
 
 

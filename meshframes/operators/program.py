@@ -205,9 +205,14 @@ def projection_variant(encoding="encoding", payload_text="payload_text") -> Colu
     )
 
 
-def _run(frames: DataFrame, program: Program, keep) -> tuple[DataFrame, Column]:
-    d = frames.withColumn("_pv", projection_variant()).withColumn("_perr", F.lit(False))
-    text: Column | None = json_line()  # identity so far: the projection text
+def _run(frames: DataFrame, program: Program, keep, input_json: str | None = None) -> tuple[DataFrame, Column]:
+    if input_json is None:
+        d = frames.withColumn("_pv", projection_variant())
+        text: Column | None = json_line()  # identity so far: the projection text
+    else:
+        d = frames.withColumn("_pv", F.try_parse_json(F.col(input_json)))
+        text = F.col(input_json)
+    d = d.withColumn("_perr", F.lit(False))
     exploded = False
     for step in program.steps:
         if isinstance(step, Select):
@@ -246,17 +251,18 @@ def _run(frames: DataFrame, program: Program, keep) -> tuple[DataFrame, Column]:
     return d, msg
 
 
-def run_program(frames: DataFrame, program: Program, keep=("source", "sequence")) -> DataFrame:
+def run_program(frames: DataFrame, program: Program, keep=("source", "sequence"), input_json: str | None = None) -> DataFrame:
     """Outputs of ``program`` per frame: ``keep`` columns + ``message`` (JSON text).
 
+    The input is the frame's projection, or the JSON text column ``input_json``.
     Zero outputs drop the frame; a runtime error skips the frame and all of its
     outputs (F4). Steps compile to Column expressions (no Python per row).
     """
-    d, msg = _run(frames, program, list(keep))
+    d, msg = _run(frames, program, list(keep), input_json)
     return d.filter(~F.col("_perr")).select(*keep, msg.alias("message"))
 
 
-def program_errors(frames: DataFrame, program: Program, keep=("source", "sequence")) -> DataFrame:
+def program_errors(frames: DataFrame, program: Program, keep=("source", "sequence"), input_json: str | None = None) -> DataFrame:
     """F4 bookkeeping: the frames a program run skipped because of an error."""
-    d, _ = _run(frames, program, list(keep))
+    d, _ = _run(frames, program, list(keep), input_json)
     return d.filter(F.col("_perr")).select(*keep).distinct()

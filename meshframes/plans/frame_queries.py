@@ -256,7 +256,7 @@ def _arg_rows(ev):
                list_filter(list_transform(string_split(csv, ','), lambda x: trim(x)), lambda x: x <> '') as parts
         from a)
 select event_id, flag,
-       case when flag then coalesce(least(greatest(requested, 1), 3600), 300) end as window_s,
+       case when flag then (case when requested is null then 300 else least(greatest(requested, 1), 3600) end) end as window_s,
        array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), '|') as sources
 from b""",
 )
