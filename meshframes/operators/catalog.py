@@ -126,7 +126,7 @@ def _headers_key(c) -> F.Column:
 
 def diff_sources(old: DataFrame, new: DataFrame, tls_changed: bool = False) -> DataFrame:
     """Class per id between two catalogs: added, removed, stopped (now
-    disabled), restarted (url, headers or proxy changed - or the TLS setting - and
+    disabled, was enabled; disabled in both is unchanged), restarted (url, headers or proxy changed - or the TLS setting - and
     it was enabled), started (was disabled, now enabled), unchanged (a mapping
     change alone just updates the row)."""
     o = old.select("id", F.struct("url", _headers_key("headers").alias("h"), "proxy", "mapping",
@@ -143,7 +143,8 @@ def diff_sources(old: DataFrame, new: DataFrame, tls_changed: bool = False) -> D
     change = (
         F.when(F.col("o").isNull(), F.lit("added"))
         .when(F.col("n").isNull(), F.lit("removed"))
-        .when(F.col("n.disabled"), F.lit("stopped"))
+        .when(F.col("n.disabled") & ~F.col("o.disabled"), F.lit("stopped"))
+        .when(F.col("n.disabled"), F.lit("unchanged"))
         .when(~F.col("o.disabled") & reconnect, F.lit("restarted"))
         .when(F.col("o.disabled"), F.lit("started"))
         .otherwise(F.lit("unchanged"))

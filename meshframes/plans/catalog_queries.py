@@ -128,7 +128,7 @@ def _diff_side(p, new: bool):
   union all
   select 'p-new-' || page_id, url, null, false, null, null from pages where page_id % 19 = 0)
 select coalesce(o.id, n.id) as id,
-       case when o.id is null then 'added' when n.id is null then 'removed' when n.disabled then 'stopped'
+       case when o.id is null then 'added' when n.id is null then 'removed' when n.disabled and not o.disabled then 'stopped' when n.disabled then 'unchanged'
             when not o.disabled and (o.url is distinct from n.url or o.hv is distinct from n.hv
                                      or o.proxy is distinct from n.proxy) then 'restarted'
             when o.disabled then 'started' else 'unchanged' end as change,
