@@ -1,5 +1,9 @@
 """Input tables derived from the driver's test tables by Spark.
 
+Derived tables are written once per use as parquet under the shared checkpoint
+folder and read back (``write_table``): they are the input tables of the data
+model, so later plans read them with pushdown and never recompute their lineage.
+
 The relay keeps connection changes, counters and process samples in memory; these
 functions derive such tables from ``events``, ``documents``, ``pages`` and
 ``conversations`` so every query's work grows with the given data. Ordered numbering
@@ -118,13 +122,13 @@ def counters_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         bucket_ms=86_400_000,
         running_sum={"packets": F.col("p"), "bytes": F.col("b")},
     )
-    return out.select("source", "at_ms", F.col("packets").cast("long"), F.col("bytes").cast("long"))
+    return write_table(out.select("source", "at_ms", F.col("packets").cast("long"), F.col("bytes").cast("long")), "counters")
 
 
 def conn_events_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     et = F.col("event_type")
-    return ev.select(
+    return write_table(ev.select(
         _src(F.col("user_id") % 8).alias("source"),
         event_ms().alias("at_ms"),
         F.when(et == "error", F.lit("reconnect_wait"))
@@ -134,13 +138,13 @@ def conn_events_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("state"),
         F.when(et == "error", F.lit("upstream error")).alias("error"),
         F.col("event_id").alias("seq"),
-    )
+    ), "conn_events")
 
 
 def subscription_events_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", event_ms().alias("at_ms"))
     n = ordered_scan(ev, ["user_id"], "at_ms", ["event_id"], bucket_ms=86_400_000 * 7, row_number="_rn")
-    return n.select(
+    return write_table(n.select(
         F.concat(F.lit("sub-"), F.col("user_id").cast("string")).alias("subscription_id"),
         "at_ms",
         ((F.col("_rn") + 1) % 2 == 1).alias("opened"),
@@ -148,7 +152,7 @@ def subscription_events_from_events(spark: SparkSession, sf_dir: str) -> DataFra
         .otherwise(_src(F.col("user_id") % 8))
         .alias("source"),
         "event_id",
-    )
+    ), "subscription_events")
 
 
 # Constant process facts added to the derived samples.
@@ -166,7 +170,7 @@ def process_samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # summed as exact decimals (values carry two decimals), so every engine agrees
     s = ordered_scan(ev, ["instance"], "at_ms", ["event_id"], running_sum={"cpu_seconds": F.col("value").cast("decimal(18,2)")})
-    return s.select(
+    return write_table(s.select(
         "instance",
         "at_ms",
         "event_id",
@@ -175,7 +179,7 @@ def process_samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PROCESS_OPEN_FDS).cast("long").alias("open_fds"),
         F.lit(PROCESS_MAX_FDS).cast("long").alias("max_fds"),
         F.lit(PROCESS_START_TIME_S).alias("start_time_s"),
-    )
+    ), "process_samples")
 
 
 def networks_flat(spark: SparkSession, sf_dir: str) -> DataFrame:

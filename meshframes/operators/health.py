@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshframes.functions.scalars import is_live, state_code, state_label
-from meshframes.operators.scan import asof, ordered_scan
+from meshframes.operators.scan import asof, asof_many, ordered_scan
 from meshframes.schema import IDLE_BAD_S, IDLE_WARN_S, UNKNOWN_STATE, ReconnectPolicy
 
 OFFLINE = "offline"
@@ -225,11 +225,13 @@ def telemetry_snapshot(
     )
     snap = snap.withColumn("_inst", F.lit(instance))
     c = cpu.filter(F.col("instance") == instance).withColumnRenamed("instance", "_inst")
-    snap = asof(snap, c, ["_inst"], "at_ms", ["cpu_percent"], right_tiebreak=["event_id"])
     m = process_samples.filter(F.col("instance") == instance).withColumnRenamed("instance", "_inst")
-    snap = asof(snap, m, ["_inst"], "at_ms", ["rss_bytes"], right_tiebreak=["event_id"])
     cl = clients.withColumn("_inst", F.lit(instance))
-    snap = asof(snap, cl, ["_inst"], "at_ms", ["clients"], right_tiebreak=["subscription_id", "event_id"])
+    snap = asof_many(snap, ["_inst"], "at_ms", [
+        (c, ["cpu_percent"], ["event_id"], ""),
+        (m, ["rss_bytes"], ["event_id"], ""),
+        (cl, ["clients"], ["subscription_id", "event_id"], ""),
+    ])
     return snap.select(
         "at_ms", "sources", "pps", "kbps",
         F.coalesce(F.col("cpu_percent"), F.lit(0.0)).alias("cpu_percent"),

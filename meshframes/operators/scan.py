@@ -43,6 +43,7 @@ def ordered_scan(
       one, oldest first (like ``collect_list`` over ``rowsBetween(-k+1, 0)``).
 
     Order is ``ts`` then ``tiebreak``; it should be total for deterministic output.
+    Key columns must not be null.
     """
     running_sum = dict(running_sum or {})
     running_max = dict(running_max or {})
@@ -50,7 +51,10 @@ def ordered_scan(
     order = [ts, *tiebreak]
     bk = "_scan_bk"
     part = [*keys, bk]
-    d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long"))
+    # One shuffle on (key, bucket): the per-bucket summary, the join of the carry
+    # and the in-bucket window all reuse this exchange, so the input is computed
+    # and shuffled once.
+    d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long")).repartition(*part)
 
     aggs = []
     if lag:
@@ -98,10 +102,8 @@ def ordered_scan(
         start = F.greatest(F.size(carried) - F.lit(k) + 1, F.lit(1))
         cols.append(F.slice(carried, start, F.lit(k)).alias(f"_scan_pt_{out}"))
     carry = summary.select(*cols)
-    carry = carry.select(*[F.col(c).alias(f"_scan_k_{i}") for i, c in enumerate(part)],
-                         *[c for c in carry.columns if c not in part])
-    cond = [d[c].eqNullSafe(carry[f"_scan_k_{i}"]) for i, c in enumerate(part)]
-    j = d.join(carry, cond, "left").drop(*[f"_scan_k_{i}" for i in range(len(part))])
+    # keys must be non-null (a null key would not meet its carry)
+    j = d.join(carry, part, "left")
 
     rn = F.row_number().over(w_in)
     out_cols = []
@@ -168,22 +170,33 @@ def asof(
     prefix: str = "",
 ) -> DataFrame:
     """As-of join: for every ``left`` row, the ``values`` of the latest ``right`` row
-    of the same key with ``right.ts <= left.ts`` (null when there is none).
+    of the same key with ``right.ts <= left.ts`` (null when there is none)."""
+    return asof_many(left, keys, ts, [(right, list(values), list(right_tiebreak), prefix)])
 
-    Both sides are unioned and a bucketed running maximum of (ts, tiebreak, values)
-    carries the latest right row forward; no range join, no key in one task.
+
+def asof_many(left: DataFrame, keys: Sequence[str], ts: str, rights) -> DataFrame:
+    """Several as-of joins in one pass: ``rights`` is a list of
+    ``(right, values, right_tiebreak, prefix)``.
+
+    All sides are unioned and a bucketed running maximum of (ts, tiebreak, values)
+    per right side carries its latest row forward to the left rows; no range join,
+    no key in one task, one shuffle for all sides.
     """
     lcols = left.columns
-    carry = F.struct(F.col(ts).alias("_t"), *[F.col(c).alias(f"_tb{i}") for i, c in enumerate(right_tiebreak)],
-                     *[F.col(v).alias(v) for v in values])
-    r = right.select(*keys, ts, carry.alias("_asof_v"), F.lit(0).alias("_asof_side"))
-    lsel = left.select(
-        "*",
-        F.lit(None).cast(r.schema["_asof_v"].dataType).alias("_asof_v"),
-        F.lit(1).alias("_asof_side"),
-        F.monotonically_increasing_id().alias("_asof_id"),
-    )
-    u = lsel.unionByName(r, allowMissingColumns=True)
-    s = ordered_scan(u, list(keys), ts, ["_asof_side", "_asof_id"], running_max={"_asof_c": F.col("_asof_v")})
+    parts, carries = [], []
+    for i, (right, values, tb, _) in enumerate(rights):
+        carry = F.struct(F.col(ts).alias("_t"), *[F.col(c).alias(f"_tb{j}") for j, c in enumerate(tb)],
+                         *[F.col(v).alias(v) for v in values])
+        parts.append(right.select(*keys, ts, carry.alias(f"_asof_v{i}"), F.lit(0).alias("_asof_side")))
+        carries.append(parts[-1].schema[f"_asof_v{i}"].dataType)
+    u = left.select("*", F.lit(1).alias("_asof_side"), F.monotonically_increasing_id().alias("_asof_id"),
+                    *[F.lit(None).cast(t).alias(f"_asof_v{i}") for i, t in enumerate(carries)])
+    for p in parts:
+        u = u.unionByName(p, allowMissingColumns=True)
+    s = ordered_scan(u, list(keys), ts, ["_asof_side", "_asof_id"],
+                     running_max={f"_asof_c{i}": F.col(f"_asof_v{i}") for i in range(len(rights))})
     s = s.filter(F.col("_asof_side") == 1)
-    return s.select(*[F.col(c) for c in lcols], *[F.col("_asof_c")[v].alias(f"{prefix}{v}") for v in values])
+    out = [F.col(c) for c in lcols]
+    for i, (_, values, _, prefix) in enumerate(rights):
+        out += [F.col(f"_asof_c{i}")[v].alias(f"{prefix}{v}") for v in values]
+    return s.select(*out)

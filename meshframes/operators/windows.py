@@ -24,20 +24,16 @@ _ONE_KEY = "_one"
 
 
 def tick_elapsed(counters: DataFrame, ts: str = "at_ms") -> DataFrame:
-    """Seconds from the previous tick (over all sources) to each tick, at least
-    0.001; null for the first tick. Ticks are distinct sample times."""
+    """Previous tick (over all sources) of each tick and the seconds between them,
+    at least 0.001; null for the first tick. Ticks are distinct sample times."""
     ticks = counters.select(ts).distinct().withColumn(_ONE_KEY, F.lit(0))
     t = ordered_scan(ticks, [_ONE_KEY], ts, lag=[ts], lag_prefix="_prev_")
     elapsed = F.greatest((F.col(ts) - F.col(f"_prev_{ts}")) / 1000.0, F.lit(MIN_ELAPSED_S))
-    return t.select(ts, elapsed.alias("elapsed_s"))
+    return t.select(ts, F.col(f"_prev_{ts}").alias("prev_tick_ms"), elapsed.alias("elapsed_s"))
 
 
-def sample_rates(counters: DataFrame, cols=("packets", "bytes")) -> DataFrame:
-    """Per source and tick, ``<c>_per_s`` = saturating delta / tick elapsed.
-
-    A source's first sample gives 0; a counter that went down gives 0.
-    """
-    s = ordered_scan(counters, ["source"], "at_ms", lag=list(cols), lag_prefix="_prev_")
+def _rates(counters: DataFrame, cols) -> DataFrame:
+    s = ordered_scan(counters, ["source"], "at_ms", lag=[*cols, "at_ms"], lag_prefix="_prev_")
     s = s.join(tick_elapsed(counters), "at_ms", "left")
     el = F.coalesce(F.col("elapsed_s"), F.lit(MIN_ELAPSED_S))
     out = [F.col("source"), F.col("at_ms")]
@@ -46,7 +42,17 @@ def sample_rates(counters: DataFrame, cols=("packets", "bytes")) -> DataFrame:
             F.greatest(F.col(c) - F.col(f"_prev_{c}"), F.lit(0))
         )
         out.append((delta / el).alias(f"{c}_per_s"))
-    return s.select(*out)
+    # the source was absent from the previous tick (or this is its first sample)
+    gap = F.col("_prev_at_ms").isNull() | ~F.col("_prev_at_ms").eqNullSafe(F.col("prev_tick_ms"))
+    return s.select(*out, gap.alias("_new_run"))
+
+
+def sample_rates(counters: DataFrame, cols=("packets", "bytes")) -> DataFrame:
+    """Per source and tick, ``<c>_per_s`` = saturating delta / tick elapsed.
+
+    A source's first sample gives 0; a counter that went down gives 0.
+    """
+    return _rates(counters, list(cols)).drop("_new_run")
 
 
 def increments(counters: DataFrame, cols=("packets", "bytes"), keys=("source",), ts="at_ms", tiebreak=()) -> DataFrame:
@@ -126,19 +132,21 @@ def cpu_percent(samples: DataFrame, tiebreak=("event_id",)) -> DataFrame:
     return s.select("instance", "at_ms", *tiebreak, pct.alias("cpu_percent"))
 
 
-def trailing_history(rates: DataFrame, value: str = "packets_per_s", n: int = HISTORY_LEN) -> DataFrame:
-    """Per source the last ``n`` values, oldest first, and bar heights.
+def trailing_history(counters: DataFrame, value: str = "packets_per_s", n: int = HISTORY_LEN) -> DataFrame:
+    """Per source the last ``n`` snapshot rates, oldest first, and bar heights.
 
     Height: value > 0 -> max(2, v / max(values, 1) * 26), else 1. A source missing
-    from a tick loses its history (it restarts at its next sample).
+    from a tick loses its history (it restarts at its next sample): the tail keeps
+    (value, restart) pairs and is cut after its last restart.
     """
-    ticks = rates.select("at_ms").distinct().withColumn(_ONE_KEY, F.lit(0))
-    ticks = ordered_scan(ticks, [_ONE_KEY], "at_ms", row_number="_tick").drop(_ONE_KEY)
-    r = rates.join(ticks, "at_ms")
-    r = ordered_scan(r, ["source"], "at_ms", lag=["_tick"], lag_prefix="_p")
-    brk = F.when(F.col("_p_tick").isNull() | (F.col("_tick") - F.col("_p_tick") > 1), F.lit(1)).otherwise(F.lit(0))
-    r = ordered_scan(r.withColumn("_brk", brk), ["source"], "at_ms", running_sum={"_seg": F.col("_brk")})
-    r = ordered_scan(r, ["source", "_seg"], "at_ms", tail={"history": (F.col(value), n)})
+    r = _rates(counters, ["packets", "bytes"])
+    r = ordered_scan(r, ["source"], "at_ms", tail={"_t": (F.struct(F.col(value).alias("v"), F.col("_new_run").alias("b")), n)})
+    # index (1-based) of the last restart in the tail; the history starts there
+    last_start = F.aggregate(
+        F.transform(F.col("_t"), lambda x, i: F.when(x["b"], i + 1).otherwise(F.lit(0))),
+        F.lit(0), lambda acc, x: F.greatest(acc, x))
+    hist = F.transform(F.slice(F.col("_t"), F.greatest(last_start, F.lit(1)), F.lit(n)), lambda x: x["v"])
+    r = r.withColumn("history", hist)
     mx = F.greatest(F.array_max("history"), F.lit(1.0))
     heights = F.transform(
         "history", lambda v: F.when(v > 0, F.greatest(F.lit(2.0), v / mx * SPARK_HEIGHT)).otherwise(F.lit(1.0))

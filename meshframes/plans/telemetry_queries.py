@@ -115,7 +115,7 @@ select source, at_ms, cast(len(history) as integer) as n_points, round(list_sum(
 )
 def trailing_history(spark, sf_dir):
     """Last 30 packet rates per source and their bar heights."""
-    h = win.trailing_history(win.sample_rates(_counters(spark, sf_dir)))
+    h = win.trailing_history(_counters(spark, sf_dir))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return h.select(
         "source", "at_ms", F.size("history").alias("n_points"), F.round(total(F.col("history")), 6).alias("history_sum"),
