@@ -39,6 +39,17 @@ def is_strict_json(text) -> Column:
     return F.coalesce((second == tag) & third.isNull(), F.lit(False))
 
 
+def strict_json_wrapped(text) -> tuple[Column, Column]:
+    """(valid, wrapped): one parse serving both the strict test and the document,
+    which is ``try_variant_get(wrapped, '$[0]', 'variant')`` when valid."""
+    t = _c(text)
+    tag = F.md5(t)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), tag, F.lit('"]')))
+    second = F.try_variant_get(wrapped, "$[1]", "string")
+    third = F.try_variant_get(wrapped, "$[2]", "variant")
+    return F.coalesce((second == tag) & third.isNull(), F.lit(False)), wrapped
+
+
 def json_trim(text) -> Column:
     """The text of a JSON document without outer JSON whitespace (kept verbatim)."""
     return F.regexp_replace(_c(text), _JSON_OUTER_WS, "")

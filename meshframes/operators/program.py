@@ -188,9 +188,10 @@ def _compare(v: Column, op: str, lit) -> Column:
 
 
 def projection_variant(encoding="encoding", payload_text="payload_text") -> Column:
-    """The projection object as VARIANT (program input)."""
+    """The projection object as VARIANT (the identity program's value); needs the
+    parsed payload in ``_pdoc``."""
     enc = F.col(encoding)
-    payload = F.when(enc == "json", F.try_parse_json(F.col(payload_text))).otherwise(
+    payload = F.when(enc == "json", F.col("_pdoc")).otherwise(
         F.col(payload_text).cast("variant")
     )
     return F.to_variant_object(
@@ -205,37 +206,73 @@ def projection_variant(encoding="encoding", payload_text="payload_text") -> Colu
     )
 
 
+_SCALARS = {"source": "source", "sequence": "sequence", "timestamp_ms": "received_at_ms", "kind": "kind",
+            "encoding": "encoding"}
+
+
+def _lookup_projection(path: Path) -> tuple[Column, Column]:
+    """(value, error) of ``path`` on the projection object, read from the frame's
+    columns: only ``.payload`` goes into the parsed document, so large text payloads
+    are never copied into a VARIANT unless they are the output."""
+    if not path.steps:
+        return projection_variant(), F.lit(False)
+    head, rest = path.steps[0], Path(path.steps[1:])
+    if isinstance(head, int):  # indexing an object
+        return F.lit(None).cast("variant"), F.lit(True)
+    if head == "payload":
+        is_json = F.col("encoding") == "json"
+        if not rest.steps:
+            return F.when(is_json, F.col("_pdoc")).otherwise(F.col("payload_text").cast("variant")), F.lit(False)
+        val, err = _lookup(F.col("_pdoc"), rest)
+        # any lookup into a string payload (utf8 / base64) is an error
+        return F.when(is_json, val), F.when(is_json, err).otherwise(F.lit(True))
+    if head in _SCALARS:
+        col = F.col(_SCALARS[head])
+        if rest.steps:
+            return F.lit(None).cast("variant"), F.lit(True)
+        return (col.cast("int") if head == "kind" else col).cast("variant"), F.lit(False)
+    return F.lit(None).cast("variant"), F.lit(False)  # missing key: null all the way down
+
+
 def _run(frames: DataFrame, program: Program, keep, input_json: str | None = None) -> tuple[DataFrame, Column]:
     if input_json is None:
-        d = frames.withColumn("_pv", projection_variant())
+        # the projection stays virtual until a step produces a new value
+        doc = F.col("payload_v") if "payload_v" in frames.columns else F.try_parse_json(F.col("payload_text"))
+        d = frames.withColumn("_pdoc", F.when(F.col("encoding") == "json", doc))
         text: Column | None = json_line()  # identity so far: the projection text
+        on_projection = True
     else:
         d = frames.withColumn("_pv", F.try_parse_json(F.col(input_json)))
         text = F.col(input_json)
+        on_projection = False
     d = d.withColumn("_perr", F.lit(False))
+
+    def lookup(p: Path):
+        return _lookup_projection(p) if on_projection else _lookup(F.col("_pv"), p)
+
     exploded = False
     for step in program.steps:
         if isinstance(step, Select):
-            val, err = _lookup(F.col("_pv"), step.path)
+            val, err = lookup(step.path)
             d = d.withColumn("_perr", F.col("_perr") | err)
             d = d.filter(F.col("_perr") | _compare(val, step.op, step.value))
         elif isinstance(step, Project):
-            val, err = _lookup(F.col("_pv"), step.path)
+            val, err = lookup(step.path)
             d = d.withColumn("_perr", F.col("_perr") | err).withColumn("_pv", val)
-            text = None
+            text, on_projection = None, False
         elif isinstance(step, Reshape):
             parts, errs = [], F.lit(False)
             for name, p in step.fields:
-                val, err = _lookup(F.col("_pv"), p)
+                val, err = lookup(p)
                 parts.append(val.alias(name))
                 errs = errs | err
             obj = F.struct(*parts)
             d = d.withColumn("_perr", F.col("_perr") | errs)
             d = d.withColumn("_ptxt", F.to_json(obj, {"ignoreNullFields": "false"}))
             d = d.withColumn("_pv", F.to_variant_object(obj))
-            text = F.col("_ptxt")
+            text, on_projection = F.col("_ptxt"), False
         elif isinstance(step, Each):
-            val, err = _lookup(F.col("_pv"), step.path)
+            val, err = lookup(step.path)
             arr = F.try_variant_get(val, "$", "array<variant>")
             obj = F.try_variant_get(val, "$", "map<string,variant>")
             elems = F.coalesce(arr, F.map_values(obj))
@@ -243,7 +280,7 @@ def _run(frames: DataFrame, program: Program, keep, input_json: str | None = Non
             # an erroring frame keeps one row carrying the error; others fan out
             d = d.withColumn("_pv", F.explode(F.when(F.col("_perr"), F.array(F.lit(None).cast("variant"))).otherwise(elems)))
             exploded = True
-            text = None
+            text, on_projection = None, False
     if exploded:
         # one failing output discards every output of that frame
         d = d.withColumn("_perr", F.max(F.col("_perr").cast("int")).over(Window.partitionBy(*keep)) == 1)

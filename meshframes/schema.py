@@ -106,6 +106,7 @@ FRAMES = T.StructType(
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("encoding", T.StringType()),
         T.StructField("payload_text", T.StringType()),
+        T.StructField("payload_v", T.VariantType()),
         T.StructField("payload_type", T.StringType()),
         T.StructField("content_hash", T.StringType()),
     ]

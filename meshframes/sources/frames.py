@@ -11,7 +11,7 @@ from meshframes.functions.payload import (
     _str_or_null,
     base64_flat,
     encoding_of,
-    is_strict_json,
+    strict_json_wrapped,
     json_trim,
     utf8_text,
 )
@@ -75,7 +75,8 @@ def stamp_frames(
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """P1 + P2: adds ``encoding``, ``payload_text``, ``payload_type``, ``content_hash``.
+    """P1 + P2: adds ``encoding``, ``payload_text``, ``payload_v`` (the JSON payload
+    as VARIANT, parsed once), ``payload_type``, ``content_hash``.
 
     Computed once per frame and written with the frames table (the relay parses each
     frame once for all subscribers). Staged projections keep every intermediate
@@ -85,7 +86,12 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     base = frames.columns
     kind, payload = F.col("kind"), F.col("payload")
     d = frames.withColumn("_text", utf8_text(payload))
-    d = d.withColumn("_json_ok", (kind == F.lit(KIND_TEXT)) & is_strict_json(F.col("_text")))
+    _, wrapped = strict_json_wrapped(F.col("_text"))
+    d = d.withColumn("_wrapped", F.when(kind == F.lit(KIND_TEXT), wrapped))
+    tag = F.md5(F.col("_text"))
+    d = d.withColumn("_json_ok", F.coalesce(
+        (F.try_variant_get(F.col("_wrapped"), "$[1]", "string") == tag)
+        & F.try_variant_get(F.col("_wrapped"), "$[2]", "variant").isNull(), F.lit(False)))
     d = d.withColumn("encoding", encoding_of(kind, F.col("_text").isNotNull(), F.col("_json_ok")))
     d = d.withColumn(
         "payload_text",
@@ -93,10 +99,11 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         .when(F.col("encoding") == "utf8", F.col("_text"))
         .otherwise(base64_flat(payload)),
     )
-    d = d.withColumn("_doc", F.when(F.col("encoding") == "json", F.try_parse_json(F.col("_text"))))
-    d = with_meta_from_doc(d, "_doc")
-    keep = [c for c in base if c not in ("encoding", "payload_text", "payload_type", "content_hash")]
-    return d.select(*keep, "encoding", "payload_text", "payload_type", "content_hash")
+    d = d.withColumn("payload_v", F.when(F.col("encoding") == "json", F.try_variant_get(F.col("_wrapped"), "$[0]", "variant")))
+    d = with_meta_from_doc(d, "payload_v")
+    out = ("encoding", "payload_text", "payload_v", "payload_type", "content_hash")
+    keep = [c for c in base if c not in out]
+    return d.select(*keep, *out)
 
 
 def with_meta_from_doc(d: DataFrame, doc: str) -> DataFrame:
@@ -121,12 +128,12 @@ def with_meta_from_doc(d: DataFrame, doc: str) -> DataFrame:
 
 def with_packet_meta(frames: DataFrame) -> DataFrame:
     """P1 alone: ``payload_type`` and ``content_hash`` from kind-1 JSON payloads."""
-    return decode_frames(frames).drop("encoding", "payload_text") if "encoding" not in frames.columns else decode_frames(frames)
+    return decode_frames(frames).drop("encoding", "payload_text", "payload_v")
 
 
 def with_encoding(frames: DataFrame) -> DataFrame:
     """P2 alone: ``encoding`` and the projected ``payload_text``."""
-    return decode_frames(frames).drop("payload_type", "content_hash")
+    return decode_frames(frames).drop("payload_type", "content_hash", "payload_v")
 
 
 class UnknownSourceError(ValueError):
