@@ -212,7 +212,8 @@ def subscribe_full(spark, sf_dir):
     prog = Program(Select(".payload.data.id", ">=", 100), Reshape({"hash": ".payload.data.hash", "seq": ".sequence"}))
     sub = Subscription(sources=("src-1",), sources_csv="src-2, src-4,src-1", payload_types="click,view",
                        dedup_by_content=True, dedup_window_s=7200, program=prog)
-    f = _events(spark, sf_dir)
+    f = _events(spark, sf_dir).select("source", "sequence", "received_at_ms", "kind", "encoding", "payload_text",
+                                      "payload_v", "payload_type", "content_hash")
     return subscribe(f, sub, f.select(F.col("source").alias("id")).distinct())
 
 

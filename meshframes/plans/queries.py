@@ -57,6 +57,8 @@ def live_types_once_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen packet types, each content hash once per window, per source per hour."""
     f = _frames(spark, sf_dir)
     f = flt.filter_payload_types(f, LIVE_TYPES)
+    # dedup carries whole rows: keep only what the totals need
+    f = f.select("source", "sequence", "received_at_ms", "payload_bytes", "content_hash")
     f = dedup.dedup_aligned(f, LIVE_WINDOW_S)
     return agg.source_totals(f, by_hour=True)
 
@@ -129,8 +131,8 @@ union all select source, sequence, received_at_ms, content_hash from frames wher
 @query("dedup_aligned", with_(FRAMES) + _D2_SQL)
 def dedup_aligned(spark, sf_dir):
     """Aligned two-generation dedup, W = 1 h."""
-    f = _frames(spark, sf_dir)
-    return dedup.dedup_aligned(f, DEDUP_WINDOW_S).select("source", "sequence", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir).select("source", "sequence", "received_at_ms", "content_hash")
+    return dedup.dedup_aligned(f, DEDUP_WINDOW_S)
 
 
 @query(
@@ -203,8 +205,8 @@ union all select source, sequence, received_at_ms, content_hash from frames wher
 @query("dedup_replay", _D1_SQL)
 def dedup_replay(spark, sf_dir):
     """The relay's arrival-driven two-generation dedup, W = 1 h, from the first arrival."""
-    f = _frames(spark, sf_dir)
-    return dedup.dedup_replay(f, DEDUP_WINDOW_S).select("source", "sequence", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir).select("source", "sequence", "received_at_ms", "content_hash")
+    return dedup.dedup_replay(f, DEDUP_WINDOW_S)
 
 
 @query(
@@ -217,5 +219,5 @@ union all select source, sequence, received_at_ms, content_hash from frames wher
 )
 def dedup_first(spark, sf_dir):
     """D4 (batch form): first copy of each hash only."""
-    f = _frames(spark, sf_dir)
-    return dedup.dedup_first(f).select("source", "sequence", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir).select("source", "sequence", "received_at_ms", "content_hash")
+    return dedup.dedup_first(f)
