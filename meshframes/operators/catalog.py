@@ -73,6 +73,16 @@ def with_source_defaults(sources: DataFrame) -> DataFrame:
     )
 
 
+def read_sources(spark, path: str, fmt: str = "json") -> DataFrame:
+    """A source catalog file (JSON lines or parquet) read with the catalog
+    schema (never inferred), with defaults: headers empty, disabled false, proxy and
+    mapping null."""
+    from meshframes.schema import SOURCES
+
+    df = spark.read.schema(SOURCES).format(fmt).load(path)
+    return with_source_defaults(df)
+
+
 def validate_sources(sources: DataFrame, settings: RelaySettings = RelaySettings()) -> DataFrame:
     """Every violation as a row ``(id, rule, detail)`` (the relay stops at the
     first; here all are listed). Catalog rules run as one aggregation + filters."""

@@ -106,6 +106,13 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     return d.select(*keep, *out)
 
 
+def build_frames_table(raw: DataFrame, path: str, tiebreak=(), mode: str = "errorifexists") -> DataFrame:
+    """S2 + P1 + P2 as one job: stamp and decode raw frames and write the frames
+    table (parquet) that every subscriber reads; returns the written table."""
+    decode_frames(stamp_frames(raw, tiebreak=tiebreak)).write.mode(mode).parquet(path)
+    return raw.sparkSession.read.parquet(path)
+
+
 def with_meta_from_doc(d: DataFrame, doc: str) -> DataFrame:
     """Staged form of :func:`packet_meta` on a parsed-document column."""
     d = d.withColumn("_m_data", F.try_variant_get(F.col(doc), "$.data", "struct<hash:variant,decoded:variant>"))

@@ -68,6 +68,11 @@ def telemetry_messages(snapshots: DataFrame, struct_cols=None) -> DataFrame:
     return snapshots.select("at_ms", F.to_json(F.struct(*cols)).alias("message"))
 
 
+def write_telemetry(snapshots: DataFrame, path: str, struct_cols=None, mode: str = "append") -> None:
+    """S10 sink: snapshot messages appended as JSON text files (one per tick)."""
+    telemetry_messages(snapshots, struct_cols).select("message").write.mode(mode).text(path)
+
+
 def latest_message(messages: DataFrame) -> DataFrame:
     """The message a new telemetry reader gets first: the latest one."""
     return messages.agg(F.max("at_ms").alias("at_ms"), F.max_by("message", "at_ms").alias("message"))
