@@ -31,11 +31,11 @@ def build_source_catalog(analyzers: DataFrame, with_rejected: bool = False) -> D
     a = a.withColumn("ws_url", websocket_url("url"))
     rejected = a.filter(F.col("ws_url").isNull()).select("network", "npos", "apos", "url")
     ok = a.filter(F.col("ws_url").isNotNull())
-    # first occurrence of each url: a partial aggregation, never one url per task
-    first = ok.groupBy("ws_url").agg(F.min(F.struct("npos", "apos")).alias("_first"))
-    kept = ok.join(first, "ws_url").filter(
-        (F.col("_first.npos") == F.col("npos")) & (F.col("_first.apos") == F.col("apos"))
-    )
+    # first occurrence of each url: a partial aggregation carrying the whole row, so a
+    # url repeated across many networks is reduced map-side (no join on a hot url)
+    cols = ["network", "npos", "apos", "headers"]
+    kept = ok.groupBy("ws_url").agg(F.min_by(F.struct(*cols), F.struct("npos", "apos")).alias("_f")).select(
+        "ws_url", *[F.col(f"_f.{c}").alias(c) for c in cols])
     n = ordered_scan(kept, ["npos"], "apos", bucket_ms=65536, row_number="_n")
     num = F.col("_n") + 1
     sid = F.when(num == 1, F.col("network")).otherwise(F.concat(F.col("network"), F.lit("-"), num.cast("string")))
