@@ -130,7 +130,7 @@ def _program_input(spark, sf_dir):
 
 @query(
     "project_path",
-    with_(FRAMES) + "select source, sequence, to_json(json_extract_string(payload_text, '$.data.hash')) as message from frames",
+    with_(FRAMES) + "select source, sequence, to_json(json_extract_string(payload_text, '$.data.hash'))::varchar as message from frames",
 )
 def project_path(spark, sf_dir):
     """``.payload.data.hash``; text frames error (path through a string) and are skipped."""
@@ -157,7 +157,7 @@ def reshape(spark, sf_dir):
     "explode_path",
     with_(FRAMES)
     + """select source, sequence, cast(json_extract(payload_text, '$.data.id') as varchar) as message from frames
-union all select source, sequence, to_json(json_extract_string(payload_text, '$.data.hash')) from frames
+union all select source, sequence, to_json(json_extract_string(payload_text, '$.data.hash'))::varchar from frames
 union all select source, sequence, cast(json_extract(payload_text, '$.data.decoded') as varchar) from frames""",
 )
 def explode_path(spark, sf_dir):
