@@ -76,3 +76,16 @@ def stream_with_catalog(spark, sf_dir):
     """ST5: stream-static join with the (size-checked, broadcast) source catalog."""
     s = st.stream_with_catalog(_stream(spark, sf_dir), _catalog(spark, sf_dir))
     return st.run_append(s.select("source", "sequence", "url", "mapping"), "stream-catalog")
+
+
+@query("stream_stamp", with_(FRAMES) + "select source, sequence, received_at_ms, event_id from frames")
+def stream_stamp(spark, sf_dir):
+    """S2 on a stream: unstamped frames replayed; a per-source counter in state
+    numbers them across micro-batches."""
+    configure(spark)
+    raw = fx.raw_event_frames(spark, sf_dir).withColumnRenamed("_tb", "event_id")
+    path = scratch_path(spark, "raw-files")
+    st.write_time_chunks(raw, path, WEEK_MS)
+    s = st.read_frames_stream(spark, path, raw.schema, max_files=1).select("source", "received_at_ms", "event_id")
+    return st.run_append(st.stamp_stream(s, tiebreak=["event_id"]), "stream-stamp").select(
+        "source", "sequence", "received_at_ms", "event_id")

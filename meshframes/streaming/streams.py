@@ -124,6 +124,33 @@ def dedup_first_stream(frames: DataFrame, watermark: str = "300 seconds") -> Dat
     return hashed.unionByName(f.filter(F.col("content_hash").isNull()))
 
 
+def _stamp_fn(order: Sequence[str]):
+    def fn(key, pdfs, state):
+        nxt = state.get[0] if state.exists else 0
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        if batch.empty:
+            return
+        batch = batch.sort_values(list(order), kind="stable")
+        batch["sequence"] = range(nxt, nxt + len(batch))
+        state.update((int(nxt + len(batch)),))
+        yield batch
+
+    return fn
+
+
+def stamp_stream(raw: DataFrame, tiebreak: Sequence[str] = (), out_schema: str | None = None) -> DataFrame:
+    """S2 on a stream whose frames carry no sequence: a per-source counter kept in
+    state continues across micro-batches (arrival order within a batch is
+    ``received_at_ms`` then ``tiebreak``)."""
+    cols = [c for c in raw.columns]
+    schema = out_schema or ", ".join(
+        [f"{f.name} {f.dataType.simpleString()}" for f in raw.schema.fields] + ["sequence bigint"])
+    return raw.groupBy("source").applyInPandasWithState(
+        _stamp_fn(["received_at_ms", *tiebreak]), schema, "next_sequence bigint", "append",
+        GroupStateTimeout.NoTimeout,
+    ).select(*cols, "sequence")
+
+
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     """Run an append-mode stream to completion (availableNow) into a parquet sink
     under the checkpoint folder; return the sink as a table."""

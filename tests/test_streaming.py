@@ -61,3 +61,12 @@ def test_drop_duplicates_within_watermark_runs(spark, replay):
     n = out.count()
     assert 0 < n <= frames.count()
     assert out.select("source", "sequence").distinct().count() == n
+
+
+def test_stamp_stream_continues_across_batches(spark, replay):
+    frames, path = replay
+    raw = _stream(spark, replay).select("source", "received_at_ms", "payload_bytes", F.col("sequence").alias("orig"))
+    out = st.run_append(st.stamp_stream(raw, tiebreak=["orig"]), "t-stamp")
+    got = out.select("source", "orig", "sequence")
+    assert got.filter(F.col("orig") != F.col("sequence")).count() == 0
+    assert got.count() == frames.count()
