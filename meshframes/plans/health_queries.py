@@ -199,6 +199,22 @@ def status_report(spark, sf_dir):
     return r.withColumn("packets_per_s", F.round("packets_per_s", 6)).withColumn("bytes_per_s", F.round("bytes_per_s", 6))
 
 
+@query(
+    "overall_status",
+    with_(CONN_EVENTS, CATALOG_SQL) + STATES_SQL
+    + """select count_if(state = 'connected') as connected, count(*) as total,
+       case when count_if(state = 'connected') = count(*) and count(*) > 0 then 'ok'
+            when count_if(state = 'connected') = 0 and count(*) > 0 then 'bad' else '' end as level
+from states""",
+)
+def overall_status(spark, sf_dir):
+    """H7 headline: connected/all and the ok / bad / blank level."""
+    configure(spark)
+    cat = _catalog(spark, sf_dir)
+    st = hl.state_asof(_conn(spark, sf_dir), AT_MS, cat)
+    return hl.overall_status(st)
+
+
 @query(
     "status_table",
     with_(FRAMES, CONN_EVENTS, CATALOG_SQL) + STATES_SQL + AGES_SQL

@@ -46,6 +46,12 @@ def read_frames(
     return out
 
 
+def drop_control(frames: DataFrame) -> DataFrame:
+    """Only text (1) and binary (2) messages are frames; control messages (ping,
+    pong, close, any other kind) carry no data and are dropped."""
+    return frames.filter(F.col("kind").isin(1, 2))
+
+
 def union_frames(*tables: DataFrame) -> DataFrame:
     """S1 on already-read tables: one stream of frames, columns matched by name."""
     out = tables[0]

@@ -51,3 +51,14 @@ def test_last_packet_age_levels_and_quiet(spark):
     assert sorted(r["source"] for r in hl.quiet_sources(states, ages).collect()) == ["b", "c"]
     table = hl.status_table(states.filter("source <> 'c'").union(spark.createDataFrame([("c", "disabled")], "source string, state string")), ages)
     assert [r["status"] for r in table.collect()] == ["down", "up", "up"]
+
+
+def test_overall_status_levels(spark):
+    def level(states):
+        df = spark.createDataFrame([(s,) for s in states], "state string")
+        return hl.overall_status(df).first()["level"]
+
+    assert level(["connected", "connected"]) == "ok"
+    assert level(["reconnect_wait", "disabled"]) == "bad"
+    assert level(["connected", "disconnected"]) == ""
+    assert level([]) == ""

@@ -60,3 +60,10 @@ def test_telemetry_messages_and_latest(spark):
     p = scratch_path(spark, "telemetry")
     write_telemetry(snaps, p)
     assert sorted(json.loads(r["value"])["clients"] for r in spark.read.text(p).collect()) == [3, 4]
+
+
+def test_control_messages_are_not_frames(spark):
+    from meshframes.sources.frames import drop_control
+
+    df = spark.createDataFrame([(1,), (2,), (9,), (0,)], "kind int")
+    assert sorted(r["kind"] for r in drop_control(df).collect()) == [1, 2]
