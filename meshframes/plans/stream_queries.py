@@ -1,7 +1,8 @@
 """Streaming queries: a capture replayed as a file stream (ST1-ST5, D3).
 
-Frames are written as week-long, time-ordered files; each stream runs with
-``availableNow`` one file per micro-batch and its result is read back as a table.
+Frames are written as week-long, time-ordered groups of k files; each stream runs
+with ``availableNow`` one group (``maxFilesPerTrigger=k``) per micro-batch and its
+result is read back as a table.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ def _stream(spark, sf_dir):
     configure(spark)
     frames = fx.frames_from_events(spark, sf_dir)
     path = scratch_path(spark, "frames-files")
-    st.write_time_chunks(frames, path, WEEK_MS)
-    return st.read_frames_stream(spark, path, frames.schema, max_files=1)
+    k = st.write_time_chunks(frames, path, WEEK_MS)
+    return st.read_frames_stream(spark, path, frames.schema, max_files=k)
 
 
 @query(
@@ -85,7 +86,7 @@ def stream_stamp(spark, sf_dir):
     configure(spark)
     raw = fx.raw_event_frames(spark, sf_dir).withColumnRenamed("_tb", "event_id")
     path = scratch_path(spark, "raw-files")
-    st.write_time_chunks(raw, path, WEEK_MS)
-    s = st.read_frames_stream(spark, path, raw.schema, max_files=1).select("source", "received_at_ms", "event_id")
+    k = st.write_time_chunks(raw, path, WEEK_MS)
+    s = st.read_frames_stream(spark, path, raw.schema, max_files=k).select("source", "received_at_ms", "event_id")
     return st.run_append(st.stamp_stream(s, tiebreak=["event_id"]), "stream-stamp").select(
         "source", "sequence", "received_at_ms", "event_id")

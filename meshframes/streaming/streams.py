@@ -185,18 +185,20 @@ def run_upserts(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
         *keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
 
 
-def write_time_chunks(frames: DataFrame, path: str, chunk_ms: int) -> int:
-    """Write frames as time-ordered chunk files (one append per chunk, oldest first)
-    so a file stream with ``maxFilesPerTrigger=1`` replays them in time order.
-    ``chunk_ms`` bounds the rows of one file. Returns the number of chunks. Used to
-    replay captures in tests and queries."""
-    bounds = frames.agg(F.min("received_at_ms").alias("lo"), F.max("received_at_ms").alias("hi")).first()
-    if bounds["lo"] is None:
+def write_time_chunks(frames: DataFrame, path: str, chunk_ms: int, files_per_chunk: int = 8) -> int:
+    """Write frames as time-ordered chunks, oldest first, each as exactly ``k`` files
+    written in parallel; returns ``k``. A file stream with ``maxFilesPerTrigger=k``
+    then replays one chunk per micro-batch, in time order.
+
+    ``k`` is ``files_per_chunk`` unless a chunk has fewer rows. The per-chunk row
+    counts (one row per chunk) are the only thing brought to the driver.
+    """
+    chunk = F.floor(F.col("received_at_ms") / F.lit(chunk_ms)).cast("long")
+    counts = frames.groupBy(chunk.alias("c")).count().orderBy("c").collect()
+    if not counts:
         return 0
-    lo, hi = bounds["lo"] // chunk_ms, bounds["hi"] // chunk_ms
-    n = 0
-    for c in range(lo, hi + 1):
-        part = frames.filter(F.floor(F.col("received_at_ms") / chunk_ms) == c)
-        part.coalesce(1).write.mode("append").parquet(path)
-        n += 1
-    return n
+    k = max(1, min(files_per_chunk, min(r["count"] for r in counts)))
+    for r in counts:
+        part = frames.filter(chunk == r["c"])
+        part.repartition(k).write.mode("append").parquet(path)
+    return k

@@ -16,14 +16,14 @@ DAY = 86_400_000
 def replay(spark):
     frames = fx.frames_from_events(spark, SF_SMALL)
     path = scratch_path(spark, "test-frames-files")
-    n = st.write_time_chunks(frames, path, 3 * DAY)
-    assert n > 3
-    return frames, path
+    k = st.write_time_chunks(frames, path, 3 * DAY, files_per_chunk=3)
+    assert k == 3
+    return frames, path, k
 
 
 def _stream(spark, replay):
-    frames, path = replay
-    return st.read_frames_stream(spark, path, frames.schema, max_files=1)
+    frames, path, k = replay
+    return st.read_frames_stream(spark, path, frames.schema, max_files=k)
 
 
 def _ids(df):
@@ -31,13 +31,13 @@ def _ids(df):
 
 
 def test_dedup_stream_equals_aligned_batch(spark, replay):
-    frames, _ = replay
+    frames = replay[0]
     out = st.run_append(st.dedup_stream(_stream(spark, replay), 3600), "t-dedup")
     assert _ids(out) == _ids(dedup_aligned(frames, 3600))
 
 
 def test_stream_rates_equal_batch_counts(spark, replay):
-    frames, _ = replay
+    frames = replay[0]
     out = st.run_upserts(st.stream_rates(_stream(spark, replay), "1 hour", "1 hour"), "t-rates", ["window_start_ms", "source"])
     ref = frames.groupBy((F.floor(F.col("received_at_ms") / 3_600_000) * 3_600_000).cast("long").alias("window_start_ms"), "source").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("payload_bytes").alias("bytes"))
@@ -45,7 +45,7 @@ def test_stream_rates_equal_batch_counts(spark, replay):
 
 
 def test_stream_latest_and_catalog(spark, replay):
-    frames, _ = replay
+    frames = replay[0]
     latest = st.run_upserts(st.stream_latest(_stream(spark, replay)), "t-latest", ["source"])
     ref = frames.groupBy("source").agg(F.max("sequence").alias("sequence"))
     assert sorted((r["source"], r["sequence"]) for r in latest.collect()) == sorted(tuple(r) for r in ref.collect())
@@ -55,7 +55,7 @@ def test_stream_latest_and_catalog(spark, replay):
 
 
 def test_drop_duplicates_within_watermark_runs(spark, replay):
-    frames, _ = replay
+    frames = replay[0]
     out = st.run_append(st.dedup_first_stream(_stream(spark, replay), "300 seconds").select(
         "source", "sequence", "received_at_ms", "content_hash"), "t-d4")
     n = out.count()
@@ -64,7 +64,7 @@ def test_drop_duplicates_within_watermark_runs(spark, replay):
 
 
 def test_stamp_stream_continues_across_batches(spark, replay):
-    frames, path = replay
+    frames = replay[0]
     raw = _stream(spark, replay).select("source", "received_at_ms", "payload_bytes", F.col("sequence").alias("orig"))
     out = st.run_append(st.stamp_stream(raw, tiebreak=["orig"]), "t-stamp")
     got = out.select("source", "orig", "sequence")
