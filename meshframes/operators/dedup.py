@@ -34,13 +34,16 @@ def _admit_generations(firsts: DataFrame, keys: Sequence[str], gen: str = "_gen"
     """Per key, keep generations that the two-generation rule admits.
 
     Generations holding the key form runs of consecutive integers; a run's first
-    generation is admitted and then every second one.
+    generation is admitted and then every second one. ``gen - position`` is constant
+    along a run (position = 0-based rank of the generation within the key, from a
+    bucketed ordered scan), so a run is a (key, gen - position) group and its start
+    is that group's minimum. A run spans at most (time range / W) rows.
     """
-    scanned = ordered_scan(firsts, list(keys), gen, bucket_ms=4096, lag=[gen], lag_prefix="_p")
-    start = F.col(f"_p{gen}").isNull() | (F.col(gen) - F.col(f"_p{gen}") > 1)
-    marked = scanned.withColumn("_start", F.when(start, F.col(gen)))
-    runs = ordered_scan(marked, list(keys), gen, bucket_ms=4096, running_max={"_run": F.col("_start")})
-    return runs.filter((F.col(gen) - F.col("_run")) % 2 == 0).drop(f"_p{gen}", "_start", "_run")
+    ranked = ordered_scan(firsts, list(keys), gen, bucket_ms=4096, row_number="_pos")
+    run = F.col(gen) - F.col("_pos")
+    start = F.min(gen).over(Window.partitionBy(*keys, run))
+    return ranked.withColumn("_run_start", start).filter((F.col(gen) - F.col("_run_start")) % 2 == 0).drop(
+        "_pos", "_run_start")
 
 
 def dedup_aligned(frames: DataFrame, window_s: int, sub: str | None = None) -> DataFrame:
