@@ -105,17 +105,28 @@ def increase_level(v) -> Column:
     return F.when(c >= INCREASE_RED, F.lit("red")).when(c >= INCREASE_ORANGE, F.lit("orange")).otherwise(F.lit("green"))
 
 
-def range_increase(counters: DataFrame, range_s: int, cols=("packets",)) -> DataFrame:
+def range_increase(counters: DataFrame, range_s: int, cols=("packets",), tiebreak=()) -> DataFrame:
     """Reset-aware increase over the trailing range, with its level."""
-    inc = increments(counters, cols)
+    inc = increments(counters, cols, tiebreak=tiebreak)
     width = int(range_s) * 1000
     r = range_sum(inc, ["source"], "at_ms", width, {f"{c}_increase": F.col(f"{c}_inc") for c in cols})
-    out = r.select("source", "at_ms", *[F.col(f"{c}_increase").cast("long") for c in cols])
+    out = r.select("source", "at_ms", *tiebreak, *[F.col(f"{c}_increase").cast("long") for c in cols])
     for c in cols:
         out = out.withColumn(f"{c}_level", increase_level(f"{c}_increase"))
     return out
 
 
+def event_counters(conn_events: DataFrame, tiebreak=("seq",)) -> DataFrame:
+    """Cumulative reconnect and error counters per source at every state change
+    (what the relay's per-source metrics count)."""
+    retry = F.col("state").isin("reconnect_wait", "reconnect_wait_degraded")
+    s = ordered_scan(conn_events, ["source"], "at_ms", list(tiebreak), running_sum={
+        "reconnects": F.when(retry, F.lit(1)).otherwise(F.lit(0)),
+        "errors": F.when(F.col("error").isNotNull(), F.lit(1)).otherwise(F.lit(0)),
+    })
+    return s.select("source", "at_ms", *tiebreak, F.col("reconnects").cast("long"), F.col("errors").cast("long"))
+
+
 def cpu_percent(samples: DataFrame, tiebreak=("event_id",)) -> DataFrame:
     """(newest - oldest) / span * 100 over the last 5 samples incl. the current
     one, at least 0, span at least 0.001 s. A missing reading reuses the last one."""

@@ -9,7 +9,7 @@ from meshframes.operators import aggregates as agg
 from meshframes.operators import filters as flt
 from meshframes.operators import windows as win
 from meshframes.plans.registry import query
-from meshframes.plans.sql import CONV_GAPS, COUNTERS, PROCESS_SAMPLES, SUBSCRIPTION_EVENTS, with_
+from meshframes.plans.sql import CONN_EVENTS, CONV_GAPS, COUNTERS, PROCESS_SAMPLES, SUBSCRIPTION_EVENTS, with_
 from meshframes.session import configure
 
 
@@ -202,3 +202,32 @@ def source_pattern(spark, sf_dir):
     """fully anchored multi-value source pattern."""
     c = flt.filter_source_pattern(_counters(spark, sf_dir), "src-[1-3]|src-7")
     return c.select("source", "at_ms", "packets")
+
+
+@query(
+    "error_increase_1h",
+    with_(CONN_EVENTS)
+    + """
+, cum as (select source, at_ms, seq,
+                 sum(case when state in ('reconnect_wait', 'reconnect_wait_degraded') then 1 else 0 end) over w as reconnects,
+                 sum(case when error is not null then 1 else 0 end) over w as errors
+          from conn_events window w as (partition by source order by at_ms, seq rows between unbounded preceding and current row))
+, inc as (select source, at_ms, seq,
+                 case when lag(reconnects) over v is null then 0 when reconnects < lag(reconnects) over v then reconnects
+                      else reconnects - lag(reconnects) over v end as ri,
+                 case when lag(errors) over v is null then 0 when errors < lag(errors) over v then errors
+                      else errors - lag(errors) over v end as ei
+          from cum window v as (partition by source order by at_ms, seq))
+, r as (select source, at_ms, seq, sum(ri) over x as ri, sum(ei) over x as ei
+        from inc window x as (partition by source order by at_ms range between 3599999 preceding and current row))
+select source, at_ms, seq, cast(ri as bigint) as reconnects_increase,
+       case when ri >= 10 then 'red' when ri >= 1 then 'orange' else 'green' end as reconnects_level,
+       cast(ei as bigint) as errors_increase,
+       case when ei >= 10 then 'red' when ei >= 1 then 'orange' else 'green' end as errors_level
+from r""",
+)
+def error_increase_1h(spark, sf_dir):
+    """Reset-aware 1 h increase of reconnects and errors per source, with levels."""
+    configure(spark)
+    c = win.event_counters(fx.conn_events_from_events(spark, sf_dir))
+    return win.range_increase(c, 3600, cols=("reconnects", "errors"), tiebreak=("seq",))
