@@ -231,3 +231,18 @@ def error_increase_1h(spark, sf_dir):
     configure(spark)
     c = win.event_counters(fx.conn_events_from_events(spark, sf_dir))
     return win.range_increase(c, 3600, cols=("reconnects", "errors"), tiebreak=("seq",))
+
+
+@query(
+    "range_rate_total_1m",
+    with_(COUNTERS) + _INC_SQL
+    + """select at_ms, round(sum(p) / 60.0, 6) as packets_per_s, round(sum(b) / 60.0, 6) as bytes_per_s,
+       round(sum(b) / 60.0 * 8, 6) as bits_per_s from (
+  select source, at_ms, sum(packets_inc) over w as p, sum(bytes_inc) over w as b
+  from inc window w as (partition by source order by at_ms range between 59999 preceding and current row)) x
+group by at_ms""",
+)
+def range_rate_total_1m(spark, sf_dir):
+    """W5 (total): relay-wide reset-aware rate over 1 minute; bandwidth in bits/s."""
+    r = win.range_rate(_counters(spark, sf_dir), 60, by_source=False)
+    return r.select("at_ms", _r6("packets_per_s"), _r6("bytes_per_s"), _r6("bits_per_s"))
