@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from meshframes.functions.scalars import ascii_upper
 
 # Above this many ids the list is joined as a (broadcast) table instead of an IN set.
 INSET_LIMIT = 10_000
@@ -91,6 +90,3 @@ def drop_disabled(frames: DataFrame, sources: DataFrame) -> DataFrame:
     enabled = sources.filter(~F.coalesce(F.col("disabled"), F.lit(False))).select(F.col("id").alias("source"))
     return frames.join(enabled, "source", "left_semi")
 
-
-def upper_types(col) -> F.Column:
-    return ascii_upper(col)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meshframes.operators.scan import DEFAULT_BUCKET_MS, ordered_scan, range_sum
+from meshframes.operators.scan import ordered_scan, range_sum
 from meshframes.schema import (
     CPU_WINDOW_SAMPLES,
     HISTORY_LEN,

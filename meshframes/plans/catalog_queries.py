@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshframes import fixtures as fx
-from meshframes.functions import scalars as sc
 from meshframes.operators import catalog as cg
 from meshframes.operators import filters as flt
 from meshframes.operators import health as hl

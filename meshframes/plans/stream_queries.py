@@ -7,8 +7,6 @@ result is read back as a table.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from meshframes import fixtures as fx
 from meshframes.plans.health_queries import CATALOG_SQL, _catalog
 from meshframes.plans.queries import _D2_SQL
