@@ -39,7 +39,10 @@ def _admit_generations(firsts: DataFrame, keys: Sequence[str], gen: str = "_gen"
     bucketed ordered scan), so a run is a (key, gen - position) group and its start
     is that group's minimum. A run spans at most (time range / W) rows.
     """
-    ranked = ordered_scan(firsts, list(keys), gen, bucket_ms=4096, row_number="_pos")
+    from meshframes.session import materialize
+
+    # one row per (key, generation): small, and read twice by the scan
+    ranked = ordered_scan(materialize(firsts, "dedup-firsts"), list(keys), gen, bucket_ms=4096, row_number="_pos")
     run = F.col(gen) - F.col("_pos")
     start = F.min(gen).over(Window.partitionBy(*keys, run))
     return ranked.withColumn("_run_start", start).filter((F.col(gen) - F.col("_run_start")) % 2 == 0).drop(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from meshframes.functions.scalars import is_live, state_code, state_label
 from meshframes.operators.scan import asof, asof_many, ordered_scan
+from meshframes.session import materialize
 from meshframes.schema import IDLE_BAD_S, IDLE_WARN_S, UNKNOWN_STATE, ReconnectPolicy
 
 OFFLINE = "offline"
@@ -96,9 +97,9 @@ def episodes(conn_events: DataFrame, tiebreak=("seq",)) -> DataFrame:
     s = ordered_scan(e, ["source"], "at_ms", list(tiebreak), lag=["_cls"], lag_prefix="_p")
     flag = F.when(F.col("_p_cls").isNull() | (F.col("_p_cls") != F.col("_cls")), F.lit(1)).otherwise(F.lit(0))
     s = ordered_scan(s.withColumn("_chg", flag), ["source"], "at_ms", list(tiebreak), running_sum={"spell": F.col("_chg")})
-    spells = s.groupBy("source", "spell").agg(
+    spells = materialize(s.groupBy("source", "spell").agg(
         F.first("_cls").alias("kind"), F.min("at_ms").alias("start_ms"), F.count(F.lit(1)).alias("changes")
-    )
+    ), "spells")
     nxt = spells.select("source", (F.col("spell") - 1).alias("spell"), F.col("start_ms").alias("end_ms"))
     out = spells.join(nxt, ["source", "spell"], "left")
     return out.select(
@@ -124,7 +125,7 @@ def retry_waits(conn_events: DataFrame, policy: ReconnectPolicy = ReconnectPolic
     off = s.filter(~conn).groupBy("source", "_grp").agg(F.min("at_ms").alias("_offline_since"))
     s = s.join(off, ["source", "_grp"], "left")
     degraded = (F.col("at_ms") - F.col("_offline_since")) >= F.lit(int(policy.offline_threshold_s * 1000))
-    s = s.withColumn("_deg", F.coalesce(degraded, F.lit(False)))
+    s = materialize(s.withColumn("_deg", F.coalesce(degraded, F.lit(False))), "retries")
     normal = F.when(retry & ~F.col("_deg"), F.lit(1)).otherwise(F.lit(0))
     s = ordered_scan(s.withColumn("_n", normal), ["source", "_grp"], "at_ms", list(tiebreak), running_sum={"_k": F.col("_n")})
     s = s.filter(retry)
@@ -215,6 +216,7 @@ def telemetry_snapshot(
 ) -> DataFrame:
     """H9: one snapshot per tick: sources (sorted by id) with state and rates, pps,
     kbit/s, CPU percent and memory of ``instance``, open clients."""
+    rates = materialize(rates, "snapshot-rates")
     per_source = states_at_ticks(rates, conn_events, tiebreak)
     snap = per_source.groupBy("at_ms").agg(
         F.sort_array(F.collect_list(F.struct(F.col("source").alias("id"), "state",
@@ -223,7 +225,9 @@ def telemetry_snapshot(
         F.sum("packets_per_s").alias("pps"),
         (F.sum("bytes_per_s") * 8 / 1000).alias("kbps"),
     )
-    snap = snap.withColumn("_inst", F.lit(instance))
+    snap = materialize(snap.withColumn("_inst", F.lit(instance)), "snapshot-ticks")
+    cpu = materialize(cpu.filter(F.col("instance") == instance), "snapshot-cpu")
+    clients = materialize(clients, "snapshot-clients")
     c = cpu.filter(F.col("instance") == instance).withColumnRenamed("instance", "_inst")
     m = process_samples.filter(F.col("instance") == instance).withColumnRenamed("instance", "_inst")
     cl = clients.withColumn("_inst", F.lit(instance))

@@ -6,7 +6,7 @@ rows would then be one task. Here the window is partitioned by (key, time bucket
 each bucket's carry (its last row, its total, its count) is computed by a partial
 aggregation, prefixed over the small per-bucket table, and joined back. The big
 table is shuffled once, on (key, bucket), which the join and the in-bucket window
-share.
+share; the summary side ships only partial aggregates.
 """
 
 from __future__ import annotations
@@ -51,10 +51,10 @@ def ordered_scan(
     order = [ts, *tiebreak]
     bk = "_scan_bk"
     part = [*keys, bk]
-    # One shuffle on (key, bucket): the per-bucket summary, the join of the carry
-    # and the in-bucket window all reuse this exchange, so the input is computed
-    # and shuffled once.
-    d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long")).repartition(*part)
+    # The per-bucket summary is a partial (map-side) aggregation: it ships one row
+    # per (key, bucket, map task). The input itself is shuffled once, on
+    # (key, bucket), for the join of the carry and the in-bucket window.
+    d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long"))
 
     aggs = []
     if lag:

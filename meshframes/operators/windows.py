@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshframes.operators.scan import ordered_scan, range_sum
+from meshframes.session import materialize
 from meshframes.schema import (
     CPU_WINDOW_SAMPLES,
     HISTORY_LEN,
@@ -132,7 +133,7 @@ def cpu_percent(samples: DataFrame, tiebreak=("event_id",)) -> DataFrame:
     one, at least 0, span at least 0.001 s. A missing reading reuses the last one."""
     ff = F.when(F.col("cpu_seconds").isNotNull(), F.struct("at_ms", *tiebreak, "cpu_seconds"))
     s = ordered_scan(samples, ["instance"], "at_ms", list(tiebreak), running_max={"_ff": ff})
-    s = s.withColumn("_cpu", F.col("_ff.cpu_seconds"))
+    s = materialize(s.withColumn("_cpu", F.col("_ff.cpu_seconds")).drop("_ff"), "cpu-filled")
     s = ordered_scan(
         s, ["instance"], "at_ms", list(tiebreak),
         tail={"_hist": (F.struct(F.col("at_ms"), F.col("_cpu")), CPU_WINDOW_SAMPLES)},
@@ -150,7 +151,7 @@ def trailing_history(counters: DataFrame, value: str = "packets_per_s", n: int =
     from a tick loses its history (it restarts at its next sample): the tail keeps
     (value, restart) pairs and is cut after its last restart.
     """
-    r = _rates(counters, ["packets", "bytes"])
+    r = materialize(_rates(counters, ["packets", "bytes"]), "rates")
     r = ordered_scan(r, ["source"], "at_ms", tail={"_t": (F.struct(F.col(value).alias("v"), F.col("_new_run").alias("b")), n)})
     # index (1-based) of the last restart in the tail; the history starts there
     last_start = F.aggregate(

@@ -68,3 +68,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     configure(spark)
     checkpoint_dir(spark)
     return spark
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used where an intermediate feeds a plan that reads it twice (an ordered scan's
+    summary and main branch): the lineage is cut, the work is done once, and the
+    read keeps column pruning and statistics."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
