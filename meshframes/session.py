@@ -42,7 +42,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="meshframes-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext.getCheckpointDir():
+        # reliable DataFrame.checkpoint() writes under the same shared folder
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 

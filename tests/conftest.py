@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,18 +13,18 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    from meshframes.session import configure
+    from meshframes.session import checkpoint_dir, configure
 
-    ckpt = tempfile.mkdtemp(prefix="meshframes-test-ckpt-")
     s = (
         SparkSession.builder.master("local[4]")
         .appName("meshframes-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", ckpt)
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
+    # the session's spark.checkpoint.dir is used; a private folder only if it is unset
+    checkpoint_dir(s)
     yield s
