@@ -24,30 +24,29 @@ def utf8_text(payload) -> Column:
     return F.try_validate_utf8(_c(payload).cast("string"))
 
 
-def is_strict_json(text) -> Column:
-    """True iff ``text`` is exactly one JSON document (outer whitespace allowed).
+def wrap_for_strict_json(text) -> Column:
+    """The text parsed as the first element of ``[text, "<md5 of text>"]``.
 
     ``try_parse_json`` ignores trailing text, so the text is wrapped as the first
     element of an array whose second element is the text's own digest: only a single
     complete document leaves that digest in place as element 1 with nothing after.
+    When valid, element 0 is the document itself (one parse serves both).
     """
     t = _c(text)
-    tag = F.md5(t)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), tag, F.lit('"]')))
-    second = F.try_variant_get(wrapped, "$[1]", "string")
-    third = F.try_variant_get(wrapped, "$[2]", "variant")
-    return F.coalesce((second == tag) & third.isNull(), F.lit(False))
+    return F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), F.md5(t), F.lit('"]')))
 
 
-def strict_json_wrapped(text) -> tuple[Column, Column]:
-    """(valid, wrapped): one parse serving both the strict test and the document,
-    which is ``try_variant_get(wrapped, '$[0]', 'variant')`` when valid."""
-    t = _c(text)
-    tag = F.md5(t)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), tag, F.lit('"]')))
-    second = F.try_variant_get(wrapped, "$[1]", "string")
-    third = F.try_variant_get(wrapped, "$[2]", "variant")
-    return F.coalesce((second == tag) & third.isNull(), F.lit(False)), wrapped
+def strict_json_ok(wrapped, text) -> Column:
+    """True iff the wrapped parse shows ``text`` is exactly one JSON document."""
+    w = _c(wrapped)
+    second = F.try_variant_get(w, "$[1]", "string")
+    third = F.try_variant_get(w, "$[2]", "variant")
+    return F.coalesce((second == F.md5(_c(text))) & third.isNull(), F.lit(False))
+
+
+def is_strict_json(text) -> Column:
+    """True iff ``text`` is exactly one JSON document (outer whitespace allowed)."""
+    return strict_json_ok(wrap_for_strict_json(text), text)
 
 
 def json_trim(text) -> Column:

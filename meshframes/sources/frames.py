@@ -11,7 +11,8 @@ from meshframes.functions.payload import (
     _str_or_null,
     base64_flat,
     encoding_of,
-    strict_json_wrapped,
+    strict_json_ok,
+    wrap_for_strict_json,
     json_trim,
     utf8_text,
 )
@@ -92,12 +93,8 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     base = frames.columns
     kind, payload = F.col("kind"), F.col("payload")
     d = frames.withColumn("_text", utf8_text(payload))
-    _, wrapped = strict_json_wrapped(F.col("_text"))
-    d = d.withColumn("_wrapped", F.when(kind == F.lit(KIND_TEXT), wrapped))
-    tag = F.md5(F.col("_text"))
-    d = d.withColumn("_json_ok", F.coalesce(
-        (F.try_variant_get(F.col("_wrapped"), "$[1]", "string") == tag)
-        & F.try_variant_get(F.col("_wrapped"), "$[2]", "variant").isNull(), F.lit(False)))
+    d = d.withColumn("_wrapped", F.when(kind == F.lit(KIND_TEXT), wrap_for_strict_json(F.col("_text"))))
+    d = d.withColumn("_json_ok", strict_json_ok(F.col("_wrapped"), F.col("_text")))
     d = d.withColumn("encoding", encoding_of(kind, F.col("_text").isNotNull(), F.col("_json_ok")))
     d = d.withColumn(
         "payload_text",
