@@ -32,6 +32,7 @@ def ordered_scan(
     running_max: Mapping[str, Column] | None = None,
     row_number: str | None = None,
     tail: Mapping[str, tuple[Column, int]] | None = None,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add per-key ordered-scan columns.
 
@@ -44,6 +45,11 @@ def ordered_scan(
 
     Order is ``ts`` then ``tiebreak``; it should be total for deterministic output.
     Key columns must not be null.
+
+    ``rows_per_bucket``: instead of one fixed width, each key gets its own bucket
+    width so that its buckets hold about that many rows (from a per-key count and
+    time range; that small table is broadcast when it has at most
+    ``STATS_BROADCAST_KEYS`` rows). A key that is dense in time is then cut finer.
     """
     running_sum = dict(running_sum or {})
     running_max = dict(running_max or {})
@@ -54,7 +60,11 @@ def ordered_scan(
     # The per-bucket summary is a partial (map-side) aggregation: it ships one row
     # per (key, bucket, map task). The input itself is shuffled once, on
     # (key, bucket), for the join of the carry and the in-bucket window.
-    d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long"))
+    if rows_per_bucket:
+        d = df.join(_bucket_widths(df, keys, ts, rows_per_bucket, bucket_ms), list(keys), "left")
+        d = d.withColumn(bk, F.floor(F.col(ts) / F.col("_scan_w")).cast("long")).drop("_scan_w")
+    else:
+        d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long"))
 
     aggs = []
     if lag:
@@ -132,6 +142,21 @@ def ordered_scan(
     return j.select(*base, *out_cols)
 
 
+# Per-key bucket widths are broadcast up to this many keys, else joined by a shuffle.
+STATS_BROADCAST_KEYS = 100_000
+
+
+def _bucket_widths(df: DataFrame, keys, ts: str, rows_per_bucket: int, max_width: int) -> DataFrame:
+    """Per key: a bucket width (in ``ts`` units) giving about ``rows_per_bucket`` rows
+    per bucket, at most ``max_width``. One partial aggregation over (keys, ts)."""
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    span = F.col("_hi") - F.col("_lo") + 1
+    width = F.least(F.greatest(F.ceil(span * F.lit(rows_per_bucket) / F.col("_n")), F.lit(1)), F.lit(max_width))
+    widths = stats.select(*keys, width.cast("long").alias("_scan_w"))
+    small = widths.limit(STATS_BROADCAST_KEYS + 1).count() <= STATS_BROADCAST_KEYS
+    return F.broadcast(widths) if small else widths
+
+
 def range_sum(
     df: DataFrame,
     keys: Sequence[str],

@@ -21,6 +21,10 @@ from meshframes.operators.scan import DEFAULT_BUCKET_MS, ordered_scan
 from meshframes.schema import KIND_TEXT
 
 
+# Target frames per (source, time bucket) when stamping: a bucket is one window task.
+STAMP_ROWS_PER_BUCKET = 2_000_000
+
+
 def read_frames(
     spark: SparkSession,
     paths_by_source: Mapping[str, str],
@@ -66,13 +70,17 @@ def stamp_frames(
     tiebreak: Sequence[str] = (),
     bucket_ms: int = DEFAULT_BUCKET_MS,
     keep_tiebreak: bool = False,
+    rows_per_bucket: int | None = STAMP_ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Per-source 0-based arrival ``sequence``, ``received_at``, ``payload_bytes``.
 
     Arrival order is ``received_at_ms`` then ``tiebreak``. Numbering is an ordered
-    scan bucketed by time, so one busy source is spread over many tasks.
+    scan bucketed by time with a per-source bucket width (about ``rows_per_bucket``
+    frames per bucket), so one busy source is spread over many tasks however dense
+    its traffic is.
     """
-    out = ordered_scan(raw, ["source"], "received_at_ms", tiebreak, bucket_ms=bucket_ms, row_number="sequence")
+    out = ordered_scan(raw, ["source"], "received_at_ms", tiebreak, bucket_ms=bucket_ms, row_number="sequence",
+                       rows_per_bucket=rows_per_bucket)
     out = out.withColumn("received_at", F.timestamp_millis("received_at_ms")).withColumn(
         "payload_bytes", payload_bytes("payload")
     )

@@ -42,3 +42,16 @@ def test_asof_matches_brute_force(spark):
     for k, ts, i in [tuple(r) for r in left.collect()]:
         cands = [(t, rid, v) for kk, t, rid, v in rr if kk == k and t <= ts]
         assert out[(k, i)] == (max(cands)[2] if cands else None)
+
+
+def test_adaptive_buckets_match_windows(spark):
+    df = _data(spark, n=800, keys=2, seed=11)
+    # key k0 made dense: all its rows inside a narrow time range
+    df = df.withColumn("ts", F.when(F.col("k") == "k0", F.col("ts") % 500).otherwise(F.col("ts")))
+    out = ordered_scan(df, ["k"], "ts", ["id"], bucket_ms=100_000, rows_per_bucket=25, lag=["v"], row_number="rn",
+                       running_sum={"cs": F.col("v")})
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    ref = df.select("*", F.lag("v").over(w).alias("prev_v"), (F.row_number().over(w) - 1).alias("rn"),
+                    F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs"))
+    a = out.select(*ref.columns)
+    assert a.exceptAll(ref).count() == 0 and ref.exceptAll(a).count() == 0
