@@ -150,6 +150,11 @@ def rotation_generations(arrivals: DataFrame, keys: Sequence[str], window_ms: in
         m = probes.unionByName(trows).withColumn("_m", F.last("_t", ignorenulls=True).over(win)).filter(F.col("_kind") == 0)
         new = m.select(*keys, "_b", F.col("_p.hi").alias("hi"), F.col("_m.out").alias("out"),
                        (F.col("_p.rot") + F.col("_m.rot")).alias("rot"), "_s0", "_s1")
+        # a block whose span now reaches its run start is only ever evaluated at input
+        # 0 again: keep just its lowest class
+        final = F.col("_b") - F.col("_s0") + 1 <= 2 * step
+        lowest = F.min("hi").over(Window.partitionBy(*keys, "_b"))
+        new = new.withColumn("_lo", lowest).filter(~final | (F.col("hi") == F.col("_lo"))).drop("_lo")
         g = _checkpoint(g.filter(~(F.col("_b") - step >= F.col("_s0"))).unionByName(new))
         step *= 2
 
