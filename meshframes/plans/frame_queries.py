@@ -293,3 +293,38 @@ def union_sources(spark, sf_dir):
     u = union_frames(ev, docs, pages)
     return u.groupBy("source", "kind").agg(
         F.count(F.lit(1)).alias("frames"), F.sum(sc.payload_bytes("payload")).alias("bytes"))
+
+
+_REPLAY_SQL = with_(FRAMES).replace("with ", "with recursive ", 1) + """
+, s as (select * from frames where source in ('src-1','src-2','src-4') and payload_type in ('CLICK','VIEW'))
+, arr as (select distinct received_at_ms as ms from s where content_hash is not null)
+, rot(r, k) as (
+    select min(ms), 0 from arr
+    union all
+    select (select min(ms) from arr where arr.ms >= rot.r + 1800000), k + 1 from rot where r is not null)
+, rots as (select r, k from rot where r is not null)
+, gens as (select arr.ms, rots.k as gen from arr asof join rots on arr.ms >= rots.r)
+, g as (select s.*, gens.gen,
+               row_number() over (partition by content_hash, gens.gen order by received_at_ms, source, sequence) as rn
+        from s join gens on s.received_at_ms = gens.ms where content_hash is not null)
+, f as (select * from g where rn = 1)
+, l as (select *, lag(gen) over (partition by content_hash order by gen) as pgen from f)
+, r as (select *, max(case when pgen is null or gen - pgen > 1 then gen end)
+                  over (partition by content_hash order by gen rows between unbounded preceding and current row) as run_start
+        from l)
+, kept as (select * from r where (gen - run_start) % 2 = 0)
+select source, sequence, '{"hash":' || to_json(content_hash) || ',"seq":' || sequence || '}' as message
+from kept where json_extract(payload_text, '$.data.id')::bigint >= 100
+"""
+
+
+@query("subscribe_replay", _REPLAY_SQL)
+def subscribe_replay(spark, sf_dir):
+    """F5 with the relay's dedup (D1): rotation driven by the frames that passed the
+    source and type filters, from the first of them; W = 1800 s."""
+    prog = Program(Select(".payload.data.id", ">=", 100), Reshape({"hash": ".payload.data.hash", "seq": ".sequence"}))
+    sub = Subscription(sources_csv="src-1,src-2,src-4", payload_types="CLICK,view", dedup_by_content=True,
+                       dedup_window_s=1800, program=prog)
+    f = _events(spark, sf_dir).select("source", "sequence", "received_at_ms", "kind", "encoding", "payload_text",
+                                      "payload_v", "payload_type", "content_hash")
+    return subscribe(f, sub, f.select(F.col("source").alias("id")).distinct(), dedup_mode="replay")
