@@ -78,8 +78,16 @@ def error_totals(conn_events: DataFrame) -> DataFrame:
     )
 
 
-def type_mix(frames: DataFrame) -> DataFrame:
-    """Packets and bytes per source and payload type (null type is a group)."""
-    return frames.groupBy("source", "payload_type").agg(
-        F.count(F.lit(1)).alias("packets"), F.sum("payload_bytes").alias("bytes")
-    )
+def type_mix(frames: DataFrame, cube: bool = False) -> DataFrame:
+    """Packets and bytes per source and payload type (null type is a group).
+
+    ``cube=True`` adds the per-source, per-type and overall totals in the same pass;
+    ``level`` tells them apart (a missing payload type stays distinguishable from a
+    total row)."""
+    aggs = [F.count(F.lit(1)).alias("packets"), F.sum("payload_bytes").alias("bytes")]
+    if not cube:
+        return frames.groupBy("source", "payload_type").agg(*aggs)
+    g = frames.cube("source", "payload_type").agg(*aggs, F.grouping_id().alias("_gid"))
+    level = (F.when(F.col("_gid") == 0, F.lit("source_type")).when(F.col("_gid") == 1, F.lit("source"))
+             .when(F.col("_gid") == 2, F.lit("type")).otherwise(F.lit("all")))
+    return g.select("source", "payload_type", level.alias("level"), "packets", "bytes")

@@ -288,14 +288,19 @@ def _run(frames: DataFrame, program: Program, keep, input_json: str | None = Non
     return d, msg
 
 
-def run_program(frames: DataFrame, program: Program, keep=("source", "sequence"), input_json: str | None = None) -> DataFrame:
+def run_program(frames: DataFrame, program: Program, keep=("source", "sequence"), input_json: str | None = None,
+                observation=None) -> DataFrame:
     """Outputs of ``program`` per frame: ``keep`` columns + ``message`` (JSON text).
 
     The input is the frame's projection, or the JSON text column ``input_json``.
     Zero outputs drop the frame; a runtime error skips the frame and all of its
     outputs (F4). Steps compile to Column expressions (no Python per row).
+    ``observation`` (a ``pyspark.sql.Observation`` or a metric name): rows skipped by
+    a program error are counted as ``skipped_rows`` in the same pass.
     """
     d, msg = _run(frames, program, list(keep), input_json)
+    if observation is not None:
+        d = d.observe(observation, F.count_if(F.col("_perr")).alias("skipped_rows"))
     return d.filter(~F.col("_perr")).select(*keep, msg.alias("message"))
 
 

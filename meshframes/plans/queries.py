@@ -92,6 +92,19 @@ def type_mix(spark, sf_dir):
     return agg.type_mix(_frames(spark, sf_dir))
 
 
+@query(
+    "type_mix_cube",
+    with_(FRAMES)
+    + """select source, payload_type,
+       case grouping(source, payload_type) when 0 then 'source_type' when 1 then 'source' when 2 then 'type' else 'all' end as level,
+       count(*) as packets, cast(sum(payload_bytes) as bigint) as bytes
+from frames group by cube (source, payload_type)""",
+)
+def type_mix_cube(spark, sf_dir):
+    """A8 (cube): per source and type, per source, per type and overall in one pass."""
+    return agg.type_mix(_frames(spark, sf_dir), cube=True)
+
+
 @query(
     "source_totals",
     with_(FRAMES)

@@ -56,3 +56,14 @@ def test_program_errors_lists_skipped(spark):
     df = spark.createDataFrame([(0, '{"a":"s"}'), (1, '{"a":{}}')], "source int, doc string").withColumn("sequence", F.lit(0))
     assert run_program(df, Program(Project(".a.b")), input_json="doc").count() == 1
     assert [r["source"] for r in program_errors(df, Program(Project(".a.b")), input_json="doc").collect()] == [0]
+
+
+def test_program_error_count_is_observed(spark):
+    from pyspark.sql import Observation
+
+    df = spark.createDataFrame([(0, '{"a":"s"}'), (1, '{"a":{}}'), (2, '{"a":1}')], "source int, doc string").withColumn(
+        "sequence", F.lit(0))
+    obs = Observation("program_errors")
+    out = run_program(df, Program(Project(".a.b")), input_json="doc", observation=obs)
+    assert out.count() == 1
+    assert obs.get["skipped_rows"] == 2
