@@ -48,8 +48,8 @@ def ordered_scan(
 
     ``rows_per_bucket``: instead of one fixed width, each key gets its own bucket
     width so that its buckets hold about that many rows (from a per-key count and
-    time range; that small table is broadcast when it has at most
-    ``STATS_BROADCAST_KEYS`` rows). A key that is dense in time is then cut finer.
+    time range, one row per key, joined back; AQE broadcasts it when small). A key
+    that is dense in time is then cut finer.
     """
     running_sum = dict(running_sum or {})
     running_max = dict(running_max or {})
@@ -142,19 +142,15 @@ def ordered_scan(
     return j.select(*base, *out_cols)
 
 
-# Per-key bucket widths are broadcast up to this many keys, else joined by a shuffle.
-STATS_BROADCAST_KEYS = 100_000
-
-
 def _bucket_widths(df: DataFrame, keys, ts: str, rows_per_bucket: int, max_width: int) -> DataFrame:
     """Per key: a bucket width (in ``ts`` units) giving about ``rows_per_bucket`` rows
     per bucket, at most ``max_width``. One partial aggregation over (keys, ts)."""
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     span = F.col("_hi") - F.col("_lo") + 1
     width = F.least(F.greatest(F.ceil(span * F.lit(rows_per_bucket) / F.col("_n")), F.lit(1)), F.lit(max_width))
-    widths = stats.select(*keys, width.cast("long").alias("_scan_w"))
-    small = widths.limit(STATS_BROADCAST_KEYS + 1).count() <= STATS_BROADCAST_KEYS
-    return F.broadcast(widths) if small else widths
+    # one row per key: AQE broadcasts it at run time when its measured size is
+    # under the broadcast threshold, else it is a shuffle join (no eager size job)
+    return stats.select(*keys, width.cast("long").alias("_scan_w"))
 
 
 def range_sum(
