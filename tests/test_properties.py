@@ -71,3 +71,20 @@ def test_aligned_dedup_matches_greedy(spark, rows, window_s):
             last[h] = g
             want.append(i)
     assert got == sorted(want)
+
+
+@SLOW
+@given(st.dictionaries(st.sampled_from(["a", "b", "c"]), st.sets(st.integers(0, 300), min_size=1, max_size=60), min_size=1))
+def test_gaps_plus_present_is_range(spark, seqs):
+    from meshframes.operators.windows import sequence_gaps
+
+    rows = [(s, q) for s, qs in seqs.items() for q in qs if q != 0]
+    if not rows:
+        return
+    df = spark.createDataFrame(rows, "source string, sequence long")
+    gaps = {}
+    for r in sequence_gaps(df, order="sequence", tiebreak=()).collect():
+        gaps[r["source"]] = gaps.get(r["source"], 0) + r["skipped"]
+    for s in {r[0] for r in rows}:
+        present = sorted(q for src, q in rows if src == s)
+        assert gaps.get(s, 0) + len(present) == present[-1] - present[0] + 1
