@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm import lang_id, quality
-from meshframes.llm.common import table
+from meshframes.llm import lang_id, mixing, quality, token_frames, url_filter
+from meshframes.llm.common import stored, table
 from meshframes.llm.registry import ORACLE, QUERIES, query  # noqa: F401
+from meshframes.session import scratch_path
 
 
 @query("op1_quality_rules")
@@ -16,6 +17,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+@query("op3_source_mixing", mixing.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sizes = stored(mixing.source_sizes(docs), "source-sizes")
+    return mixing.mix(docs, mixing.capped_weights(sizes), sizes).select("doc_id", "source", "block", "slot", "mixed")
+
+
+@query("op4_url_filter", url_filter.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = spark.createDataFrame([(k,) for k in url_filter.LISTED], "key string")
+    return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_token_frames")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_frames.read(spark, token_frames.write(docs, scratch_path(spark, "token-frames")))
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
