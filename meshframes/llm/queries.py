@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm import lang_id, mixing, quality, token_frames, url_filter
+from meshframes.llm import html_text, lang_id, mixing, quality, token_frames, url_filter
 from meshframes.llm.common import stored, table
 from meshframes.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from meshframes.session import scratch_path
@@ -37,6 +37,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read(spark, token_frames.write(docs, scratch_path(spark, "token-frames")))
 
 
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
