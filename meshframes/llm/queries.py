@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm import html_text, lang_id, mixing, quality, token_frames, url_filter
+from meshframes.llm import html_text, lang_id, mixing, quality, token_frames, transcripts, url_filter
 from meshframes.llm.common import stored, table
 from meshframes.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from meshframes.session import scratch_path
@@ -43,6 +43,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+@query("op9_chat_turns")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    model = transcripts.fit(messages)
+    marked = messages.withColumn("held_out", transcripts.held_out())
+    return transcripts.parse(marked, model).select("conv_id", "turn", "part", "held_out", "role", "role_pred", "rendered")
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
