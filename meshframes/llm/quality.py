@@ -208,10 +208,10 @@ def calibrate(good: np.ndarray, bad: np.ndarray, cost: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, cost: float = 20.0, trees: int = 100, subsample: int = 256) -> Forest | None:
     """A calibrated forest, or None if no labelled document passes the base rules.
 
-    The statistics of all labelled documents are computed once and stored (a narrow table); the
-    forest grows from ``sample_docs`` of them or so, the cut counts them all."""
+    Statistics are computed before the join with the labels, so no text is shuffled; those of all
+    labelled documents are stored (a narrow table). The forest grows from ``sample_docs`` of them or so, the cut counts them all."""
     known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    found = stored(rule_stats(docs.select("doc_id", "text").join(known, "doc_id"), keep=["doc_id", "good"]), "quality-stats")
+    found = stored(rule_stats(docs, keep=["doc_id"]).join(known, "doc_id"), "quality-stats")
     passed = found.where((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words")))
     total = passed.count()
     if not total:
