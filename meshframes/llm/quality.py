@@ -174,14 +174,14 @@ def grow(x: np.ndarray, good: np.ndarray, trees: int = 100, subsample: int = 256
         todo = [(roots[-1], x[rng.choice(len(x), size, replace=False)], 0)]
         while todo:
             at, part, depth = todo.pop()
-            low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (np.zeros(0), np.zeros(0))
-            free = np.flatnonzero(high > low)
+            least, most = (part.min(axis=0), part.max(axis=0)) if len(part) else (np.zeros(0), np.zeros(0))
+            free = np.flatnonzero(most > least)
             if depth >= limit or len(part) < 2 or not len(free):
                 path[at] = depth + float(expected_path(len(part)))
                 continue
             f = int(rng.choice(free))
-            v = rng.uniform(low[f], high[f])
-            v = v if v > low[f] else high[f]
+            v = rng.uniform(least[f], most[f])
+            v = v if v > least[f] else most[f]
             a = node()
             b = node()
             feature[at], value[at], left[at] = f, v, a
