@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm import ann, html_text, lang_id, mixing, quality, token_frames, transcripts, url_filter
+from meshframes.llm import ann, html_text, lang_id, mixing, packing, quality, token_frames, transcripts, url_filter
 from meshframes.llm.common import stored, table
 from meshframes.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from meshframes.session import scratch_path
@@ -17,6 +17,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+@query("op2_retrieval_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query("op3_source_mixing", mixing.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
