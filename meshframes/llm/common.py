@@ -57,3 +57,23 @@ def blocks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of consecutive rows with the same values of ``keys`` (sorted partitions), as slices of the batches."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = list(zip(*(b.column(k).to_pylist() for k in keys)))
+        s = 0
+        for i in range(1, len(values) + 1):
+            if i == len(values) or values[i] != values[s]:
+                if held and values[s] != key:
+                    yield key, held
+                    held = []
+                key = values[s]
+                held.append(b.slice(s, i - s))
+                s = i
+    if held:
+        yield key, held

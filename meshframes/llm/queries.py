@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm import ann, html_text, lang_id, mixing, packing, quality, token_frames, transcripts, url_filter
+from meshframes.llm import ann, html_text, jaccard, lang_id, mixing, packing, quality, token_frames, transcripts, url_filter
 from meshframes.llm.common import stored, table
 from meshframes.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from meshframes.session import scratch_path
@@ -36,6 +36,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_nearest_vectors")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
