@@ -185,8 +185,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", partitions:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url))
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    read = pages.select(*kept, F.col(html).alias("_html"), host.alias("_host"), path.alias("_path"), F.xxhash64(html).alias("_h"))
-    ordered = read.repartitionByRange(n, "_host", "_path", "_h").sortWithinPartitions("_host", "_path", "_h")
+    read = pages.select(*kept, F.col(html).alias("__llm_html"), host.alias("__llm_host"), path.alias("__llm_path"), F.xxhash64(html).alias("__llm_h"))
+    ordered = read.repartitionByRange(n, "__llm_host", "__llm_path", "__llm_h").sortWithinPartitions("__llm_host", "__llm_path", "__llm_h")
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def task(batches):
@@ -198,7 +198,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", partitions:
                 if not b.num_rows:
                     continue
                 waiting.append(b)
-                for h, p, x in zip(b.column("_host").to_pylist(), b.column("_path").to_pylist(), b.column("_html")):
+                for h, p, x in zip(b.column("__llm_host").to_pylist(), b.column("__llm_path").to_pylist(), b.column("__llm_html")):
                     yield h, p, page_lines(x.as_py() or ""), 0
 
         for text, _ in _differenced(rows()):

@@ -31,9 +31,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from meshframes.llm.common import blocks, groups, stored
+from meshframes.llm.common import blocks, groups, stored, with_arrow_columns
 from meshframes.llm.components import components
 from meshframes.llm.lang_id import mix
 
@@ -395,8 +395,9 @@ def join_classes(docs: DataFrame, named: DataFrame, known: Frequent, total: int)
     return work.select("cluster", "unit", "side", "cls", "shingles").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cls) of each row, and (cls, root, first, component_id) of each class: the name of
+    its component, its own smallest doc_id and its component's."""
     docs = docs.select("doc_id", "text")
     named = stored(identify(docs), "join-classes")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
@@ -405,6 +406,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     joined = names.join(found, F.col("cls") == F.col("a"), "left").select("cls", "first", F.coalesce("b", "cls").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = joined.join(least, "root").select("cls", "component_id")
+    return named, joined.join(least, "root").select("cls", "root", "first", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
+    named, classes = _grouped(docs)
     alone = named.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.where("cls is not null").join(by_class, "cls").select("doc_id", "n_shingles", "component_id").union(alone)
+    return named.where("cls is not null").join(classes, "cls").select("doc_id", "n_shingles", "component_id").union(alone)
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) that stay: one of each component, of its smallest doc_id, and all without shingles."""
+
+    def make():
+        def run(col: pa.Array):
+            raw = pc.fill_null(col, "").cast(pa.large_binary())
+            out: list[int | None] = []
+            for s, e in blocks(pc.binary_length(raw).to_pylist(), 4 * CHUNK):
+                out += [class_of(x) if len(x) else None for x in shingle_sets(raw.slice(s, e - s).to_pylist())]
+            return [pa.array(out, pa.int64())]
+
+        return run
+
+    _, classes = _grouped(docs)
+    # of a component without doc_ids the class that names it stays
+    stays = classes.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("cls").alias("__llm_k"), F.first("component_id").alias("__llm_id")).drop("root")
+    rows = with_arrow_columns(docs, ["text"], [T.StructField("__llm_cls", T.LongType())], make)
+    kept = rows.where("__llm_cls is not null").join(stays, (F.col("__llm_cls") == F.col("__llm_k")) & F.col("doc_id").eqNullSafe(F.col("__llm_id")))
+    one = kept.withColumn("__llm_r", F.row_number().over(Window.partitionBy("__llm_cls").orderBy(F.xxhash64("text")))).where("__llm_r = 1")
+    return one.select(docs.columns).union(rows.where("__llm_cls is null").select(docs.columns))

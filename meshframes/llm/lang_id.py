@@ -18,7 +18,7 @@ a million characters (a longer text makes a block of its own).
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every
 text if nothing could be learnt; a text with letters but no known n-gram gets the most frequent
 language with score 0; ties go to the alphabetically first language. Rows with a null doc_id are
-never learnt from; repeated rows are judged each by itself; ``lang_pred`` and ``score`` replace
+never learnt from; repeated rows are judged each by itself; ``lang_pred``, ``score`` and ``coverage`` replace
 columns of those names, other columns pass.
 """
 
@@ -113,14 +113,15 @@ class Model:
         size = np.uint64(len(self.cells[0]) - 1)
         return ((h >> np.uint64(21 * i)) * MUL_A >> np.uint64(24)) & size if i else h & size
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and score of each text; the score is the best corrected count's share of the best two's sum."""
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and coverage of each text; the score is the best corrected count's share of the best two's sum,
+        the coverage its share of all n-grams of the text."""
         if not texts:
-            return [], []
+            return [], [], []
         h, doc, has = grams(texts)
         n = len(texts)
         if not self.languages:
-            return [UND] * n, [0.0] * n
+            return [UND] * n, [0.0] * n, [0.0] * n
         total = np.bincount(doc, minlength=n).astype(float)
         counts = np.zeros((n, len(self.languages)))
         for w, m in enumerate(self.masks(h)):
@@ -137,7 +138,8 @@ class Model:
         second = rest.max(axis=1)
         score = np.divide(top, top + second, out=np.zeros(n), where=top > 0)
         lang = [self.languages[b] if ok else UND for b, ok in zip(best.tolist(), has.tolist())]
-        return lang, np.where(has, score, 0.0).tolist()
+        coverage = np.divide(top, total, out=np.zeros(n), where=total > 0)
+        return lang, np.where(has, score, 0.0).tolist(), np.where(has, coverage, 0.0).tolist()
 
 
 def build(found: dict[str, np.ndarray], docs: dict[str, int], probes: int = 2, cells_per_gram: int = 8) -> Model:
@@ -217,19 +219,21 @@ def fit(
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+    """``docs`` with ``lang_pred``, ``score`` and ``coverage``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the learning sample
 
     def make():
         def run(col: pa.Array):
             values = col.to_pylist()
-            langs, scores = [], []
+            langs, scores, coverage = [], [], []
             for s, e in blocks([len(t or "") for t in values], BLOCK_CHARS):
-                a, b = shared.value.predict([t or "" for t in values[s:e]])
+                a, b, c = shared.value.predict([t or "" for t in values[s:e]])
                 langs += a
                 scores += b
-            return pa.array(langs, pa.string()), pa.array(scores, pa.float64())
+                coverage += c
+            return pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(coverage, pa.float64())
 
         return run
 
-    return with_arrow_columns(docs, [text], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())]
+    return with_arrow_columns(docs, [text], fields, make)

@@ -93,24 +93,24 @@ def mix(docs: DataFrame, weights: DataFrame, sizes: DataFrame | None = None, slo
     short = F.col("share").cast("double") / F.col("period") >= F.col("chars") / F.sum(F.when(F.col("share").isNotNull(), F.col("chars"))).over(Window.partitionBy())
     plan = plan.withColumn("end", F.max(F.when(short, last)).over(Window.partitionBy()) + 1)
     plan = plan.select(
-        F.col("source").alias("_s"), F.struct("share", "period", "slot_of", "end").alias("_plan"),
-        F.ceil(F.col("docs") / F.lit(BUCKET_ROWS)).cast("long").alias("_buckets"),
+        F.col("source").alias("__llm_s"), F.struct("share", "period", "slot_of", "end").alias("__llm_plan"),
+        F.ceil(F.col("docs") / F.lit(BUCKET_ROWS)).cast("long").alias("__llm_buckets"),
     )
-    rows = docs.select([c for c in docs.columns if c not in ADDED]).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    rows = docs.select([c for c in docs.columns if c not in ADDED]).withColumn("__llm_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     # one row a source, one integer a slot: bounded by the weights and ``slots``
-    rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    prefix = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("_n", _size()).withColumn("_b", F.floor(prefix * F.col("_buckets") / F.lit(float(1 << 32))).cast("long")).drop("_buckets")
-    sums = rows.groupBy("source", "_b").agg(F.sum("_n").alias("_t"))
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_b").alias("_sb"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_from"))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb"))).drop("_s", "_sb")
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_from") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__llm_s")), "left").drop("__llm_s")
+    prefix = F.conv(F.substring("__llm_h", 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("__llm_n", _size()).withColumn("__llm_b", F.floor(prefix * F.col("__llm_buckets") / F.lit(float(1 << 32))).cast("long")).drop("__llm_buckets")
+    sums = rows.groupBy("source", "__llm_b").agg(F.sum("__llm_n").alias("__llm_t"))
+    before = Window.partitionBy("source").orderBy("__llm_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("__llm_s"), F.col("__llm_b").alias("__llm_sb"), F.coalesce(F.sum("__llm_t").over(before), F.lit(0)).alias("__llm_from"))
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__llm_s")) & (F.col("__llm_b") == F.col("__llm_sb"))).drop("__llm_s", "__llm_sb")
+    inside = Window.partitionBy("source", "__llm_b").orderBy("__llm_h", "doc_id", "__llm_n").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("__llm_from") + F.coalesce(F.sum("__llm_n").over(inside), F.lit(0))
     rows = rows.withColumn("block", F.floor(start / F.lit(block_chars)).cast("long"))
-    share = F.col("_plan.share").cast("long")
-    slot = F.floor(F.col("block") / share) * F.col("_plan.period") + F.get(F.col("_plan.slot_of"), (F.col("block") % share).cast("int"))
-    rows = rows.withColumn("slot", slot.cast("long")).withColumn("mixed", F.coalesce(F.col("slot") < F.col("_plan.end"), F.lit(False)))
+    share = F.col("__llm_plan.share").cast("long")
+    slot = F.floor(F.col("block") / share) * F.col("__llm_plan.period") + F.get(F.col("__llm_plan.slot_of"), (F.col("block") % share).cast("int"))
+    rows = rows.withColumn("slot", slot.cast("long")).withColumn("mixed", F.coalesce(F.col("slot") < F.col("__llm_plan.end"), F.lit(False)))
     rows = rows.withColumn("block", F.when(share.isNotNull(), F.col("block")))
     return rows.select([c for c in docs.columns if c not in ADDED] + ADDED)
 

@@ -2,7 +2,7 @@
 
 Each document is reduced to statistics of simple quality rules (:func:`rule_stats`). What their rates
 (:func:`rates`) exceed the usual range by (all but ``tail`` of the labelled good documents on either
-side) are the features of an isolation forest: trees of random splits over small random
+side, and a ``margin``) are the features of an isolation forest: trees of random splits over small random
 subsamples, in which a document that differs from the rest is isolated after few splits. A short
 mean path means an anomalous document; the anomaly score is ``2 ** (-mean path / expected path)``.
 Forest and ranges come from a bounded, hash-chosen sample of the labelled documents (``sample_docs``).
@@ -102,7 +102,7 @@ def rates(stats: np.ndarray) -> np.ndarray:
     """Features: counts per word, line or character, drawn to a common value for short texts."""
     n, chars, symbols, dup, repeat, lines, upper, punct, digits, twins = stats.astype(float).T
     return np.column_stack(
-        [(chars + 100) / (n + 20), symbols / (n + 20), dup / (lines + 5), repeat / (n + 20), upper / (chars + 100), punct / (n + 20), digits / (chars + 100), twins / (n + 20)]
+        [(chars + 250) / (n + 50), symbols / (n + 50), dup / (lines + 5), repeat / (n + 50), upper / (chars + 250), punct / (n + 50), digits / (chars + 250), twins / (n + 50)]
     )
 
 
@@ -153,9 +153,10 @@ def excess(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, np.maximum(x - high, low - x))
 
 
-def grow(x: np.ndarray, good: np.ndarray, trees: int = 100, subsample: int = 256, tail: float = 0.0002, seed: int = 7) -> Forest:
+def grow(x: np.ndarray, good: np.ndarray, trees: int = 100, subsample: int = 256, tail: float = 0.0002, margin: float = 0.1, seed: int = 7) -> Forest:
     """An isolation forest over the rows of ``x``; the usual ranges come from those that are ``good`` (all, if none is)."""
     low, high = np.quantile(x[good] if good.any() else x, [tail, 1 - tail], axis=0)
+    low, high = low - margin * (high - low), high + margin * (high - low)
     x = excess(x, low, high)
     rng = np.random.default_rng(seed)
     feature, value, left, path, roots = [], [], [], [], []

@@ -71,4 +71,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lang_id.fit(docs)
     marked = docs.select("doc_id", lang_id.held_out().alias("held_out"), "text")
-    return lang_id.detect(marked, model).select("doc_id", "held_out", "lang_pred", "score")
+    return lang_id.detect(marked, model).select("doc_id", "held_out", "lang_pred", "score", "coverage")

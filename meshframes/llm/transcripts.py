@@ -143,14 +143,14 @@ def held_out(conv_id: str = "conv_id") -> Column:
 def _ordered(df: DataFrame, partitions: int) -> DataFrame:
     """Messages of a block in one partition, in order."""
     block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)).cast("long")
-    return df.withColumn("_block", block).repartition(partitions, "conv_id", "_block").sortWithinPartitions("conv_id", "_block", "turn", "text")
+    return df.withColumn("__llm_block", block).repartition(partitions, "conv_id", "__llm_block").sortWithinPartitions("conv_id", "__llm_block", "turn", "text")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[pa.RecordBatch, int]]]]:
     """Consecutive rows of one (conv_id, _block)."""
     key, rows = None, []
     for b in batches:
-        for i, k in enumerate(zip(b.column("conv_id").to_pylist(), b.column("_block").to_pylist())):
+        for i, k in enumerate(zip(b.column("conv_id").to_pylist(), b.column("__llm_block").to_pylist())):
             if k != key:
                 if rows:
                     yield key, rows
@@ -233,16 +233,16 @@ def parse(messages: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {"conv_id": pa.array([conv] * len(blocks), pa.int64()), "block": blocks, "enter": [-1, *path[:-1]], "leave": path})
 
-    narrow = ordered.select(F.col("conv_id").cast("long").alias("conv_id"), "_block", "turn", "text")
+    narrow = ordered.select("conv_id", "__llm_block", "turn", "text")
     one = narrow.mapInArrow(reduce, "conv_id long, block long, m array<double>")
     one = one.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
     # only conversations of several blocks need their ends
     long_ = one.where("count > 1").select("conv_id", "block", "m").repartition(n, "conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(ends, "conv_id long, block long, enter int, leave int")
-    fixed = long_.select(F.col("conv_id").alias("_c"), F.col("block").alias("_cb"), "enter", "leave")
-    rows = messages.select(kept).withColumn("_block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)).cast("long"))
-    rows = rows.join(fixed, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_cb")), "left")
-    rows = rows.drop("_c", "_cb").withColumnsRenamed({"enter": "_enter", "leave": "_leave"})
-    rows = rows.repartition(n, "conv_id", "_block").sortWithinPartitions("conv_id", "_block", "turn", "text")
+    fixed = long_.select(F.col("conv_id").alias("__llm_c"), F.col("block").alias("__llm_cb"), F.col("enter").alias("__llm_enter"), F.col("leave").alias("__llm_leave"))
+    rows = messages.select(kept).withColumn("__llm_block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)).cast("long"))
+    rows = rows.join(fixed, F.col("conv_id").eqNullSafe(F.col("__llm_c")) & (F.col("__llm_block") == F.col("__llm_cb")), "left")
+    rows = rows.drop("__llm_c", "__llm_cb")
+    rows = rows.repartition(n, "conv_id", "__llm_block").sortWithinPartitions("conv_id", "__llm_block", "turn", "text")
     schema = T.StructType([*(messages.schema[c] for c in kept), T.StructField("part", T.IntegerType()), T.StructField("role_pred", T.StringType()), T.StructField("content", T.StringType()), T.StructField("rendered", T.StringType())])
 
     def decode(batches):
@@ -256,7 +256,7 @@ def parse(messages: DataFrame, model: Model) -> DataFrame:
 
         for _, group in _groups(batches):
             b, i = group[0]
-            enter, leave = b.column("_enter")[i].as_py(), b.column("_leave")[i].as_py()
+            enter, leave = b.column("__llm_enter")[i].as_py(), b.column("__llm_leave")[i].as_py()
             texts = [lines_of(x.column("text")[j].as_py()) for x, j in group]
             moves = [model.move[int(k == 0)] + e for lines in texts for k, e in enumerate(model.scores("\n".join(lines)))]
             v = only(size + 1, size if enter is None or enter < 0 else enter)

@@ -127,11 +127,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]]
     universe = pages.select(host.alias("host")).distinct().select(F.explode(domains(F.col("host"))).alias("key"))
     levels = build(universe, listed)
     kept = [c for c in pages.columns if c not in names]
-    parsed = pages.select("*", host.alias("_host"), path.alias("_path"))
-    fit = parsed.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
-    blocked = F.exists(domains(F.col("_host")), lambda k: is_listed(k, levels))
+    parsed = pages.select("*", host.alias("__llm_host"), path.alias("__llm_path"))
+    fit = parsed.withColumn("__llm_rule", rule_of(F.col("__llm_host"), F.col("__llm_path"), rules))
+    blocked = F.exists(domains(F.col("__llm_host")), lambda k: is_listed(k, levels))
     own = F.when(blocked, "block").otherwise("allow")
-    return fit.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"))
+    return fit.select(*kept, F.col("__llm_host").alias("host"), F.col("__llm_path").alias("path"), F.col("__llm_rule.rule").alias("rule"), F.coalesce("__llm_rule.verdict", own).alias("verdict"))
 
 
 #: DuckDB SQL for :func:`judge` over ``pages``, with the default rules and :data:`LISTED`.
