@@ -19,6 +19,7 @@ every line gets the role of its marker or else ``user``; ``part``, ``role_pred``
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,9 @@ ROLE_OF = {name: role for role, names in SPEAKERS.items() for name in names}
 MARKER = re.compile(r"^\s*(?:#{1,6}\s*|>\s*|[-*]\s+)?(?:\*\*|__|\[|<\|?)?\s*(" + "|".join(sorted(ROLE_OF, key=len, reverse=True)) + r")\s*(?:(?:\*\*|__|\]|\|?>)\s*:?|(?:\*\*|__)?\s*:(?:\*\*|__)?)\s*", re.IGNORECASE)
 HEADING = re.compile(r"^\s*#{1,6}\s*(" + "|".join(sorted(ROLE_OF, key=len, reverse=True)) + r")\s*:?\s*$", re.IGNORECASE)
 #: How often a marker is taken to tell the truth before anything is counted.
-MARKER_PRIOR = 50.0
+MARKER_PRIOR = 1000.0
+#: How often the next line of a message is taken to have the same speaker before anything is counted.
+STAY_PRIOR = 50.0
 ENDS = "?!.,:"
 
 
@@ -69,17 +72,18 @@ class Model:
     move: np.ndarray
     emit: dict[str, np.ndarray]
 
-    def scores(self, text: str | None) -> list[np.ndarray]:
+    def steps(self, lines: list[str]) -> list[np.ndarray]:
+        """[from or before][to] for each line of a message; a marker may change the speaker as a new message may."""
         zero = np.zeros(len(self.roles))
-        return [sum((self.emit.get(f, zero) for f in features(x, i == 0)), zero) for i, x in enumerate(lines_of(text))]
+        out = []
+        for i, x in enumerate(lines):
+            seen = features(x, i == 0)
+            out.append(self.move[int(i == 0 or seen[0] != "m")] + sum((self.emit.get(f, zero) for f in seen), zero))
+        return out
 
     def matrix(self, text: str | None) -> np.ndarray:
         """[from][to]: the best score of a message, given the role before it."""
-        out = None
-        for i, e in enumerate(self.scores(text)):
-            step = self.move[int(i == 0)] + e
-            out = step if out is None else max_plus(out, step)
-        return out
+        return functools.reduce(max_plus, self.steps(lines_of(text)))
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,7 +112,7 @@ def from_counts(counts: dict[tuple[str, str, str], int]) -> Model:
     at = {r: i for i, r in enumerate(roles)}
     n = len(roles)
     start, move = np.ones(n), np.ones((2, n, n))
-    move[0] += np.eye(n) * MARKER_PRIOR  # lines of a message seldom change the speaker
+    move[0] += np.eye(n) * STAY_PRIOR  # lines of a message seldom change the speaker
     kinds: dict[str, set[str]] = {}
     seen: dict[str, np.ndarray] = {}
     for m in ["m"] + ["m" + r for r in SPEAKERS]:
@@ -177,9 +181,10 @@ def fit(messages: DataFrame) -> Model:
                 elif block == 0:
                     c["start", role, ""] += 1
                 lines = lines_of(b.column("text")[i].as_py())
-                c["move0", role, role] += len(lines) - 1
                 for j, x in enumerate(lines):
-                    for f in features(x, j == 0):
+                    seen = features(x, j == 0)
+                    c["move0", role, role] += j > 0 and seen[0] == "m"
+                    for f in seen:
                         c[f, role, ""] += 1
                 before = role
         yield pa.RecordBatch.from_pydict({"a": [k[0] for k in c], "b": [k[1] for k in c], "c": [k[2] for k in c], "n": list(c.values())})
@@ -231,7 +236,7 @@ def parse(messages: DataFrame, model: Model) -> DataFrame:
         for conv, blocks, ms in chains():
             path = viterbi(only(size + 1, size), ms, np.zeros(size + 1))
             yield pa.RecordBatch.from_pydict(
-                {"conv_id": pa.array([conv] * len(blocks), pa.int64()), "block": blocks, "enter": [-1, *path[:-1]], "leave": path})
+                {"conv_id": pa.array([conv] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int64()), "enter": pa.array([-1, *path[:-1]], pa.int32()), "leave": pa.array(path, pa.int32())})
 
     narrow = ordered.select("conv_id", "__llm_block", "turn", "text")
     one = narrow.mapInArrow(reduce, "conv_id long, block long, m array<double>")
@@ -258,7 +263,7 @@ def parse(messages: DataFrame, model: Model) -> DataFrame:
             b, i = group[0]
             enter, leave = b.column("__llm_enter")[i].as_py(), b.column("__llm_leave")[i].as_py()
             texts = [lines_of(x.column("text")[j].as_py()) for x, j in group]
-            moves = [model.move[int(k == 0)] + e for lines in texts for k, e in enumerate(model.scores("\n".join(lines)))]
+            moves = [m for lines in texts for m in model.steps(lines)]
             v = only(size + 1, size if enter is None or enter < 0 else enter)
             path = iter(viterbi(v, moves, np.zeros(size + 1) if leave is None else only(size + 1, leave)))
             for (x, j), lines in zip(group, texts):
