@@ -3,7 +3,7 @@
 Both vocabularies cut a text before every run of white space that follows another character
 (no token reaches over that place), so ids of a text are the ids of its pieces
 ``[white space]*[other characters]+`` one after the other, and a piece seen before costs a lookup.
-Of pieces that are one plain word with or without a full stop or comma, the model alone is asked (its input is the word as
+Of pieces that are one plain word with or without signs after it, the model alone is asked (its input is the word as
 the file's normalizer and byte alphabet leave it), which is several times as fast as the whole chain.
 The memo lives as long as the Python worker; it keeps the pieces used last and is bounded by
 :data:`MEMO` pieces of at most :data:`LONGEST` characters in each of two generations.
@@ -22,11 +22,29 @@ import numpy as np
 #: Unicode White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: A space or none, letters that stand for themselves in NFC and have one lower-case letter, and stops.
-PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: White space or none, letters that stand for themselves in NFC and have one lower-case letter, and signs but apostrophes.
+PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Characters outside of those that Python lower-cases and splits at as the "lower" kind of file does.
+OTHER = re.compile("[^\x00-\x1b -\u012f\u0131-\u017f\u2010-\u2027]")
 MEMO = 500_000
-LONGEST = 48
 BLOCK_PIECES = 100_000
+LONGEST = 48
+
+
+class Memo(dict):
+    """Ids by piece; learns a piece when it is asked for."""
+
+    def __init__(self, encoder: Encoder, old: dict[str, bytes]) -> None:
+        self.encoder, self.old = encoder, old
+
+    def __missing__(self, piece: str) -> bytes:
+        v = self.old.get(piece)
+        if v is None:
+            v = self.encoder.piece(piece)
+            if len(piece) > LONGEST:
+                return v
+        self[piece] = v
+        return v
 
 
 class Encoder:
@@ -41,61 +59,49 @@ class Encoder:
         # the two kinds of file for which plain words are understood: nothing normalized, or case and white space dropped
         self.plain = {"byte_bpe_50k.json": "exact", "word_bpe_49k.json": "lower"}.get(os.path.basename(file))
         self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.stops: dict[str, bytes] = {"": b""}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Make ``young`` know all pieces that are not too long; returns the ids of the others."""
-        missing = pieces.difference(self.young)
-        if len(self.young) + len(missing) > MEMO:
-            self.old, self.young = self.young, {}
-            missing = pieces
-        young, old, new = self.young, self.old, []
-        for p in missing:
-            if (v := old.get(p)) is not None or len(p) <= LONGEST and (v := self._word(p)) is not None:
-                young[p] = v
-            else:
-                new.append(p)
-        long_: dict[str, bytes] = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (young if len(p) <= LONGEST else long_)[p] = self._bytes(e.ids)
-        return long_
-
-    def _word(self, piece: str) -> bytes | None:
-        """Ids of a plain word, or None."""
+        self.around: dict[str, bytes] = {"": b""}
+        self.young = Memo(self, {})
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, piece: str) -> bytes:
         m = self.plain and PLAIN.fullmatch(piece)
-        if not m:
-            return None
-        space, word, stops = m.groups()
-        word = word.lower() if self.plain == "lower" else space + word
+        if not m or len(piece) > LONGEST:
+            return self._whole(piece)
+        before, word, after = m.groups()
+        around = self.around
+        if self.plain == "lower":
+            before, word = "", word.lower()
+        elif before == " ":
+            before, word = "", " " + word
+        for x in (before, after):
+            if x not in around:
+                around[x] = self._whole(x)
         if not word.isascii() or word[0] == " ":
             word = self.alphabet.pre_tokenize_str(word)[0][0]
-        if stops not in self.stops:
-            self.stops[stops] = self._bytes(self.tokenizer.encode(stops, add_special_tokens=False).ids)
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(word)]) + self.stops[stops]
+        return around[before] + self._bytes([t.id for t in self.tokenizer.model.tokenize(word)]) + around[after]
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
+    def _pieces(self, text: str) -> list[str]:
+        if self.plain == "lower" and not OTHER.search(text):
+            return text.lower().split()
+        return PIECE.findall(text)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for text in texts:
-            pieces = PIECE.findall(text)
+            pieces = self._pieces(text)
             parts = []
             for i in range(0, len(pieces), BLOCK_PIECES):
-                some = pieces[i : i + BLOCK_PIECES]
-                young = self.young
-                try:
-                    parts.append(b"".join([young[p] for p in some]))
-                except KeyError:
-                    long_ = self._learn(set(some))
-                    young = self.young
-                    parts.append(b"".join([young[p] if p in young else long_[p] for p in some]))
+                if len(self.young) > MEMO:
+                    self.young = Memo(self, dict(self.young))
+                memo = self.young
+                parts.append(b"".join([memo[p] for p in pieces[i : i + BLOCK_PIECES]]))
             out.append(parts[0] if len(parts) == 1 else b"".join(parts))
         return out
 
