@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from meshframes.functions.scalars import ascii_upper
 from meshframes.schema import KIND_TEXT
 
+_SHORT = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+JSON_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), *((chr(c), _SHORT.get(c, f"\\u{c:04x}")) for c in range(32))]
 _JSON_OUTER_WS = r"^[ \t\n\r]+|[ \t\n\r]+$"
 
 
@@ -74,37 +75,34 @@ def _str_or_null(v: Column) -> Column:
     return v.isNull() | F.schema_of_variant(v).isin("VOID", "STRING")
 
 
-def packet_meta(doc) -> Column:
-    """P1 on a parsed document: ``struct(payload_type, content_hash)``.
+#: Fixed names on the probed path, with the level at which they stand.
+PROBED = (("$", ("data",)), ("$.data", ("hash", "decoded")), ("$.data.decoded", ("header",)), ("$.data.decoded.header", ("payloadTypeName",)))
 
-    ``payload_type`` = ASCII upper-case of ``data.decoded.header.payloadTypeName``,
-    ``content_hash`` = ``data.hash`` with '' as null. A type mismatch on any probed
-    level (``data``/``decoded``/``header`` not an object, a leaf not a string)
-    empties both fields. ``doc`` must already be null for non-text or invalid input.
-    """
-    d = _c(doc)
-    data = F.try_variant_get(d, "$.data", "struct<hash:variant,decoded:variant>")
-    hash_v = data["hash"]
-    dec_v = data["decoded"]
-    dec = F.try_variant_get(dec_v, "$", "struct<header:variant>")
-    hdr_v = dec["header"]
-    hdr = F.try_variant_get(hdr_v, "$", "struct<payloadTypeName:variant>")
-    name_v = hdr["payloadTypeName"]
-    ok = (
-        data.isNotNull()
-        & _str_or_null(hash_v)
-        & _obj_or_null(dec_v, dec)
-        & _obj_or_null(hdr_v, hdr)
-        & _str_or_null(name_v)
-    )
-    content_hash = F.nullif(F.try_variant_get(hash_v, "$", "string"), F.lit(""))
-    payload_type = ascii_upper(F.try_variant_get(name_v, "$", "string"))
-    return F.struct(
-        F.when(ok, payload_type).alias("payload_type"),
-        F.when(ok, content_hash).alias("content_hash"),
-    )
+
+def repeats_probed_key(text) -> Column:
+    """True if an object on the probed path names a probed key twice (then the frame has no metadata).
+
+    Keys are listed level by level only for texts in which a probed name, or an escape that could
+    spell one, stands twice."""
+    t = _c(text)
+    suspect = t.rlike(r'(?s)"(data|hash|decoded|header|payloadTypeName)".*"\1"|\\u00')
+    out = F.lit(False)
+    for level, names in PROBED:
+        inner = t if level == "$" else F.get_json_object(t, level)
+        keys = F.coalesce(F.json_object_keys(inner), F.array().cast("array<string>"))
+        for name in names:
+            out = out | (F.size(keys) - F.size(F.array_remove(keys, name)) > 1)
+    return F.coalesce(suspect & out, F.lit(False))
 
 
 def json_string(text) -> Column:
-    """A string as a JSON string literal (same escapes as a strict serializer)."""
-    return F.regexp_extract(F.to_json(F.array(_c(text))), r"^\[(.*)\]$", 1)
+    """A string as a JSON string literal: quote, backslash and control characters escaped (``\\b \\t \\n \\f \\r``,
+    else ``\\u`` with lower-case hexadecimal digits), everything else as it is."""
+    t = _c(text)
+    j = F.to_json(F.array(t))
+    rare = t
+    for plain, escaped in JSON_ESCAPES:
+        rare = F.replace(rare, F.lit(plain), F.lit(escaped))
+    # Spark writes those with upper-case digits
+    upper = t.rlike("[\\u000b\\u000e\\u000f\\u001a-\\u001f]")
+    return F.when(upper, F.concat(F.lit('"'), rare, F.lit('"'))).otherwise(F.substring(j, F.lit(2), F.length(j) - 2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from meshframes.functions.scalars import websocket_url
+from meshframes.functions.scalars import unicode_trim, websocket_url
 from meshframes.operators.scan import ordered_scan
 from meshframes.schema import MAX_SOURCE_ID_BYTES, RelaySettings
 
@@ -118,14 +118,12 @@ def validate_sources(sources: DataFrame, settings: RelaySettings = RelaySettings
     )
     prule = (
         F.when(proxy.isNull(), F.lit(None))
-        .when(F.trim(proxy) == "", F.lit("empty_proxy"))
+        .when(unicode_trim(proxy) == "", F.lit("empty_proxy"))
         .when(scheme == "", F.lit("invalid_proxy"))
         .when(scheme != "http", F.lit("proxy_not_http"))
         .when(host == "", F.lit("proxy_without_host"))
     )
-    id_rows = s.filter(rule.isNotNull()).select(
-        F.when(F.octet_length("id") > 64, F.concat(F.substring("id", 1, 64), F.lit("..."))).otherwise(F.col("id")).alias("id"),
-        rule.alias("rule"), F.octet_length("id").cast("string").alias("detail"))
+    id_rows = s.filter(rule.isNotNull()).select("id", rule.alias("rule"), F.octet_length("id").cast("string").alias("detail"))
     proxy_rows = s.filter(prule.isNotNull()).select("id", prule.alias("rule"), F.lit("proxy").alias("detail"))
     return policy.unionByName(empty).unionByName(dup).unionByName(id_rows).unionByName(proxy_rows)
 

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-# Above this many ids the list is joined as a (broadcast) table instead of an IN set.
-INSET_LIMIT = 10_000
-
 
 class UnknownSourcesError(ValueError):
     def __init__(self, unknown: Sequence[str]):
@@ -55,7 +52,8 @@ def unknown_ids(ids: Sequence[str], sources: DataFrame) -> list[str]:
 def filter_sources(frames: DataFrame, ids: Sequence[str], sources: DataFrame | None = None) -> DataFrame:
     """keep frames of the listed sources; empty list = no filter.
 
-    Unknown ids raise naming all of them, checked before any frame is read.
+    Unknown ids raise naming all of them, checked before any frame is read. The list is a
+    table and the filter a semi join, however many ids there are; AQE picks the strategy.
     """
     ids = list(ids)
     if not ids:
@@ -64,11 +62,9 @@ def filter_sources(frames: DataFrame, ids: Sequence[str], sources: DataFrame | N
         missing = unknown_ids(ids, sources)
         if missing:
             raise UnknownSourcesError(missing)
-    if len(ids) <= INSET_LIMIT:
-        return frames.filter(F.col("source").isin(ids))
     spark = frames.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], "source string")
-    return frames.join(F.broadcast(wanted), "source", "left_semi")
+    return frames.join(wanted, "source", "left_semi")
 
 
 def filter_payload_types(frames: DataFrame, csv: str | None) -> DataFrame:
@@ -82,7 +78,7 @@ def filter_payload_types(frames: DataFrame, csv: str | None) -> DataFrame:
 
 def filter_source_pattern(df: DataFrame, regex: str, col: str = "source") -> DataFrame:
     """fully anchored regular expression on a label (multi-value as ``a|b``)."""
-    return df.filter(F.col(col).rlike(f"^(?:{regex})$"))
+    return df.filter(F.col(col).rlike(rf"\A(?:{regex})\z"))
 
 
 def drop_disabled(frames: DataFrame, sources: DataFrame) -> DataFrame:

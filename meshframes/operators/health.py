@@ -113,7 +113,7 @@ def retry_waits(conn_events: DataFrame, policy: ReconnectPolicy = ReconnectPolic
 
     Since the last connect, the k-th normal retry waits ``min(initial * 2^k, max)``;
     a retry is degraded once the source has been offline for the threshold (offline
-    since the end of the last connected spell, or its first event if it never
+    since the end of the last connected spell, or the first failed connect if it never
     connected) and then waits the offline delay without raising k. A connect resets
     k. (A degraded wait equal to the current delay would raise k, but every later
     retry of that spell is degraded too, so no wait changes.)
@@ -122,7 +122,8 @@ def retry_waits(conn_events: DataFrame, policy: ReconnectPolicy = ReconnectPolic
     retry = F.col("state").isin("reconnect_wait", "reconnect_wait_degraded")
     e = conn_events.withColumn("_conn", F.when(conn, F.lit(1)).otherwise(F.lit(0)))
     s = ordered_scan(e, ["source"], "at_ms", list(tiebreak), running_sum={"_grp": F.col("_conn")})
-    off = s.filter(~conn).groupBy("source", "_grp").agg(F.min("at_ms").alias("_offline_since"))
+    begins = F.when(~conn & ((F.col("_grp") > 0) | retry), F.col("at_ms"))
+    off = s.groupBy("source", "_grp").agg(F.min(begins).alias("_offline_since"))
     s = s.join(off, ["source", "_grp"], "left")
     degraded = (F.col("at_ms") - F.col("_offline_since")) >= F.lit(int(policy.offline_threshold_s * 1000))
     s = materialize(s.withColumn("_deg", F.coalesce(degraded, F.lit(False))), "retries")

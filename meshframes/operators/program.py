@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meshframes.sources.output import json_line
 
@@ -49,6 +50,9 @@ class Path:
             key, qkey, idx = m.groups()
             steps.append(int(idx) if idx is not None else (key if key is not None else qkey))
             pos = m.end()
+        bad = next((s for s in steps if isinstance(s, str) and ("'" in s or "`" in s)), None)
+        if bad is not None:  # Spark's variant paths cannot quote these characters
+            raise ProgramError(f"unsupported character in key {bad!r}")
         return Path(tuple(steps))
 
     def json_path(self, n: int | None = None) -> str:
@@ -172,9 +176,15 @@ def _compare(v: Column, op: str, lit) -> Column:
         lrank = 4
     r = _rank(v)
     if lrank == 3:
-        same = F.try_variant_get(v, "$", "double")
-        cmp_same = {"==": same == F.lit(float(lit)), "!=": same != F.lit(float(lit)), "<": same < F.lit(float(lit)),
-                    "<=": same <= F.lit(float(lit)), ">": same > F.lit(float(lit)), ">=": same >= F.lit(float(lit))}[op]
+        def compared(kind: str, x) -> Column:
+            a, b = F.try_variant_get(v, "$", kind), F.lit(x).cast(kind)
+            return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+        cmp_same = compared("double", float(lit))
+        if isinstance(lit, int) and abs(lit) < 10**38:  # integers compare exactly
+            t = F.schema_of_variant(v)
+            whole = t.isin("TINYINT", "SMALLINT", "INT", "BIGINT") | t.rlike(r"^DECIMAL\(\d+,\s*0\)$")
+            cmp_same = F.when(whole, compared("decimal(38,0)", Decimal(lit))).otherwise(cmp_same)
     elif lrank == 4:
         same = F.try_variant_get(v, "$", "string")
         cmp_same = {"==": same == F.lit(lit), "!=": same != F.lit(lit), "<": same < F.lit(lit),
@@ -250,9 +260,11 @@ def _run(frames: DataFrame, program: Program, keep, input_json: str | None = Non
     def lookup(p: Path):
         return _lookup_projection(p) if on_projection else _lookup(F.col("_pv"), p)
 
-    exploded = False
+    outs = None  # after the first Each: the frame's outputs so far, as array<struct<err, v, txt>>
     for step in program.steps:
-        if isinstance(step, Select):
+        if outs is not None:
+            outs = _each_output(outs, step)
+        elif isinstance(step, Select):
             val, err = lookup(step.path)
             d = d.withColumn("_perr", F.col("_perr") | err)
             d = d.filter(F.col("_perr") | _compare(val, step.op, step.value))
@@ -261,31 +273,76 @@ def _run(frames: DataFrame, program: Program, keep, input_json: str | None = Non
             d = d.withColumn("_perr", F.col("_perr") | err).withColumn("_pv", val)
             text, on_projection = None, False
         elif isinstance(step, Reshape):
-            parts, errs = [], F.lit(False)
-            for name, p in step.fields:
-                val, err = lookup(p)
-                parts.append(val.alias(name))
-                errs = errs | err
-            obj = F.struct(*parts)
+            obj, errs = _reshaped(step, lookup)
             d = d.withColumn("_perr", F.col("_perr") | errs)
             d = d.withColumn("_ptxt", F.to_json(obj, {"ignoreNullFields": "false"}))
             d = d.withColumn("_pv", F.to_variant_object(obj))
             text, on_projection = F.col("_ptxt"), False
         elif isinstance(step, Each):
             val, err = lookup(step.path)
-            arr = F.try_variant_get(val, "$", "array<variant>")
-            obj = F.try_variant_get(val, "$", "map<string,variant>")
-            elems = F.coalesce(arr, F.map_values(obj))
+            elems = _elements(val)
             d = d.withColumn("_perr", F.col("_perr") | err | elems.isNull())
-            # an erroring frame keeps one row carrying the error; others fan out
-            d = d.withColumn("_pv", F.explode(F.when(F.col("_perr"), F.array(F.lit(None).cast("variant"))).otherwise(elems)))
-            exploded = True
-            text, on_projection = None, False
-    if exploded:
-        # one failing output discards every output of that frame
-        d = d.withColumn("_perr", F.max(F.col("_perr").cast("int")).over(Window.partitionBy(*keep)) == 1)
-    msg = text if text is not None else F.coalesce(F.to_json(F.col("_pv")), F.lit("null"))
-    return d, msg
+            outs = F.transform(F.coalesce(elems, F.array().cast("array<variant>")), lambda v: _output(F.lit(False), v))
+    if outs is None:
+        return d, text if text is not None else F.coalesce(F.to_json(F.col("_pv")), F.lit("null"))
+    # one failing output discards every output of that frame; an erring frame keeps one row that carries the error
+    d = d.withColumn("_pouts", outs)
+    d = d.withColumn("_perr", F.col("_perr") | F.exists("_pouts", lambda o: o["err"]))
+    one = F.array(_output(F.lit(True), F.lit(None).cast("variant")))
+    d = d.withColumn("_pout", F.explode(F.when(F.col("_perr"), one).otherwise(F.col("_pouts")))).drop("_pouts")
+    return d, F.coalesce(F.col("_pout.txt"), F.to_json(F.col("_pout.v")), F.lit("null"))
+
+
+def _output(err: Column, v: Column, txt: Column | None = None) -> Column:
+    return F.struct(err.alias("err"), v.alias("v"), (F.lit(None).cast("string") if txt is None else txt).alias("txt"))
+
+
+def _elements(val: Column) -> Column:
+    """Elements of an array or values of an object; null for anything else."""
+    arr = F.try_variant_get(val, "$", "array<variant>")
+    return F.coalesce(arr, F.map_values(F.try_variant_get(val, "$", "map<string,variant>")))
+
+
+def _reshaped(step: Reshape, lookup) -> tuple[Column, Column]:
+    parts, errs = [], F.lit(False)
+    for name, p in step.fields:
+        val, err = lookup(p)
+        parts.append(val.alias(name))
+        errs = errs | err
+    return F.struct(*parts), errs
+
+
+def _each_output(outs: Column, step) -> Column:
+    """A step applied to each output of the frame; an output that has erred stays as it is."""
+    if isinstance(step, Select):
+        def keep(o: Column) -> Column:
+            val, err = _lookup(o["v"], step.path)
+            return o["err"] | err | _compare(val, step.op, step.value)
+
+        def mark(o: Column) -> Column:
+            return _output(o["err"] | _lookup(o["v"], step.path)[1], o["v"], o["txt"])
+
+        return F.transform(F.filter(outs, keep), mark)
+    if isinstance(step, Project):
+        def project(o: Column) -> Column:
+            val, err = _lookup(o["v"], step.path)
+            return _output(o["err"] | err, val)
+
+        return F.transform(outs, project)
+    if isinstance(step, Reshape):
+        def reshape(o: Column) -> Column:
+            obj, errs = _reshaped(step, lambda p: _lookup(o["v"], p))
+            return _output(o["err"] | errs, F.to_variant_object(obj), F.to_json(obj, {"ignoreNullFields": "false"}))
+
+        return F.transform(outs, reshape)
+
+    def fan(o: Column) -> Column:
+        val, err = _lookup(o["v"], step.path)
+        elems = _elements(val)
+        bad = o["err"] | err | elems.isNull()
+        return F.when(bad, F.array(_output(F.lit(True), F.lit(None).cast("variant")))).otherwise(F.transform(elems, lambda v: _output(F.lit(False), v)))
+
+    return F.flatten(F.transform(outs, fan))
 
 
 def run_program(frames: DataFrame, program: Program, keep=("source", "sequence"), input_json: str | None = None,

@@ -30,13 +30,13 @@ def subscribe(
     sub: Subscription,
     sources: DataFrame | None = None,
     policy: DedupPolicy = DedupPolicy(),
-    dedup_mode: str = "aligned",
+    dedup_mode: str = "replay",
     origin_ms: int | None = None,
 ) -> DataFrame:
     """Frames as one subscriber receives them (see module doc).
 
-    ``dedup_mode``: ``aligned`` (D2, generations at multiples of W) or ``replay``
-    (D1, generations rotated by arrivals from ``origin_ms``, as the relay does).
+    ``dedup_mode``: ``replay`` (D1, generations rotated by arrivals from ``origin_ms``, as the relay
+    does) or ``aligned`` (D2, generations at multiples of W).
     """
     f = frames
     if origin_ms is not None:

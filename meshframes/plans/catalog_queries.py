@@ -44,10 +44,10 @@ def rejected_analyzers(spark, sf_dir):
 
 
 _VIOL_CAT = """cat as (
-  select case when page_id % 97 = 0 then '' when page_id % 101 = 0 then repeat('x', 65536)
+  select case when page_id % 97 = 0 then '' when page_id % 101 = 0 then repeat('x', 65536) || (page_id % 2)
               else 'p-' || (page_id % 40) end as id,
          case page_id % 13 when 0 then '' when 1 then 'socks5://h:1' when 2 then 'http://' when 3 then 'http://proxy:8888'
-              when 4 then '   ' end as proxy
+              when 4 then '   ' when 5 then chr(9) || chr(160) end as proxy
   from pages)"""
 
 
@@ -58,13 +58,13 @@ _VIOL_CAT = """cat as (
 , pol as (select cast(null as varchar) as id, 'user_agent_newline' as rule, 'settings' as detail
           union all select null, 'dedup_max_window', 'settings')
 , dup as (select id, 'duplicate_id' as rule, count(*)::varchar || ' rows' as detail from cat group by id having count(*) > 1)
-, idr as (select case when strlen(id) > 64 then substr(id, 1, 64) || '...' else id end as id,
+, idr as (select id,
                  case when id = '' then 'empty_id' else 'id_too_long' end as rule, strlen(id)::varchar as detail
           from cat where id = '' or strlen(id) > 65535)
 , px as (select id, lower(regexp_extract(proxy, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) as scheme,
                 regexp_extract(proxy, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1) as host, proxy
          from cat where proxy is not null)
-, pxr as (select id, case when trim(proxy) = '' then 'empty_proxy' when scheme = '' then 'invalid_proxy'
+, pxr as (select id, case when trim(proxy, ' ' || chr(9) || chr(160)) = '' then 'empty_proxy' when scheme = '' then 'invalid_proxy'
                           when scheme <> 'http' then 'proxy_not_http' when host = '' then 'proxy_without_host' end as rule,
                  'proxy' as detail from px)
 select * from pol union all select * from dup union all select * from idr
@@ -76,10 +76,11 @@ def catalog_violations(spark, sf_dir):
     p = fx.table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     cat = p.select(
-        F.when(pid % 97 == 0, F.lit("")).when(pid % 101 == 0, F.repeat(F.lit("x"), 65536))
+        F.when(pid % 97 == 0, F.lit("")).when(pid % 101 == 0, F.concat(F.repeat(F.lit("x"), 65536), (pid % 2).cast("string")))
         .otherwise(F.concat(F.lit("p-"), (pid % 40).cast("string"))).alias("id"),
         F.when(pid % 13 == 0, F.lit("")).when(pid % 13 == 1, F.lit("socks5://h:1")).when(pid % 13 == 2, F.lit("http://"))
-        .when(pid % 13 == 3, F.lit("http://proxy:8888")).when(pid % 13 == 4, F.lit("   ")).alias("proxy"),
+        .when(pid % 13 == 3, F.lit("http://proxy:8888")).when(pid % 13 == 4, F.lit("   "))
+        .when(pid % 13 == 5, F.lit("\t\u00a0")).alias("proxy"),
     )
     settings = RelaySettings(user_agent="relay\nbot", dedup=DedupPolicy(default_window_s=600, max_window_s=300))
     return cg.validate_sources(cat, settings)

@@ -213,7 +213,7 @@ def subscribe_full(spark, sf_dir):
                        dedup_by_content=True, dedup_window_s=7200, program=prog)
     f = _events(spark, sf_dir).select("source", "sequence", "received_at_ms", "kind", "encoding", "payload_text",
                                       "payload_v", "payload_type", "content_hash")
-    return subscribe(f, sub, f.select(F.col("source").alias("id")).distinct())
+    return subscribe(f, sub, f.select(F.col("source").alias("id")).distinct(), dedup_mode="aligned")
 
 
 @query(

@@ -135,7 +135,8 @@ def episodes(spark, sf_dir):
 , g as (select *, sum(case when state = 'connected' then 1 else 0 end)
                   over (partition by source order by at_ms, seq rows between unbounded preceding and current row) as grp
         from conn_events)
-, o as (select source, grp, min(at_ms) as off_since from g where state <> 'connected' group by 1, 2)
+, o as (select source, grp, min(at_ms) as off_since from g
+        where state <> 'connected' and (grp > 0 or state in ('reconnect_wait', 'reconnect_wait_degraded')) group by 1, 2)
 , d as (select g.*, coalesce(g.at_ms - o.off_since >= 60000, false) as deg
         from g left join o on g.source = o.source and g.grp = o.grp)
 , k as (select *, sum(case when state in ('reconnect_wait', 'reconnect_wait_degraded') and not deg then 1 else 0 end)

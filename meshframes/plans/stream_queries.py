@@ -1,8 +1,7 @@
 """Streaming queries: a capture replayed as a file stream (ST1-ST5, D3).
 
-Frames are written as week-long, time-ordered groups of k files; each stream runs
-with ``availableNow`` one group (``maxFilesPerTrigger=k``) per micro-batch and its
-result is read back as a table.
+Frames are written once as files of consecutive time ranges; each stream runs with
+``availableNow`` over ``FILES_PER_BATCH`` files a micro-batch and its result is read back as a table.
 """
 
 from __future__ import annotations
@@ -15,15 +14,16 @@ from meshframes.plans.sql import FRAMES, with_
 from meshframes.session import configure, scratch_path
 from meshframes.streaming import streams as st
 
-WEEK_MS = 7 * 86_400_000
+FILES = 24
+FILES_PER_BATCH = 8
 
 
 def _stream(spark, sf_dir):
     configure(spark)
     frames = fx.frames_from_events(spark, sf_dir)
     path = scratch_path(spark, "frames-files")
-    k = st.write_time_chunks(frames, path, WEEK_MS)
-    return st.read_frames_stream(spark, path, frames.schema, max_files=k)
+    st.write_time_ordered(frames, path, FILES)
+    return st.read_frames_stream(spark, path, frames.schema, max_files=FILES_PER_BATCH)
 
 
 @query(
@@ -72,7 +72,7 @@ def stream_latest(spark, sf_dir):
     with_(FRAMES, CATALOG_SQL) + "select f.source, f.sequence, c.url, c.mapping from frames f join catalog c on f.source = c.id",
 )
 def stream_with_catalog(spark, sf_dir):
-    """ST5: stream-static join with the (size-checked, broadcast) source catalog."""
+    """ST5: stream-static join with the source catalog."""
     s = st.stream_with_catalog(_stream(spark, sf_dir), _catalog(spark, sf_dir))
     return st.run_append(s.select("source", "sequence", "url", "mapping"), "stream-catalog")
 
@@ -84,7 +84,7 @@ def stream_stamp(spark, sf_dir):
     configure(spark)
     raw = fx.raw_event_frames(spark, sf_dir).withColumnRenamed("_tb", "event_id")
     path = scratch_path(spark, "raw-files")
-    k = st.write_time_chunks(raw, path, WEEK_MS)
-    s = st.read_frames_stream(spark, path, raw.schema, max_files=k).select("source", "received_at_ms", "event_id")
+    st.write_time_ordered(raw, path, FILES)
+    s = st.read_frames_stream(spark, path, raw.schema, max_files=FILES_PER_BATCH).select("source", "received_at_ms", "event_id")
     return st.run_append(st.stamp_stream(s, tiebreak=["event_id"]), "stream-stamp").select(
         "source", "sequence", "received_at_ms", "event_id")

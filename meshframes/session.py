@@ -34,12 +34,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder and is
-    used as is. Only when it is unset (local runs, tests) a private folder is made.
+    used as is; without one a cluster session is refused. Only in a local session, whose one process is driver
+    and executors, a private folder is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
         path = tempfile.mkdtemp(prefix="meshframes-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():

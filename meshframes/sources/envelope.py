@@ -16,12 +16,16 @@ def _be(n: Column, width_bytes: int) -> Column:
     return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * width_bytes, "0"))
 
 
+#: Fixed widths of the length fields.
+MAX_SOURCE_BYTES = 0xFFFF
+
+
 def envelope(source, sequence, received_at_ms, kind, payload) -> Column:
-    """S3 for one row: the envelope bytes."""
+    """S3 for one row: the envelope bytes. A source id too long for its length field fails the write."""
     src = F.col(source) if isinstance(source, str) else source
     pay = F.col(payload) if isinstance(payload, str) else payload
     src_bytes = src.cast("binary")
-    return F.concat(
+    whole = F.concat(
         F.lit(ENVELOPE_MAGIC).cast("binary"),
         _be(F.col(kind) if isinstance(kind, str) else kind, 1),
         _be(F.octet_length(src_bytes), 2),
@@ -31,6 +35,8 @@ def envelope(source, sequence, received_at_ms, kind, payload) -> Column:
         src_bytes,
         pay,
     )
+    too_long = F.raise_error(F.concat(F.lit("source id of "), F.octet_length(src_bytes).cast("string"), F.lit(" bytes"))).cast("binary")
+    return F.when(F.octet_length(src_bytes) > MAX_SOURCE_BYTES, too_long).otherwise(whole)
 
 
 def to_capture(frames: DataFrame, keep=()) -> DataFrame:

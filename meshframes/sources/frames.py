@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meshframes.functions.payload import (
     _obj_or_null,
     _str_or_null,
+    repeats_probed_key,
     base64_flat,
     encoding_of,
     strict_json_ok,
@@ -112,6 +113,10 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     )
     d = d.withColumn("payload_v", F.when(F.col("encoding") == "json", F.try_variant_get(F.col("_wrapped"), "$[0]", "variant")))
     d = with_meta_from_doc(d, "payload_v")
+    twice = (F.col("encoding") == "json") & repeats_probed_key("payload_text")
+    d = d.withColumn("_m_twice", twice)
+    for c in ("payload_type", "content_hash"):
+        d = d.withColumn(c, F.when(~F.coalesce(F.col("_m_twice"), F.lit(False)), F.col(c)))
     out = ("encoding", "payload_text", "payload_v", "payload_type", "content_hash")
     keep = [c for c in base if c not in out]
     return d.select(*keep, *out)
@@ -125,7 +130,9 @@ def build_frames_table(raw: DataFrame, path: str, tiebreak=(), mode: str = "erro
 
 
 def with_meta_from_doc(d: DataFrame, doc: str) -> DataFrame:
-    """Staged form of :func:`packet_meta` on a parsed-document column."""
+    """P1 on a parsed document: ``payload_type`` = ASCII upper-case of ``data.decoded.header.payloadTypeName``, ``content_hash`` =
+    ``data.hash`` with '' as null. A type mismatch on any probed level (``data`` / ``decoded`` / ``header`` not an object, a leaf not a
+    string) empties both. ``doc`` must be null for non-text or invalid input."""
     d = d.withColumn("_m_data", F.try_variant_get(F.col(doc), "$.data", "struct<hash:variant,decoded:variant>"))
     d = d.withColumn("_m_dec", F.try_variant_get(F.col("_m_data.decoded"), "$", "struct<header:variant>"))
     d = d.withColumn("_m_hdr", F.try_variant_get(F.col("_m_dec.header"), "$", "struct<payloadTypeName:variant>"))

@@ -17,10 +17,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from meshframes.session import scratch_path
 
-# Catalogs up to this many rows are broadcast to the stream; larger ones are joined.
-BROADCAST_CATALOG_ROWS = 100_000
-
-
 def read_frames_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
     """Frames files as a stream (parquet), with ``received_at`` event time."""
     r = spark.readStream.schema(schema)
@@ -59,14 +55,9 @@ def stream_latest(frames: DataFrame, cols: Sequence[str] = ("sequence", "receive
     ).select("source", *[F.col(f"_l.{c}").alias(c) for c in cols])
 
 
-def stream_with_catalog(frames: DataFrame, catalog: DataFrame, max_broadcast_rows: int = BROADCAST_CATALOG_ROWS) -> DataFrame:
-    """ST5: frames of catalog sources with their url and mapping (stream-static join).
-
-    The catalog is broadcast only after its size is checked."""
-    cat = catalog.select(F.col("id").alias("source"), "url", "mapping")
-    n = cat.limit(max_broadcast_rows + 1).count()
-    side = F.broadcast(cat) if n <= max_broadcast_rows else cat
-    return frames.join(side, "source")
+def stream_with_catalog(frames: DataFrame, catalog: DataFrame) -> DataFrame:
+    """ST5: frames of catalog sources with their url and mapping (stream-static join, strategy by size estimate)."""
+    return frames.join(catalog.select(F.col("id").alias("source"), "url", "mapping"), "source")
 
 
 DEDUP_OUT = "source string, sequence bigint, received_at_ms bigint, content_hash string"
@@ -185,20 +176,17 @@ def run_upserts(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
         *keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
 
 
-def write_time_chunks(frames: DataFrame, path: str, chunk_ms: int, files_per_chunk: int = 8) -> int:
-    """Write frames as time-ordered chunks, oldest first, each as exactly ``k`` files
-    written in parallel; returns ``k``. A file stream with ``maxFilesPerTrigger=k``
-    then replays one chunk per micro-batch, in time order.
-
-    ``k`` is ``files_per_chunk`` unless a chunk has fewer rows. The per-chunk row
-    counts (one row per chunk) are the only thing brought to the driver.
-    """
-    chunk = F.floor(F.col("received_at_ms") / F.lit(chunk_ms)).cast("long")
-    counts = frames.groupBy(chunk.alias("c")).count().orderBy("c").collect()
-    if not counts:
-        return 0
-    k = max(1, min(files_per_chunk, min(r["count"] for r in counts)))
-    for r in counts:
-        part = frames.filter(chunk == r["c"])
-        part.repartition(k).write.mode("append").parquet(path)
-    return k
+def write_time_ordered(frames: DataFrame, path: str, files: int = 24) -> None:
+    """Write frames once, as up to ``files`` files that each hold one range of ``received_at_ms``, and date the files in that order.
+
+    A file stream takes files by modification time, so whatever ``maxFilesPerTrigger`` is, each
+    micro-batch is later in time than the one before. Frames of one millisecond stay in one file. The path needs a file system
+    that keeps modification times (HDFS, a local or mounted one)."""
+    spark = frames.sparkSession
+    frames.repartitionByRange(files, "received_at_ms").write.mode("errorifexists").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath().getName(), f) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    first = min((f.getModificationTime() for _, f in parts), default=0) // 1000 * 1000 - 1000 * len(parts)
+    for i, (_, f) in enumerate(parts):  # file names only: a call for each file, no data
+        fs.setTimes(f.getPath(), first + 1000 * i, -1)

@@ -80,3 +80,10 @@ def test_list_sources_hides_secrets(spark):
     rows = cg.list_sources(src, states).collect()
     assert [tuple(r) for r in rows] == [("a", "u1", "m", "connected"), ("b", "u2", None, "disconnected")]
     assert rows[0].__fields__ == ["id", "url", "mapping", "state"]
+
+
+def test_violations_keep_whole_ids(spark):
+    rows = [("y" * 70_000 + "a", None), ("y" * 70_000 + "b", None), ("p", "\t"), ("q", "\u00a0 ")]
+    out = cg.validate_sources(spark.createDataFrame(rows, "id string, proxy string")).collect()
+    assert {r["id"] for r in out if r["rule"] == "id_too_long"} == {rows[0][0], rows[1][0]}
+    assert {r["id"] for r in out if r["rule"] == "empty_proxy"} == {"p", "q"}

@@ -62,3 +62,10 @@ def test_overall_status_levels(spark):
     assert level(["reconnect_wait", "disabled"]) == "bad"
     assert level(["connected", "disconnected"]) == ""
     assert level([]) == ""
+
+
+def test_offline_clock_of_a_source_that_never_connected_starts_at_its_first_failure(spark):
+    rows = [("s", 0, 0, "connecting"), ("s", 50_000, 1, "reconnect_wait"), ("s", 61_000, 2, "reconnect_wait"), ("s", 111_000, 3, "reconnect_wait")]
+    ev = spark.createDataFrame(rows, "source string, at_ms long, seq long, state string")
+    got = [(r["kind"], r["wait_s"]) for r in hl.retry_waits(ev).orderBy("at_ms").collect()]
+    assert got == [("normal", 1.0), ("normal", 2.0), ("degraded", 300.0)]

@@ -67,3 +67,30 @@ def test_program_error_count_is_observed(spark):
     out = run_program(df, Program(Project(".a.b")), input_json="doc", observation=obs)
     assert out.count() == 1
     assert obs.get["skipped_rows"] == 2
+
+
+def test_errors_stay_with_their_frame_and_need_no_shuffle(spark):
+    df = spark.createDataFrame([(0, 5, '{"xs":[{"a":1},{"a":2}]}'), (0, 5, '{"xs":[{"a":3},"s"]}')], "source int, sequence int, doc string")
+    out = run_program(df, Program(Each(".xs"), Project(".a")), input_json="doc")
+    assert sorted(r["message"] for r in out.collect()) == ["1", "2"]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_after_each(spark):
+    docs = ['{"xs":[{"a":[1,2],"b":"x"},{"a":[3],"b":"y"}]}']
+    assert _run(spark, Program(Each(".xs"), Select(".b", "==", "y"), Each(".a")), docs) == [(0, "3")]
+    assert _run(spark, Program(Each(".xs"), Each(".a")), docs) == [(0, "1"), (0, "2"), (0, "3")]
+    assert _run(spark, Program(Each(".xs"), Reshape({"q": ".b"})), docs) == [(0, '{"q":"x"}'), (0, '{"q":"y"}')]
+
+
+def test_integers_compare_exactly(spark):
+    docs = ['{"v":9007199254740993}', '{"v":9007199254740992}', '{"v":9007199254740992.5}']
+    assert [s for s, _ in _run(spark, Program(Select(".v", "==", 9007199254740992)), docs)] == [1, 2]
+    assert [s for s, _ in _run(spark, Program(Select(".v", ">", 9007199254740992)), docs)] == [0]
+
+
+def test_keys_that_variant_paths_cannot_hold_are_rejected():
+    with pytest.raises(ProgramError):
+        Path.parse(""".payload["a'b"]""")
+    with pytest.raises(ProgramError):
+        Path.parse(""".["a`b"]""")

@@ -16,9 +16,8 @@ DAY = 86_400_000
 def replay(spark):
     frames = fx.frames_from_events(spark, SF_SMALL)
     path = scratch_path(spark, "test-frames-files")
-    k = st.write_time_chunks(frames, path, 3 * DAY, files_per_chunk=3)
-    assert k == 3
-    return frames, path, k
+    st.write_time_ordered(frames, path, files=7)
+    return frames, path, 3
 
 
 def _stream(spark, replay):
