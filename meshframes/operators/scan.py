@@ -12,6 +12,8 @@ share; the summary side ships only partial aggregates.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -44,7 +46,7 @@ def ordered_scan(
       one, oldest first (like ``collect_list`` over ``rowsBetween(-k+1, 0)``).
 
     Order is ``ts`` then ``tiebreak``; it should be total for deterministic output.
-    Key columns must not be null.
+    A null key is an error (it would not meet its carry).
 
     ``rows_per_bucket``: instead of one fixed width, each key gets its own bucket
     width so that its buckets hold about that many rows (from a per-key count and
@@ -65,6 +67,9 @@ def ordered_scan(
         d = d.withColumn(bk, F.floor(F.col(ts) / F.col("_scan_w")).cast("long")).drop("_scan_w")
     else:
         d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long"))
+    nullable = [F.col(k).isNull() for k in keys if d.schema[k].nullable]
+    if nullable:
+        d = d.withColumn(bk, F.when(reduce(or_, nullable), F.raise_error(f"ordered_scan: null in a key of {list(keys)}").cast("long")).otherwise(F.col(bk)))
 
     aggs = []
     if lag:
@@ -112,7 +117,6 @@ def ordered_scan(
         start = F.greatest(F.size(carried) - F.lit(k) + 1, F.lit(1))
         cols.append(F.slice(carried, start, F.lit(k)).alias(f"_scan_pt_{out}"))
     carry = summary.select(*cols)
-    # keys must be non-null (a null key would not meet its carry)
     j = d.join(carry, part, "left")
 
     rn = F.row_number().over(w_in)

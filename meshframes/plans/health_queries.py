@@ -270,7 +270,7 @@ def _snapshots(spark, sf_dir):
     configure(spark)
     rates = win.sample_rates(fx.counters_from_events(spark, sf_dir))
     ps = fx.process_samples_from_events(spark, sf_dir)
-    cpu = win.cpu_percent(ps)
+    cpu = win.cpu_percent(ps.filter(F.col("instance") == "i-0"))
     clients = agg.client_counts(fx.subscription_events_from_events(spark, sf_dir), tiebreak=("subscription_id", "event_id"))
     return hl.telemetry_snapshot(rates, _conn(spark, sf_dir), cpu, ps, clients, "i-0")
 

@@ -79,12 +79,12 @@ def stream_with_catalog(spark, sf_dir):
 
 @query("stream_stamp", with_(FRAMES) + "select source, sequence, received_at_ms, event_id from frames")
 def stream_stamp(spark, sf_dir):
-    """S2 on a stream: unstamped frames replayed; a per-source counter in state
-    numbers them across micro-batches."""
+    """S2 on a stream: unstamped frames replayed; each source is numbered
+    on across micro-batches."""
     configure(spark)
     raw = fx.raw_event_frames(spark, sf_dir).withColumnRenamed("_tb", "event_id")
     path = scratch_path(spark, "raw-files")
     st.write_time_ordered(raw, path, FILES)
     s = st.read_frames_stream(spark, path, raw.schema, max_files=FILES_PER_BATCH).select("source", "received_at_ms", "event_id")
-    return st.run_append(st.stamp_stream(s, tiebreak=["event_id"]), "stream-stamp").select(
+    return st.run_stamp(s, "stream-stamp", tiebreak=["event_id"]).select(
         "source", "sequence", "received_at_ms", "event_id")

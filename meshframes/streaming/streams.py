@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from meshframes.operators.scan import ordered_scan
 from meshframes.session import scratch_path
+from meshframes.sources.frames import STAMP_ROWS_PER_BUCKET
 
 def read_frames_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
     """Frames files as a stream (parquet), with ``received_at`` event time."""
@@ -69,18 +71,19 @@ def _dedup_fn(window_ms: int):
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if batch.empty:
+        order = ["received_at_ms", "source", "sequence"]
+        firsts = None  # the first row of each generation so far: what is kept does not grow with a hot hash's rows
+        for pdf in pdfs:
+            some = pdf.assign(_g=pdf["received_at_ms"].to_numpy() // window_ms)
+            firsts = (some if firsts is None else pd.concat([firsts, some])).sort_values(order, kind="stable").drop_duplicates("_g", keep="first")
+        if firsts is None or firsts.empty:
             return
-        batch = batch.sort_values(["received_at_ms", "source", "sequence"], kind="stable")
-        gens = batch["received_at_ms"].to_numpy() // window_ms
         admitted = []
-        for g in pd.unique(gens):  # distinct generations of this batch, in time order
+        for g in firsts["_g"]:  # distinct generations of this batch, in time order
             if last is None or g >= last + 2:
                 admitted.append(g)
                 last = int(g)
-        firsts = batch.assign(_g=gens)
-        firsts = firsts[firsts["_g"].isin(admitted)].drop_duplicates("_g", keep="first")
+        firsts = firsts[firsts["_g"].isin(admitted)]
         state.update((int(last),))
         state.setTimeoutTimestamp(max((int(last) + 2) * window_ms, state.getCurrentWatermarkMs() + 1))
         if not firsts.empty:
@@ -115,31 +118,33 @@ def dedup_first_stream(frames: DataFrame, watermark: str = "300 seconds") -> Dat
     return hashed.unionByName(f.filter(F.col("content_hash").isNull()))
 
 
-def _stamp_fn(order: Sequence[str]):
-    def fn(key, pdfs, state):
-        nxt = state.get[0] if state.exists else 0
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if batch.empty:
-            return
-        batch = batch.sort_values(list(order), kind="stable")
-        batch["sequence"] = range(nxt, nxt + len(batch))
-        state.update((int(nxt + len(batch)),))
-        yield batch
-
-    return fn
+def run_stamp(raw: DataFrame, name: str, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """S2 on a stream whose frames carry no sequence, run to completion: each micro-batch is numbered by the bucketed
+    ordered scan of the batch operator (arrival order is ``received_at_ms`` then ``tiebreak``), and every source goes on from
+    where the batch before left it. Frames and next numbers of a batch are written to folders of its own, so a rerun
+    overwrites them with the same rows. The table of next numbers has a row for each source."""
+    spark = raw.sparkSession
+    base = scratch_path(spark, name)
+    cols, schema = list(raw.columns), raw.schema
+    numbers = "source string, next long"
 
+    def before(batch_id: int) -> DataFrame:
+        return spark.read.schema(numbers).parquet(f"{base}/next/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], numbers)
 
-def stamp_stream(raw: DataFrame, tiebreak: Sequence[str] = (), out_schema: str | None = None) -> DataFrame:
-    """S2 on a stream whose frames carry no sequence: a per-source counter kept in
-    state continues across micro-batches (arrival order within a batch is
-    ``received_at_ms`` then ``tiebreak``)."""
-    cols = [c for c in raw.columns]
-    schema = out_schema or ", ".join(
-        [f"{f.name} {f.dataType.simpleString()}" for f in raw.schema.fields] + ["sequence bigint"])
-    return raw.groupBy("source").applyInPandasWithState(
-        _stamp_fn(["received_at_ms", *tiebreak]), schema, "next_sequence bigint", "append",
-        GroupStateTimeout.NoTimeout,
-    ).select(*cols, "sequence")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select(cols).write.mode("overwrite").parquet(f"{base}/raw/batch_id={batch_id}")
+        own = spark.read.schema(schema).parquet(f"{base}/raw/batch_id={batch_id}")  # scanned twice
+        part = ordered_scan(own, ["source"], "received_at_ms", list(tiebreak), row_number="_n", rows_per_bucket=STAMP_ROWS_PER_BUCKET)
+        old = before(batch_id)
+        part.join(old, "source", "left").select(*cols, (F.col("_n") + F.coalesce("next", F.lit(0))).cast("long").alias("sequence")).write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+        counts = own.groupBy("source").agg(F.count(F.lit(1)).alias("next")).union(old)
+        counts.groupBy("source").agg(F.sum("next").alias("next")).write.mode("overwrite").parquet(f"{base}/next/batch_id={batch_id}")
+
+    q = raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(T.StructType([*schema, T.StructField("sequence", T.LongType())])).parquet(f"{base}/out")
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:

@@ -55,3 +55,11 @@ def test_adaptive_buckets_match_windows(spark):
                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs"))
     a = out.select(*ref.columns)
     assert a.exceptAll(ref).count() == 0 and ref.exceptAll(a).count() == 0
+
+
+def test_null_keys_are_an_error(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", 1), (None, 2)], "k string, t long")
+    with pytest.raises(Exception, match="null in a key"):
+        ordered_scan(df, ["k"], "t", row_number="n").collect()
