@@ -11,7 +11,7 @@ documents that merely share a passage don't. No document's l is below a floor th
 holds whatever partners chose.
 
 1. Prefix shingles are dealt to buckets, as packed arrays; shingles found in one class only vanish there.
-2. Classes that share fewer prefix shingles than the floor for their smallest possible partner drop out, and shingles left alone with them; this repeats.
+2. Classes that share fewer prefix shingles than the floor for their smallest possible partner drop out.
 3. What still hangs together by a shared prefix shingle is a cluster (components of a star for each shingle). Whole sets are fetched for
    clusters only. A cluster is cut into blocks by set size, and each pair of blocks that can hold partners is one unit of work.
 4. Within a pair of blocks, prefix matches are counted, pairs with l or more are verified on the whole sets, unless links found there already join them.
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from meshframes.llm.common import blocks, groups, stored, with_arrow_columns
 from meshframes.llm.components import components
 from meshframes.llm.lang_id import mix
+from meshframes.llm.url_filter import fill
 
 WORDS = 5
 #: Links need NUM * union <= DEN * intersection.
@@ -51,6 +52,8 @@ BLOCK_CLASSES = 400
 BUCKET_POSTINGS = 1_000_000
 #: At most so many shingles are known to be frequent.
 FREQUENT = 2_000_000
+#: Bits of the filter that tells which texts are worth a join.
+ID_FILTER_BITS = 1 << 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _POWERS = [np.cumprod(np.full(64, BASE, np.uint64))]
@@ -259,15 +262,10 @@ def shared_prefixes(docs: DataFrame, known: Frequent, total: int) -> DataFrame:
     return together.mapInArrow(meet, "shingle long, cls long, need int")
 
 
-def peel(shared: DataFrame, rounds: int = 3) -> DataFrame:
-    """Drops classes with fewer matches than they need and shingles left in one class; fewer rounds only leave more to verify."""
-    now = stored(shared, "shared-prefixes")
-    for _ in range(rounds):
-        enough = now.groupBy("cls", "need").count().where(F.col("count") >= F.col("need")).select("cls")
-        left = now.join(enough, "cls", "left_semi")
-        ends = left.groupBy("shingle").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("shingle")
-        now = stored(left.join(ends, "shingle", "left_semi"), "shared-prefixes")
-    return now
+def peel(shared: DataFrame) -> DataFrame:
+    """Drops classes with fewer matches than they need (a class has its prefix at most, so a window holds it)."""
+    found = shared.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("cls")))
+    return stored(found.where("found >= need").select("shingle", "cls"), "shared-prefixes")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -377,20 +375,24 @@ def join_classes(docs: DataFrame, named: DataFrame, known: Frequent, total: int)
     def compare(batches):
         out: list[tuple[int, int]] = []
         for _, rows in groups(batches, ["cluster", "unit"]):
-            cls = np.concatenate([b.column("cls").to_numpy() for b in rows])
+            cls, once = np.unique(np.concatenate([b.column("cls").to_numpy() for b in rows]), return_index=True)  # repeated rows of a class
             if len(cls) > 1:
                 sets = [np.frombuffer(x.as_py(), np.uint64) for b in rows for x in b.column("shingles")]
-                out += links(cls, sets, np.concatenate([b.column("side").to_numpy() for b in rows]), shared.value)
+                side = np.concatenate([b.column("side").to_numpy() for b in rows])
+                out += links(cls, [sets[i] for i in once], side[once], shared.value)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    # a text of each class in a cluster: by its smallest doc_id, or among the rows without one
+    # a text of each class in a cluster: by its smallest doc_id, or among the rows without one; a filter of fixed size
+    # lets few others reach the join (when it is overfull more do)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = texts.join(members.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").union(texts.where("doc_id is null"))
-    sets = stored(some.select("text").mapInArrow(fetch, "cls long, shingles binary").dropDuplicates(["cls"]).join(members.select("cls"), "cls", "left_semi"), "join-sets")
+    ids = members.where("doc_id is not null").select("doc_id").distinct()
+    likely = fill(ids.select(F.col("doc_id").alias("key")), ID_FILTER_BITS, 1, 0).passes(F.col("doc_id"))
+    some = texts.where(likely).join(ids, "doc_id", "left_semi").union(texts.where("doc_id is null"))
+    sets = some.select("text").mapInArrow(fetch, "cls long, shingles binary")
     work = units.join(sets, "cls").withColumn("unit", F.xxhash64("unit")).repartition(parts, "cluster", "unit").sortWithinPartitions("cluster", "unit", "side", "cls")
     return work.select("cluster", "unit", "side", "cls", "shingles").mapInArrow(compare, "a long, b long")
 
