@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from meshframes.llm.common import blocks, groups, stored, with_arrow_columns
 from meshframes.llm.components import components
 from meshframes.llm.lang_id import mix
-from meshframes.llm.url_filter import fill
 
 WORDS = 5
 #: Links need NUM * union <= DEN * intersection.
@@ -368,9 +367,26 @@ def join_classes(docs: DataFrame, named: DataFrame, known: Frequent, total: int)
     units = _blocks(members.select("cluster", "cls", "n"))
     shared = spark.sparkContext.broadcast(known)  # bounded by FREQUENT
 
+    # texts of classes in clusters, by the smallest doc_id of each; a filter of fixed size lets few others through (more when it
+    # is overfull), and the join by class drops those; rows without a doc_id all pass
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_FILTER_BITS))
+    word = members.where("doc_id is not null").select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("v"))
+    got = word.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()  # ID_FILTER_BITS / 64 rows at most
+    words = np.zeros(ID_FILTER_BITS // 64, np.uint64)
+    words[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
+    wanted = spark.sparkContext.broadcast(words)
+
     def fetch(batches):
-        for b, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+        def likely():
+            for b in batches:
+                at = pc.fill_null(b.column("place"), -1).to_numpy()
+                hit = (wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+                yield b.filter(pa.array((at < 0) | (hit == 1)))
+
+        for _, sets in _sets(likely()):
+            rows = [(class_of(s), s.tobytes()) for s in sets if len(s)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["cls", "shingles"])
 
     def compare(batches):
         out: list[tuple[int, int]] = []
@@ -386,13 +402,8 @@ def join_classes(docs: DataFrame, named: DataFrame, known: Frequent, total: int)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    # a text of each class in a cluster: by its smallest doc_id, or among the rows without one; a filter of fixed size
-    # lets few others reach the join (when it is overfull more do)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = members.where("doc_id is not null").select("doc_id").distinct()
-    likely = fill(ids.select(F.col("doc_id").alias("key")), ID_FILTER_BITS, 1, 0).passes(F.col("doc_id"))
-    some = texts.where(likely).join(ids, "doc_id", "left_semi").union(texts.where("doc_id is null"))
-    sets = some.select("text").mapInArrow(fetch, "cls long, shingles binary")
+    texts = docs.select("text", F.when(F.col("doc_id").isNotNull(), place).alias("place"))
+    sets = texts.mapInArrow(fetch, "cls long, shingles binary")
     work = units.join(sets, "cls").withColumn("unit", F.xxhash64("unit")).repartition(parts, "cluster", "unit").sortWithinPartitions("cluster", "unit", "side", "cls")
     return work.select("cluster", "unit", "side", "cls", "shingles").mapInArrow(compare, "a long, b long")
 

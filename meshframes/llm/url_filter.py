@@ -81,12 +81,7 @@ class Level:
 def make_level(keys: DataFrame, n: int, chance: float, seed: int) -> Level:
     """A filter over ``n`` keys which others pass with probability ``chance`` or so."""
     probes = max(1, round(math.log2(1 / chance)))
-    return fill(keys, max(64, 64 * math.ceil(n * probes / math.log(2) / 64)), probes, seed)
-
-
-def fill(keys: DataFrame, bits: int, probes: int, seed: int) -> Level:
-    """A filter of a given size (a multiple of 64 bits) over ``keys`` (key)."""
-    empty = Level(seed, bits, probes, b"")
+    empty = Level(seed, max(64, 64 * math.ceil(n * probes / math.log(2) / 64)), probes, b"")
     at = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("p"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
     found = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(one).alias("v")).collect()
@@ -96,7 +91,7 @@ def fill(keys: DataFrame, bits: int, probes: int, seed: int) -> Level:
     return Level(seed, empty.bits, probes, bytes(words))
 
 
-def build(universe: DataFrame, listed: DataFrame, max_keys: int = 10_000_000) -> list[Level]:
+def build(universe: DataFrame, listed: DataFrame, max_keys: int = 500_000) -> list[Level]:
     """The cascade for ``listed`` (key) over all distinct keys of ``universe`` (key)."""
     marked = stored(
         universe.select("key").where(F.col("key").isNotNull()).distinct()
