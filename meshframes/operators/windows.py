@@ -197,3 +197,28 @@ def process_rates(samples: DataFrame, range_s: int = 60) -> DataFrame:
         "max_fds",
         (F.col("at_ms") / 1000.0 - F.col("start_time_s")).alias("uptime_s"),
     )
+
+
+def counters(frames: DataFrame, conn_events: DataFrame, tick_ms: int = 10_000, tiebreak=("seq",)) -> DataFrame:
+    """The relay's cumulative counters per source, at every tick in whose interval a frame or a state change fell:
+    packets, bytes, reconnects, errors, connected (0 or 1) and the time of the last packet (null before the first), as
+    they stand at ``at_ms`` (the interval's end; its start is counted, its end is not).
+
+    Frames and events are reduced to a row for each (source, interval) before the running totals."""
+    def tick(c: str) -> Column:
+        return ((F.floor(F.col(c) / F.lit(tick_ms)) + 1) * F.lit(tick_ms)).cast("long").alias("at_ms")
+
+    p = frames.groupBy("source", tick("received_at_ms")).agg(
+        F.count(F.lit(1)).alias("p"), F.sum("payload_bytes").alias("b"), F.max("received_at_ms").alias("last"))
+    retry = F.col("state").isin("reconnect_wait", "reconnect_wait_degraded")
+    e = conn_events.withColumn("_at", tick("at_ms")).groupBy("source", F.col("_at").alias("at_ms")).agg(
+        F.count_if(retry).alias("r"), F.count_if(F.col("error").isNotNull()).alias("x"),
+        F.max_by((F.col("state") == "connected").cast("int"), F.struct("at_ms", *tiebreak)).alias("c"))
+    both = p.unionByName(e, allowMissingColumns=True).groupBy("source", "at_ms").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("p", "b", "r", "x")], F.max("last").alias("last"), F.max("c").alias("c"))
+    both = materialize(both, "counter-ticks")
+    s = ordered_scan(both, ["source"], "at_ms", bucket_ms=max(3_600_000, 1000 * tick_ms),
+                     running_sum={"packets": F.col("p"), "bytes": F.col("b"), "reconnects": F.col("r"), "errors": F.col("x")},
+                     running_max={"last_packet_ms": F.col("last"), "_c": F.when(F.col("c").isNotNull(), F.struct("at_ms", "c"))})
+    return s.select("source", "at_ms", *[F.col(c).cast("long") for c in ("packets", "bytes", "reconnects", "errors")],
+                    F.coalesce(F.col("_c.c"), F.lit(0)).cast("int").alias("connected"), "last_packet_ms")

@@ -9,7 +9,7 @@ from meshframes.operators import aggregates as agg
 from meshframes.operators import filters as flt
 from meshframes.operators import windows as win
 from meshframes.plans.registry import query
-from meshframes.plans.sql import CONN_EVENTS, CONV_GAPS, COUNTERS, PROCESS_SAMPLES, SUBSCRIPTION_EVENTS, with_
+from meshframes.plans.sql import CONN_EVENTS, CONV_GAPS, COUNTERS, FRAMES, PROCESS_SAMPLES, SUBSCRIPTION_EVENTS, with_
 from meshframes.session import configure
 
 
@@ -246,3 +246,26 @@ def range_rate_total_1m(spark, sf_dir):
     """W5 (total): relay-wide reset-aware rate over 1 minute; bandwidth in bits/s."""
     r = win.range_rate(_counters(spark, sf_dir), 60, by_source=False)
     return r.select("at_ms", _r6("packets_per_s"), _r6("bytes_per_s"), _r6("bits_per_s"))
+
+
+@query(
+    "counters_from_frames",
+    with_(FRAMES, CONN_EVENTS)
+    + """
+, t as (
+  select source, (received_at_ms // 600000 + 1) * 600000 as at_ms, count(*) as p, sum(payload_bytes) as b, max(received_at_ms) as last,
+         0 as r, 0 as x, cast(null as integer) as c from frames group by 1, 2
+  union all
+  select source, (at_ms // 600000 + 1) * 600000, 0, 0, null, count_if(state in ('reconnect_wait', 'reconnect_wait_degraded')), count(error),
+         cast(arg_max(state = 'connected', {'t': at_ms, 's': seq}) as integer) from conn_events group by 1, 2)
+, g as (select source, at_ms, sum(p) as p, sum(b) as b, max(last) as last, sum(r) as r, sum(x) as x, max(c) as c from t group by 1, 2)
+select source, cast(at_ms as bigint) as at_ms, cast(sum(p) over w as bigint) as packets, cast(sum(b) over w as bigint) as bytes,
+       cast(sum(r) over w as bigint) as reconnects, cast(sum(x) over w as bigint) as errors,
+       coalesce(last_value(c ignore nulls) over w, 0) as connected, max(last) over w as last_packet_ms
+from g window w as (partition by source order by at_ms rows between unbounded preceding and current row)""",
+)
+def counters_from_frames(spark, sf_dir):
+    """Cumulative counters per source and 10-minute tick from frames and state changes."""
+    configure(spark)
+    frames = fx.frames_from_events(spark, sf_dir, decode=False)
+    return win.counters(frames, fx.conn_events_from_events(spark, sf_dir), 600_000)
