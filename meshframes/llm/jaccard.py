@@ -46,7 +46,7 @@ CHUNK = 1_000_000
 #: How many postings the verification of a candidate is worth in the cost estimate.
 VERIFY = 16.0
 #: A cluster is compared in blocks of about so many classes.
-BLOCK_CLASSES = 400
+BLOCK_CLASSES = 1_500
 #: Postings to a bucket, about.
 BUCKET_POSTINGS = 1_000_000
 #: At most so many shingles are known to be frequent.
