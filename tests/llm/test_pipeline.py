@@ -1,5 +1,6 @@
 import __spark_entry__ as E
 import corpus_pipeline as cp
+from meshframes.llm import mixing
 from tests.conftest import SF_SMALL
 from tests.llm.test_jaccard import plain_sets
 from tests.llm.test_quality import plain
@@ -42,6 +43,20 @@ def test_stages_by_plain_versions(spark):
     assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
 
 
+def test_mixing_keeps_every_document(spark):
+    rows = [(i, "wort " * 4000, "de", "hot" if i % 3 == 0 else f"s{i % 7}", 20_000) for i in range(240)]
+    rows += [(240, "", "de", "blank", 0), (241, None, None, None, 0), (3, "wort", "de", "hot", 4), (3, "wort", "de", "hot", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.mixture(spark, docs, SF_SMALL).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    # all of the hot source's surplus and what has no slot lies after the rest
+    mixed = mixing.mix(docs, mixing.capped_weights(mixing.source_sizes(docs), cp.MAX_SHARE)).collect()
+    assert sum(r.slot is None for r in mixed) == 2 and sum(not r.mixed and r.source == "hot" for r in mixed) > 20
+    slots = {r.doc_id: r.slot for r in mixed if r.doc_id != 3}
+    order = [slots[r.doc_id] for r in out if r.doc_id != 3]
+    assert order == sorted(order, key=lambda x: (x is None, x))
+
+
 def test_registered():
     queries, sql = E.queries(), E.oracle_sql()
     assert "pipeline" in queries and sum(n.startswith("op") and n[2].isdigit() for n in queries) == 10
