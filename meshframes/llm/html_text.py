@@ -7,7 +7,9 @@ its host in that order (longest common path prefix, ``NEAR`` pages to either sid
 their longest common subsequence, and shared lines are deleted.
 
 What a page itself marks as its article (``article``, ``main``, or a role or class that says so) is exempt from
-deletion, as copies of an article share all its lines; and a page with such a mark keeps nothing else. A neighbour with
+deletion, as copies of an article share all its lines; and a page with such a mark keeps nothing else. Boilerplate is named by whole
+words of a class, id or role, also on an ``article``. A tag around a ``main``, or around the only articles of a page, drops nothing;
+articles that lie in named boilerplate are kept if there are no others, but don't mark the page. A neighbour with
 exactly the same lines is a copy and teaches nothing. At the border of a partition a page has neighbours on one side only.
 
 Defined results: a null or empty html gives an empty text; a page without a host, or alone on it, loses no line;
@@ -17,7 +19,6 @@ repeated rows are each other's copies; the columns ``text`` and ``n_chars`` repl
 from __future__ import annotations
 
 import bisect
-import re
 from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -33,54 +34,66 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Tags without main text.
-DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input label math menu nav noscript object script select style svg template textarea title".split())
-#: Words of a class, id or role that name boilerplate.
+#: Tags without main text: what no article can lie in, what may wrap one, and what names boilerplate.
+UNSEEN = frozenset("canvas datalist head iframe script select style svg template textarea title".split())
+WRAPS = frozenset("button form input noscript object".split())
+DROPPED = frozenset("aside footer menu nav".split())
+#: Tags that are dropped outside an article only.
+LOOSE = frozenset("dialog header label".split())
+#: Whole words of a class, id or role that name boilerplate.
 NAMED = frozenset(
     "ad ads advert advertisement adverts alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus "
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo related search share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 ARTICLE = frozenset("article main".split())
-ARTICLE_WORDS = frozenset("articlebody mainbody maincontent".split())
-WORD = re.compile(r"[a-z0-9]+")
+MAIN_WORDS = frozenset("mainbody maincontent".split())
+ARTICLE_WORDS = MAIN_WORDS | {"articlebody"}
 
 
 class PageLines(HTMLParser):
-    """Lines of a page as (text, is it in the article)."""
+    """Lines of a page as (text, is it in the main article). Which dropped tags hold an article is known at the end only."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, drops its content, is an article
-        self.text: list[str] = []
-        self.dropping = 0
-        self.inside = 0
+        self.read: list[tuple[list[tuple[str, tuple]], tuple]] = []  # parts of a line, the articles that it is in
+        self.open: list[tuple[str, tuple, tuple, bool]] = []  # tag; drops and articles around it; is it unseen
+        self.parts: list[tuple[str, tuple]] = []  # text, the drops that it is in
+        self.drops: tuple[int, ...] = ()
+        self.articles: tuple[int, ...] = ()
+        self.unseen = 0
+        self.names: list[bool] = []  # of each drop: does it name boilerplate, or is it something that may wrap a page
+        self.found: list[tuple[bool, tuple]] = []  # of each article: is it a main, the drops around it
 
     def flush(self) -> None:
-        line = " ".join("".join(self.text).split())
-        if line:
-            self.lines.append((line, self.inside > 0))
-        self.text = []
+        if self.parts:
+            self.read.append((self.parts, self.articles))
+            self.parts = []
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
         elif tag == "br":
-            self.text.append(" ")
+            self.parts.append((" ", ()))
         if tag in ("body", "article", "main"):  # an unclosed head ends here
             self.close_to("head")
         if tag in VOID:
             return
         named = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "itemprop", "hidden", "aria-hidden")}
-        words = WORD.findall(" ".join(named.get(k, "") for k in ("class", "id", "role")))
+        words = " ".join(named.get(k, "") for k in ("class", "id", "role")).split()
         joined = {x.replace("-", "").replace("_", "") for k in ("class", "id", "itemprop") for x in named.get(k, "").split()}
-        article = tag in ARTICLE or named.get("role") in ARTICLE or bool(joined & ARTICLE_WORDS)
-        drops = tag in DROPPED or (tag == "header" and not self.inside) or "hidden" in named or named.get("aria-hidden") == "true"
-        drops = drops or (tag not in ("html", "body") and not article and not NAMED.isdisjoint(words))
-        self.open.append((tag, drops, article))
-        self.dropping += drops
-        self.inside += article
+        main = tag == "main" or named.get("role") == "main" or bool(joined & MAIN_WORDS)
+        article = main or tag in ARTICLE or named.get("role") in ARTICLE or bool(joined & ARTICLE_WORDS)
+        unseen = tag in UNSEEN or "hidden" in named
+        names = tag in DROPPED or (tag in LOOSE and not self.articles) or (tag not in ("html", "body") and not main and not NAMED.isdisjoint(words))
+        self.open.append((tag, self.drops, self.articles, unseen))
+        self.unseen += unseen
+        if names or tag in WRAPS or named.get("aria-hidden") == "true":
+            self.names.append(names)
+            self.drops += (len(self.names) - 1,)
+        if article and not names and not self.unseen:
+            self.articles += (len(self.found),)
+            self.found.append((main, self.drops))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -88,11 +101,10 @@ class PageLines(HTMLParser):
             self.handle_endtag(tag)
 
     def close_to(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.open):
+        if any(x[0] == tag for x in self.open):
             while True:
-                t, drops, article = self.open.pop()
-                self.dropping -= drops
-                self.inside -= article
+                t, self.drops, self.articles, unseen = self.open.pop()
+                self.unseen -= unseen
                 if t == tag:
                     break
 
@@ -102,8 +114,18 @@ class PageLines(HTMLParser):
         self.close_to(tag)
 
     def handle_data(self, data):
-        if not self.dropping:
-            self.text.append(data)
+        if not self.unseen:
+            self.parts.append((data, self.drops))
+
+    def lines(self) -> list[tuple[str, bool]]:
+        marks = {i for i, (main, drops) in enumerate(self.found) if main or not any(self.names[d] for d in drops)}
+        held = {d for i, (_, drops) in enumerate(self.found) if i in marks or not marks for d in drops}
+        out = []
+        for parts, articles in self.read:
+            line = " ".join("".join(x for x, drops in parts if held.issuperset(drops)).split())
+            if line:
+                out.append((line, not marks.isdisjoint(articles)))
+        return out
 
 
 def page_lines(html: str) -> list[tuple[str, bool]]:
@@ -111,7 +133,7 @@ def page_lines(html: str) -> list[tuple[str, bool]]:
     p.feed(html)
     p.close()
     p.flush()
-    return p.lines
+    return p.lines()
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:

@@ -22,6 +22,20 @@ def test_marked_article():
     assert text("<head><title>t<body><p>x") in ("", "x")
 
 
+def test_names_are_whole_words_and_drop_no_article():
+    for mark in ("content-sidebar-wrap", "has-sidebar", "post social-science", "share-price", "related-work", "search", "page sidebar"):
+        assert text(f'<div class="{mark}"><main>Story</main></div>') == "Story"
+        assert text(f'<nav>Menu</nav><div id="{mark}"><article>Story</article></div>') == "Story"
+    assert text('<div id="search-results"><p>One</p></div>') == "One"
+    assert text('<p>Menu</p><form><div aria-hidden="true"><article>Story</article></div></form>') == "Story"
+    assert text("<article>a <math><mi>x</mi></math> <label>b</label><dialog>c</dialog><form>Send<label>d</label></form></article>") == "a x b\nc"
+    assert text('<p>Body</p><article class="comment">First!</article><article class="ad">Buy</article>') == "Body"
+    assert text('<article>Story<div id="comments"><article>First!</article></div></article><div class="related"><article>More</article></div>') == "Story"
+    assert text('<p>Body</p><div id="comments"><article>First!</article></div>') == "Body\nFirst!"
+    assert text('<p>Body</p><template><article>No</article></template><div hidden><main>No</main></div>') == "Body"
+    assert text('<p>a <span class="ad">Buy</span>b</p>') == "a b"
+
+
 def test_shared_lines_of_unmarked_pages_go():
     a = "<div>Our site</div><div>Home | About</div><p>Story one.</p><p>Same words.</p><div>Terms</div>"
     b = "<div>Our site</div><div>Home | About</div><p>Story two.</p><div>Terms</div><p>Same words.</p>"
