@@ -2,15 +2,18 @@
 
 Pages are range-partitioned and sorted by (host, path), so pages with near urls are neighbours however many
 pages a host has. Each page becomes a list of lines (one for each block of its layout; scripts, styles, markup and named
-boilerplate such as menus, forms, adverts or reader comments give none). It is paired with the nearest other page of
-its host in that order (longest common path prefix, ``NEAR`` pages to either side), the lines of both are aligned by
-their longest common subsequence, and shared lines are deleted.
+boilerplate such as menus, forms, adverts or reader comments give none). Consecutive pages of a host
+with exactly the same lines are a run of copies, however long. A page is paired with the nearest page of its host that differs: the end of the
+run before its own or the start of the run after it, whichever has the longer common path prefix (of equal ones the run before). The lines of both
+are aligned by their longest common subsequence, and shared lines are deleted. The cuts between partitions are
+chosen first, over a small table of the pages' digests; the runs beside each cut are handed to its partitions as hashes of their lines,
+so the text does not depend on how the pages are partitioned.
 
 What a page itself marks as its article (``article``, ``main``, or a role or class that says so) is exempt from
 deletion, as copies of an article share all its lines; and a page with such a mark keeps nothing else. Boilerplate is named by whole
 words of a class, id or role, also on an ``article``. A tag around a ``main``, or around the only articles of a page, drops nothing;
-articles that lie in named boilerplate are kept if there are no others, but don't mark the page. A neighbour with
-exactly the same lines is a copy and teaches nothing. At the border of a partition a page has neighbours on one side only.
+articles that lie in named boilerplate are kept if there are no others, but don't mark the page. A page
+without lines teaches nothing and is passed over.
 
 Defined results: a null or empty html gives an empty text; a page without a host, or alone on it, loses no line;
 repeated rows are each other's copies; the columns ``text`` and ``n_chars`` replace those of the same name, others pass.
@@ -19,16 +22,20 @@ repeated rows are each other's copies; the columns ``text`` and ``n_chars`` repl
 from __future__ import annotations
 
 import bisect
+import hashlib
+import itertools
+import pickle
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from meshframes.llm.common import stored
 from meshframes.llm.url_filter import host_and_path
 
-NEAR = 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -160,13 +167,15 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _kept(lines: list[tuple[str, bool]], shared: set[int]) -> str:
+    marked = any(inside for _, inside in lines)
+    return "\n".join(x for i, (x, inside) in enumerate(lines) if inside or not marked and i not in shared)
+
+
 def main_text(lines: list[tuple[str, bool]], near: list[list[tuple[str, bool]]]) -> str:
     """``near``: the lines of neighbouring pages, nearest first."""
-    texts = [x for x, _ in lines]
     other = next((o for o in near if o != lines), None)
-    shared = common_lines(texts, [x for x, _ in other]) if other else set()
-    marked = any(inside for _, inside in lines)
-    return "\n".join(x for i, (x, inside) in enumerate(lines) if inside or not marked and i not in shared)
+    return _kept(lines, common_lines([x for x, _ in lines], [x for x, _ in other]) if other else set())
 
 
 def _prefix(a: str, b: str) -> int:
@@ -178,27 +187,133 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def _differenced(rows: Iterator[tuple[str, str, list, int]]) -> Iterator[tuple[str, int]]:
-    """rows: (host, path, lines, tag) in order; yields (text, tag) in the same order with a window of 2 * NEAR + 1 pages."""
-    window: deque = deque()
-    at = 0  # the next page of the window to give out
+def _keys(lines: list[tuple[str, bool]]) -> list[tuple[bytes, bool]]:
+    """Lines by their hashes, which are alike in all tasks."""
+    return [(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inside) for x, inside in lines]
+
+
+@dataclass
+class Run:
+    """Consecutive pages of a host with the same lines, with their first and last path; ``lines`` is None if all lie in other partitions."""
+
+    host: str
+    first: str
+    last: str
+    keys: list[tuple[bytes, bool]] | bytes  # or their digest
+    lines: list[tuple[str, bool]] | None = None
+    page: tuple[str, str, int] | None = None  # one of its pages
 
-    def near(i: int) -> list:
-        host, path, _, _ = window[i]
-        mates = [(abs(j - i), j) for j in range(max(0, i - NEAR), min(len(window), i + NEAR + 1)) if j != i and host and window[j][0] == host]
-        return [window[j][2] for _, _, j in sorted((-_prefix(path, window[j][1]), d, j) for d, j in mates)]
+    def goes_on(self, host: str, keys: list[tuple[bytes, bool]] | bytes) -> bool:
+        return bool(host) and self.host == host and self.keys == keys
 
-    for row in rows:
-        window.append(row)
-        if len(window) - at > NEAR:
-            yield main_text(window[at][2], near(at)), window[at][3]
-            at += 1
-            if at > NEAR:
-                window.popleft()
-                at -= 1
-    while at < len(window):
-        yield main_text(window[at][2], near(at)), window[at][3]
-        at += 1
+    def text(self, other: Run | None) -> str:
+        if other is None or any(inside for _, inside in self.keys):
+            return _kept(self.lines, set())
+        return _kept(self.lines, common_lines([k for k, _ in self.keys], [k for k, _ in other.keys]))
+
+
+def joined_runs(runs: Iterable[Run]) -> list[Run]:
+    out: list[Run] = []
+    for r in runs:
+        if out and out[-1].goes_on(r.host, r.keys):
+            out[-1] = replace(out[-1], last=r.last)
+        else:
+            out.append(r)
+    return out
+
+
+def digest(keys: list[tuple[bytes, bool]]) -> bytes | None:
+    """None for a page without lines."""
+    return hashlib.blake2b(b"".join(k + bytes([inside]) for k, inside in keys), digest_size=16).digest() if keys else None
+
+
+def border_runs(pages: Iterable[tuple[str, str, int, bytes | None]]) -> tuple[list[Run], list[Run]]:
+    """The first two and the last two runs of (host, path, hash, digest) in order."""
+    firsts: list[Run] = []
+    lasts: list[Run] = []
+    runs = 0
+    for host, path, h, found in pages:
+        if found is None:
+            continue
+        if lasts and lasts[-1].goes_on(host, found):
+            lasts[-1].last = path
+            continue
+        run = Run(host, path, path, found, page=(host, path, h))
+        runs += 1
+        if runs <= 2:
+            firsts.append(replace(run))
+        lasts = [*lasts[-1:], run]
+    return firsts, lasts
+
+
+def runs_around(borders: list[tuple[list[Run], list[Run]]]) -> list[tuple[list[Run], list[Run]]]:
+    """Of each partition the two runs before and the two after it, from the :func:`border_runs` of all partitions in order."""
+    before: list[list[Run]] = []
+    after: list[list[Run]] = []
+    near: list[Run] = []
+    for _, lasts in borders:
+        before.append(near)
+        near = joined_runs([*near, *lasts])[-2:]
+    near = []
+    for firsts, _ in reversed(borders):
+        after.append(near)
+        near = joined_runs([*firsts, *near])[:2]
+    return list(zip(before, reversed(after)))
+
+
+def _differenced(pages: Iterable[tuple[str, str, str]], before: Iterable[Run] = (), after: Iterable[Run] = ()) -> Iterator[str]:
+    """The text of each of the pages (host, path, html), which are in order."""
+    older: Run | None = None
+    run: Run | None = None
+    waiting: list[str | None] = []  # paths of pages of the run, None for pages without lines
+
+    def texts(newer: Run | None) -> Iterator[str]:
+        left = older if older and run.host and older.host == run.host else None
+        right = newer if newer and run and run.host and newer.host == run.host else None
+        made: dict[bool, str] = {}
+        for path in waiting:
+            if path is None:
+                yield ""
+                continue
+            to_right = right is not None and (left is None or _prefix(path, right.first) > _prefix(path, left.last))
+            if to_right not in made:
+                made[to_right] = run.text(right if to_right else left)
+            yield made[to_right]
+
+    def entries():
+        yield from ((r, None) for r in before)
+        last, lines, keys = None, [], []
+        for host, path, html in pages:
+            if html != last:
+                lines = page_lines(html)
+                last, keys = html, _keys(lines)
+            yield Run(host, path, path, keys, lines), path
+        yield from ((r, None) for r in after)
+
+    for r, path in entries():
+        if not r.keys:  # a page without lines teaches nothing
+            waiting.append(None)
+        elif run and run.goes_on(r.host, r.keys):
+            run = replace(run, last=r.last, lines=run.lines or r.lines)
+            if path is not None:
+                waiting.append(path)
+        else:
+            if run:
+                yield from texts(r)
+                waiting = []
+            older, run = run, r
+            if path is not None:
+                waiting.append(path)
+    yield from texts(None)
+
+
+def part_of(key: Column, cuts: list[tuple[str, str, int]]) -> Column:
+    """How many of the sorted ``cuts`` are not above ``key`` (binary search)."""
+    if not cuts:
+        return F.lit(0)
+    all_ = F.array(*(F.struct(*(F.lit(x) for x in c)) for c in cuts))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(all_, n + step - 1) <= key, n + step).otherwise(n))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", partitions: int | None = None) -> DataFrame:
@@ -207,28 +322,66 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", partitions:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url))
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    read = pages.select(*kept, F.col(html).alias("__llm_html"), host.alias("__llm_host"), path.alias("__llm_path"), F.xxhash64(html).alias("__llm_h"))
-    ordered = read.repartitionByRange(n, "__llm_host", "__llm_path", "__llm_h").sortWithinPartitions("__llm_host", "__llm_path", "__llm_h")
+    key = ["__llm_host", "__llm_path", "__llm_h"]
+    page_key = [host.alias(key[0]), path.alias(key[1]), F.xxhash64(html).alias(key[2])]
+    read = pages.select(*kept, F.col(html).alias("__llm_html"), *page_key)
+    keyed = pages.select(F.col(html).alias("__llm_html"), *page_key)
+
+    def parse(make):
+        def task(batches):
+            for b in batches:
+                found = [make(_keys(page_lines(x.as_py() or ""))) for x in b.column("__llm_html")]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in key), pa.array(found, pa.binary())], names=[*key, "found"])
+
+        return task
+
+    def borders(batches):
+        first: list = []
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*key, "found"))))
+
+        def seen():
+            for r in rows:
+                if not first:
+                    first.append(r[:3])
+                yield r
+
+        runs = border_runs(seen())
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((first[0], *runs))], pa.binary())], names=["runs"])
+
+    # the cuts between partitions, and the runs beside them: a row for each partition
+    digests = stored(keyed.mapInArrow(parse(digest), "__llm_host string, __llm_path string, __llm_h long, found binary"), "page-lines")
+    cut = digests.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(borders, "runs binary").collect()
+    parts = sorted((pickle.loads(r["runs"]) for r in cut), key=lambda x: x[0])
+    around = runs_around([x[1:] for x in parts])
+    wanted = sorted({r.page for sides in around for runs in sides for r in runs})
+    at_cuts = spark.createDataFrame(wanted, "__llm_host string, __llm_path string, __llm_h long")
+    at_cuts = keyed.join(F.broadcast(at_cuts), key, "left_semi").dropDuplicates(key).mapInArrow(parse(pickle.dumps), "__llm_host string, __llm_path string, __llm_h long, found binary")
+    lines = {tuple(r)[:3]: pickle.loads(r["found"]) for r in at_cuts.collect()} if wanted else {}
+    shared = spark.sparkContext.broadcast([[[replace(r, keys=lines[r.page]) for r in runs] for runs in sides] for sides in around])
+
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    part = part_of(F.struct(*key), [x[0] for x in parts[1:]])
+    ordered = read.withColumn("__llm_part", part).repartitionById(max(1, len(parts)), F.col("__llm_part")).sortWithinPartitions("__llm_part", *key)
 
     def task(batches):
-        waiting: deque = deque()  # batches whose pages have not all been given out
+        waiting: deque = deque()  # the kept columns of batches whose pages have not all been given out
         texts: list[str] = []
 
         def rows():
             for b in batches:
                 if not b.num_rows:
                     continue
-                waiting.append(b)
-                for h, p, x in zip(b.column("__llm_host").to_pylist(), b.column("__llm_path").to_pylist(), b.column("__llm_html")):
-                    yield h, p, page_lines(x.as_py() or ""), 0
-
-        for text, _ in _differenced(rows()):
-            texts.append(text)
-            while waiting and len(texts) >= waiting[0].num_rows:
-                b = waiting.popleft()
-                some, texts[:] = texts[: b.num_rows], texts[b.num_rows :]
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in kept), pa.array(some, pa.string()), pa.array([len(x) for x in some], pa.int64())], names=[*kept, "text", "n_chars"])
+                waiting.append(b.select(kept))
+                yield from zip(b.column("__llm_part").to_pylist(), b.column("__llm_host").to_pylist(), b.column("__llm_path").to_pylist(), b.column("__llm_html"))
+
+        for i, some in itertools.groupby(rows(), lambda r: r[0]):
+            for text in _differenced(((h, p, x.as_py() or "") for _, h, p, x in some), *shared.value[i]):
+                texts.append(text)
+                while waiting and len(texts) >= waiting[0].num_rows:
+                    b = waiting.popleft()
+                    done, texts[:] = texts[: b.num_rows], texts[b.num_rows :]
+                    yield pa.RecordBatch.from_arrays(
+                        [*b.columns, pa.array(done, pa.string()), pa.array([len(x) for x in done], pa.int64())], names=[*kept, "text", "n_chars"])
 
     return ordered.mapInArrow(task, schema)

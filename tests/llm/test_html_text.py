@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 from hypothesis import given, settings, strategies as st
 
 from meshframes.llm import html_text as ht
@@ -71,3 +73,37 @@ def test_nearest_pages_of_the_host_are_compared(spark):
     assert by[None] == "" and by[61] == "" and by[62] == "Menu 0\nText 7" and by[63] == "Menu 0\nText 8" and len(by[64]) == 999_999
     assert ht.extract(df.limit(0), partitions=2).count() == 0
     assert sorted(x.page_id for x in ht.extract(df.where("page_id < 60")).collect()) == list(range(60))
+
+
+def test_copies_and_partition_borders_hide_no_neighbour(spark):
+    menu = lambda i: f"<div>Menu</div><p>Text {i}</p>"
+    rows = [(i, f"http://many.test/a/{i:03d}", menu(0)) for i in range(50)]  # a run of copies, its only neighbour far away
+    rows += [(50, "http://many.test/a/x", "<!-- none -->"), (51, "http://many.test/b", menu(1))]
+    rows += [(100 + i, f"http://two{i // 2:02d}.test/{i % 2}", menu(i)) for i in range(40)]
+    rows += [(200 + i, f"http://only.test/{i:02d}", menu(2)) for i in range(20)]  # nothing differs
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for n in (1, 4, 37, 111):
+        got = {r.page_id: r.text for r in ht.extract(df, partitions=n).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i] == "Text 0" for i in range(50)) and got[50] == "" and got[51] == "Text 1"
+        assert all(got[100 + i] == f"Text {i}" for i in range(40))
+        assert all(got[200 + i] == "Menu\nText 2" for i in range(20))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("gh"), st.sampled_from(["", "<p>m<p>a", "<p>m<p>b", "<p>m<p>c<p>a"])), max_size=14), st.lists(st.integers(0, 14), max_size=5))
+def test_any_cut_gives_the_texts_of_a_plain_search(some, cuts):
+    pages = [(h, f"/{i:02d}", x) for i, (h, x) in enumerate(sorted(some, key=lambda p: p[0]))]
+    lines = [ht.page_lines(x) for *_, x in pages]
+    want = []
+    for i, (h, path, _) in enumerate(pages):
+        sides = (range(i - 1, -1, -1), range(i + 1, len(pages)))
+        near = [next((j for j in side if pages[j][0] == h and lines[j] and lines[j] != lines[i]), None) for side in sides]
+        near = sorted((j for j in near if j is not None), key=lambda j: -ht._prefix(path, pages[j][1]))
+        want.append(ht.main_text(lines[i], [lines[j] for j in near]))
+    at = [0, *sorted(min(c, len(pages)) for c in cuts), len(pages)]
+    parts = [pages[a:b] for a, b in zip(at, at[1:])]
+    keys = {(h, path, 0): ht._keys(x) for (h, path, _), x in zip(pages, lines)}
+    around = ht.runs_around([ht.border_runs((h, path, 0, ht.digest(keys[h, path, 0])) for h, path, _ in p) for p in parts])
+    around = [[[replace(r, keys=keys[r.page]) for r in runs] for runs in sides] for sides in around]
+    assert [t for p, (before, after) in zip(parts, around) for t in ht._differenced(p, before, after)] == want
