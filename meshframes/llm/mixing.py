@@ -4,7 +4,7 @@ Each source's documents, in the order of a hash, form a stream that is cut into
 characters (a document belongs to the block in which it begins). Weights become whole shares of a period of
 about ``slots`` slots, at least one each. Block i (from 0) of a source with share c in a period of p slots is released at slot
 ``floor(i * p / c)`` and due before slot ``ceil((i + 1) * p / c)``. Earliest-deadline-first fills every
-slot in time, so after any number of slots each source is within one block of its weight. Releases and
+slot in time, so after any number of slots each source is within one block of its whole share. Releases and
 deadlines repeat with the period, so the schedule of one period (a fold over its slots, whose cost
 depends on ``slots`` and the number of sources only) gives the slot of every block of any corpus:
 ``floor(block / c) * p + slot_of[block % c]``.
@@ -14,8 +14,9 @@ A source may hold any part of all rows: its stream is cut at hash prefixes into
 What is broadcast has a row for each source and an integer for each slot of the period.
 
 Nothing is dropped: every row is returned, with its slot. Slots of a source that has run out stay empty.
-``mixed`` tells which rows make the mixture at the weights: it ends when the last source that is not over-represented
-has run out; blocks of over-represented sources beyond it are surplus.
+``mixed`` tells which rows make the mixture at the whole shares: it ends when the last source whose share is not below its part of
+all characters has run out; blocks beyond it are surplus. Shares are rounded, so that may also be a few last blocks of
+a source that is not capped, and "within one block" holds for the rounded shares only.
 
 Defined results: a null source is a source of its own; a null text has no characters and lies where it falls; a source without
 a positive weight has null block and slot and is not mixed; equal rows are interchangeable; an empty
