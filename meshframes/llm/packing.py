@@ -31,7 +31,7 @@ from meshframes.llm.tokens import encoder
 
 SHARD_DOCS = 2_048
 SHARD_TOKENS = 1_500_000
-SIGN_BITS = 8
+SIGN_BITS = 12
 
 
 @functools.cache

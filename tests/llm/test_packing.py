@@ -53,6 +53,14 @@ def test_a_window_is_filled_by_the_neighbours_of_its_seed():
     assert {d for d, *_ in first} == {0, 2, 4}
 
 
+def test_similarity_keys_tell_more_than_a_few_hundred_kinds_apart():
+    rng = np.random.default_rng(3)
+    ids = [np.append(rng.integers(3, 5000, 60), 2) for _ in range(6000)]
+    sign, _ = packing.similarity_keys(ids, 5000)
+    kinds, n = np.unique(sign, return_counts=True)
+    assert len(kinds) > 2000 and n.max() < len(ids) / 256
+
+
 def check(rows, docs, window=4096):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     lib.encode_special_tokens = True
