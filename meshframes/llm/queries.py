@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm import ann, html_text, infilling, jaccard, lang_id, mixing, packing, quality, token_frames, transcripts, url_filter
+from meshframes.llm import ann, html_text, infilling, jaccard, lang_id, mixing, packing, quality, token_frames, transcripts, url_filter, warc
 from meshframes.llm.common import stored, table
 from meshframes.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from meshframes.session import scratch_path
@@ -74,6 +74,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.detect(marked, model).select("doc_id", "held_out", "lang_pred", "score", "coverage")
 
 
+@query("op11_capture_index", warc.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_back(spark, pages.select("url", "page_id"), warc.archive(pages, scratch_path(spark, "captures")))
+
+
 @query("op13_fill_in_middle", infilling.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digest(infilling.transform(table(spark, sf_dir, "documents")))
