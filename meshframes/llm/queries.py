@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm import ann, html_text, infilling, jaccard, lang_id, mixing, packing, quality, token_frames, transcripts, url_filter, warc
+from meshframes.llm import ann, html_text, infilling, jaccard, lang_id, mixing, packing, prefix_trie, quality, token_frames, transcripts, url_filter, warc
 from meshframes.llm.common import stored, table
 from meshframes.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from meshframes.session import scratch_path
@@ -80,6 +80,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, pages.select("url", "page_id"), warc.archive(pages, scratch_path(spark, "captures")))
 
 
+@query("op12_prefix_trie", prefix_trie.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(prefix_trie.ordered(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "ordered-turns")
+    return prefix_trie.trie(*prefix_trie.borrowed(turns)).drop("what")
+
+
 @query("op13_fill_in_middle", infilling.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digest(infilling.transform(table(spark, sf_dir, "documents")))
