@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from meshframes.operators.scan import ordered_scan
+from meshframes.operators.scan import ROWS_PER_BUCKET, ordered_scan
 
 
 def source_totals(frames: DataFrame, by_hour: bool = False) -> DataFrame:
@@ -41,8 +41,8 @@ def connected_counts(states: DataFrame, by=None) -> DataFrame:
 def client_counts(subscription_events: DataFrame, tiebreak=("subscription_id",)) -> DataFrame:
     """A5: open subscriptions after every event: all-source ones + per-source ones.
 
-    A global running sum ordered by time, computed as a bucketed scan (no single
-    task holds the whole stream).
+    A global running sum ordered by time, computed as a scan over buckets at quantiles of the event
+    times (no single task holds the whole stream, nor a burst of it).
     """
     delta = F.when(F.col("opened"), F.lit(1)).otherwise(F.lit(-1))
     e = subscription_events.withColumn("_k", F.lit(0)).withColumn("_d", delta)
@@ -53,6 +53,7 @@ def client_counts(subscription_events: DataFrame, tiebreak=("subscription_id",))
         "at_ms",
         list(tiebreak),
         running_sum={"clients": F.col("_d"), "all_source_clients": F.col("_da")},
+        rows_per_bucket=ROWS_PER_BUCKET,
     )
     return s.select(
         *[c for c in subscription_events.columns if c not in ("source", "opened")],

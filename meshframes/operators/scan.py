@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # One hour of epoch milliseconds: each (key, hour) is a unit of work.
 DEFAULT_BUCKET_MS = 3_600_000
+# Buckets by quantiles: about so many rows each, at most so many a key, from sketches whose ranks err by less than half a bucket then.
+ROWS_PER_BUCKET = 2_000_000
+MOST_BUCKETS = 1_024
+SKETCH_K = 8_192
 
 
 def ordered_scan(
@@ -48,10 +52,9 @@ def ordered_scan(
     Order is ``ts`` then ``tiebreak``; it should be total for deterministic output.
     A null key is an error (it would not meet its carry).
 
-    ``rows_per_bucket``: instead of one fixed width, each key gets its own bucket
-    width so that its buckets hold about that many rows (from a per-key count and
-    time range, one row per key, joined back; AQE broadcasts it when small). A key
-    that is dense in time is then cut finer.
+    ``rows_per_bucket``: instead of one fixed width, a key of more rows is cut at
+    quantiles of its own times (:func:`quantile_bounds`), so a burst after a quiet
+    time is cut as finely as any other rows; ``bucket_ms`` is not used then.
     """
     running_sum = dict(running_sum or {})
     running_max = dict(running_max or {})
@@ -63,8 +66,9 @@ def ordered_scan(
     # per (key, bucket, map task). The input itself is shuffled once, on
     # (key, bucket), for the join of the carry and the in-bucket window.
     if rows_per_bucket:
-        d = df.join(_bucket_widths(df, keys, ts, rows_per_bucket, bucket_ms), list(keys), "left")
-        d = d.withColumn(bk, F.floor(F.col(ts) / F.col("_scan_w")).cast("long")).drop("_scan_w")
+        # a row for each key that is cut: AQE broadcasts it when its measured size allows, else splits a hot key's rows
+        d = df.join(quantile_bounds(df, keys, ts, rows_per_bucket), list(keys), "left")
+        d = d.withColumn(bk, bucket_of(ts, "_scan_bounds")).drop("_scan_bounds")
     else:
         d = df.withColumn(bk, F.floor(F.col(ts) / F.lit(bucket_ms)).cast("long"))
     nullable = [F.col(k).isNull() for k in keys if d.schema[k].nullable]
@@ -146,15 +150,27 @@ def ordered_scan(
     return j.select(*base, *out_cols)
 
 
-def _bucket_widths(df: DataFrame, keys, ts: str, rows_per_bucket: int, max_width: int) -> DataFrame:
-    """Per key: a bucket width (in ``ts`` units) giving about ``rows_per_bucket`` rows
-    per bucket, at most ``max_width``. One partial aggregation over (keys, ts)."""
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo") + 1
-    width = F.least(F.greatest(F.ceil(span * F.lit(rows_per_bucket) / F.col("_n")), F.lit(1)), F.lit(max_width))
-    # one row per key: AQE broadcasts it at run time when its measured size is
-    # under the broadcast threshold, else it is a shuffle join (no eager size job)
-    return stats.select(*keys, width.cast("long").alias("_scan_w"))
+def quantile_bounds(df: DataFrame, keys: Sequence[str], ts: str, rows_per_bucket: int) -> DataFrame:
+    """(keys, ``_scan_bounds``): ascending first values of ``ts`` of a key's buckets but the first, for keys of more than ``rows_per_bucket`` rows.
+
+    The bounds are quantiles of a KLL sketch of the key's own times, so buckets hold about ``rows_per_bucket`` rows wherever
+    its rows lie: months of silence before a burst cost no bucket. Only the keys that need cutting are sketched (at most rows / ``rows_per_bucket``
+    of them); a key is cut into :data:`MOST_BUCKETS` at most, so buckets of a key beyond that many times ``rows_per_bucket`` grow with it.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_bucket)
+    sketched = df.select(*keys, F.col(ts).cast("long").alias("_t")).join(counts, list(keys)).groupBy(*keys, "_n")
+    grid = F.array(*[F.lit(i / MOST_BUCKETS) for i in range(1, MOST_BUCKETS)])
+    cut = sketched.agg(F.kll_sketch_agg_bigint("_t", F.lit(SKETCH_K)).alias("_sketch")).select(
+        *keys, F.least(F.ceil(F.col("_n") / rows_per_bucket), F.lit(MOST_BUCKETS)).alias("_m"), F.kll_sketch_get_quantile_bigint("_sketch", grid).alias("_q"))
+    places = F.transform(F.sequence(F.lit(1), F.col("_m").cast("int") - 1), lambda i: F.round(i * MOST_BUCKETS / F.col("_m")).cast("int") - 1)
+    return cut.select(*keys, F.array_distinct(F.transform(places, lambda i: F.get("_q", i))).alias("_scan_bounds"))
+
+
+def bucket_of(ts: str, bounds: str) -> Column:
+    """Number of bounds at or below ``ts``, by binary search in the sorted array (0 where it is null)."""
+    steps = F.array(*[F.lit(1 << i) for i in range(MOST_BUCKETS.bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col(ts), at + step).otherwise(at))
+    return F.when(F.col(bounds).isNull(), F.lit(0)).otherwise(found).cast("long")
 
 
 def range_sum(
@@ -193,13 +209,14 @@ def asof(
     values: Sequence[str],
     right_tiebreak: Sequence[str] = (),
     prefix: str = "",
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """As-of join: for every ``left`` row, the ``values`` of the latest ``right`` row
     of the same key with ``right.ts <= left.ts`` (null when there is none)."""
-    return asof_many(left, keys, ts, [(right, list(values), list(right_tiebreak), prefix)])
+    return asof_many(left, keys, ts, [(right, list(values), list(right_tiebreak), prefix)], rows_per_bucket)
 
 
-def asof_many(left: DataFrame, keys: Sequence[str], ts: str, rights) -> DataFrame:
+def asof_many(left: DataFrame, keys: Sequence[str], ts: str, rights, rows_per_bucket: int | None = None) -> DataFrame:
     """Several as-of joins in one pass: ``rights`` is a list of
     ``(right, values, right_tiebreak, prefix)``.
 
@@ -219,7 +236,8 @@ def asof_many(left: DataFrame, keys: Sequence[str], ts: str, rights) -> DataFram
     for p in parts:
         u = u.unionByName(p, allowMissingColumns=True)
     s = ordered_scan(u, list(keys), ts, ["_asof_side", "_asof_id"],
-                     running_max={f"_asof_c{i}": F.col(f"_asof_v{i}") for i in range(len(rights))})
+                     running_max={f"_asof_c{i}": F.col(f"_asof_v{i}") for i in range(len(rights))},
+                     rows_per_bucket=rows_per_bucket)
     s = s.filter(F.col("_asof_side") == 1)
     out = [F.col(c) for c in lcols]
     for i, (_, values, _, prefix) in enumerate(rights):

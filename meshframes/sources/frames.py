@@ -18,12 +18,12 @@ from meshframes.functions.payload import (
     utf8_text,
 )
 from meshframes.functions.scalars import ascii_upper, payload_bytes
-from meshframes.operators.scan import DEFAULT_BUCKET_MS, ordered_scan
+from meshframes.operators.scan import DEFAULT_BUCKET_MS, ROWS_PER_BUCKET, ordered_scan
 from meshframes.schema import KIND_TEXT
 
 
 # Target frames per (source, time bucket) when stamping: a bucket is one window task.
-STAMP_ROWS_PER_BUCKET = 2_000_000
+STAMP_ROWS_PER_BUCKET = ROWS_PER_BUCKET
 
 
 def read_frames(

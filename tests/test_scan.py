@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import Window, functions as F
 
+from meshframes.operators import scan
 from meshframes.operators.scan import asof, ordered_scan, range_sum
 
 
@@ -57,6 +58,33 @@ def test_adaptive_buckets_match_windows(spark):
     assert a.exceptAll(ref).count() == 0 and ref.exceptAll(a).count() == 0
 
 
+def test_burst_after_quiet_months_is_cut_evenly(spark):
+    """One source says nothing for months, then sends nearly all of its frames within a minute."""
+    month = 30 * 86_400_000
+    quiet = spark.range(60).select(F.lit("a").alias("k"), (F.col("id") * (month // 10)).alias("ts"))
+    burst = spark.range(40_000).select(F.lit("a").alias("k"), (F.lit(6 * month) + F.col("id") * 60_000 / 40_000).cast("long").alias("ts"))
+    other = spark.range(900).select(F.lit("b").alias("k"), (F.col("id") * 1000).alias("ts"))
+    df = quiet.unionByName(burst).unionByName(other)
+    cut = df.join(scan.quantile_bounds(df, ["k"], "ts", 1000), ["k"], "left").withColumn("bk", scan.bucket_of("ts", "_scan_bounds"))
+    sizes = {(r.k, r.bk): r["count"] for r in cut.groupBy("k", "bk").count().collect()}
+    mine = [n for (k, _), n in sizes.items() if k == "a"]
+    assert 35 <= len(mine) <= 45 and max(mine) < 3 * sum(mine) / len(mine)
+    assert sizes[("b", 0)] == 900  # a key that needs no cut is one bucket
+    lows = [r.lo for r in cut.where("k = 'a'").groupBy("bk").agg(F.min("ts").alias("lo")).orderBy("bk").collect()]
+    assert lows == sorted(lows)  # buckets follow time
+    out = ordered_scan(df.withColumn("id", F.monotonically_increasing_id()), ["k"], "ts", ["id"], rows_per_bucket=1000, row_number="rn")
+    assert out.groupBy("k").agg(F.count_distinct("rn").alias("n"), F.max("rn").alias("m")).orderBy("k").collect() == [("a", 40_060, 40_059), ("b", 900, 899)]
+    late = out.where("k = 'a'").orderBy(F.col("rn").desc()).first()
+    assert late.ts == df.where("k = 'a'").agg(F.max("ts")).first()[0]
+
+
+def test_times_that_repeat_stay_in_one_bucket(spark):
+    df = spark.range(5000).select(F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("ts"))
+    cut = df.join(scan.quantile_bounds(df, ["k"], "ts", 100), ["k"], "left").withColumn("bk", scan.bucket_of("ts", "_scan_bounds"))
+    assert cut.where("ts = 7").select("bk").distinct().count() == 1
+    assert cut.groupBy("ts").agg(F.count_distinct("bk").alias("n")).where("n > 1").count() == 0
+
+
 def test_null_keys_are_an_error(spark):
     import pytest
 
