@@ -6,10 +6,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meshframes.functions.scalars import is_live, state_code, state_label
-from meshframes.operators.scan import asof, asof_many, ordered_scan
+from meshframes.operators.scan import ordered_scan
 from meshframes.session import materialize
 from meshframes.schema import IDLE_BAD_S, IDLE_WARN_S, UNKNOWN_STATE, ReconnectPolicy
 
@@ -200,46 +202,141 @@ def status_table(states: DataFrame, ages: DataFrame) -> DataFrame:
     ).orderBy(F.col("status").asc_nulls_first(), "source")
 
 
-def states_at_ticks(ticks: DataFrame, conn_events: DataFrame, tiebreak=("seq",)) -> DataFrame:
-    """State of each (source, tick) row: the latest change at or before the tick."""
-    st = asof(ticks, conn_events, ["source"], "at_ms", ["state"], right_tiebreak=list(tiebreak))
-    return st.withColumn("state", F.coalesce(F.col("state"), F.lit(UNKNOWN_STATE)))
+#: Grids (milliseconds) that tick times are tried on, coarsest first.
+TICK_GRIDS_MS = (3_600_000, 60_000, 10_000, 1_000, 1)
+#: Ticks a spell is expanded by at a time, and rows of a scan over ticks that share a task.
+TICK_BLOCK = 4_096
+
+
+def tick_grid(ticks: DataFrame) -> int:
+    """The coarsest grid that all tick times (``at_ms``) lie on."""
+    on = ticks.agg(*[F.bool_and(F.col("at_ms") % g == 0).alias(str(g)) for g in TICK_GRIDS_MS]).first()
+    return next((g for g in TICK_GRIDS_MS if on[str(g)]), 1)
+
+
+def number_ticks(ticks: DataFrame, grid: int) -> DataFrame:
+    """(at_ms, tick): distinct tick times, numbered from 0. A bucket of the scan spans :data:`TICK_BLOCK` grid points, so it can't hold more ticks."""
+    t = ticks.select("at_ms").distinct().withColumn("_one", F.lit(0))
+    return ordered_scan(t, ["_one"], "at_ms", bucket_ms=grid * TICK_BLOCK, row_number="tick").select("at_ms", "tick")
+
+
+def _up_to(grid: int, ts: str) -> Column:
+    """The grid point at or after a time; no tick lies between the two."""
+    return (F.ceil(F.col(ts) / F.lit(grid)) * F.lit(grid)).cast("long").alias("at_ms")
+
+
+def first_ticks(times: DataFrame, ticks: DataFrame, grid: int) -> DataFrame:
+    """(at_ms, tick): for each distinct grid time of ``times`` the first tick at or after it; times after the last tick go."""
+    asked = times.select("at_ms").distinct().select("at_ms", F.lit(0).alias("_side"))
+    # a tick is seen by the times after it, so the first tick at or after a time is the one after the last seen
+    known = ticks.select("at_ms", F.lit(1).alias("_side"), "tick")
+    both = asked.unionByName(known, allowMissingColumns=True).withColumn("_one", F.lit(0))
+    seen = ordered_scan(both, ["_one"], "at_ms", ["_side"], bucket_ms=grid * TICK_BLOCK, running_max={"_seen": F.col("tick")})
+    return seen.where("_side = 0").select("at_ms", (F.coalesce("_seen", F.lit(-1)) + 1).alias("tick"))
+
+
+def _source_changes(rates: DataFrame, conn_events: DataFrame, frames: DataFrame, grid: int, tiebreak) -> DataFrame:
+    """The last state, packet and spell start of each source and grid step, and its rates there."""
+    on = F.col("state") == "connected"
+    e = ordered_scan(conn_events.select("source", "at_ms", *tiebreak, "state"), ["source"], "at_ms", list(tiebreak), lag=["state"], lag_prefix="_p_")
+    begins = F.when(on & ~F.col("_p_state").eqNullSafe(F.lit("connected")), F.col("at_ms"))
+    e = e.withColumn("_begins", begins).withColumn("_o", F.struct("at_ms", *tiebreak))
+    states = e.groupBy("source", _up_to(grid, "at_ms")).agg(F.max(F.struct("_o", "state")).alias("st"), F.max("_begins").alias("begins"))
+    packets = frames.groupBy("source", _up_to(grid, "received_at_ms")).agg(F.max("received_at_ms").alias("lp"))
+    sampled = rates.select("source", "at_ms", "packets_per_s", "bytes_per_s")
+    return states.unionByName(packets, allowMissingColumns=True).unionByName(sampled, allowMissingColumns=True)
+
+
+_CHANGES = ("st", "begins", "lp", "packets_per_s", "bytes_per_s")
+
+
+def sources_at_ticks(sources: DataFrame, changes: DataFrame, last: int) -> DataFrame:
+    """One row for each tick up to ``last`` and catalog source: (tick, source, url, state, since, last_packet_ms, packets_per_s, bytes_per_s).
+
+    ``changes`` (source, tick, ...) begin spells that last to the source's next row: a source has a row at the first tick
+    and one after the last. A spell is expanded to its ticks in blocks of :data:`TICK_BLOCK`, so a source that says nothing is there at
+    every tick, and no row meets rows of other sources. Rates stand at their own tick and are 0 elsewhere.
+    """
+    bounds = F.array(F.lit(0).cast("long"), F.lit(last + 1).cast("long"))
+    ends = sources.select(F.col("id").alias("source")).distinct().select("source", F.explode(bounds).alias("tick"))
+    rows = changes.select("source", "tick", *_CHANGES).unionByName(ends, allowMissingColumns=True)
+    rows = rows.groupBy("source", "tick").agg(*[F.max(c).alias(c) for c in _CHANGES])
+    rows = materialize(rows.join(sources.select(F.col("id").alias("source"), "url").dropDuplicates(["source"]), "source"), "source-spells")
+    spells = ordered_scan(rows, ["source"], "tick", bucket_ms=TICK_BLOCK, lag=["tick", "packets_per_s", "bytes_per_s"],
+                          max_before={"_st": F.col("st"), "_on": F.col("begins"), "_lp": F.col("lp")}).where("prev_tick is not null")
+    block = F.explode(F.sequence(F.floor(F.col("prev_tick") / TICK_BLOCK), F.floor((F.col("tick") - 1) / TICK_BLOCK)))
+    blocks = spells.withColumn("_block", block)
+    low = F.greatest(F.col("prev_tick"), F.col("_block") * TICK_BLOCK)
+    high = F.least(F.col("tick") - 1, F.col("_block") * TICK_BLOCK + TICK_BLOCK - 1)
+    dense = blocks.withColumn("_at", F.explode(F.sequence(low, high)))
+    here = F.col("_at") == F.col("prev_tick")
+    state = F.coalesce("_st.state", F.lit(UNKNOWN_STATE))
+    return dense.select(
+        F.col("_at").alias("tick"), "source", "url", state.alias("state"), F.when(state == "connected", F.col("_on")).alias("since"),
+        F.col("_lp").alias("last_packet_ms"),
+        *[F.when(here, F.coalesce(f"prev_{c}", F.lit(0.0))).otherwise(F.lit(0.0)).alias(c) for c in ("packets_per_s", "bytes_per_s")],
+    )
 
 
 def telemetry_snapshot(
+    sources: DataFrame,
     rates: DataFrame,
     conn_events: DataFrame,
+    frames: DataFrame,
     cpu: DataFrame,
     process_samples: DataFrame,
-    clients: DataFrame,
+    subscription_events: DataFrame,
     instance: str,
     tiebreak=("seq",),
+    sample_tiebreak=("event_id",),
 ) -> DataFrame:
-    """H9: one snapshot per tick: sources (sorted by id) with state and rates, pps,
-    kbit/s, CPU percent and memory of ``instance``, open clients."""
+    """H9: one snapshot per tick (a distinct ``at_ms`` of ``rates``): every catalog source, sorted by id, with url, state, packet and byte rate
+    (0 without a sample at the tick), whole connected seconds (null unless connected) and whole seconds since its last packet (null before the
+    first); their total rates; CPU percent and memory of ``instance``; open subscriptions.
+
+    All inputs are reduced to a row for each step of the ticks' grid (and source) before they meet the ticks: the last state, packet and
+    sample, the sum of opened less closed subscriptions. Only the distinct steps are looked up among the ticks. What is not about sources
+    is then carried on from tick to tick by a scan over blocks of ticks.
+    """
     rates = materialize(rates, "snapshot-rates")
-    per_source = states_at_ticks(rates, conn_events, tiebreak)
-    snap = per_source.groupBy("at_ms").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("source").alias("id"), "state",
-                                             F.col("packets_per_s").alias("packets"),
-                                             F.col("bytes_per_s").alias("bytes")))).alias("sources"),
-        F.sum("packets_per_s").alias("pps"),
-        (F.sum("bytes_per_s") * 8 / 1000).alias("kbps"),
-    )
-    snap = materialize(snap.withColumn("_inst", F.lit(instance)), "snapshot-ticks")
-    cpu = materialize(cpu.filter(F.col("instance") == instance), "snapshot-cpu")
-    clients = materialize(clients, "snapshot-clients")
-    c = cpu.filter(F.col("instance") == instance).withColumnRenamed("instance", "_inst")
-    m = process_samples.filter(F.col("instance") == instance).withColumnRenamed("instance", "_inst")
-    cl = clients.withColumn("_inst", F.lit(instance))
-    snap = asof_many(snap, ["_inst"], "at_ms", [
-        (c, ["cpu_percent"], ["event_id"], ""),
-        (m, ["rss_bytes"], ["event_id"], ""),
-        (cl, ["clients"], ["subscription_id", "event_id"], ""),
-    ])
-    return snap.select(
-        "at_ms", "sources", "pps", "kbps",
-        F.coalesce(F.col("cpu_percent"), F.lit(0.0)).alias("cpu_percent"),
-        F.coalesce(F.col("rss_bytes"), F.lit(0)).cast("long").alias("memory_bytes"),
-        F.coalesce(F.col("clients"), F.lit(0)).cast("long").alias("clients"),
+    grid = tick_grid(rates)
+    ticks = materialize(number_ticks(rates, grid), "ticks")
+    last = ticks.agg(F.max("tick").alias("n")).first()["n"]
+    last = -1 if last is None else last
+
+    def sample(df: DataFrame, c: str) -> DataFrame:
+        own = df.where(F.col("instance") == instance)
+        return own.withColumn("_o", F.struct("at_ms", *sample_tiebreak)).groupBy(_up_to(grid, "at_ms")).agg(F.max(F.struct("_o", c)).alias(f"_{c}"))
+
+    delta = F.when(F.col("opened"), F.lit(1)).otherwise(F.lit(-1))
+    parts = [
+        _source_changes(rates, conn_events, frames, grid, tiebreak), sample(cpu, "cpu_percent"), sample(process_samples, "rss_bytes"),
+        subscription_events.groupBy(_up_to(grid, "at_ms")).agg(F.sum(delta).alias("_d")),
+    ]
+    changes = materialize(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "snapshot-changes")
+    at = materialize(first_ticks(changes, ticks, grid).where(F.col("tick") <= last), "first-ticks")
+    changes = changes.join(at, "at_ms").drop("at_ms")
+
+    per_source = sources_at_ticks(sources, changes.where("source is not null"), last)
+    item = F.struct(F.col("source").alias("id"), "url", "state", F.col("packets_per_s").alias("packets"), F.col("bytes_per_s").alias("bytes"), "since", "last_packet_ms")
+    snap = per_source.groupBy("tick").agg(
+        F.sort_array(F.collect_list(item)).alias("_sources"), F.sum("packets_per_s").alias("pps"), (F.sum("bytes_per_s") * 8 / 1000).alias("kbps"))
+
+    own = changes.where("source is null").select("tick", "_cpu_percent", "_rss_bytes", "_d").unionByName(ticks.select("tick"), allowMissingColumns=True)
+    process = own.groupBy(F.lit(0).alias("_one"), "tick").agg(
+        F.max("_cpu_percent").alias("_c"), F.max("_rss_bytes").alias("_m"), F.coalesce(F.sum("_d"), F.lit(0)).alias("_d"))
+    process = ordered_scan(process, ["_one"], "tick", bucket_ms=TICK_BLOCK, running_max={"c": F.col("_c"), "m": F.col("_m")}, running_sum={"clients": F.col("_d")})
+    whole = snap.join(process.join(ticks, "tick"), "tick")
+
+    def seconds(since: Column) -> Column:
+        return F.when(since.isNotNull(), F.floor(F.greatest(F.col("at_ms") - since, F.lit(0)) / 1000).cast("long"))
+
+    listed = F.transform("_sources", lambda x: F.struct(
+        x["id"].alias("id"), x["url"].alias("url"), x["state"].alias("state"), x["packets"].alias("packets"), x["bytes"].alias("bytes"),
+        seconds(x["since"]).alias("connected_secs"), seconds(x["last_packet_ms"]).alias("last_packet_secs_ago")))
+    return whole.select(
+        "at_ms", listed.alias("sources"), "pps", "kbps",
+        F.coalesce("c.cpu_percent", F.lit(0.0)).alias("cpu_percent"),
+        F.coalesce("m.rss_bytes", F.lit(0)).cast("long").alias("memory_bytes"),
+        F.col("clients").cast("long").alias("clients"),
     )

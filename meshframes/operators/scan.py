@@ -36,6 +36,7 @@ def ordered_scan(
     lag_prefix: str = "prev_",
     running_sum: Mapping[str, Column] | None = None,
     running_max: Mapping[str, Column] | None = None,
+    max_before: Mapping[str, Column] | None = None,
     row_number: str | None = None,
     tail: Mapping[str, tuple[Column, int]] | None = None,
     rows_per_bucket: int | None = None,
@@ -45,6 +46,7 @@ def ordered_scan(
     * ``lag``: ``<lag_prefix><c>`` = value of ``c`` on the previous row of the key.
     * ``running_sum[out] = expr``: sum of ``expr`` over the key's rows up to this one.
     * ``running_max[out] = expr``: max of ``expr`` over the key's rows up to this one.
+    * ``max_before[out] = expr``: the same over the rows before this one.
     * ``row_number``: 0-based position of the row within its key.
     * ``tail[out] = (expr, k)``: array of ``expr`` over the last ``k`` rows up to this
       one, oldest first (like ``collect_list`` over ``rowsBetween(-k+1, 0)``).
@@ -58,6 +60,7 @@ def ordered_scan(
     """
     running_sum = dict(running_sum or {})
     running_max = dict(running_max or {})
+    max_before = dict(max_before or {})
     tail = dict(tail or {})
     order = [ts, *tiebreak]
     bk = "_scan_bk"
@@ -80,7 +83,7 @@ def ordered_scan(
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in lag]), F.struct(*order)).alias("_scan_last"))
     for out, e in running_sum.items():
         aggs.append(F.sum(e).alias(f"_scan_s_{out}"))
-    for out, e in running_max.items():
+    for out, e in {**running_max, **max_before}.items():
         aggs.append(F.max(e).alias(f"_scan_m_{out}"))
     if row_number:
         aggs.append(F.count(F.lit(1)).alias("_scan_n"))
@@ -110,7 +113,7 @@ def ordered_scan(
         cols.append(F.lag("_scan_last").over(w_keys).alias("_scan_plast"))
     for out in running_sum:
         cols.append(F.sum(f"_scan_s_{out}").over(prev).alias(f"_scan_ps_{out}"))
-    for out in running_max:
+    for out in [*running_max, *max_before]:
         cols.append(F.max(f"_scan_m_{out}").over(prev).alias(f"_scan_pm_{out}"))
     if row_number:
         cols.append(F.coalesce(F.sum("_scan_n").over(prev), F.lit(0)).alias("_scan_pn"))
@@ -137,6 +140,8 @@ def ordered_scan(
         )
     for out, e in running_max.items():
         out_cols.append(F.greatest(F.col(f"_scan_pm_{out}"), F.max(e).over(w_cum)).alias(out))
+    for out, e in max_before.items():
+        out_cols.append(F.greatest(F.col(f"_scan_pm_{out}"), F.max(e).over(w_in.rowsBetween(Window.unboundedPreceding, -1))).alias(out))
     if row_number:
         out_cols.append((F.col("_scan_pn") + rn - 1).cast("long").alias(row_number))
     for out, (e, k) in tail.items():

@@ -233,17 +233,29 @@ def status_table(spark, sf_dir):
 
 
 _SNAPSHOT_SQL = (
-    with_(CONN_EVENTS, COUNTERS, PROCESS_SAMPLES, SUBSCRIPTION_EVENTS)
+    with_(FRAMES, CONN_EVENTS, COUNTERS, PROCESS_SAMPLES, SUBSCRIPTION_EVENTS, CATALOG_SQL)
     + _RATES_SQL
     + """
-, ce1 as (select source, at_ms, arg_max(state, seq) as state from conn_events group by 1, 2)
-, st as (select r.*, coalesce(ce1.state, 'disconnected') as state
-         from rates r asof left join ce1 on r.source = ce1.source and r.at_ms >= ce1.at_ms)
-, snap as (select at_ms, count(*) as n_sources, string_agg(source, ',' order by source) as source_ids,
-                  string_agg(state, ',' order by source) as states,
-                  list({'id': source, 'state': state, 'packets': round(packets_per_s, 6)::decimal(20,6),
-                        'bytes': round(bytes_per_s, 6)::decimal(20,6)} order by source) as sources,
-                  sum(packets_per_s) as pps, sum(bytes_per_s) * 8 / 1000 as kbps
+, before as (select *, lag(state) over (partition by source order by at_ms, seq) as was from conn_events)
+, spells as (select *, max(case when state = 'connected' and was is distinct from 'connected' then at_ms end)
+                       over (partition by source order by at_ms, seq rows between unbounded preceding and current row) as since from before)
+, ce1 as (select source, at_ms, arg_max({'state': state, 'since': case when state = 'connected' then since end}, seq) as s from spells group by 1, 2)
+, heard as (select distinct source, received_at_ms from frames)
+, grid as (select k.at_ms, c.id, c.url from (select distinct at_ms from rates) k cross join catalog c)
+, st as (select g.at_ms, g.id, g.url, coalesce(ce1.s.state, 'disconnected') as state,
+                coalesce(r.packets_per_s, 0.0) as packets, coalesce(r.bytes_per_s, 0.0) as bytes,
+                cast(floor((g.at_ms - ce1.s.since) / 1000) as bigint) as connected_secs,
+                cast(floor((g.at_ms - h.received_at_ms) / 1000) as bigint) as last_packet_secs_ago
+         from grid g left join rates r on r.source = g.id and r.at_ms = g.at_ms
+           asof left join ce1 on g.id = ce1.source and g.at_ms >= ce1.at_ms
+           asof left join heard h on g.id = h.source and g.at_ms >= h.received_at_ms)
+, snap as (select at_ms, count(*) as n_sources, string_agg(id, ',' order by id) as source_ids,
+                  string_agg(state, ',' order by id) as states,
+                  string_agg(concat_ws('|', id, url, state, round(packets, 6)::decimal(20,6), round(bytes, 6)::decimal(20,6),
+                                       coalesce(connected_secs::varchar, '-'), coalesce(last_packet_secs_ago::varchar, '-')), ',' order by id) as detail,
+                  list({'id': id, 'url': url, 'state': state, 'packets': round(packets, 6)::decimal(20,6), 'bytes': round(bytes, 6)::decimal(20,6),
+                        'connected_secs': connected_secs, 'last_packet_secs_ago': last_packet_secs_ago} order by id) as sources,
+                  sum(packets) as pps, sum(bytes) * 8 / 1000 as kbps
            from st group by at_ms)
 , cpu as (select at_ms, arg_max(pct, event_id) as cpu_percent from (
             select at_ms, event_id, greatest((cpu_seconds - first_value(cpu_seconds) over w)
@@ -252,10 +264,8 @@ _SNAPSHOT_SQL = (
             window w as (partition by instance order by at_ms, event_id rows between 4 preceding and current row)) x
           group by 1)
 , mem as (select at_ms, arg_max(rss_bytes, event_id) as rss from process_samples where instance = 'i-0' group by 1)
-, cl as (select at_ms, arg_max(c, subscription_id || chr(1) || lpad(event_id::varchar, 20, '0')) as clients from (
-           select *, sum(case when opened then 1 else -1 end)
-                     over (order by at_ms, subscription_id, event_id rows between unbounded preceding and current row) as c
-           from subscription_events) x group by 1)
+, cl as (select at_ms, max(c) as clients from (
+           select at_ms, sum(case when opened then 1 else -1 end) over (order by at_ms) as c from subscription_events) x group by 1)
 , full_snap as (
   select snap.*, coalesce(cpu.cpu_percent, 0.0) as cpu_percent, cast(coalesce(mem.rss, 0) as bigint) as memory_bytes,
          cast(coalesce(cl.clients, 0) as bigint) as clients
@@ -271,32 +281,39 @@ def _snapshots(spark, sf_dir):
     rates = win.sample_rates(fx.counters_from_events(spark, sf_dir))
     ps = fx.process_samples_from_events(spark, sf_dir)
     cpu = win.cpu_percent(ps.filter(F.col("instance") == "i-0"))
-    clients = agg.client_counts(fx.subscription_events_from_events(spark, sf_dir), tiebreak=("subscription_id", "event_id"))
-    return hl.telemetry_snapshot(rates, _conn(spark, sf_dir), cpu, ps, clients, "i-0")
+    frames = fx.raw_event_frames(spark, sf_dir).select("source", "received_at_ms")
+    subs = fx.subscription_events_from_events(spark, sf_dir)
+    return hl.telemetry_snapshot(_catalog(spark, sf_dir), rates, _conn(spark, sf_dir), frames, cpu, ps, subs, "i-0")
+
+
+def _dec(c):
+    return F.round(c, 6).cast("decimal(20,6)")
 
 
 @query(
     "telemetry_snapshot",
     _SNAPSHOT_SQL
-    + """select at_ms, n_sources, source_ids, states, round(pps, 6) as pps, round(kbps, 6) as kbps,
+    + """select at_ms, n_sources, source_ids, states, detail, round(pps, 6) as pps, round(kbps, 6) as kbps,
        round(cpu_percent, 6) as cpu_percent, memory_bytes, clients from full_snap""",
 )
 def telemetry_snapshot(spark, sf_dir):
-    """One snapshot per tick (sources sorted by id)."""
+    """One snapshot per tick (all catalog sources sorted by id, all their fields)."""
     s = _snapshots(spark, sf_dir)
+
+    def text(x):
+        either = [F.coalesce(x[c].cast("string"), F.lit("-")) for c in ("connected_secs", "last_packet_secs_ago")]
+        return F.concat_ws("|", x["id"], x["url"], x["state"], _dec(x["packets"]).cast("string"), _dec(x["bytes"]).cast("string"), *either)
+
     return s.select(
         "at_ms", F.size("sources").alias("n_sources"),
         F.array_join(F.transform("sources", lambda x: x["id"]), ",").alias("source_ids"),
         F.array_join(F.transform("sources", lambda x: x["state"]), ",").alias("states"),
+        F.array_join(F.transform("sources", text), ",").alias("detail"),
         F.round("pps", 6).alias("pps"), F.round("kbps", 6).alias("kbps"), F.round("cpu_percent", 6).alias("cpu_percent"),
         "memory_bytes", "clients",
     )
 
 
-def _dec(c):
-    return F.round(c, 6).cast("decimal(20,6)")
-
-
 @query(
     "telemetry_json_latest",
     _SNAPSHOT_SQL
@@ -308,10 +325,10 @@ from full_snap order by at_ms desc limit 1""",
 def telemetry_json_latest(spark, sf_dir):
     """Snapshot messages; a new reader first gets the latest one."""
     s = _snapshots(spark, sf_dir)
+    item = lambda x: F.struct(x["id"].alias("id"), x["url"].alias("url"), x["state"].alias("state"), _dec(x["packets"]).alias("packets"),
+                              _dec(x["bytes"]).alias("bytes"), x["connected_secs"].alias("connected_secs"), x["last_packet_secs_ago"].alias("last_packet_secs_ago"))
     s = s.select(
-        "at_ms",
-        F.transform("sources", lambda x: F.struct(x["id"].alias("id"), x["state"].alias("state"),
-                                                  _dec(x["packets"]).alias("packets"), _dec(x["bytes"]).alias("bytes"))).alias("sources"),
+        "at_ms", F.transform("sources", item).alias("sources"),
         _dec(F.col("pps")).alias("pps"), _dec(F.col("kbps")).alias("kbps"), _dec(F.col("cpu_percent")).alias("cpu_percent"),
         "memory_bytes", "clients",
     )

@@ -63,9 +63,9 @@ def emit(frames: DataFrame, binary: bool = False, program=None) -> DataFrame:
 
 
 def telemetry_messages(snapshots: DataFrame, struct_cols=None) -> DataFrame:
-    """One JSON message per snapshot tick."""
+    """One JSON message per snapshot tick; missing values (connected seconds, packet age) are written as null."""
     cols = struct_cols or [c for c in snapshots.columns if c != "at_ms"]
-    return snapshots.select("at_ms", F.to_json(F.struct(*cols)).alias("message"))
+    return snapshots.select("at_ms", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("message"))
 
 
 def write_telemetry(snapshots: DataFrame, path: str, struct_cols=None, mode: str = "append") -> None:
