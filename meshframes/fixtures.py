@@ -12,6 +12,8 @@ and running totals use the bucketed ordered scan, never a window over one key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meshframes.operators.scan import ordered_scan
@@ -59,19 +61,33 @@ def raw_event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames_from_events(spark: SparkSession, sf_dir: str, decode: bool = True, keep_event_id: bool = False) -> DataFrame:
+def frames_from_events(spark: SparkSession, sf_dir: str, decode: bool = True, keep_event_id: bool = False, columns: Sequence[str] | None = None, write: bool = True) -> DataFrame:
     """Stamped (and decoded) frames from events.
 
-    Decoded frames are written once as a parquet table in the checkpoint folder and
+    Decoded frames that are read more than once are written as a parquet table in the checkpoint folder and
     read back: payloads are parsed once, later filters on ``payload_type`` /
-    ``content_hash`` reach the parquet scan, and the lineage is cut.
+    ``content_hash`` reach the parquet scan, and the lineage is cut. ``columns`` are those that are written; with
+    ``write=False`` frames that are read once are decoded as they are read, and only what is selected is computed.
     """
     f = stamp_frames(raw_event_frames(spark, sf_dir), tiebreak=["_tb"], keep_tiebreak=keep_event_id)
     if keep_event_id:
         f = f.withColumnRenamed("_tb", "event_id")
     if not decode:
         return f
-    return write_table(decode_frames(f), "frames")
+    f = decode_frames(f)
+    f = f.select(*columns) if columns else f
+    return write_table(f, "frames") if write else f
+
+
+def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source catalog (id, url, mapping, disabled) of the event frames; one source never sends, one is disabled."""
+    k = (F.col("user_id") % 9).cast("string")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("src-"), k).alias("id"),
+        F.concat(F.lit("wss://src-"), k, F.lit(".example/ws")).alias("url"),
+        F.concat(F.lit("events:"), k).alias("mapping"),
+        (F.col("user_id") % 9).isin(3, 8).alias("disabled"),
+    ).distinct()
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, functions as F
 
 from meshframes.schema import KIND_TEXT
 
-_SHORT = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-JSON_ESCAPES = [("\\", "\\\\"), ('"', '\\"'), *((chr(c), _SHORT.get(c, f"\\u{c:04x}")) for c in range(32))]
+#: Control characters that have no short escape and whose code has a hexadecimal letter.
+_LETTERED = (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20))
 _JSON_OUTER_WS = r"^[ \t\n\r]+|[ \t\n\r]+$"
 
 
@@ -92,7 +92,8 @@ def repeats_probed_key(text) -> Column:
         keys = F.coalesce(F.json_object_keys(inner), F.array().cast("array<string>"))
         for name in names:
             out = out | (F.size(keys) - F.size(F.array_remove(keys, name)) > 1)
-    return F.coalesce(suspect & out, F.lit(False))
+    # a branch of its own: the keys of other texts are never listed
+    return F.when(suspect, F.coalesce(out, F.lit(False))).otherwise(F.lit(False))
 
 
 def json_string(text) -> Column:
@@ -100,9 +101,9 @@ def json_string(text) -> Column:
     else ``\\u`` with lower-case hexadecimal digits), everything else as it is."""
     t = _c(text)
     j = F.to_json(F.array(t))
-    rare = t
-    for plain, escaped in JSON_ESCAPES:
-        rare = F.replace(rare, F.lit(plain), F.lit(escaped))
-    # Spark writes those with upper-case digits
-    upper = t.rlike("[\\u000b\\u000e\\u000f\\u001a-\\u001f]")
-    return F.when(upper, F.concat(F.lit('"'), rare, F.lit('"'))).otherwise(F.substring(j, F.lit(2), F.length(j) - 2))
+    # Spark writes hexadecimal letters of escapes in upper case; an escape's backslash stands after an even number of others
+    lower = j
+    for code in _LETTERED:
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    some = t.rlike("[\u000b\u000e\u000f\u001a-\u001f]")
+    return F.substring(F.when(some, lower).otherwise(j), F.lit(2), F.length(j) - 2)

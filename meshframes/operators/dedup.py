@@ -8,20 +8,22 @@ whose hash is in either is dropped and not re-recorded. Three readings exist:
   within a run of consecutive generations holding the hash every other one passes.
 * ``dedup_replay`` (D1): generations rotate on arrivals, as the relay does, from the
   subscription start. Rotation times are a chain (next rotation = first arrival at
-  least W after the last), resolved by parallel prefix composition over W-blocks.
+  least W after the last), resolved by composing tiles of time (``operators.rotation``).
 * ``dedup_first`` (D4): Spark's ``dropDuplicates`` (batch) - first copy only.
 
-Frames without a hash always pass. Hot hashes are reduced by a partial aggregation
-to one row per (hash, generation) before any shuffle of full rows.
+Frames without a hash always pass. The rules work on narrow rows (hash, time, source, sequence), which a partial aggregation
+reduces to one per (hash, generation); whole frames take part in the last semi-join only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from meshframes.operators.scan import ordered_scan
+from meshframes.operators.rotation import rotation_generations
+from meshframes.operators.scan import run_starts
+from meshframes.session import materialize
 
 ARRIVAL_ORDER = ("received_at_ms", "source", "sequence")
 
@@ -30,23 +32,27 @@ def _sub_keys(sub: str | None) -> list[str]:
     return [sub] if sub else []
 
 
-def _admit_generations(firsts: DataFrame, keys: Sequence[str], gen: str = "_gen") -> DataFrame:
-    """Per key, keep generations that the two-generation rule admits.
+def first_of_generations(hashed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _gen, ARRIVAL_ORDER): the first frame of each hash in each generation. Of the frames only these columns are read;
+    the aggregation is partial, so a hot hash is a row a generation and task before the shuffle."""
+    first = hashed.groupBy(*keys, "_gen").agg(F.min(F.struct(*ARRIVAL_ORDER)).alias("_first"))
+    return first.select(*keys, "_gen", "_first.*")
 
-    Generations holding the key form runs of consecutive integers; a run's first
-    generation is admitted and then every second one. ``gen - position`` is constant
-    along a run (position = 0-based rank of the generation within the key, from a
-    bucketed ordered scan), so a run is a (key, gen - position) group and its start
-    is that group's minimum. A run spans at most (time range / W) rows.
+
+def admitted_generations(firsts: DataFrame, keys: Sequence[str], gen: str = "_gen") -> DataFrame:
+    """Per key, the generations that the two-generation rule admits.
+
+    Generations holding the key form runs of consecutive integers; a run's first generation is admitted and then every second one, so
+    parity with the run's start decides. Starts come from a bucketed scan: a hash that is in every generation is no single task.
     """
-    from meshframes.session import materialize
+    ranked = run_starts(materialize(firsts, "dedup-firsts"), list(keys), gen, "_run_start")
+    return ranked.filter((F.col(gen) - F.col("_run_start")) % 2 == 0).drop("_run_start")
 
-    # one row per (key, generation): small, and read twice by the scan
-    ranked = ordered_scan(materialize(firsts, "dedup-firsts"), list(keys), gen, bucket_ms=4096, row_number="_pos")
-    run = F.col(gen) - F.col("_pos")
-    start = F.min(gen).over(Window.partitionBy(*keys, run))
-    return ranked.withColumn("_run_start", start).filter((F.col(gen) - F.col("_run_start")) % 2 == 0).drop(
-        "_pos", "_run_start")
+
+def _only(frames: DataFrame, admitted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The admitted frames whole, by semi-join on their narrow rows; a frame captured twice is one frame."""
+    on = [*keys, *ARRIVAL_ORDER]
+    return frames.join(admitted.select(*on), on, "left_semi").dropDuplicates(on)
 
 
 def dedup_aligned(frames: DataFrame, window_s: int, sub: str | None = None) -> DataFrame:
@@ -55,24 +61,18 @@ def dedup_aligned(frames: DataFrame, window_s: int, sub: str | None = None) -> D
     keys = [*_sub_keys(sub), "content_hash"]
     cols = frames.columns
     hashed = frames.filter(F.col("content_hash").isNotNull())
-    firsts = (
-        hashed.withColumn("_gen", F.floor(F.col("received_at_ms") / F.lit(w_ms)).cast("long"))
-        .groupBy(*keys, "_gen")
-        .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*ARRIVAL_ORDER)).alias("_row"))
-    )
-    admitted = _admit_generations(firsts, keys).select("_row.*")
+    ids = hashed.select(*keys, *ARRIVAL_ORDER, F.floor(F.col("received_at_ms") / F.lit(w_ms)).cast("long").alias("_gen"))
+    admitted = admitted_generations(first_of_generations(ids, keys), keys)
     passthrough = frames.filter(F.col("content_hash").isNull())
-    return admitted.select(*cols).unionByName(passthrough.select(*cols))
+    return _only(hashed, admitted, keys).select(*cols).unionByName(passthrough.select(*cols))
 
 
 def dedup_first(frames: DataFrame) -> DataFrame:
     """D4 (batch): first copy of each hash over the whole table; no hash passes."""
     hashed = frames.filter(F.col("content_hash").isNotNull())
     cols = frames.columns
-    firsts = hashed.groupBy("content_hash").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*ARRIVAL_ORDER)).alias("_row")
-    )
-    return firsts.select("_row.*").select(*cols).unionByName(frames.filter(F.col("content_hash").isNull()))
+    first = hashed.groupBy("content_hash").agg(F.min(F.struct(*ARRIVAL_ORDER)).alias("_first")).select("content_hash", "_first.*")
+    return _only(hashed, first, ["content_hash"]).select(*cols).unionByName(frames.filter(F.col("content_hash").isNull()))
 
 
 def duplicate_report(frames: DataFrame) -> DataFrame:
@@ -89,95 +89,6 @@ def duplicate_report(frames: DataFrame) -> DataFrame:
     )
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    # reliable checkpoint into the session's shared checkpoint folder
-    from meshframes.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def rotation_generations(arrivals: DataFrame, keys: Sequence[str], window_ms: int, origin: str = "_origin") -> DataFrame:
-    """Generation number of every distinct arrival time under arrival-driven rotation.
-
-    ``arrivals``: distinct ``(keys, received_at_ms, origin)``. The relay rotates on
-    the first arrival at least W after the last rotation (the first "rotation" is the
-    subscription start). With time cut into W-blocks from the origin, a block holds
-    at most one rotation, and the rotation in block b is the first arrival whose
-    offset is >= the offset of the rotation in block b-1 (any offset if b-1 had
-    none). Each block is thus a step function offset -> offset; the functions of
-    consecutive blocks are composed by a parallel prefix (log2(longest run of
-    non-empty blocks) rounds of a join-free union + window), each round
-    checkpointed. Work per round is one pass over the distinct arrival times.
-    """
-    keys = list(keys)
-    w = int(window_ms)
-    ms = F.col("received_at_ms")
-    a = (
-        arrivals.withColumn("_x", ms - F.col(origin))
-        .filter(F.col("_x") >= 0)
-        .withColumn("_b", F.floor(F.col("_x") / F.lit(w)).cast("long"))
-        .withColumn("_o", F.col("_x") - F.col("_b") * F.lit(w))
-    )
-    a = _checkpoint(a)
-    blocks = a.filter(F.col("_b") >= 1).groupBy(*keys, "_b").agg(F.max("_o").alias("_omax"))
-    bl = ordered_scan(blocks, keys, "_b", bucket_ms=4096, lag=["_b"], lag_prefix="_p")
-    bl = bl.withColumn("_new", F.when(F.col("_p_b").isNull() | (F.col("_b") - F.col("_p_b") > 1), F.lit(1)).otherwise(F.lit(0)))
-    bl = ordered_scan(bl, keys, "_b", bucket_ms=4096, running_sum={"_seg": F.col("_new")})
-    seg = bl.groupBy(*keys, "_seg").agg(F.min("_b").alias("_s0"), F.max("_b").alias("_s1"))
-    bl = _checkpoint(bl.join(seg, [*keys, "_seg"]).select(*keys, "_b", "_omax", "_s0", "_s1"))
-    longest = bl.agg(F.max(F.col("_s1") - F.col("_s0") + 1).alias("n")).first()["n"] or 0
-
-    # level 0: for each block, classes (prev_hi, hi] -> (out, rotated)
-    arr_rows = a.filter(F.col("_b") >= 1).select(*keys, "_b", F.col("_o").alias("hi"), F.col("_o").alias("out"), F.lit(1).alias("rot"))
-    fin_rows = bl.filter(F.col("_omax") < w - 1).select(*keys, "_b", F.lit(w - 1).cast("long").alias("hi"),
-                                                        F.lit(0).cast("long").alias("out"), F.lit(0).alias("rot"))
-    g = arr_rows.unionByName(fin_rows).join(bl.select(*keys, "_b", "_s0", "_s1"), [*keys, "_b"])
-    g = _checkpoint(g)
-    step = 1
-    while step < longest:
-        # compose G[b] o G[b - step] for blocks whose span does not yet reach the run start
-        probes = g.filter(F.col("_b") + step <= F.col("_s1")).select(
-            *keys, (F.col("_b") + step).alias("_b"), F.col("out").alias("_v"), F.lit(0).alias("_kind"),
-            F.struct("hi", "rot").alias("_p"), F.lit(None).cast("struct<out:bigint,rot:bigint>").alias("_t"), "_s0", "_s1")
-        targets = g.filter(F.col("_b") - step >= F.col("_s0"))
-        trows = targets.select(
-            *keys, "_b", F.col("hi").alias("_v"), F.lit(1).alias("_kind"),
-            F.lit(None).cast("struct<hi:bigint,rot:bigint>").alias("_p"),
-            F.struct(F.col("out").cast("long").alias("out"), F.col("rot").cast("long").alias("rot")).alias("_t"), "_s0", "_s1")
-        win = (Window.partitionBy(*keys, "_b").orderBy(F.col("_v").desc(), F.col("_kind").desc())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        m = probes.unionByName(trows).withColumn("_m", F.last("_t", ignorenulls=True).over(win)).filter(F.col("_kind") == 0)
-        new = m.select(*keys, "_b", F.col("_p.hi").alias("hi"), F.col("_m.out").alias("out"),
-                       (F.col("_p.rot") + F.col("_m.rot")).alias("rot"), "_s0", "_s1")
-        # a block whose span now reaches its run start is only ever evaluated at input
-        # 0 again: keep just its lowest class
-        final = F.col("_b") - F.col("_s0") + 1 <= 2 * step
-        lowest = F.min("hi").over(Window.partitionBy(*keys, "_b"))
-        new = new.withColumn("_lo", lowest).filter(~final | (F.col("hi") == F.col("_lo"))).drop("_lo")
-        g = _checkpoint(g.filter(~(F.col("_b") - step >= F.col("_s0"))).unionByName(new))
-        step *= 2
-
-    # state after block b = the composed function at input 0 (its lowest class)
-    after = g.groupBy(*keys, "_b").agg(F.min_by("out", "hi").alias("_after"))
-    bl = bl.join(after.select(*keys, (F.col("_b") + 1).alias("_b"), "_after"), [*keys, "_b"], "left")
-    bl = bl.withColumn("_sin", F.when(F.col("_b") - 1 >= F.col("_s0"), F.col("_after")).otherwise(F.lit(0)))
-    rot_at = (
-        a.join(bl.select(*keys, "_b", "_sin"), [*keys, "_b"])
-        .filter(F.col("_o") >= F.col("_sin"))
-        .groupBy(*keys, "_b")
-        .agg(F.min("_o").alias("_r"))
-    )
-    bl = bl.join(rot_at, [*keys, "_b"], "left").withColumn("_rot", F.when(F.col("_r").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
-    bl = ordered_scan(bl, keys, "_b", bucket_ms=4096, running_sum={"_rsum": F.col("_rot")})
-    bl = _checkpoint(bl.select(*keys, "_b", "_r", (F.col("_rsum") - F.col("_rot")).alias("_rin")))
-    out = a.join(bl, [*keys, "_b"], "left")
-    gen = F.when(F.col("_b") < 1, F.lit(0)).otherwise(
-        F.col("_rin") + F.when(F.col("_r").isNotNull() & (F.col("_o") >= F.col("_r")), F.lit(1)).otherwise(F.lit(0))
-    )
-    return out.select(*keys, "received_at_ms", gen.cast("long").alias("_gen"))
-
-
 def dedup_replay(
     frames: DataFrame, window_s: int, origin_ms: int | None = None, sub: str | None = None
 ) -> DataFrame:
@@ -205,10 +116,6 @@ def dedup_replay(
         arrivals = arrivals.withColumn("_origin", F.lit(int(origin_ms)))
     gens = rotation_generations(arrivals, subk, w_ms)
     keys = [*subk, "content_hash"]
-    firsts = (
-        hashed.join(gens, [*subk, "received_at_ms"])
-        .groupBy(*keys, "_gen")
-        .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*ARRIVAL_ORDER)).alias("_row"))
-    )
-    admitted = _admit_generations(firsts, keys).select("_row.*")
-    return admitted.select(*cols).unionByName(f.filter(F.col("content_hash").isNull()).select(*cols))
+    ids = hashed.select(*keys, *ARRIVAL_ORDER).join(gens, [*subk, "received_at_ms"])
+    admitted = admitted_generations(first_of_generations(ids, keys), keys)
+    return _only(hashed, admitted, keys).select(*cols).unionByName(f.filter(F.col("content_hash").isNull()).select(*cols))

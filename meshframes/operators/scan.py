@@ -155,6 +155,26 @@ def ordered_scan(
     return j.select(*base, *out_cols)
 
 
+def run_starts(df: DataFrame, keys: Sequence[str], at: str, out: str, bucket: int = 4_096) -> DataFrame:
+    """Add the first value of the run of consecutive integers ``at`` (distinct per key) that a row belongs to.
+
+    A scan whose carry is the run in progress: each bucket of ``bucket`` integers finds the runs that begin in it, and tells the next ones its last run's
+    start; only whether its first run goes on from the bucket before is settled among the buckets' summaries. So a run of any length is no group
+    of its own."""
+    part = [*keys, "_run_bk"]
+    w = Window.partitionBy(*part).orderBy(at)
+    gap = F.col(at) - F.lag(at).over(w)
+    d = df.withColumn("_run_bk", F.floor(F.col(at) / bucket).cast("long")).withColumn("_begins", F.when(gap > 1, F.col(at)))
+    ends = d.groupBy(*part).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.max("_begins").alias("_in"))
+    order = Window.partitionBy(*keys).orderBy("_run_bk")
+    before = F.lag("_hi").over(order)
+    ends = ends.withColumn("_first", F.when(before.isNull() | (F.col("_lo") - before > 1), F.col("_lo")))
+    going_on = F.max(F.coalesce("_in", "_first")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    carry = ends.select(*part, F.coalesce("_first", going_on).alias("_first"))
+    begun = F.max("_begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return d.join(carry, part, "left").select(*df.columns, F.coalesce(begun, F.col("_first")).alias(out))
+
+
 def quantile_bounds(df: DataFrame, keys: Sequence[str], ts: str, rows_per_bucket: int) -> DataFrame:
     """(keys, ``_scan_bounds``): ascending first values of ``ts`` of a key's buckets but the first, for keys of more than ``rows_per_bucket`` rows.
 

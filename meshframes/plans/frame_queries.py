@@ -23,8 +23,7 @@ def _events(spark, sf_dir, **kw):
 
 
 def _docs(spark, sf_dir):
-    return fx.write_table(decode_frames(fx.frames_from_documents(spark, sf_dir).withColumn(
-        "payload_bytes", sc.payload_bytes("payload"))), "doc_frames")
+    return decode_frames(fx.frames_from_documents(spark, sf_dir).withColumn("payload_bytes", sc.payload_bytes("payload")))
 
 
 @query(
@@ -115,7 +114,7 @@ def encoding_mix(spark, sf_dir):
 )
 def json_lines(spark, sf_dir):
     """Projection text of packet and text frames."""
-    f = union_frames(_events(spark, sf_dir), _docs(spark, sf_dir))
+    f = union_frames(_events(spark, sf_dir, write=False), _docs(spark, sf_dir))
     out = to_json_lines(f)
     return out.select(
         "source", "sequence", F.md5("message").alias("message_md5"), F.octet_length("message").cast("long").alias("message_bytes")
@@ -124,7 +123,7 @@ def json_lines(spark, sf_dir):
 
 def _program_input(spark, sf_dir):
     cols = ["source", "sequence", "received_at_ms", "kind", "encoding", "payload_text"]
-    return union_frames(_events(spark, sf_dir).select(*cols), _docs(spark, sf_dir).select(*cols))
+    return union_frames(_events(spark, sf_dir, write=False).select(*cols), _docs(spark, sf_dir).select(*cols))
 
 
 @query(
@@ -183,7 +182,7 @@ def where_path(spark, sf_dir):
 def raw_source(spark, sf_dir):
     """One source's frames as received (kind, payload)."""
     f = _events(spark, sf_dir, decode=False)
-    r = raw_source_op(f, "src-2", f.select(F.col("source").alias("id")).distinct())
+    r = raw_source_op(f, "src-2", fx.source_catalog(spark, sf_dir))
     return r.select("source", "sequence", "kind", F.md5("payload").alias("payload_md5"))
 
 
@@ -211,9 +210,9 @@ def subscribe_full(spark, sf_dir):
     prog = Program(Select(".payload.data.id", ">=", 100), Reshape({"hash": ".payload.data.hash", "seq": ".sequence"}))
     sub = Subscription(sources=("src-1",), sources_csv="src-2, src-4,src-1", payload_types="click,view",
                        dedup_by_content=True, dedup_window_s=7200, program=prog)
-    f = _events(spark, sf_dir).select("source", "sequence", "received_at_ms", "kind", "encoding", "payload_text",
-                                      "payload_v", "payload_type", "content_hash")
-    return subscribe(f, sub, f.select(F.col("source").alias("id")).distinct(), dedup_mode="aligned")
+    f = _events(spark, sf_dir, columns=["source", "sequence", "received_at_ms", "kind", "encoding", "payload_text",
+                                        "payload_v", "payload_type", "content_hash"])
+    return subscribe(f, sub, fx.source_catalog(spark, sf_dir), dedup_mode="aligned")
 
 
 @query(
@@ -325,6 +324,6 @@ def subscribe_replay(spark, sf_dir):
     prog = Program(Select(".payload.data.id", ">=", 100), Reshape({"hash": ".payload.data.hash", "seq": ".sequence"}))
     sub = Subscription(sources_csv="src-1,src-2,src-4", payload_types="CLICK,view", dedup_by_content=True,
                        dedup_window_s=1800, program=prog)
-    f = _events(spark, sf_dir).select("source", "sequence", "received_at_ms", "kind", "encoding", "payload_text",
-                                      "payload_v", "payload_type", "content_hash")
-    return subscribe(f, sub, f.select(F.col("source").alias("id")).distinct(), dedup_mode="replay")
+    f = _events(spark, sf_dir, columns=["source", "sequence", "received_at_ms", "kind", "encoding", "payload_text",
+                                        "payload_v", "payload_type", "content_hash"])
+    return subscribe(f, sub, fx.source_catalog(spark, sf_dir), dedup_mode="replay")

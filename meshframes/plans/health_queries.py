@@ -53,15 +53,7 @@ AGES_SQL = f"""
 """
 
 
-def _catalog(spark, sf_dir):
-    ev = fx.table(spark, sf_dir, "events")
-    k = (F.col("user_id") % 9).cast("string")
-    return ev.select(
-        F.concat(F.lit("src-"), k).alias("id"),
-        F.concat(F.lit("wss://src-"), k, F.lit(".example/ws")).alias("url"),
-        F.concat(F.lit("events:"), k).alias("mapping"),
-        (F.col("user_id") % 9).isin(3, 8).alias("disabled"),
-    ).distinct()
+_catalog = fx.source_catalog
 
 
 def _conn(spark, sf_dir):

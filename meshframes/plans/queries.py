@@ -22,11 +22,6 @@ def _frames(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return fx.frames_from_events(spark, sf_dir, **kw)
 
 
-def _catalog_of(frames: DataFrame) -> DataFrame:
-    """Source catalog rows for the sources present in a frames table."""
-    return frames.select(F.col("source").alias("id")).distinct()
-
-
 # --- flagship -------------------------------------------------------------------------
 LIVE_TYPES = "click, VIEW,purchase"
 LIVE_WINDOW_S = 3600
@@ -55,10 +50,9 @@ from kept group by 1, 2
 )
 def live_types_once_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen packet types, each content hash once per window, per source per hour."""
-    f = _frames(spark, sf_dir)
+    # what the filter, the dedup and the totals need
+    f = _frames(spark, sf_dir, columns=["source", "sequence", "received_at_ms", "payload_bytes", "payload_type", "content_hash"])
     f = flt.filter_payload_types(f, LIVE_TYPES)
-    # dedup carries whole rows: keep only what the totals need
-    f = f.select("source", "sequence", "received_at_ms", "payload_bytes", "content_hash")
     f = dedup.dedup_aligned(f, LIVE_WINDOW_S)
     return agg.source_totals(f, by_hour=True)
 
@@ -79,7 +73,7 @@ def stamp_sequence(spark, sf_dir):
 )
 def packet_meta(spark, sf_dir):
     """Payload type (ASCII upper) and content hash of each frame."""
-    return _frames(spark, sf_dir).select("source", "sequence", "payload_type", "content_hash", "encoding")
+    return _frames(spark, sf_dir, write=False).select("source", "sequence", "payload_type", "content_hash", "encoding")
 
 
 @query(
@@ -89,7 +83,7 @@ def packet_meta(spark, sf_dir):
 )
 def type_mix(spark, sf_dir):
     """Packets and bytes per source and payload type."""
-    return agg.type_mix(_frames(spark, sf_dir))
+    return agg.type_mix(_frames(spark, sf_dir, write=False))
 
 
 @query(
@@ -102,7 +96,7 @@ from frames group by cube (source, payload_type)""",
 )
 def type_mix_cube(spark, sf_dir):
     """A8 (cube): per source and type, per source, per type and overall in one pass."""
-    return agg.type_mix(_frames(spark, sf_dir), cube=True)
+    return agg.type_mix(_frames(spark, sf_dir, write=False), cube=True)
 
 
 @query(
@@ -144,7 +138,7 @@ union all select source, sequence, received_at_ms, content_hash from frames wher
 @query("dedup_aligned", with_(FRAMES) + _D2_SQL)
 def dedup_aligned(spark, sf_dir):
     """Aligned two-generation dedup, W = 1 h."""
-    f = _frames(spark, sf_dir).select("source", "sequence", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir, columns=["source", "sequence", "received_at_ms", "content_hash"])
     return dedup.dedup_aligned(f, DEDUP_WINDOW_S)
 
 
@@ -161,7 +155,7 @@ from u where content_hash is not null group by 1
 )
 def duplicate_report(spark, sf_dir):
     """D5 over packet frames and documents (hash = md5 of the text)."""
-    f = _frames(spark, sf_dir).select("source", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir, write=False).select("source", "received_at_ms", "content_hash")
     docs = fx.table(spark, sf_dir, "documents").select(
         "source", F.col("doc_id").alias("received_at_ms"), F.md5("text").alias("content_hash")
     )
@@ -181,7 +175,7 @@ def subscribe_sources(spark, sf_dir):
     """F1 P10: repeated ids then a comma list, checked against the catalog."""
     f = _frames(spark, sf_dir, decode=False)
     ids = flt.requested_ids(SUB_IDS, SUB_CSV)
-    return flt.filter_sources(f, ids, _catalog_of(f)).select("source", "sequence", "received_at_ms")
+    return flt.filter_sources(f, ids, fx.source_catalog(spark, sf_dir)).select("source", "sequence", "received_at_ms")
 
 
 @query(
@@ -190,7 +184,7 @@ def subscribe_sources(spark, sf_dir):
 )
 def subscribe_types(spark, sf_dir):
     """payload types in any case, blanks ignored."""
-    f = _frames(spark, sf_dir)
+    f = _frames(spark, sf_dir, write=False)
     return flt.filter_payload_types(f, " error,, Signup ").select("source", "sequence", "payload_type")
 
 
@@ -218,7 +212,7 @@ union all select source, sequence, received_at_ms, content_hash from frames wher
 @query("dedup_replay", _D1_SQL)
 def dedup_replay(spark, sf_dir):
     """The relay's arrival-driven two-generation dedup, W = 1 h, from the first arrival."""
-    f = _frames(spark, sf_dir).select("source", "sequence", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir, columns=["source", "sequence", "received_at_ms", "content_hash"])
     return dedup.dedup_replay(f, DEDUP_WINDOW_S)
 
 
@@ -232,5 +226,5 @@ union all select source, sequence, received_at_ms, content_hash from frames wher
 )
 def dedup_first(spark, sf_dir):
     """D4 (batch form): first copy of each hash only."""
-    f = _frames(spark, sf_dir).select("source", "sequence", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir, columns=["source", "sequence", "received_at_ms", "content_hash"])
     return dedup.dedup_first(f)

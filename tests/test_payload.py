@@ -7,6 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from meshframes.functions.payload import json_string
 from meshframes.sources.envelope import decode_envelopes, envelope, to_capture
 from meshframes.sources.frames import decode_frames
 from meshframes.sources.output import to_json_lines
@@ -111,3 +112,9 @@ def test_packet_metadata(spark):
     for i, (text, kind, content) in enumerate(cases):
         assert got[i] == (kind, content), text
     assert got[99] == (None, None)
+
+
+def test_json_strings_as_the_standard_library_writes_them(spark):
+    texts = [a + b + c for a in ("", "\\", "\\\\", "\\u000B", 'x"') for b in ("", "\x0b", "\x1f\x1a", "\x0e\x0f", "\x00\x07", " é\U0001f600") for c in ("", "\\u001F", "\\", "\x7f\b\t\n\f\r")]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_string("t").alias("j")).collect()
+    assert {r.t: r.j for r in got} == {t: json.dumps(t, ensure_ascii=False) for t in texts}
