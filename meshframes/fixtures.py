@@ -67,7 +67,8 @@ def frames_from_events(spark: SparkSession, sf_dir: str, decode: bool = True, ke
     Decoded frames that are read more than once are written as a parquet table in the checkpoint folder and
     read back: payloads are parsed once, later filters on ``payload_type`` /
     ``content_hash`` reach the parquet scan, and the lineage is cut. ``columns`` are those that are written; with
-    ``write=False`` frames that are read once are decoded as they are read, and only what is selected is computed.
+    ``write=False`` frames that are read once, and not filtered by what decoding gives (Spark would decode for the filter and again
+    for the result), are decoded as they are read, and only what is selected is computed.
     """
     f = stamp_frames(raw_event_frames(spark, sf_dir), tiebreak=["_tb"], keep_tiebreak=keep_event_id)
     if keep_event_id:

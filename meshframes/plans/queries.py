@@ -155,7 +155,7 @@ from u where content_hash is not null group by 1
 )
 def duplicate_report(spark, sf_dir):
     """D5 over packet frames and documents (hash = md5 of the text)."""
-    f = _frames(spark, sf_dir, write=False).select("source", "received_at_ms", "content_hash")
+    f = _frames(spark, sf_dir, columns=["source", "received_at_ms", "content_hash"])
     docs = fx.table(spark, sf_dir, "documents").select(
         "source", F.col("doc_id").alias("received_at_ms"), F.md5("text").alias("content_hash")
     )
@@ -184,7 +184,7 @@ def subscribe_sources(spark, sf_dir):
 )
 def subscribe_types(spark, sf_dir):
     """payload types in any case, blanks ignored."""
-    f = _frames(spark, sf_dir, write=False)
+    f = _frames(spark, sf_dir, columns=["source", "sequence", "payload_type"])
     return flt.filter_payload_types(f, " error,, Signup ").select("source", "sequence", "payload_type")
 
 
