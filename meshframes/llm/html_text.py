@@ -11,7 +11,7 @@ so the text does not depend on how the pages are partitioned.
 
 What a page itself marks as its article (``article``, ``main``, or a role or class that says so) is exempt from
 deletion, as copies of an article share all its lines; and a page with such a mark keeps nothing else. Boilerplate is named by whole
-words of a class, id or role, also on an ``article``. A tag around a ``main``, or around the only articles of a page, drops nothing;
+words of a class, id or role, or by hyphenated ones that put it among words for places and parts (:func:`names_boilerplate`), also on an ``article``. A tag around a ``main``, or around the only articles of a page, drops nothing;
 articles that lie in named boilerplate are kept if there are no others, but don't mark the page. A page
 without lines teaches nothing and is passed over.
 
@@ -22,9 +22,11 @@ repeated rows are each other's copies; the columns ``text`` and ``n_chars`` repl
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import itertools
 import pickle
+import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -53,11 +55,28 @@ NAMED = frozenset(
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo related search share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Parts of a hyphenated word that may stand before, or behind, one that names boilerplate.
+BEFORE = frozenset("article blog bottom entry global home js left main mobile page post primary right secondary site story sub top user web wp".split())
+BEHIND = frozenset(
+    "area articles bar block body bottom box button buttons container content cta feed form frame group header heading holder icon icons inner item items link links list message module "
+    "outer overlay panel post posts region row section slot stories strip tabs thread title top unit wall wrap wrapper zone".split()
+)
 ARTICLE = frozenset("article main".split())
 MAIN_WORDS = frozenset("mainbody maincontent".split())
 ARTICLE_WORDS = MAIN_WORDS | {"articlebody"}
 
 
+@functools.lru_cache(100_000)
+def names_boilerplate(word: str) -> bool:
+    """True for a word of a class, id or role that names boilerplate as a whole, or as ``site-footer``, ``comment-list`` and ``cookie-banner`` do; not
+    for ``share-price`` or ``has-sidebar``."""
+    if word in NAMED:
+        return True
+    parts = [x for x in re.split("[-_]+", word) if x]
+    i = next((i for i, x in enumerate(parts) if x not in BEFORE), len(parts))
+    return len(parts) > 1 and i < len(parts) and parts[i] in NAMED and all(x in BEHIND or x in NAMED for x in parts[i + 1 :])
+
+
 class PageLines(HTMLParser):
     """Lines of a page as (text, is it in the main article). Which dropped tags hold an article is known at the end only."""
 
@@ -92,7 +111,7 @@ class PageLines(HTMLParser):
         main = tag == "main" or named.get("role") == "main" or bool(joined & MAIN_WORDS)
         article = main or tag in ARTICLE or named.get("role") in ARTICLE or bool(joined & ARTICLE_WORDS)
         unseen = tag in UNSEEN or "hidden" in named
-        names = tag in DROPPED or (tag in LOOSE and not self.articles) or (tag not in ("html", "body") and not main and not NAMED.isdisjoint(words))
+        names = tag in DROPPED or (tag in LOOSE and not self.articles) or (tag not in ("html", "body") and not main and any(map(names_boilerplate, words)))
         self.open.append((tag, self.drops, self.articles, unseen))
         self.unseen += unseen
         if names or tag in WRAPS or named.get("aria-hidden") == "true":

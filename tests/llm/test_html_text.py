@@ -38,6 +38,16 @@ def test_names_are_whole_words_and_drop_no_article():
     assert text('<p>a <span class="ad">Buy</span>b</p>') == "a b"
 
 
+def test_hyphenated_names_of_boilerplate():
+    inside = "comment-list comments-area cookie-banner ad-slot share-buttons related-posts site-footer newsletter-signup comments__list post-comments main-navigation login-form social-links wp-comment-form page_sidebar popup-overlay"
+    for mark in inside.split():
+        assert text(f'<article>Story<div class="x {mark}">No</div><section id="{mark}">No</section></article>') == "Story", mark
+        assert text(f'<div class="{mark}"><main>Story</main></div>') == "Story", mark
+        assert text(f'<div class="{mark}"><article>Story</article></div>') == "Story", mark
+    for mark in "social-science share-price related-work search-results has-sidebar with-comments content-sidebar-wrap news-letter bad-slot commentary ad-hoc notice-of-change no-footer".split():
+        assert text(f'<article>Story<div class="{mark}">Yes</div></article>') == "Story\nYes", mark
+
+
 def test_shared_lines_of_unmarked_pages_go():
     a = "<div>Our site</div><div>Home | About</div><p>Story one.</p><p>Same words.</p><div>Terms</div>"
     b = "<div>Our site</div><div>Home | About</div><p>Story two.</p><div>Terms</div><p>Same words.</p>"
