@@ -5,6 +5,8 @@ Both vocabularies cut a text before every run of white space that follows anothe
 ``[white space]*[other characters]+`` one after the other, and a piece seen before costs a lookup.
 Of pieces that are one plain word with or without signs after it, the model alone is asked (its input is the word as
 the file's normalizer and byte alphabet leave it), which is several times as fast as the whole chain.
+Strings of the file's added tokens in a text are those tokens, as the library has it (or ordinary text, if
+that is asked for): the text is cut at them first, and what lies between is encoded as a text of its own.
 The memo lives as long as the Python worker; it keeps the pieces used last and is bounded by
 :data:`MEMO` pieces of at most :data:`LONGEST` characters in each of two generations.
 """
@@ -48,14 +50,17 @@ class Memo(dict):
 
 
 class Encoder:
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, added_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # a text is cut at added tokens before; pieces, which may be lower-cased, hold none
+        added = {} if added_as_text else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {x: self._bytes([i]) for x, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # the two kinds of file for which plain words are understood: nothing normalized, or case and white space dropped
         self.plain = {"byte_bpe_50k.json": "exact", "word_bpe_49k.json": "lower"}.get(os.path.basename(file))
         self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -93,17 +98,22 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            pieces = self._pieces(text)
-            parts = []
-            for i in range(0, len(pieces), BLOCK_PIECES):
-                if len(self.young) > MEMO:
-                    self.young = Memo(self, dict(self.young))
-                memo = self.young
-                parts.append(b"".join([memo[p] for p in pieces[i : i + BLOCK_PIECES]]))
-            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-        return out
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return b"".join(self.added[x] if i % 2 else self._plain_text(x) for i, x in enumerate(self.cut.split(text)))
+        return self._plain_text(text)
+
+    def _plain_text(self, text: str) -> bytes:
+        pieces = self._pieces(text)
+        parts = []
+        for i in range(0, len(pieces), BLOCK_PIECES):
+            if len(self.young) > MEMO:
+                self.young = Memo(self, dict(self.young))
+            memo = self.young
+            parts.append(b"".join([memo[p] for p in pieces[i : i + BLOCK_PIECES]]))
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 @functools.cache

@@ -18,9 +18,7 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
 def library(file):
-    t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(file))
 
 
 @pytest.mark.parametrize("file", FILES)
@@ -35,6 +33,17 @@ def test_memo_gives_the_library_ids(file):
     check()
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_added_tokens_in_a_text(file):
+    own, lib = Encoder(file), library(file)
+    for x in (t.content for t in lib.get_added_tokens_decoder().values()):
+        for text in (x, f"a {x} b", f"{x}{x}", f"{x} end", f"start {x}", f"Don't{x}'s  {x}\n{x[:-1]}", f"<{x}>", x.upper(), f"e\u0301{x}\u0301", "y" * 60 + x):
+            assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    plain = Encoder(file, added_as_text=True)
+    lib.encode_special_tokens = True
+    assert np.frombuffer(plain.ids([f"a {x} b"])[0], "<u4").tolist() == lib.encode(f"a {x} b", add_special_tokens=False).ids
+
+
 def test_memo_is_bounded(monkeypatch):
     import meshframes.llm.tokens as tokens
 
