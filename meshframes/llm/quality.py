@@ -1,11 +1,12 @@
 """Quality rules with an isolation forest on rule statistics.
 
-Each document is reduced to statistics of simple quality rules (:func:`rule_stats`). What their rates
-(:func:`rates`) exceed the usual range by (all but ``tail`` of the labelled good documents on either
-side, and a ``margin``) are the features of an isolation forest: trees of random splits over small random
-subsamples, in which a document that differs from the rest is isolated after few splits. A short
+Each document is reduced to statistics of simple quality rules (:func:`rule_stats`). Their rates
+(:func:`rates`), in units of the spread among the labelled good documents, are the features of an isolation forest: trees of random splits over small random
+subsamples of the good documents, in which a document that differs from them is isolated after few splits. A split is drawn from the
+node's range drawn out by ``reach`` times its width on both sides, so that what lies beyond the good documents, in one rate or a little in
+several, falls into empty leaves near the root. A short
 mean path means an anomalous document; the anomaly score is ``2 ** (-mean path / expected path)``.
-Forest and ranges come from a bounded, hash-chosen sample of the labelled documents (``sample_docs``).
+The forest comes from a bounded, hash-chosen sample of the labelled documents (``sample_docs``).
 The cut is calibrated on all labelled documents that pass the base rules: the score that catches
 most documents of quality 0 less ``cost`` times the share of documents of quality 1 lost.
 
@@ -128,12 +129,15 @@ class Forest:
     path: np.ndarray
     roots: np.ndarray
     subsample: int
-    low: np.ndarray
-    high: np.ndarray
+    middle: np.ndarray
+    spread: np.ndarray
     cut: float = field(default=np.inf)
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.middle) / self.spread
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        x = excess(x, self.low, self.high)
+        x = self.scaled(x)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for root in self.roots:
@@ -149,15 +153,16 @@ class Forest:
         return np.exp2(-total / max(1, len(self.roots)) / float(expected_path(self.subsample)))
 
 
-def excess(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, np.maximum(x - high, low - x))
+#: The least width of a node's range, in spreads.
+LEAST_WIDTH = 0.02
 
 
-def grow(x: np.ndarray, good: np.ndarray, trees: int = 100, subsample: int = 256, tail: float = 0.0002, margin: float = 0.1, seed: int = 7) -> Forest:
-    """An isolation forest over the rows of ``x``; the usual ranges come from those that are ``good`` (all, if none is)."""
-    low, high = np.quantile(x[good] if good.any() else x, [tail, 1 - tail], axis=0)
-    low, high = low - margin * (high - low), high + margin * (high - low)
-    x = excess(x, low, high)
+def grow(x: np.ndarray, good: np.ndarray, trees: int = 100, subsample: int = 256, reach: float = 4.0, seed: int = 7) -> Forest:
+    """An isolation forest over the rows of ``x`` that are ``good`` (all, if none is)."""
+    x = x[good] if good.any() else x
+    first, middle, third = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    spread = np.where(third > first, third - first, np.maximum(x.std(axis=0), 1e-3))
+    x = (x - middle) / spread
     rng = np.random.default_rng(seed)
     feature, value, left, path, roots = [], [], [], [], []
     size = min(subsample, len(x))
@@ -175,20 +180,19 @@ def grow(x: np.ndarray, good: np.ndarray, trees: int = 100, subsample: int = 256
         todo = [(roots[-1], x[rng.choice(len(x), size, replace=False)], 0)]
         while todo:
             at, part, depth = todo.pop()
-            least, most = (part.min(axis=0), part.max(axis=0)) if len(part) else (np.zeros(0), np.zeros(0))
-            free = np.flatnonzero(most > least)
-            if depth >= limit or len(part) < 2 or not len(free):
+            if depth >= limit or len(part) < 2:
                 path[at] = depth + float(expected_path(len(part)))
                 continue
-            f = int(rng.choice(free))
-            v = rng.uniform(least[f], most[f])
-            v = v if v > least[f] else most[f]
+            f = int(rng.integers(x.shape[1]))
+            least, most = part[:, f].min(), part[:, f].max()
+            beyond = reach * max(most - least, LEAST_WIDTH)
+            v = rng.uniform(least - beyond, most + beyond)
             a = node()
             b = node()
             feature[at], value[at], left[at] = f, v, a
             right = part[:, f] >= v
             todo += [(a, part[~right], depth + 1), (b, part[right], depth + 1)]
-    return Forest(np.array(feature), np.array(value), np.array(left), np.array(path), np.array(roots), max(2, size), low, high)
+    return Forest(np.array(feature), np.array(value), np.array(left), np.array(path), np.array(roots), max(2, size), middle, spread)
 
 
 #: Scores are counted in so many equal bins between 0 and 1 when the cut is calibrated.

@@ -34,7 +34,7 @@ def test_path_lengths_match_a_walk():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3))
     f = quality.grow(x, np.ones(300, bool), trees=5, subsample=64)
-    e = quality.excess(x, f.low, f.high)
+    e = (x - f.middle) / f.spread
 
     def walk(row):
         total = 0.0
@@ -47,6 +47,21 @@ def test_path_lengths_match_a_walk():
     assert np.allclose(f.score(x), [walk(r) for r in e])
 
 
+def test_what_lies_beyond_the_good_documents_has_the_shorter_paths():
+    rng = np.random.default_rng(4)
+    good = rng.normal(size=(5000, 4)) * [1, 10, 0.1, 1] + [5, 0, 1, 0]
+    f = quality.grow(good, np.ones(len(good), bool))
+    middle, spread = good.mean(axis=0), good.std(axis=0)
+    far = np.array([middle + spread * d for d in ([9, 0, 0, 0], [0, -9, 0, 0], [0, 0, 30, 0], [4, 4, -4, 4])])
+    assert f.score(far).min() > f.score(good).max()
+    # no range of a single rate tells the last one: each of its rates is met among good documents
+    assert (np.abs(far[3] - middle) < np.abs(good - middle).max(axis=0) + 0.8 * spread).all()
+    # junk of one kind among the labelled documents does not hide itself
+    mixed = np.vstack([good, np.tile(far[0], (2000, 1))])
+    g = quality.grow(mixed, np.arange(len(mixed)) < len(good))
+    assert g.score(far[:1])[0] > g.score(good).max()
+
+
 def test_cut_maximises_gain():
     good, bad = np.zeros(quality.BINS, int), np.zeros(quality.BINS, int)
     good[1000], good[9000], bad[6000], bad[500] = 99, 1, 50, 1
