@@ -7,12 +7,14 @@ time a step that looks up a key in a string, number or array (or indexes a non-
 array) is an error: that frame is skipped whole (F4); a lookup on null or a missing
 key gives null and the frame stays.
 
-Known difference: objects rendered from the projection have their keys sorted
-(Spark's VARIANT stores fields by name); scalars and ``Reshape`` objects match.
+A value is carried twice: as VARIANT, for types and comparisons, and as the JSON text it is rendered from, since VARIANT
+sorts an object's fields by name. Text of nested objects and arrays is cut out of the text one level up, so keys
+and an object's values come in the order of the document; scalars are rendered from the VARIANT.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from decimal import Decimal
@@ -26,7 +28,9 @@ class ProgramError(ValueError):
     pass
 
 
-_TOKEN = re.compile(r'\.([A-Za-z_][A-Za-z0-9_]*)|\.?\["([^"\\]*)"\]|\.?\[(\d+)\]')
+_TOKEN = re.compile(r'\.([A-Za-z_][A-Za-z0-9_]*)|\.?\[("(?:[^"\\]|\\.)*")\]|\.?\[(\d+)\]')
+#: Keys that Spark's JSON and variant paths can name; others are looked up in maps.
+_PLAIN_KEY = re.compile(r"[^'`?*\\]+")
 
 
 @dataclass(frozen=True)
@@ -48,18 +52,20 @@ class Path:
             if not m:
                 raise ProgramError(f"invalid path: {text!r}")
             key, qkey, idx = m.groups()
-            steps.append(int(idx) if idx is not None else (key if key is not None else qkey))
+            try:
+                steps.append(int(idx) if idx is not None else (key if key is not None else json.loads(qkey)))
+            except json.JSONDecodeError as e:
+                raise ProgramError(f"invalid path: {text!r}") from e
             pos = m.end()
-        bad = next((s for s in steps if isinstance(s, str) and ("'" in s or "`" in s)), None)
-        if bad is not None:  # Spark's variant paths cannot quote these characters
-            raise ProgramError(f"unsupported character in key {bad!r}")
         return Path(tuple(steps))
 
-    def json_path(self, n: int | None = None) -> str:
-        out = "$"
-        for s in self.steps[: len(self.steps) if n is None else n]:
-            out += f"[{s}]" if isinstance(s, int) else f"['{s}']"
-        return out
+
+def _json_path(steps) -> str:
+    return "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
+
+
+def _plain(step) -> bool:
+    return isinstance(step, int) or bool(_PLAIN_KEY.fullmatch(step))
 
 
 def _path(p) -> Path:
@@ -129,24 +135,65 @@ class Program:
         object.__setattr__(self, "steps", tuple(steps))
 
 
-def _is_obj(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, "$", f"struct<`{key}`:variant>").isNotNull()
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _has_keys(v: Column, key: str) -> Column:
+    """True if ``v`` is an object (its other fields are not read)."""
+    return F.try_variant_get(v, "$", f"struct<`{key}`:variant>").isNotNull() if _plain(key) else _object(v).isNotNull()
 
 
 def _lookup(v: Column, path: Path) -> tuple[Column, Column]:
     """(value, error) of ``path`` on variant ``v``: error when a step meets a type it
     cannot look into; a null or missing value passes null on."""
-    err = F.lit(False)
-    for i, step in enumerate(path.steps):
-        pv = v if i == 0 else F.try_variant_get(v, path.json_path(i), "variant")
+    err, base, run = F.lit(False), v, []
+    for step in path.steps:
+        pv = F.try_variant_get(base, _json_path(run), "variant") if run else base
         nullish = pv.isNull() | F.is_variant_null(pv)
         if isinstance(step, int):
             fits = F.coalesce(F.schema_of_variant(pv).startswith("ARRAY"), F.lit(False))
         else:
-            fits = _is_obj(pv, step)
+            fits = _has_keys(pv, step)
         err = err | ~(nullish | fits)
-    value = v if not path.steps else F.try_variant_get(v, path.json_path(), "variant")
-    return value, err
+        if _plain(step):
+            run.append(step)
+        else:
+            base, run = F.try_element_at(_object(pv), F.lit(step)), []
+    return F.try_variant_get(base, _json_path(run), "variant") if run else base, err
+
+
+def _entries(text: Column) -> Column:
+    """(key, value) pairs of an object's text, in its order; values that are objects or arrays as text."""
+    return F.map_entries(F.from_json(text, "map<string,string>"))
+
+
+def _items(text: Column) -> Column:
+    """Elements of an array's text, those that are objects or arrays as text."""
+    return F.from_json(text, "array<string>")
+
+
+def _last_of(entries: Column, key: Column) -> Column:
+    """Of repeated keys the last one counts."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
+
+
+def _text_at(text: Column, path: Path) -> Column:
+    """Text of the object or array at ``path`` in a document's text (whatever for other types)."""
+    run: list = []
+    for step in path.steps:
+        if _plain(step):
+            run.append(step)
+        else:
+            text, run = _last_of(_entries(F.get_json_object(text, _json_path(run))), F.lit(step)), []
+    return F.get_json_object(text, _json_path(run))
+
+
+def _rendered(v: Column, text: Column) -> Column:
+    """JSON text of value ``v``; ``text``: its text, of use if it is an object or array."""
+    kind = F.schema_of_variant(v)
+    nested = F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    return F.coalesce(F.when(nested, text).otherwise(F.to_json(v)), F.lit("null"))
 
 
 _NUMERIC = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
@@ -220,96 +267,111 @@ _SCALARS = {"source": "source", "sequence": "sequence", "timestamp_ms": "receive
             "encoding": "encoding"}
 
 
-def _lookup_projection(path: Path) -> tuple[Column, Column]:
-    """(value, error) of ``path`` on the projection object, read from the frame's
+def _lookup_projection(path: Path) -> tuple[Column, Column, Column]:
+    """(value, its text, error) of ``path`` on the projection object, read from the frame's
     columns: only ``.payload`` goes into the parsed document, so large text payloads
     are never copied into a VARIANT unless they are the output."""
+    null = F.lit(None).cast("variant")
     if not path.steps:
-        return projection_variant(), F.lit(False)
+        return projection_variant(), json_line(), F.lit(False)
     head, rest = path.steps[0], Path(path.steps[1:])
     if isinstance(head, int):  # indexing an object
-        return F.lit(None).cast("variant"), F.lit(True)
+        return null, F.lit("null"), F.lit(True)
     if head == "payload":
         is_json = F.col("encoding") == "json"
-        if not rest.steps:
-            return F.when(is_json, F.col("_pdoc")).otherwise(F.col("payload_text").cast("variant")), F.lit(False)
         val, err = _lookup(F.col("_pdoc"), rest)
+        text = _rendered(val, _text_at(F.col("payload_text"), rest))
+        if not rest.steps:
+            whole = F.col("payload_text").cast("variant")
+            return F.when(is_json, val).otherwise(whole), F.when(is_json, text).otherwise(F.coalesce(F.to_json(whole), F.lit("null"))), F.lit(False)
         # any lookup into a string payload (utf8 / base64) is an error
-        return F.when(is_json, val), F.when(is_json, err).otherwise(F.lit(True))
+        return F.when(is_json, val), text, F.when(is_json, err).otherwise(F.lit(True))
     if head in _SCALARS:
         col = F.col(_SCALARS[head])
         if rest.steps:
-            return F.lit(None).cast("variant"), F.lit(True)
-        return (col.cast("int") if head == "kind" else col).cast("variant"), F.lit(False)
-    return F.lit(None).cast("variant"), F.lit(False)  # missing key: null all the way down
+            return null, F.lit("null"), F.lit(True)
+        val = (col.cast("int") if head == "kind" else col).cast("variant")
+        return val, F.coalesce(F.to_json(val), F.lit("null")), F.lit(False)
+    return null, F.lit("null"), F.lit(False)  # missing key: null all the way down
 
 
-def _run(frames: DataFrame, program: Program, keep, input_json: str | None = None) -> tuple[DataFrame, Column]:
+def _lookup_both(v: Column, text: Column, path: Path) -> tuple[Column, Column, Column]:
+    val, err = _lookup(v, path)
+    return val, _rendered(val, _text_at(text, path)), err
+
+
+def _run(frames: DataFrame, program: Program, keep, input_json: str | None = None) -> tuple[DataFrame, Column, Column]:
+    """Rows with ``_perr``, the text of each output and its position among those of its frame."""
     if input_json is None:
         # the projection stays virtual until a step produces a new value
         doc = F.col("payload_v") if "payload_v" in frames.columns else F.try_parse_json(F.col("payload_text"))
         d = frames.withColumn("_pdoc", F.when(F.col("encoding") == "json", doc))
-        text: Column | None = json_line()  # identity so far: the projection text
+        text: Column = json_line()  # identity so far: the projection text
         on_projection = True
     else:
-        d = frames.withColumn("_pv", F.try_parse_json(F.col(input_json)))
+        d = frames.withColumn("_pv", F.try_parse_json(F.col(input_json))).withColumn("_ptxt", F.col(input_json))
         text = F.col(input_json)
         on_projection = False
     d = d.withColumn("_perr", F.lit(False))
 
     def lookup(p: Path):
-        return _lookup_projection(p) if on_projection else _lookup(F.col("_pv"), p)
+        return _lookup_projection(p) if on_projection else _lookup_both(F.col("_pv"), F.col("_ptxt"), p)
 
     outs = None  # after the first Each: the frame's outputs so far, as array<struct<err, v, txt>>
     for step in program.steps:
         if outs is not None:
             outs = _each_output(outs, step)
         elif isinstance(step, Select):
-            val, err = lookup(step.path)
+            val, _, err = lookup(step.path)
             d = d.withColumn("_perr", F.col("_perr") | err)
             d = d.filter(F.col("_perr") | _compare(val, step.op, step.value))
-        elif isinstance(step, Project):
-            val, err = lookup(step.path)
-            d = d.withColumn("_perr", F.col("_perr") | err).withColumn("_pv", val)
-            text, on_projection = None, False
-        elif isinstance(step, Reshape):
-            obj, errs = _reshaped(step, lookup)
-            d = d.withColumn("_perr", F.col("_perr") | errs)
-            d = d.withColumn("_ptxt", F.to_json(obj, {"ignoreNullFields": "false"}))
-            d = d.withColumn("_pv", F.to_variant_object(obj))
+        elif isinstance(step, (Project, Reshape)):
+            val, txt, err = lookup(step.path) if isinstance(step, Project) else _reshaped(step, lookup)
+            d = d.withColumns({"_perr": F.col("_perr") | err, "_pv": val, "_ptxt": txt})
             text, on_projection = F.col("_ptxt"), False
         elif isinstance(step, Each):
-            val, err = lookup(step.path)
-            elems = _elements(val)
+            val, txt, err = lookup(step.path)
+            elems = _elements(val, txt)
             d = d.withColumn("_perr", F.col("_perr") | err | elems.isNull())
-            outs = F.transform(F.coalesce(elems, F.array().cast("array<variant>")), lambda v: _output(F.lit(False), v))
+            none = F.array().cast("array<struct<err:boolean,v:variant,txt:string>>")
+            outs = F.coalesce(elems, none)
     if outs is None:
-        return d, text if text is not None else F.coalesce(F.to_json(F.col("_pv")), F.lit("null"))
+        return d, text, F.lit(0)
     # one failing output discards every output of that frame; an erring frame keeps one row that carries the error
     d = d.withColumn("_pouts", outs)
     d = d.withColumn("_perr", F.col("_perr") | F.exists("_pouts", lambda o: o["err"]))
-    one = F.array(_output(F.lit(True), F.lit(None).cast("variant")))
-    d = d.withColumn("_pout", F.explode(F.when(F.col("_perr"), one).otherwise(F.col("_pouts")))).drop("_pouts")
-    return d, F.coalesce(F.col("_pout.txt"), F.to_json(F.col("_pout.v")), F.lit("null"))
+    one = F.array(_output(F.lit(True), F.lit(None).cast("variant"), F.lit(None).cast("string")))
+    passed = [F.col(f"`{c}`") for c in d.columns if c != "_pouts"]
+    d = d.select(*passed, F.posexplode(F.when(F.col("_perr"), one).otherwise(F.col("_pouts"))).alias("_ppos", "_pout"))
+    return d, F.col("_pout.txt"), F.col("_ppos")
+
 
+def _output(err: Column, v: Column, txt: Column) -> Column:
+    return F.struct(err.alias("err"), v.alias("v"), txt.alias("txt"))
 
-def _output(err: Column, v: Column, txt: Column | None = None) -> Column:
-    return F.struct(err.alias("err"), v.alias("v"), (F.lit(None).cast("string") if txt is None else txt).alias("txt"))
 
+def _elements(val: Column, txt: Column) -> Column:
+    """Outputs for the elements of an array or the values of an object, in the document's order; null for anything else."""
+    arr, obj = F.try_variant_get(val, "$", "array<variant>"), _object(val)
+    of_array = F.zip_with(arr, _items(txt), lambda v, t: _output(F.lit(False), v, _rendered(v, F.get_json_object(t, "$"))))
+    entries = _entries(txt)
 
-def _elements(val: Column) -> Column:
-    """Elements of an array or values of an object; null for anything else."""
-    arr = F.try_variant_get(val, "$", "array<variant>")
-    return F.coalesce(arr, F.map_values(F.try_variant_get(val, "$", "map<string,variant>")))
+    def value(key: Column) -> Column:
+        v = F.try_element_at(obj, key)
+        return _output(F.lit(False), v, _rendered(v, F.get_json_object(_last_of(entries, key), "$")))
 
+    of_object = F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), value)
+    return F.when(arr.isNotNull(), of_array).when(obj.isNotNull(), of_object)
 
-def _reshaped(step: Reshape, lookup) -> tuple[Column, Column]:
-    parts, errs = [], F.lit(False)
+
+def _reshaped(step: Reshape, lookup) -> tuple[Column, Column, Column]:
+    parts, texts, errs = [], [], F.lit(False)
     for name, p in step.fields:
-        val, err = lookup(p)
+        val, txt, err = lookup(p)
         parts.append(val.alias(name))
+        texts.append(F.concat(F.lit(("," if texts else "{") + json.dumps(name, ensure_ascii=False) + ":"), txt))
         errs = errs | err
-    return F.struct(*parts), errs
+    return F.to_variant_object(F.struct(*parts)), F.concat(*texts, F.lit("}")), errs
 
 
 def _each_output(outs: Column, step) -> Column:
@@ -323,31 +385,30 @@ def _each_output(outs: Column, step) -> Column:
             return _output(o["err"] | _lookup(o["v"], step.path)[1], o["v"], o["txt"])
 
         return F.transform(F.filter(outs, keep), mark)
-    if isinstance(step, Project):
-        def project(o: Column) -> Column:
-            val, err = _lookup(o["v"], step.path)
-            return _output(o["err"] | err, val)
 
-        return F.transform(outs, project)
-    if isinstance(step, Reshape):
-        def reshape(o: Column) -> Column:
-            obj, errs = _reshaped(step, lambda p: _lookup(o["v"], p))
-            return _output(o["err"] | errs, F.to_variant_object(obj), F.to_json(obj, {"ignoreNullFields": "false"}))
+    def looked_up(o: Column):
+        return lambda p: _lookup_both(o["v"], o["txt"], p)
+
+    if isinstance(step, (Project, Reshape)):
+        def changed(o: Column) -> Column:
+            val, txt, err = looked_up(o)(step.path) if isinstance(step, Project) else _reshaped(step, looked_up(o))
+            return _output(o["err"] | err, val, txt)
 
-        return F.transform(outs, reshape)
+        return F.transform(outs, changed)
 
     def fan(o: Column) -> Column:
-        val, err = _lookup(o["v"], step.path)
-        elems = _elements(val)
+        val, txt, err = looked_up(o)(step.path)
+        elems = _elements(val, txt)
         bad = o["err"] | err | elems.isNull()
-        return F.when(bad, F.array(_output(F.lit(True), F.lit(None).cast("variant")))).otherwise(F.transform(elems, lambda v: _output(F.lit(False), v)))
+        return F.when(bad, F.array(_output(F.lit(True), F.lit(None).cast("variant"), F.lit(None).cast("string")))).otherwise(elems)
 
     return F.flatten(F.transform(outs, fan))
 
 
 def run_program(frames: DataFrame, program: Program, keep=("source", "sequence"), input_json: str | None = None,
-                observation=None) -> DataFrame:
-    """Outputs of ``program`` per frame: ``keep`` columns + ``message`` (JSON text).
+                observation=None, position: str | None = None) -> DataFrame:
+    """Outputs of ``program`` per frame: ``keep`` columns + ``message`` (JSON text), and with ``position`` a column of that
+    name: the output's place among those of its frame, from 0, in the order the relay sends them.
 
     The input is the frame's projection, or the JSON text column ``input_json``.
     Zero outputs drop the frame; a runtime error skips the frame and all of its
@@ -355,13 +416,13 @@ def run_program(frames: DataFrame, program: Program, keep=("source", "sequence")
     ``observation`` (a ``pyspark.sql.Observation`` or a metric name): rows skipped by
     a program error are counted as ``skipped_rows`` in the same pass.
     """
-    d, msg = _run(frames, program, list(keep), input_json)
+    d, msg, place = _run(frames, program, list(keep), input_json)
     if observation is not None:
         d = d.observe(observation, F.count_if(F.col("_perr")).alias("skipped_rows"))
-    return d.filter(~F.col("_perr")).select(*keep, msg.alias("message"))
+    return d.filter(~F.col("_perr")).select(*keep, *([place.alias(position)] if position else []), msg.alias("message"))
 
 
 def program_errors(frames: DataFrame, program: Program, keep=("source", "sequence"), input_json: str | None = None) -> DataFrame:
     """F4 bookkeeping: the frames a program run skipped because of an error."""
-    d, _ = _run(frames, program, list(keep), input_json)
+    d, _, _ = _run(frames, program, list(keep), input_json)
     return d.filter(F.col("_perr")).select(*keep).distinct()

@@ -163,6 +163,52 @@ def explode_path(spark, sf_dir):
     return run_program(_program_input(spark, sf_dir), Program(Each(".payload.data")))
 
 
+def _json_message(id_: str, url: str) -> tuple:
+    """A nested object with unsorted keys, as Spark and DuckDB columns of equal text."""
+    parts = ['{"z":{"n":', id_, ',"a":[', id_, ',{"y":"', url, '","it\'s":', id_, '}]},"b":{"q":true,"c":null},"a":"', url, '"}']
+    spark_text = F.concat(*[F.col(p).cast("string") if p in (id_, url) else F.lit(p) for p in parts])
+    return spark_text, " || ".join(p if p in (id_, url) else "'" + p.replace("'", "''") + "'" for p in parts)
+
+
+_PAGE_MESSAGE, _PAGE_MESSAGE_SQL = _json_message("page_id", "address")
+_PAGES_SQL = "with p as (select page_id, replace(replace(coalesce(url, ''), chr(92), ''), chr(34), '') as address from pages)\n"
+
+
+def _page_messages(spark, sf_dir):
+    configure(spark)
+    address = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\\"), F.lit("")), F.lit('"'), F.lit(""))
+    return fx.table(spark, sf_dir, "pages").select("page_id", address.alias("address")).select("page_id", _PAGE_MESSAGE.alias("doc"))
+
+
+@query(
+    "explode_order",
+    _PAGES_SQL
+    + """select page_id, cast(0 as integer) as place, '{"n":' || page_id || ',"a":[' || page_id || ',{"y":"' || address || '","it''s":' || page_id || '}]}' as message from p
+union all select page_id, 1, '{"q":true,"c":null}' from p
+union all select page_id, 2, '"' || address || '"' from p""",
+)
+def explode_order(spark, sf_dir):
+    """``.[]`` with the place of each output; values come in the order of the document and keep their keys' order."""
+    return run_program(_page_messages(spark, sf_dir), Program(Each(".")), keep=("page_id",), input_json="doc", position="place")
+
+
+@query(
+    "reshape_order",
+    _PAGES_SQL
+    + """select page_id, '{"whole":' || """ + _PAGE_MESSAGE_SQL + """ || ',"deep":{"y":"' || address || '","it''s":' || page_id || '},"none":null}' as message from p""",
+)
+def reshape_order(spark, sf_dir):
+    """Nested objects inside a new one, as the document has them; a key with a quote among them."""
+    prog = Program(Reshape({"whole": ".", "deep": ".z.a[1]", "none": ".z.none"}))
+    return run_program(_page_messages(spark, sf_dir), prog, keep=("page_id",), input_json="doc")
+
+
+@query("project_quoted_key", _PAGES_SQL + "select page_id, cast(page_id as varchar) as message from p")
+def project_quoted_key(spark, sf_dir):
+    """P5: a key that holds a quote, below an array."""
+    return run_program(_page_messages(spark, sf_dir), Program(Project(""".z.a[1]["it's"]""")), keep=("page_id",), input_json="doc")
+
+
 @query(
     "where_path",
     with_(FRAMES)
