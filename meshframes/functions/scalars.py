@@ -98,36 +98,97 @@ def state_label(state) -> Column:
     return out.otherwise(expr)
 
 
-# URL pieces: scheme, authority, path, query, fragment.
-_URL_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+#: Fixed values of the URL Standard: default ports, and characters that need no percent-encoding in a path, a query and a user name.
+DEFAULT_PORTS = {"ws": "80", "wss": "443"}
+_PATH_SAFE = r"\x21\x24-\x3b\x3d\x40-\x5d\x5f\x61-\x7a\x7c\x7e"
+_QUERY_SAFE = r"\x21\x24-\x26\x28-\x3b\x3d\x3f-\x7e"
+_USER_SAFE = r"\x21\x24-\x2e\x30-\x39\x41-\x5a\x5f\x61-\x7a\x7e"
+#: Characters that no host may hold once percent-encoding is undone.
+_HOST_FORBIDDEN = r"[\x00-\x20\x7f#/<>?@\[\\\]^|%]"
+#: scheme, what follows its slashes (authority, rest of the path, query).
+_SPECIAL_URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?"
+_ONE_DOT = r"^(?i)(\.|%2e)$"
+_TWO_DOTS = r"^(?i)(\.|%2e)(\.|%2e)$"
+_OUTER_CONTROLS = "^[\x00-\x20]+|[\x00-\x20]+$"
+
+
+def _percent_encoded(text: Column, safe: str) -> Column:
+    """Characters outside of ``safe`` as the ``%XX`` of their UTF-8 bytes."""
+    one = lambda c: F.when(c.rlike(f"[^{safe}]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    spelled = F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.when(text.rlike(f"[^{safe}]"), spelled).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """The path after its first slash without ``.`` and ``..`` segments, as segments."""
+    parts = F.split(F.regexp_replace(path, r"^[/\\]", ""), r"[/\\]")
+    ends = F.element_at(parts, -1)
+    parts = F.when(ends.rlike(_ONE_DOT) | ends.rlike(_TWO_DOTS), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part.rlike(_TWO_DOTS), up).when(part.rlike(_ONE_DOT), done).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def _ipv4(host: Column) -> Column:
+    """A host whose last label is a number, as four decimal numbers; null if it is no address."""
+    labels = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    number = lambda x: (
+        F.when(x.rlike("^0x[0-9a-f]{0,15}$"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 20)), 16, 10))
+        .when(x.rlike("^0[0-7]{1,20}$"), F.conv(x, 8, 10))
+        .when(x.rlike("^(0|[1-9][0-9]{0,17})$"), x)
+        .cast("long")
+    )
+    values = F.transform(labels, number)
+    n = F.size(labels)
+    last = F.element_at(values, -1)
+    heads = F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    fits = (n <= 4) & F.coalesce(last < F.element_at(F.array(*[F.lit(256**k) for k in (4, 3, 2, 1)]), F.least(n, F.lit(4))), F.lit(False))
+    fits = fits & F.forall(heads, lambda v: F.coalesce(v < 256, F.lit(False)))
+    weight = lambda i: F.element_at(F.array(*[F.lit(256**k) for k in (3, 2, 1, 0)]), i + 1)
+    whole = F.aggregate(F.transform(heads, lambda v, i: v * weight(F.least(i, F.lit(3)))), F.lit(0).cast("long"), lambda a, v: a + v) + last
+    return F.when(fits, F.concat_ws(".", *[(F.shiftright(whole, k).bitwiseAND(F.lit(255))).cast("string") for k in (24, 16, 8, 0)]))
+
+
+def _host(text: Column) -> Column:
+    """A host as the URL Standard writes it; null if it is none. Not done: punycode of non-ASCII names, short forms of IPv6."""
+    plain = F.when(text.contains("%"), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))).otherwise(text)
+    name = F.lower(plain)
+    numeric = name.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    six = F.when(text.rlike(r"^\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]$"), F.lower(text))
+    named = F.when((name != "") & ~name.rlike(_HOST_FORBIDDEN), F.when(numeric, _ipv4(name)).otherwise(name))
+    return F.when(text.startswith("["), six).otherwise(named)
 
 
 def websocket_url(url) -> Column:
     """http(s) -> ws(s), ws/wss kept, anything else null (rejected).
 
-    Trailing slashes are cut from the path and ``/ws`` appended unless the cut path
-    already ends in ``/ws`` (then the path is left as it was). The fragment is
-    dropped, the query kept, scheme and host lower-cased, default ports removed.
+    The url is read as the URL Standard reads it: outer controls and spaces, and tabs and line breaks anywhere, don't
+    count; any number of slashes (or backslashes) follows the scheme; scheme and host are lower-cased; a port is a number up to 65535 and dropped
+    if it is the scheme's own; ``.`` and ``..`` segments are resolved; characters that may not stand there are percent-encoded.
+    Then trailing slashes are cut from the path and ``/ws`` appended, unless the cut path
+    already ends in ``/ws`` (then the path is left as it was). The fragment is dropped, the query kept.
     """
-    u = _c(url)
-    ok = u.rlike(_URL_RE)
-    scheme = F.lower(F.regexp_extract(u, _URL_RE, 1))
-    authority = F.regexp_extract(u, _URL_RE, 3)
-    path = F.regexp_extract(u, _URL_RE, 4)
-    query = F.regexp_extract(u, _URL_RE, 5)
-    new_scheme = (
-        F.when(scheme == "https", F.lit("wss"))
-        .when(scheme == "http", F.lit("ws"))
-        .when(scheme.isin("ws", "wss"), scheme)
-    )
-    userinfo = F.regexp_extract(authority, r"^(.*@)?", 1)
-    hostport = F.regexp_replace(authority, r"^.*@", "")
-    host = F.lower(F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port = F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^:]*)(:\d*)?$", 1)
-    default_port = F.when(new_scheme == "wss", F.lit(":443")).otherwise(F.lit(":80"))
-    port = F.when((port == default_port) | (port == ":"), F.lit("")).otherwise(port)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
+    u = F.regexp_replace(F.regexp_replace(_c(url), _OUTER_CONTROLS, ""), "[\t\n\r]", "")
+    scheme = F.lower(F.regexp_extract(u, _SPECIAL_URL, 1))
+    new_scheme = F.when(scheme.isin("https", "wss"), F.lit("wss")).when(scheme.isin("http", "ws"), F.lit("ws"))
+    authority = F.regexp_extract(u, _SPECIAL_URL, 2)
+    query = _percent_encoded(F.regexp_extract(u, _SPECIAL_URL, 4), _QUERY_SAFE)
+    users = F.regexp_extract(authority, "^(.*)@", 1)
+    name = _percent_encoded(F.regexp_extract(users, "(?s)^([^:]*)", 1), _USER_SAFE)
+    word = _percent_encoded(F.regexp_extract(users, "(?s)^[^:]*:(.*)$", 1), _USER_SAFE)
+    user = F.concat(name, F.when(word != "", F.concat(F.lit(":"), word)).otherwise(F.lit("")))
+    user = F.when(user == "", user).otherwise(F.concat(user, F.lit("@")))
+    place = F.regexp_replace(authority, "(?s)^.*@", "")
+    host = _host(F.regexp_extract(place, r"(?s)^(\[[^\]]*\]|[^:]*)", 1))
+    port = F.regexp_extract(place, r"(?s)^(?:\[[^\]]*\]|[^:]*):?(.*)$", 1)
+    digits = F.regexp_replace(port, "^0+(?=.)", "")
+    port_ok = port.rlike("^[0-9]*$") & (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535)
+    own = F.when(new_scheme == "wss", F.lit(DEFAULT_PORTS["wss"])).otherwise(F.lit(DEFAULT_PORTS["ws"]))
+    shown = F.when((digits == "") | (digits == own), F.lit("")).otherwise(F.concat(F.lit(":"), digits))
+    path = _percent_encoded(F.concat(F.lit("/"), F.array_join(_without_dots(F.regexp_extract(u, _SPECIAL_URL, 3)), "/")), _PATH_SAFE)
     cut = F.regexp_replace(path, "/+$", "")
     new_path = F.when(cut.endswith("/ws"), path).otherwise(F.concat(cut, F.lit("/ws")))
-    out = F.concat(new_scheme, F.lit("://"), userinfo, host, port, new_path, query)
-    return F.when(ok & new_scheme.isNotNull() & (host != ""), out)
+    return F.when(new_scheme.isNotNull() & host.isNotNull() & port_ok, F.concat(new_scheme, F.lit("://"), user, host, shown, new_path, query))

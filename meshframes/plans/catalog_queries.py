@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshframes import fixtures as fx
+from meshframes.functions import scalars as sc
 from meshframes.operators import catalog as cg
 from meshframes.operators import filters as flt
 from meshframes.operators import health as hl
@@ -12,7 +13,7 @@ from meshframes.plans.health_queries import AT_MS, CATALOG_SQL, STATES_SQL, _cat
 from meshframes.plans.registry import query
 from meshframes.plans.sql import CONN_EVENTS, FRAMES, NETWORKS, websocket_url, with_
 from meshframes.schema import DedupPolicy, RelaySettings
-from meshframes.session import configure
+from meshframes.session import configure, scratch_path
 
 
 @query(
@@ -43,6 +44,56 @@ def rejected_analyzers(spark, sf_dir):
     return rejected
 
 
+#: Ways of writing an address that mean the same, or nothing: what is put before the host, and after it with path ``/a/b``.
+_WRITTEN = [
+    ("  https://", "/a/b ", "wss://", "/a/b/ws"), ("HTTP:", ":080/./a/c/../b", "ws://", "/a/b/ws"), ("https:////", ":443/a/b/ws//#top", "wss://", "/a/b/ws//"),
+    ("wss:\\\\", "\\a\\%2E%2e\\a\\b", "wss://", "/a/b/ws"), ("ws://", ":70000/a/b", None, None), ("http://me:pass word@", ":8080?x='1 2'", "ws://me:pass%20word@", ":8080/ws?x=%271%202%27"),
+    ("ftp://", "/a/b", None, None), ("https://@", "/a/b/..", "wss://", "/a/ws"), ("https://no good.", "/", None, None), ("//", "/a/b", None, None),
+    ("https://", "/é{b}?", "wss://", "/%C3%A9%7Bb%7D/ws?"),
+]
+
+
+def _quoted(text) -> str:
+    return "null" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "websocket_urls",
+    "with w(k, ahead, front, back) as (values "
+    + ", ".join(f"({k}, {_quoted(before + '|' + after)}, {_quoted(front)}, {_quoted(back)})" for k, (before, after, front, back) in enumerate(_WRITTEN))
+    + f""")
+select page_id, replace(ahead, '|', 'H' || page_id || '.Example') as url, front || 'h' || page_id || '.example' || back as ws_url
+from pages join w on w.k = page_id % {len(_WRITTEN)}""",
+)
+def websocket_urls(spark, sf_dir):
+    """One host a page, its address written in ways that the URL Standard reads alike or rejects."""
+    configure(spark)
+    spelled = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b, a, _, _ in _WRITTEN])
+    way = F.get(spelled, (F.col("page_id") % len(_WRITTEN)).cast("int"))
+    pages = fx.table(spark, sf_dir, "pages").select("page_id", F.concat(way["b"], F.lit("H"), F.col("page_id").cast("string"), F.lit(".Example"), way["a"]).alias("url"))
+    return pages.select("page_id", "url", sc.websocket_url("url").alias("ws_url"))
+
+
+@query(
+    "read_sources",
+    with_(NETWORKS)
+    + """select network || '/' || apos as id, url, apos % 3 = 0 as disabled, case when apos % 4 = 1 then 'http://proxy:8888' end as proxy,
+       case when apos % 2 = 0 then 'm' || apos end as mapping, case when apos % 5 = 0 then '{"x-key":"' || apos || '"}' else '{}' end as headers from networks""",
+)
+def read_sources(spark, sf_dir):
+    """A catalog written as JSON lines with fields left out, and read with its schema and defaults."""
+    configure(spark)
+    n = fx.networks_flat(spark, sf_dir)
+    apos = F.col("apos")
+    path = scratch_path(spark, "sources-json")
+    n.select(
+        F.concat("network", F.lit("/"), apos.cast("string")).alias("id"), "url",
+        F.when(apos % 5 == 0, F.create_map(F.lit("x-key"), apos.cast("string"))).alias("headers"), F.when(apos % 3 == 0, F.lit(True)).alias("disabled"),
+        F.when(apos % 4 == 1, F.lit("http://proxy:8888")).alias("proxy"), F.when(apos % 2 == 0, F.concat(F.lit("m"), apos.cast("string"))).alias("mapping"),
+    ).write.option("ignoreNullFields", "true").json(path)
+    return cg.read_sources(spark, path).select("id", "url", "disabled", "proxy", "mapping", F.to_json("headers").alias("headers"))
+
+
 _VIOL_CAT = """cat as (
   select case when page_id % 97 = 0 then '' when page_id % 101 = 0 then repeat('x', 65536) || (page_id % 2)
               else 'p-' || (page_id % 40) end as id,
