@@ -223,6 +223,14 @@ def networks_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def restarted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of sources whose numbers begin anew every 10 days, a fifth of them lost on the way."""
+    ev = table(spark, sf_dir, "events").select(_src(F.col("user_id") % 8).alias("source"), event_ms().alias("received_at_ms"), "event_id")
+    ev = ev.withColumn("seg", F.floor(F.col("received_at_ms") / 864000000).cast("long"))
+    n = ordered_scan(ev, ["source", "seg"], "received_at_ms", ["event_id"], row_number="sequence")
+    return write_table(n.filter((F.col("event_id") * 7) % 5 != 2).select("source", "sequence", "received_at_ms", "event_id"), "restarted-frames")
+
+
 def conversation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.filter((F.col("conv_id") * 7 + F.col("turn")) % 5 != 2).select(

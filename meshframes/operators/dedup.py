@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from meshframes.operators.rotation import rotation_generations
-from meshframes.operators.scan import run_starts
+from meshframes.operators.scan import ROWS_PER_BUCKET, ordered_scan, run_starts
 from meshframes.session import materialize
 
 ARRIVAL_ORDER = ("received_at_ms", "source", "sequence")
@@ -75,11 +75,21 @@ def dedup_first(frames: DataFrame) -> DataFrame:
     return _only(hashed, first, ["content_hash"]).select(*cols).unionByName(frames.filter(F.col("content_hash").isNull()))
 
 
-def duplicate_report(frames: DataFrame) -> DataFrame:
-    """Per hash, copies, distinct sources, first and last seen."""
+def duplicate_report(frames: DataFrame, window_s: int | None = None) -> DataFrame:
+    """Per hash, copies, distinct sources, first and last seen.
+
+    With ``window_s`` a row for each burst of a hash instead, numbered from 0 in ``burst``: a copy belongs to the burst of the copy before it if
+    it came less than the window after it, else it begins one. A hot hash is cut into buckets of time, as any ordered scan."""
+    hashed, keys = frames.filter(F.col("content_hash").isNotNull()), ["content_hash"]
+    if window_s is not None:
+        seen = hashed.select("content_hash", "source", "received_at_ms")
+        behind = ordered_scan(seen, keys, "received_at_ms", ["source"], lag=["received_at_ms"], lag_prefix="_prev_", rows_per_bucket=ROWS_PER_BUCKET)
+        begins = F.col("received_at_ms") - F.col("_prev_received_at_ms") >= int(window_s) * 1000
+        marked = materialize(behind.withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int")), "duplicate-bursts")
+        hashed = ordered_scan(marked, keys, "received_at_ms", ["source"], running_sum={"burst": F.col("_begins")}, rows_per_bucket=ROWS_PER_BUCKET)
+        hashed, keys = hashed.withColumn("burst", F.col("burst").cast("long")), ["content_hash", "burst"]
     return (
-        frames.filter(F.col("content_hash").isNotNull())
-        .groupBy("content_hash")
+        hashed.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.count_distinct("source").alias("sources"),

@@ -182,6 +182,25 @@ def sequence_gaps(frames: DataFrame, order: str = "received_at_ms", tiebreak=("s
     )
 
 
+def runtime_gaps(frames: DataFrame, order: str = "received_at_ms", tiebreak=()) -> DataFrame:
+    """W7 with restarts: per source and runtime, where sequence numbers were skipped.
+
+    Frames are taken as they arrived (``order``, then ``tiebreak``). A sequence that falls back begins a new runtime, whose numbers begin at 0: what lies
+    before its first frame was skipped too. How many frames the old runtime sent after its last one isn't known, so its
+    tail is a row with ``skipped`` null. ``runtime`` counts a source's restarts from 0; ``seen_at`` is the arrival that shows the gap."""
+    behind = ordered_scan(frames.select("source", "sequence", order, *[t for t in tiebreak if t not in ("sequence", order)]), ["source"], order, list(tiebreak), lag=["sequence"], lag_prefix="_prev_")
+    prev = F.col("_prev_sequence")
+    marked = materialize(behind.withColumn("_restart", (prev.isNotNull() & (F.col("sequence") <= prev)).cast("int")), "runtime-restarts")
+    runs = ordered_scan(marked, ["source"], order, list(tiebreak), running_sum={"runtime": F.col("_restart")})
+    first = prev.isNull() | (F.col("_restart") == 1)
+    start = F.when(first, F.lit(0)).otherwise(prev + 1)
+    number = F.col("runtime").cast("long")
+    gap = F.when(F.col("sequence") > start, F.struct(number.alias("runtime"), start.cast("long").alias("gap_start"), (F.col("sequence") - start).cast("long").alias("skipped")))
+    tail = F.when(F.col("_restart") == 1, F.struct((number - 1).alias("runtime"), (prev + 1).cast("long").alias("gap_start"), F.lit(None).cast("long").alias("skipped")))
+    found = runs.select("source", F.explode(F.filter(F.array(tail, gap), lambda g: g.isNotNull())).alias("_g"), F.col(order).alias("seen_at"))
+    return found.select("source", "_g.*", "seen_at")
+
+
 def process_rates(samples: DataFrame, range_s: int = 60) -> DataFrame:
     """CPU rate over the range * 100, RSS, open/max fds, uptime."""
     inc = increments(samples, ("cpu_seconds",), keys=("instance",), tiebreak=("event_id",))

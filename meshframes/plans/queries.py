@@ -162,6 +162,25 @@ def duplicate_report(spark, sf_dir):
     return dedup.duplicate_report(f.unionByName(docs))
 
 
+BURST_S = 1800
+
+
+@query(
+    "duplicate_bursts",
+    with_(FRAMES)
+    + f"""
+, m as (select *, coalesce(received_at_ms - lag(received_at_ms) over w >= {BURST_S * 1000}, false) as begins
+        from frames where content_hash is not null window w as (partition by content_hash order by received_at_ms, source))
+, b as (select *, cast(sum(case when begins then 1 else 0 end) over (partition by content_hash order by received_at_ms, source
+                                                                   rows between unbounded preceding and current row) as bigint) as burst from m)
+select content_hash, burst, count(*) as copies, count(distinct source) as sources,
+       min(received_at_ms) as first_seen_ms, max(received_at_ms) as last_seen_ms from b group by 1, 2""",
+)
+def duplicate_bursts(spark, sf_dir):
+    """D5 with a window: copies within half an hour of each other told from later repeats."""
+    return dedup.duplicate_report(_frames(spark, sf_dir, columns=["source", "received_at_ms", "content_hash"]), BURST_S)
+
+
 SUB_IDS = ("src-3", "src-1")
 SUB_CSV = " src-5 ,src-1,, src-6"
 

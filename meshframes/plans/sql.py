@@ -82,6 +82,12 @@ NETWORKS = """networks as (
   select 'net-'||((page_id + 1) % 5), (page_id + 1) % 5, page_id + 100000, url
   from pages where page_id % 9 = 0)"""
 
+RESTARTED = f"""restarted as (
+  select * from (
+    select 'src-'||(user_id % 8) as source, {MS} as received_at_ms, event_id,
+           row_number() over (partition by user_id % 8, cast(floor({MS}/864000000) as bigint) order by {MS}, event_id) - 1 as sequence
+    from events) r where (event_id * 7) % 5 <> 2)"""
+
 CONV_GAPS = """conv_frames as (
   select 'conv-'||conv_id as source, turn as sequence
   from conversations where (conv_id*7+turn) % 5 <> 2)"""

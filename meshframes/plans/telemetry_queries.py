@@ -9,7 +9,7 @@ from meshframes.operators import aggregates as agg
 from meshframes.operators import filters as flt
 from meshframes.operators import windows as win
 from meshframes.plans.registry import query
-from meshframes.plans.sql import CONN_EVENTS, CONV_GAPS, COUNTERS, FRAMES, PROCESS_SAMPLES, SUBSCRIPTION_EVENTS, with_
+from meshframes.plans.sql import CONN_EVENTS, CONV_GAPS, COUNTERS, FRAMES, PROCESS_SAMPLES, RESTARTED, SUBSCRIPTION_EVENTS, with_
 from meshframes.session import configure
 
 
@@ -137,6 +137,24 @@ def sequence_gaps(spark, sf_dir):
     return win.sequence_gaps(g, order="sequence", tiebreak=())
 
 
+@query(
+    "runtime_gaps",
+    with_(RESTARTED)
+    + """
+, l as (select *, lag(sequence) over (partition by source order by received_at_ms, event_id) as prev from restarted)
+, m as (select *, case when prev is not null and sequence <= prev then 1 else 0 end as again from l)
+, n as (select *, sum(again) over (partition by source order by received_at_ms, event_id rows between unbounded preceding and current row) as runtime from m)
+select source, cast(runtime as bigint) as runtime, case when prev is null or again = 1 then 0 else prev + 1 end as gap_start,
+       sequence - case when prev is null or again = 1 then 0 else prev + 1 end as skipped, received_at_ms as seen_at
+from n where sequence > case when prev is null or again = 1 then 0 else prev + 1 end
+union all select source, cast(runtime - 1 as bigint), prev + 1, null, received_at_ms from n where again = 1""",
+)
+def runtime_gaps(spark, sf_dir):
+    """W7 with restarts: sources that begin anew every 10 days, in arrival order."""
+    configure(spark)
+    return win.runtime_gaps(fx.restarted_frames(spark, sf_dir), tiebreak=("event_id",))
+
+
 @query(
     "cpu_percent",
     with_(PROCESS_SAMPLES)

@@ -87,3 +87,25 @@ def test_duplicate_report_counts(spark):
     f = _frames(spark, [("a", 5), ("a", 9), ("b", 1), (None, 3)])
     r = {x["content_hash"]: (x["copies"], x["first_seen_ms"], x["last_seen_ms"]) for x in duplicate_report(f).collect()}
     assert r == {"a": (2, 5, 9), "b": (1, 1, 1)}
+
+
+def test_bursts_of_a_hash(spark, monkeypatch):
+    import random
+
+    from meshframes.operators import dedup, scan
+
+    r = random.Random(2)
+    rows = [(f"s{r.randrange(4)}", r.choice([0, 5_000, 400_000, 900_000]) + r.randrange(3_000), r.choice(["h"] * 8 + ["g", None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "source string, received_at_ms long, content_hash string")
+    want = []
+    for h in ("g", "h"):
+        seen = sorted((ms, s) for s, ms, x in rows if x == h)
+        bursts = [[seen[0]]]
+        for a, b in zip(seen, seen[1:]):
+            bursts.append([b]) if b[0] - a[0] >= 2_000 else bursts[-1].append(b)
+        want += [(h, i, len(b), len({s for _, s in b}), b[0][0], b[-1][0]) for i, b in enumerate(bursts)]
+    got = lambda: sorted(tuple(x) for x in dedup.duplicate_report(df, 2).collect())
+    assert got() == want and len(want) > 4
+    monkeypatch.setattr(dedup, "ROWS_PER_BUCKET", 40)  # a hot hash in several buckets
+    assert got() == want
+    assert dedup.duplicate_report(df.limit(0), 2).count() == 0

@@ -91,3 +91,17 @@ def test_null_keys_are_an_error(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "k string, t long")
     with pytest.raises(Exception, match="null in a key"):
         ordered_scan(df, ["k"], "t", row_number="n").collect()
+
+
+def test_gaps_across_restarts(spark):
+    from meshframes.operators.windows import runtime_gaps
+
+    arrivals = {"a": [0, 1, 4, 5, 0, 2, 3, 1, 6], "b": [2, 3], "c": [5, 5], "d": [0]}
+    rows = [(s, n, i // 3, i) for s, xs in arrivals.items() for i, n in enumerate(xs)]
+    df = spark.createDataFrame(rows, "source string, sequence long, received_at_ms long, event_id long")
+    got = sorted((tuple(r) for r in runtime_gaps(df, tiebreak=("event_id",)).collect()), key=str)
+    want = [
+        ("a", 0, 2, 2, 0), ("a", 0, 6, None, 1), ("a", 1, 1, 1, 1), ("a", 1, 4, None, 2), ("a", 2, 0, 1, 2), ("a", 2, 2, 4, 2),
+        ("b", 0, 0, 2, 0), ("c", 0, 0, 5, 0), ("c", 0, 6, None, 0), ("c", 1, 0, 5, 0),
+    ]
+    assert got == sorted(want, key=str)
