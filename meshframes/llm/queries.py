@@ -32,7 +32,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_url_filter", url_filter.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = spark.createDataFrame([(k,) for k in url_filter.LISTED], "key string")
+    hosts = pages.select(url_filter.host_and_path(F.col("url"))[0].alias("host"))
+    listed = stored(url_filter.named_keys(url_filter.universe_of(hosts), url_filter.NAMES), "listed-keys")
     return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -2,6 +2,9 @@ from meshframes.llm import url_filter as uf
 from pyspark.sql import functions as F
 
 
+LISTED = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+
+
 def plain(url, listed):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
@@ -27,13 +30,13 @@ URLS = [
 
 def test_verdicts_match_plain_version(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)] + [(None, URLS[4])], "page_id long, url string").selectExpr("*", "'own' as host", "'own' as key", "1 as p", "true as inside")
-    listed = spark.createDataFrame([(k,) for k in uf.LISTED] + [("elsewhere.test",), (None,), (uf.LISTED[0],)], "key string")
+    listed = spark.createDataFrame([(k,) for k in LISTED] + [("elsewhere.test",), (None,), (LISTED[0],)], "key string")
     out = uf.judge(pages, listed)
     assert out.columns == ["page_id", "url", "key", "p", "inside", "host", "path", "rule", "verdict"]
     rows = out.collect()
     assert len(rows) == 2 * len(URLS) + 1
     for r in rows:
-        assert (r.host, r.path, r.rule, r.verdict) == plain(r.url, uf.LISTED), r.url
+        assert (r.host, r.path, r.rule, r.verdict) == plain(r.url, LISTED), r.url
 
 
 def test_cascade_is_exact_for_the_whole_universe(spark):
@@ -63,3 +66,28 @@ def test_too_long_a_list_is_an_error(spark):
     universe = spark.createDataFrame([("a",), ("b",)], "key string")
     with pytest.raises(ValueError):
         uf.build(universe, universe, max_keys=1)
+
+
+def test_a_list_beyond_the_bound_is_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string").selectExpr("*", "'own' as host", "'own' as key")
+    listed = spark.createDataFrame([(k,) for k in LISTED] + [(None,), (LISTED[0],)], "key string")
+    want = sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in uf.judge(pages, listed).collect())
+    assert sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in uf.judge(pages, listed, max_keys=0).collect()) == want
+    monkeypatch.setattr(uf, "MOST_LABELS", 2)
+    assert sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in uf.judge(pages, listed).collect()) == want
+
+
+def test_names_are_listed_under_any_suffix(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("m.ads-track.example.com", "ads-track.org", "ads-track", "xads-track.org", "a.b", "", None)], "host string")
+    got = sorted(r.key for r in uf.named_keys(uf.universe_of(hosts), uf.NAMES).collect())
+    assert got == ["ads-track", "ads-track.example.com", "ads-track.org"]
+
+
+def test_plans_do_not_hold_the_filter(spark):
+    universe = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".test")).alias("key"))
+    pages = universe.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "key").alias("url"))
+    few, many = (uf.judge(pages, universe.where(F.xxhash64("key") % n == 0)) for n in (100, 2))
+    plan = many._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Join" not in plan
+    assert len(plan) < 3 * len(few._jdf.queryExecution().toString())
+    assert many.where("verdict = 'block'").count() == universe.where(F.xxhash64("key") % 2 == 0).count()
