@@ -11,7 +11,8 @@ depends on ``slots`` and the number of sources only) gives the slot of every blo
 
 A source may hold any part of all rows: its stream is cut at hash prefixes into buckets of about
 ``BUCKET_ROWS`` rows; sums by bucket give each bucket's place in the stream and only a bucket is ever sorted.
-What is broadcast has a row for each source and an integer for each slot of the period.
+The plan has a row for each source and an integer for each slot of the period; it is written to a table first, so Spark broadcasts it if its
+size allows and shuffles by source otherwise.
 
 Nothing is dropped: every row is returned, with its slot. Slots of a source that has run out stay empty.
 ``mixed`` tells which rows make the mixture at the whole shares: it ends when the last source whose share is not below its part of
@@ -27,6 +28,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meshframes.llm.common import stored
+
 BUCKET_ROWS = 5_000
 ADDED = ["block", "slot", "mixed"]
 
@@ -98,8 +101,7 @@ def mix(docs: DataFrame, weights: DataFrame, sizes: DataFrame | None = None, slo
         F.ceil(F.col("docs") / F.lit(BUCKET_ROWS)).cast("long").alias("__llm_buckets"),
     )
     rows = docs.select([c for c in docs.columns if c not in ADDED]).withColumn("__llm_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    # one row a source, one integer a slot: bounded by the weights and ``slots``
-    rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__llm_s")), "left").drop("__llm_s")
+    rows = rows.join(stored(plan, "mixing-plan"), F.col("source").eqNullSafe(F.col("__llm_s")), "left").drop("__llm_s")
     prefix = F.conv(F.substring("__llm_h", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("__llm_n", _size()).withColumn("__llm_b", F.floor(prefix * F.col("__llm_buckets") / F.lit(float(1 << 32))).cast("long")).drop("__llm_buckets")
     sums = rows.groupBy("source", "__llm_b").agg(F.sum("__llm_n").alias("__llm_t"))
