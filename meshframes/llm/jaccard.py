@@ -12,12 +12,16 @@ holds whatever partners chose.
 
 1. Prefix shingles are dealt to buckets, as packed arrays; shingles found in one class only vanish there.
 2. Classes that share fewer prefix shingles than the floor for their smallest possible partner drop out.
-3. What still hangs together by a shared prefix shingle is a cluster (components of a star for each shingle). Whole sets are fetched for
-   clusters only. A cluster is cut into blocks by set size, and each pair of blocks that can hold partners is one unit of work.
-4. Within a pair of blocks, prefix matches are counted, pairs with l or more are verified on the whole sets, unless links found there already join them.
-   Links join the classes (components again); each row gets the smallest doc_id.
-
-No step lists the pairs of a group as rows, and no group is gathered whole. Defined results: null, empty and blank texts have no shingles and
+3. Of shingles held by up to ``TOGETHER`` classes the pairs are counted (a row a pair and shingle, so at most ``TOGETHER / 2`` rows a posting): pairs whose sizes
+   fit and that share the smaller of their l are candidates. Classes that share a shingle held by more hang together by a star instead, as
+   a group of thousands of near copies would make all its pairs; a pair of which only one class holds such shingles is told by the others alone.
+   What hangs together by candidates and stars is a cluster (components). Whole sets are fetched for
+   clusters only. A cluster is cut into blocks by set size, and each pair of blocks that can hold partners is one unit of work (most clusters are one).
+4. Within a pair of blocks, classes that stand together by a min-hash are verified first, which joins most of a group of near copies in one pass. Then prefix matches
+   of classes not yet joined are counted, some rows against all at a time, and pairs with l or more are verified on the whole sets, unless links found there
+   already join them. Links join the classes (components again); each row gets the smallest doc_id.
+
+No step lists the pairs of a large group as rows, and no group is gathered whole. Defined results: null, empty and blank texts have no shingles and
 link with nothing (component: the own doc_id); with fewer words than ``WORDS`` the whole sequence is the only shingle; repeated rows and
 equal texts are one class; a null doc_id takes part in links, but is never a component's name (null if it is alone); an empty
 table gives no rows; ``n_shingles`` and ``component_id`` are the only added columns.
@@ -45,8 +49,12 @@ SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 CHUNK = 1_000_000
 #: How many postings the verification of a candidate is worth in the cost estimate.
 VERIFY = 16.0
-#: A cluster is compared in blocks of about so many classes.
-BLOCK_CLASSES = 1_500
+#: A cluster is compared in blocks of about so many classes, fewer if their sets are large: so many shingles in all.
+BLOCK_CLASSES, BLOCK_SHINGLES = 6_000, 1_200_000
+#: Of a pair of blocks, counts of so many pairs are held at once; frequent shingles are counted so many at a time.
+TILE, DENSE = 2_000_000, 512
+#: Shingles held by more classes are joined by stars, not by pairs.
+TOGETHER = 64
 #: Postings to a bucket, about.
 BUCKET_POSTINGS = 1_000_000
 #: At most so many shingles are known to be frequent.
@@ -216,7 +224,7 @@ def prefixes(s: np.ndarray, known: Frequent) -> tuple[np.ndarray, int]:
 
 
 def shared_prefixes(docs: DataFrame, known: Frequent, total: int) -> DataFrame:
-    """(shingle, cls, need) of prefix shingles found in two classes or more; need: :func:`least_matches` of the class."""
+    """(shingle, cls, need, n, l) of prefix shingles found in two classes or more; need: :func:`least_matches` of the class, n: its shingles."""
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (3 * BUCKET_POSTINGS)))
     shared = spark.sparkContext.broadcast(known)  # bounded by FREQUENT
@@ -225,7 +233,10 @@ def shared_prefixes(docs: DataFrame, known: Frequent, total: int) -> DataFrame:
         for held in _distinct(batches, 2_000_000):
             cls = np.fromiter(held, np.int64, len(held))
             need = np.fromiter((least_matches(len(s)) for s in held.values()), np.int32, len(held))
-            pre = [prefixes(s, shared.value)[0] for s in held.values()]
+            chosen = [prefixes(s, shared.value) for s in held.values()]
+            pre = [p for p, _ in chosen]
+            wide = np.fromiter(map(len, held.values()), np.int32, len(held))
+            least = np.fromiter((x for _, x in chosen), np.int32, len(held))
             flat = np.concatenate(pre)
             owner = np.repeat(np.arange(len(pre), dtype=np.int32), [len(p) for p in pre])
             bucket = (mix(flat) % np.uint64(buckets)).astype(np.int64)
@@ -235,8 +246,8 @@ def shared_prefixes(docs: DataFrame, known: Frequent, total: int) -> DataFrame:
             rows = []
             for s, e in zip(cuts, np.append(cuts[1:], len(bucket))):
                 some, size = np.unique(owner[s:e], return_counts=True)
-                rows.append((int(bucket[s]), cls[some].tobytes(), need[some].tobytes(), size.astype("<i4").tobytes(), flat[s:e].tobytes()))
-            names = ["bucket", "cls", "need", "size", "shingles"]
+                rows.append((int(bucket[s]), cls[some].tobytes(), need[some].tobytes(), wide[some].tobytes(), least[some].tobytes(), size.astype("<i4").tobytes(), flat[s:e].tobytes()))
+            names = ["bucket", "cls", "need", "n", "l", "size", "shingles"]
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
 
@@ -244,37 +255,58 @@ def shared_prefixes(docs: DataFrame, known: Frequent, total: int) -> DataFrame:
         for _, parts in groups(batches, ["bucket"]):
             read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for b in parts for x in b.column(name)])
             size = read("size", "<i4")
-            cls, need, s = np.repeat(read("cls", np.int64), size), np.repeat(read("need", np.int32), size), read("shingles", np.uint64)
-            order = np.lexsort((cls, s))
-            s, cls, need = s[order], cls[order], need[order]
+            of = np.repeat(np.arange(len(size)), size)
+            known, s = {c: read(c, np.int32) for c in ("need", "n", "l")}, read("shingles", np.uint64)
+            cls = read("cls", np.int64)
+            order = np.lexsort((cls[of], s))
+            s, of = s[order], of[order]
             once = np.ones(len(s), bool)
-            once[1:] = (s[1:] != s[:-1]) | (cls[1:] != cls[:-1])
-            s, cls, need = s[once], cls[once], need[once]
+            once[1:] = (s[1:] != s[:-1]) | (cls[of[1:]] != cls[of[:-1]])
+            s, of = s[once], of[once]
             same = s[1:] == s[:-1]
             keep = np.zeros(len(s), bool)
             keep[1:] |= same
             keep[:-1] |= same
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(cls[keep]), pa.array(need[keep])], names=["shingle", "cls", "need"])
+            s, of = s[keep], of[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(cls[of]), *(pa.array(x[of]) for x in known.values())], names=["shingle", "cls", *known])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, cls binary, need binary, size binary, shingles binary")
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, cls binary, need binary, n binary, l binary, size binary, shingles binary")
     together = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return together.mapInArrow(meet, "shingle long, cls long, need int")
+    return together.mapInArrow(meet, "shingle long, cls long, need int, n int, l int")
 
 
 def peel(shared: DataFrame) -> DataFrame:
     """Drops classes with fewer matches than they need (a class has its prefix at most, so a window holds it)."""
     found = shared.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("cls")))
-    return stored(found.where("found >= need").select("shingle", "cls"), "shared-prefixes")
+    return stored(found.where("found >= need").select("shingle", "cls", "n", "l"), "shared-prefixes")
+
+
+def candidates(left: DataFrame) -> DataFrame:
+    """(a, b): what may be linked, by pairs and by stars of shingles that many classes hold."""
+    many = stored(left.groupBy("shingle").count().where(F.col("count") > TOGETHER).select("shingle"), "common-shingles")
+    few = left.join(many, "shingle", "left_anti").groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("cls", "n", "l"))).alias("s"))  # TOGETHER at most
+
+    def pair(x, y):
+        fits = (DEN * F.least(x["n"], y["n"]) >= NUM * F.greatest(x["n"], y["n"])).alias("fits")
+        return F.struct(x["cls"].alias("a"), y["cls"].alias("b"), F.least(x["l"], y["l"]).alias("need"), fits)
+
+    behind = F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: pair(x, y)))
+    pairs = few.select(F.explode(F.filter(F.flatten(behind), lambda p: p["fits"])).alias("p")).select("p.a", "p.b", "p.need")
+    found = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("need")).where("m >= need").select("a", "b")
+    stars = left.join(many, "shingle").select("shingle", "cls")
+    hubs = stars.groupBy("shingle").agg(F.min("cls").alias("b"))
+    return found.union(stars.join(hubs, "shingle").select(F.col("cls").alias("a"), "b"))
 
 
 def _blocks(members: DataFrame) -> DataFrame:
     """(cluster, cls, unit, side): the pairs of blocks in which each class of ``members`` (cluster, cls, n) is compared.
 
     Blocks follow set sizes; only blocks whose sizes can hold partners are paired."""
-    by = members.groupBy("cluster", "n").count()
+    share = F.col("count") * F.greatest(F.lit(1 / BLOCK_CLASSES), F.col("n") / BLOCK_SHINGLES)  # of a block
+    by = members.groupBy("cluster", "n").count().withColumn("share", share)
     up = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("at", F.floor(F.coalesce(F.sum("count").over(up), F.lit(0)) / BLOCK_CLASSES)).withColumn("slices", F.ceil(F.col("count") / BLOCK_CLASSES).cast("int"))
-    placed = members.join(by.drop("count"), ["cluster", "n"]).withColumn("slice", F.when(F.col("slices") > 1, F.pmod(F.xxhash64("cls"), "slices")).otherwise(F.lit(-1)))
+    by = by.withColumn("at", F.floor(F.coalesce(F.sum("share").over(up), F.lit(0)))).withColumn("slices", F.ceil("share").cast("int"))
+    placed = members.join(by.drop("count", "share"), ["cluster", "n"]).withColumn("slice", F.when(F.col("slices") > 1, F.pmod(F.xxhash64("cls"), "slices")).otherwise(F.lit(-1)))
     placed = placed.withColumn("n0", F.when(F.col("slices") > 1, F.col("n")).otherwise(F.lit(0)))
     placed = stored(placed.select("cluster", "cls", "n", F.struct("at", "n0", "slice").alias("block")), "join-blocks")
     each = placed.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -286,71 +318,106 @@ def _blocks(members: DataFrame) -> DataFrame:
     return placed.join(sides, ["cluster", "block"]).select("cluster", "cls", "unit", "side")
 
 
-class Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+def _verified(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DEN * both >= NUM * (len(x) + len(y) - both)
+
 
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+class Parts:
+    """Joined parts of a unit's classes; ``label`` tells whose part each is in, for whole arrays at once."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
 
     def join(self, i: int, j: int) -> None:
-        self.up[self.find(i)] = self.find(j)
-
-
-def matches(pre: list[np.ndarray], left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, prefix shingles in common) of pairs i < j that share any, not both on the right side only."""
-    owner = np.repeat(np.arange(len(pre)), [len(p) for p in pre])
-    _, col, count = np.unique(np.concatenate(pre), return_inverse=True, return_counts=True)
-    n = len(pre)
-    total = np.zeros((n, n), np.int32)
-    wide = count[col] > 32
-    if wide.any():
-        _, c = np.unique(col[wide], return_inverse=True)
-        o = owner[wide]
-        for s in range(0, int(c.max()) + 1, 2_048):
-            some = (c >= s) & (c < s + 2_048)
-            x = np.zeros((n, 2_048), np.float32)
-            x[o[some], c[some] - s] = 1.0
-            total += (x @ x.T).astype(np.int32)
-    few = (count[col] > 1) & ~wide
-    order = np.argsort(col[few], kind="stable")
-    c, o = col[few][order], owner[few][order]
-    for gap in range(1, 32):  # members of a shingle stand together: pair those gap places apart
-        same = c[gap:] == c[:-gap]
-        if not same.any():
-            break
-        np.add.at(total, (np.minimum(o[gap:][same], o[:-gap][same]), np.maximum(o[gap:][same], o[:-gap][same])), 1)
-    i, j = np.nonzero(np.triu(total, 1))
-    ok = left[i] | left[j]
-    return i[ok], j[ok], total[i[ok], j[ok]]
+        self.label[self.label == self.label[i]] = self.label[j]
+
+
+def _join_neighbours(sets: list[np.ndarray], parts: Parts) -> list[tuple[int, int]]:
+    """Links between classes that stand together by a min-hash: one pass over the classes for each of three, so a group of near
+    copies is joined without a look at its pairs."""
+    out = []
+    n = np.array([len(s) for s in sets])
+    for key in (lambda s: s[0], lambda s: s[-1], lambda s: mix(s).min()):
+        keys = np.array([key(s) for s in sets], np.uint64)
+        order = np.lexsort((n, keys))
+        for a, b in zip(order[:-1][same := keys[order[1:]] == keys[order[:-1]]].tolist(), order[1:][same].tolist()):
+            if parts.label[a] != parts.label[b] and _verified(sets[a], sets[b]):
+                parts.join(a, b)
+                out.append((a, b))
+    return out
+
+
+class Matches:
+    """Prefix shingles that classes of different parts have in common, counted for some rows against all classes."""
+
+    def __init__(self, pre: list[np.ndarray], label: np.ndarray) -> None:
+        self.n = len(pre)
+        owner = np.repeat(np.arange(self.n), [len(p) for p in pre])
+        _, col, count = np.unique(np.concatenate(pre), return_inverse=True, return_counts=True)
+        order = np.argsort(col, kind="stable")
+        owner, col = owner[order], col[order]
+        starts = np.cumsum(count) - count
+        # a shingle of one part only can link nothing new
+        useful = np.minimum.reduceat(label[owner], starts) != np.maximum.reduceat(label[owner], starts)
+        wide = useful & (count > max(32, self.n // 16))
+        few = useful & ~wide
+        self.wide_owner, self.wide_col = owner[wide[col]], (np.cumsum(wide) - 1)[col[wide[col]]]
+        # members of a shingle stand together, in ascending order: each is paired with those behind it
+        at = np.arange(len(col))
+        behind = (starts + count)[col] - at - 1
+        some = np.flatnonzero(few[col] & (behind > 0))
+        some = some[np.argsort(owner[some], kind="stable")]
+        self.owner, self.first, self.partner, self.behind = owner[some], at[some] + 1, owner, behind[some]
+
+    def rows(self, start: int, end: int) -> np.ndarray:
+        """Counts of the pairs (i, j) of rows i from ``start`` to ``end``; those with j <= i may be less."""
+        total = np.zeros((end - start, self.n), np.float32)
+        last = int(self.wide_col[-1]) + 1 if len(self.wide_col) else 0
+        for c in range(0, last, DENSE):
+            s, e = np.searchsorted(self.wide_col, [c, c + DENSE])
+            x = np.zeros((self.n, DENSE), np.float32)
+            x[self.wide_owner[s:e], self.wide_col[s:e] - c] = 1.0
+            if x[start:end].any():
+                total += x[start:end] @ x.T
+        flat = total.reshape(-1)
+        s, e = np.searchsorted(self.owner, [start, end])
+        for p, q in blocks(self.behind[s:e].tolist(), TILE):
+            n, row = self.behind[s + p : s + q], self.owner[s + p : s + q] - start
+            place = np.repeat(self.first[s + p : s + q] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            np.add.at(flat, np.repeat(row, n) * self.n + self.partner[place], 1)
+        return total
 
 
 def links(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: Frequent) -> list[tuple[int, int]]:
     """Verified links that join what is linked in a pair of blocks (links inside a joined part are left out)."""
-    pre = [prefixes(s, known) for s in sets]
-    left = side == 0
+    parts = Parts(len(sets))
+    out = _join_neighbours(sets, parts)
+    if (parts.label == parts.label[0]).all():
+        return [(int(cls[a]), int(cls[b])) for a, b in out]
+    chosen = [prefixes(s, known) for s in sets]
+    l, n, left = np.array([x for _, x in chosen]), np.array([len(s) for s in sets]), side == 0
     one_block = bool(left.all())
-    i, j, m = matches([p for p, _ in pre], left)
-    l = np.array([x for _, x in pre])
-    n = np.array([len(s) for s in sets])
-    ok = (m >= np.minimum(l[i], l[j])) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
-    if not one_block:
-        ok &= left[i] != left[j]  # pairs within a block have a unit of their own
-    i, j, m = i[ok], j[ok], m[ok]
-    order = np.argsort(-m / np.minimum(n[i], n[j]), kind="stable")
-    joined = Forest(len(sets))
-    out = []
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        if joined.find(a) != joined.find(b):
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if DEN * both >= NUM * (len(sets[a]) + len(sets[b]) - both):
-                joined.join(a, b)
-                out.append((int(cls[a]), int(cls[b])))
-    return out
+    shared = Matches([p for p, _ in chosen], parts.label)
+    step = max(1, TILE // len(sets))
+    for start in range(0, len(sets), step):
+        total = shared.rows(start, min(start + step, len(sets)))
+        i, j = np.nonzero((total > 0) & (parts.label[start : start + step, None] != parts.label[None, :]))
+        m, i = total[i, j], i + start
+        ok = (i < j) & (m >= np.minimum(l[i], l[j])) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+        if not one_block:
+            ok &= left[i] != left[j]  # pairs within a block have a unit of their own
+        i, j, m = i[ok], j[ok], m[ok]
+        order = np.argsort(-m / np.minimum(n[i], n[j]), kind="stable")
+        i, j = i[order], j[order]
+        for s in range(0, len(i), 256):
+            a, b = i[s : s + 256], j[s : s + 256]
+            apart = parts.label[a] != parts.label[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                if parts.label[x] != parts.label[y] and _verified(sets[x], sets[y]):
+                    parts.join(x, y)
+                    out.append((x, y))
+    return [(int(cls[a]), int(cls[b])) for a, b in out]
 
 
 def join_classes(docs: DataFrame, named: DataFrame, known: Frequent, total: int) -> DataFrame:
@@ -358,9 +425,7 @@ def join_classes(docs: DataFrame, named: DataFrame, known: Frequent, total: int)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = peel(shared_prefixes(docs, known, total))
-    hubs = left.groupBy("shingle").agg(F.min("cls").alias("b"))
-    stars = left.join(hubs, "shingle").select(F.col("cls").alias("a"), "b")
-    found = components(stars, "join-clusters")
+    found = components(candidates(left), "join-clusters")
     clusters = found.union(found.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("cls"), F.col("b").alias("cluster"))
     first = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = stored(first.join(clusters, "cls"), "join-members")
