@@ -34,17 +34,34 @@ SHARD_TOKENS = 1_500_000
 SIGN_BITS = 12
 
 
+#: A lane of signs holds four counters of 16 bits, so runs of so many tokens are summed at once.
+RUN = (1 << 16) - 1
+
+
 @functools.cache
 def _signs(vocabulary: int) -> np.ndarray:
     return np.random.default_rng(5).choice(np.array([-1, 1], np.int8), (vocabulary, SIGN_BITS))
 
 
+@functools.cache
+def _lanes(vocabulary: int) -> list[np.ndarray]:
+    """The positive signs of each token, four to a 64-bit number."""
+    ones = (_signs(vocabulary) > 0).astype(np.uint64)
+    shift = np.uint64(1) << (np.uint64(16) * np.arange(4, dtype=np.uint64))
+    return [np.ascontiguousarray((ones[:, i : i + 4] * shift[: ones[:, i : i + 4].shape[1]]).sum(axis=1, dtype=np.uint64)) for i in range(0, SIGN_BITS, 4)]
+
+
 def similarity_keys(ids: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(simhash, smallest hash of a token pair) of each token sequence; sequences are not empty."""
     flat = np.concatenate(ids).astype(np.int64)
-    starts = np.cumsum([0, *(len(x) for x in ids[:-1])])
-    sums = np.add.reduceat(_signs(vocabulary)[flat], starts, axis=0, dtype=np.int32)
-    sign = (sums > 0) @ (1 << np.arange(SIGN_BITS))
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    starts = np.cumsum(sizes) - sizes
+    runs = np.concatenate([np.arange(s, s + n, RUN) for s, n in zip(starts, sizes)]) if sizes.max() > RUN else starts
+    lanes = [np.add.reduceat(lane[flat], runs) for lane in _lanes(vocabulary)]
+    ones = np.column_stack([(x >> np.uint64(16 * k)) & np.uint64(RUN) for x in lanes for k in range(4)])[:, :SIGN_BITS].astype(np.int64)
+    if len(runs) > len(starts):
+        ones = np.add.reduceat(ones, np.searchsorted(runs, starts), axis=0)
+    sign = (2 * ones > sizes[:, None]) @ (1 << np.arange(SIGN_BITS))
     pairs = mix((flat * vocabulary + np.append(flat[1:], 0)).astype(np.uint64)) >> np.uint64(1)
     return sign.astype(np.int32), np.minimum.reduceat(pairs, starts).astype(np.int64)
 
@@ -126,6 +143,12 @@ class Shard:
         self.at = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=size))])
         self.n = len(ids)
 
+    def forget(self, used: np.ndarray) -> None:
+        """Drops the postings of documents that are no longer asked for."""
+        keep = ~used[self.doc]
+        self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the distinct tokens of ``seed``."""
         t = self.terms[seed]
@@ -142,6 +165,7 @@ def pack_shard(ids: list[np.ndarray], stats: Statistics, window: int = 4096) ->
     sequences: list[list[tuple[int, int, int]]] = []
     current: list[tuple[int, int, int]] = []
     room, first = window, 0
+    indexed = len(ids)
 
     def put(doc: int, start: int) -> int:
         """Fills the window from ``start``; where the document goes on, or -1."""
@@ -167,6 +191,9 @@ def pack_shard(ids: list[np.ndarray], stats: Statistics, window: int = 4096) ->
             rest = put(seed, rest)
         if not current:
             continue
+        if 4 * (left := int(unused.sum())) < 3 * indexed:
+            index.forget(~unused)
+            indexed = left
         score = index.scores(seed)
         score[~unused] = -1.0
         for doc in np.argsort(-score, kind="stable").tolist():

@@ -26,6 +26,11 @@ WHITE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: White space or none, letters that stand for themselves in NFC and have one lower-case letter, and signs but apostrophes.
 PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Characters that stand for the bytes of a word in both files: printable ones for themselves, the others from U+0100 on in their order.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+#: The signs that a plain word may end with.
+SIGNS = frozenset(x for x in map(chr, range(33, 127)) if not x.isalnum() and x != "'")
 #: Characters outside of those that Python lower-cases and splits at as the "lower" kind of file does.
 OTHER = re.compile("[^\x00-\x1b -\u012f\u0131-\u017f\u2010-\u2027]")
 MEMO = 500_000
@@ -54,7 +59,6 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
         self.tokenizer.encode_special_tokens = True  # a text is cut at added tokens before; pieces, which may be lower-cased, hold none
@@ -63,7 +67,6 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # the two kinds of file for which plain words are understood: nothing normalized, or case and white space dropped
         self.plain = {"byte_bpe_50k.json": "exact", "word_bpe_49k.json": "lower"}.get(os.path.basename(file))
-        self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         self.around: dict[str, bytes] = {"": b""}
         self.young = Memo(self, {})
 
@@ -71,6 +74,13 @@ class Encoder:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
+        if self.plain == "lower" and piece.isascii() and len(piece) <= LONGEST:  # most pieces, without the chain below
+            if piece.isalpha():
+                return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece.lower())])
+            if piece[:-1].isalpha() and piece[-1] in SIGNS:
+                if piece[-1] not in self.around:
+                    self.around[piece[-1]] = self._whole(piece[-1])
+                return self.young[piece[:-1]] + self.around[piece[-1]]
         m = self.plain and PLAIN.fullmatch(piece)
         if not m or len(piece) > LONGEST:
             return self._whole(piece)
@@ -84,7 +94,7 @@ class Encoder:
             if x not in around:
                 around[x] = self._whole(x)
         if not word.isascii() or word[0] == " ":
-            word = self.alphabet.pre_tokenize_str(word)[0][0]
+            word = word.encode().decode("latin-1").translate(ALPHABET)
         return around[before] + self._bytes([t.id for t in self.tokenizer.model.tokenize(word)]) + around[after]
 
     @staticmethod
