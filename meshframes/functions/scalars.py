@@ -112,6 +112,11 @@ _TWO_DOTS = r"^(?i)(\.|%2e)(\.|%2e)$"
 _OUTER_CONTROLS = "^[\x00-\x20]+|[\x00-\x20]+$"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _percent_encoded(text: Column, safe: str) -> Column:
     """Characters outside of ``safe`` as the ``%XX`` of their UTF-8 bytes."""
     one = lambda c: F.when(c.rlike(f"[^{safe}]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
@@ -155,11 +160,13 @@ def _ipv4(host: Column) -> Column:
 def _host(text: Column) -> Column:
     """A host as the URL Standard writes it; null if it is none. Not done: punycode of non-ASCII names, short forms of IPv6."""
     plain = F.when(text.contains("%"), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))).otherwise(text)
-    name = F.lower(plain)
-    numeric = name.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
     six = F.when(text.rlike(r"^\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]$"), F.lower(text))
-    named = F.when((name != "") & ~name.rlike(_HOST_FORBIDDEN), F.when(numeric, _ipv4(name)).otherwise(name))
-    return F.when(text.startswith("["), six).otherwise(named)
+
+    def named(name: Column) -> Column:
+        numeric = name.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+        return F.when((name != "") & ~name.rlike(_HOST_FORBIDDEN), F.when(numeric, _ipv4(name)).otherwise(name))
+
+    return F.when(text.startswith("["), six).otherwise(_let(F.lower(plain), named))
 
 
 def websocket_url(url) -> Column:
@@ -172,23 +179,37 @@ def websocket_url(url) -> Column:
     already ends in ``/ws`` (then the path is left as it was). The fragment is dropped, the query kept.
     """
     u = F.regexp_replace(F.regexp_replace(_c(url), _OUTER_CONTROLS, ""), "[\t\n\r]", "")
+    return _let(u, _as_websocket)
+
+
+def _as_websocket(u: Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, _SPECIAL_URL, 1))
     new_scheme = F.when(scheme.isin("https", "wss"), F.lit("wss")).when(scheme.isin("http", "ws"), F.lit("ws"))
-    authority = F.regexp_extract(u, _SPECIAL_URL, 2)
-    query = _percent_encoded(F.regexp_extract(u, _SPECIAL_URL, 4), _QUERY_SAFE)
-    users = F.regexp_extract(authority, "^(.*)@", 1)
+    query = _let(F.regexp_extract(u, _SPECIAL_URL, 4), lambda q: _percent_encoded(q, _QUERY_SAFE))
+    path = _let(F.concat(F.lit("/"), F.array_join(_let(F.regexp_extract(u, _SPECIAL_URL, 3), _without_dots), "/")), lambda p: _percent_encoded(p, _PATH_SAFE))
+
+    def with_ws(p: Column) -> Column:
+        return _let(F.regexp_replace(p, "/+$", ""), lambda cut: F.when(cut.endswith("/ws"), p).otherwise(F.concat(cut, F.lit("/ws"))))
+
+    # what is no address makes the whole null
+    return _let(new_scheme, lambda s: F.concat(s, F.lit("://"), _let(F.regexp_extract(u, _SPECIAL_URL, 2), lambda a: _authority(a, s)), _let(path, with_ws), query))
+
+
+def _authority(text: Column, scheme: Column) -> Column:
+    """User, host and port as the URL Standard writes them; null if there is no such host or port."""
+    users = F.regexp_extract(text, "^(.*)@", 1)
     name = _percent_encoded(F.regexp_extract(users, "(?s)^([^:]*)", 1), _USER_SAFE)
     word = _percent_encoded(F.regexp_extract(users, "(?s)^[^:]*:(.*)$", 1), _USER_SAFE)
-    user = F.concat(name, F.when(word != "", F.concat(F.lit(":"), word)).otherwise(F.lit("")))
-    user = F.when(user == "", user).otherwise(F.concat(user, F.lit("@")))
-    place = F.regexp_replace(authority, "(?s)^.*@", "")
-    host = _host(F.regexp_extract(place, r"(?s)^(\[[^\]]*\]|[^:]*)", 1))
-    port = F.regexp_extract(place, r"(?s)^(?:\[[^\]]*\]|[^:]*):?(.*)$", 1)
-    digits = F.regexp_replace(port, "^0+(?=.)", "")
-    port_ok = port.rlike("^[0-9]*$") & (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535)
-    own = F.when(new_scheme == "wss", F.lit(DEFAULT_PORTS["wss"])).otherwise(F.lit(DEFAULT_PORTS["ws"]))
-    shown = F.when((digits == "") | (digits == own), F.lit("")).otherwise(F.concat(F.lit(":"), digits))
-    path = _percent_encoded(F.concat(F.lit("/"), F.array_join(_without_dots(F.regexp_extract(u, _SPECIAL_URL, 3)), "/")), _PATH_SAFE)
-    cut = F.regexp_replace(path, "/+$", "")
-    new_path = F.when(cut.endswith("/ws"), path).otherwise(F.concat(cut, F.lit("/ws")))
-    return F.when(new_scheme.isNotNull() & host.isNotNull() & port_ok, F.concat(new_scheme, F.lit("://"), user, host, shown, new_path, query))
+    user = _let(F.concat(name, _let(word, lambda w: F.when(w != "", F.concat(F.lit(":"), w)).otherwise(F.lit("")))), lambda x: F.when(x == "", x).otherwise(F.concat(x, F.lit("@"))))
+    own = F.when(scheme == "wss", F.lit(DEFAULT_PORTS["wss"])).otherwise(F.lit(DEFAULT_PORTS["ws"]))
+
+    def shown(port: Column) -> Column:
+        digits = F.regexp_replace(port, "^0+(?=.)", "")
+        ok = port.rlike("^[0-9]*$") & (F.length(digits) <= 5) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 65535)
+        return F.when(ok, F.when((digits == "") | (digits == own), F.lit("")).otherwise(F.concat(F.lit(":"), digits)))
+
+    def placed(place: Column) -> Column:
+        host = _let(F.regexp_extract(place, r"(?s)^(\[[^\]]*\]|[^:]*)", 1), _host)
+        return F.concat(host, _let(F.regexp_extract(place, r"(?s)^(?:\[[^\]]*\]|[^:]*):?(.*)$", 1), shown))
+
+    return F.concat(user, _let(F.regexp_replace(text, "(?s)^.*@", ""), placed))
