@@ -25,7 +25,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from meshframes.llm.common import stored, with_arrow_columns
@@ -38,8 +37,8 @@ UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
 PUNCT = b"!\"'()+,-./:;=?@[\\]^_`{}~"
 WINDOW = 5
-#: Texts of more words compare 64-bit hashes of their windows, to bound memory.
-HASHED_WORDS = 200_000
+#: Texts of more words compare their windows by numbers instead of tuples, to bound memory; both ways are exact.
+NUMBERED_WORDS = 200_000
 
 
 def _repeat_words(words: list[bytes]) -> int:
@@ -47,12 +46,13 @@ def _repeat_words(words: list[bytes]) -> int:
     n = len(words)
     if n <= WINDOW:
         return 0
-    if n > HASHED_WORDS:
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n)
-        win = np.zeros(n - WINDOW + 1, np.uint64)
-        for i in range(WINDOW):
-            win = (win * np.uint64(0x9E3779B97F4A7C15)) ^ (win >> np.uint64(29))
-            win += h[i : n - WINDOW + 1 + i]
+    if n > NUMBERED_WORDS:
+        numbers: dict[bytes, int] = {}
+        word = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, n)
+        m = n - WINDOW + 1
+        win = word[:m]
+        for i in range(1, WINDOW):  # equal windows so far have equal numbers below n, so a pair is one number
+            win = np.unique(win * len(numbers) + word[i : m + i], return_inverse=True)[1]
         _, at, count = np.unique(win, return_inverse=True, return_counts=True)
         starts = np.flatnonzero(count[at] > 1)
     else:

@@ -23,11 +23,12 @@ def test_statistics_match_plain_version(text):
     assert quality.text_stats(text.encode())[:5] == plain(text)
 
 
-def test_hashed_windows_agree(monkeypatch):
-    words = ("a b c d e f g a b c d e x y z a b c d e " * 3).encode().split()
-    exact = quality._repeat_words(words)
-    monkeypatch.setattr(quality, "HASHED_WORDS", 3)
-    assert quality._repeat_words(words) == exact > 0
+def test_numbered_windows_agree(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [("a b c d e f g a b c d e x y z a b c d e " * 3).encode().split(), *([b"%d" % x for x in rng.integers(0, 3, n)] for n in (6, 40, 900))]
+    exact = [quality._repeat_words(words) for words in texts]
+    monkeypatch.setattr(quality, "NUMBERED_WORDS", 3)
+    assert [quality._repeat_words(words) for words in texts] == exact and exact[0] > 0
 
 
 def test_path_lengths_match_a_walk():
