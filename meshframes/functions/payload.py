@@ -102,8 +102,11 @@ def json_string(text) -> Column:
     t = _c(text)
     j = F.to_json(F.array(t))
     # Spark writes hexadecimal letters of escapes in upper case; an escape's backslash stands after an even number of others
-    lower = j
-    for code in _LETTERED:
-        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    def lowered(x: Column) -> Column:
+        for code in _LETTERED:
+            x = F.regexp_replace(x, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+        return x
+
+    lower = F.get(F.transform(F.array(j), lowered), F.lit(0))  # rarely needed, so kept out of the generated code
     some = t.rlike("[\u000b\u000e\u000f\u001a-\u001f]")
     return F.substring(F.when(some, lower).otherwise(j), F.lit(2), F.length(j) - 2)
