@@ -164,10 +164,9 @@ def explode_path(spark, sf_dir):
 
 
 def _json_message(id_: str, url: str) -> tuple:
-    """A nested object with unsorted keys, as Spark and DuckDB columns of equal text."""
+    """A nested object with unsorted keys, as a maker of a Spark column and DuckDB SQL of equal text."""
     parts = ['{"z":{"n":', id_, ',"a":[', id_, ',{"y":"', url, '","it\'s":', id_, '}]},"b":{"q":true,"c":null},"a":"', url, '"}']
-    spark_text = F.concat(*[F.col(p).cast("string") if p in (id_, url) else F.lit(p) for p in parts])
-    return spark_text, " || ".join(p if p in (id_, url) else "'" + p.replace("'", "''") + "'" for p in parts)
+    return (lambda: F.concat(*[F.col(p).cast("string") if p in (id_, url) else F.lit(p) for p in parts])), " || ".join(p if p in (id_, url) else "'" + p.replace("'", "''") + "'" for p in parts)
 
 
 _PAGE_MESSAGE, _PAGE_MESSAGE_SQL = _json_message("page_id", "address")
@@ -177,7 +176,7 @@ _PAGES_SQL = "with p as (select page_id, replace(replace(coalesce(url, ''), chr(
 def _page_messages(spark, sf_dir):
     configure(spark)
     address = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\\"), F.lit("")), F.lit('"'), F.lit(""))
-    return fx.table(spark, sf_dir, "pages").select("page_id", address.alias("address")).select("page_id", _PAGE_MESSAGE.alias("doc"))
+    return fx.table(spark, sf_dir, "pages").select("page_id", address.alias("address")).select("page_id", _PAGE_MESSAGE().alias("doc"))
 
 
 @query(
