@@ -122,7 +122,7 @@ def json_lines(spark, sf_dir):
 
 
 def _program_input(spark, sf_dir):
-    cols = ["source", "sequence", "received_at_ms", "kind", "encoding", "payload_text"]
+    cols = ["source", "sequence", "received_at_ms", "kind", "encoding", "payload_text", "payload_v"]
     return union_frames(_events(spark, sf_dir, write=False).select(*cols), _docs(spark, sf_dir).select(*cols))
 
 

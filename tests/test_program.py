@@ -173,3 +173,16 @@ def test_payload_objects_keep_the_order_of_the_payload(spark):
     assert out(Project(".payload.z")) == ['{"b":1,"a":[{"y":1,"x":2}]}']
     assert out(Reshape({"s": ".sequence", "p": ".payload.z.a"}), Each(".p")) == ['{"y":1,"x":2}']
     assert out(Each(".payload")) == ['{"b":1,"a":[{"y":1,"x":2}]}', "3"]
+
+
+def test_a_payload_is_parsed_once_however_many_columns_read_it(spark):
+    from meshframes.sources.frames import decode_frames
+
+    raw = spark.range(6).selectExpr("concat('s', id) as source", "id as sequence", "id as received_at_ms", "cast(1 as byte) as kind",
+                                    """cast(if(id % 2 = 0, concat('{"data":{"k":', id, ',"l":[1]}}'), 'plain') as binary) as payload""")
+    for program, n in ((Program(Project(".payload.data.k")), 3), (Program(Select(".payload.data.k", ">=", 2)), 2), (Program(Each(".payload.data")), 6),
+                       (Program(Reshape({"k": ".payload.data.k", "s": ".source"})), 3)):
+        out = run_program(decode_frames(raw), program)
+        assert out.count() == n
+        # a filter on what decoding gives would be moved to the scan, with a copy of the decoding for each use
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
