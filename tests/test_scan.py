@@ -105,3 +105,17 @@ def test_gaps_across_restarts(spark):
         ("b", 0, 0, 2, 0), ("c", 0, 0, 5, 0), ("c", 0, 6, None, 0), ("c", 1, 0, 5, 0),
     ]
     assert got == sorted(want, key=str)
+
+
+def test_range_sum_adds_no_range_anew(spark):
+    # one dense bucket and its neighbours, repeated times, null values, bounds of buckets, negative times
+    rows = [("a", t, v) for t, v in [(-1, 1.5), (0, 2.0), (0, None), (999, 0.25), (1000, 4.0), (1000, 8.0), (1998, 16.0), (1999, 32.0), (3500, None), (9000, 0.5)]]
+    rows += [("b", 2000 + i % 700, 1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, ts long, v double")
+    out = range_sum(df, ["k"], "ts", 1000, {"s": F.col("v")})
+    ref = df.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("ts").rangeBetween(-999, 0)))
+    assert out.columns == ref.columns and out.exceptAll(ref).count() == 0 and ref.exceptAll(out).count() == 0
+    # a sliding frame costs the square of its rows
+    assert "RangeFrame, -999" not in out._jdf.queryExecution().executedPlan().toString()
+    none = range_sum(spark.createDataFrame([("a", None, 1.0), ("a", None, 2.0)], "k string, ts long, v double"), ["k"], "ts", 1000, {"s": F.col("v")})
+    assert [r.s for r in none.collect()] == [3.0, 3.0]
