@@ -11,6 +11,7 @@ base rules alone; further columns pass all stages but the last, also those named
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meshframes.llm import jaccard, lang_id, mixing, packing, quality
@@ -48,9 +49,28 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange(n, *order).sortWithinPartitions(*order).select(docs.columns)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, place): each document's first place in the order in which the rows of ``docs`` stand.
+
+    Files that a stage has written are numbered in its order, but read in any; other rows stand as their partitions do."""
+    try:
+        at = docs.select("doc_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        at = docs.select("doc_id", F.monotonically_increasing_id().alias("place"))
+    else:
+        part = F.regexp_extract("file", r"part-(\d+)", 1)
+        at = at.select("doc_id", (F.coalesce(F.try_to_number(part, F.lit("99999999")), F.lit(0)).cast("long") * (1 << 40) + F.col("row")).alias("place"))
+    return at.groupBy("doc_id").agg(F.min("place").alias("place"))
+
+
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents by sequence."""
-    return packing.digest(packing.pack_documents(docs))
+    """Pieces of documents by sequence; ``mix_place``: the first place in the mixture that a document of the sequence has.
+
+    Packing puts similar documents together, wherever they stand: sequences read by ``mix_place`` follow the mixture's order."""
+    pieces = stored(packing.digest(packing.pack_documents(docs)), "pipeline-pieces")
+    at = placed(docs).withColumnRenamed("doc_id", "__llm_id")
+    first = pieces.select("sequence_id", "doc_id").join(at, F.col("doc_id").eqNullSafe(F.col("__llm_id"))).groupBy("sequence_id").agg(F.min("place").alias("mix_place"))
+    return pieces.join(first, "sequence_id").select(*pieces.columns, "mix_place")
 
 
 STAGES = [("language ID", language), ("quality rules", rules), ("near-duplicate join", distinct), ("source mixing", mixture), ("retrieval packing", sequences)]

@@ -76,3 +76,21 @@ def test_awkward_and_empty_tables_through_all_stages(spark):
         assert all(r.length > 0 and 0 <= r.start < r.doc_tokens for r in rows)
         assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
         assert bool(rows) == bool(docs.count())
+
+
+def test_sequences_follow_the_mixture(spark):
+    rows = [(i, f"wort{i % 97} " * 900, "de", "hot" if i % 3 == 0 else f"s{i % 7}", 7_200) for i in range(120)] + [(None, "ohne", "de", "s1", 4), (7, "sieben", "de", "s0", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = cp.stored(cp.mixture(spark, docs, SF_SMALL), "mixture-test")
+    order = {}
+    for r in cp.mixture(spark, docs, SF_SMALL).collect():
+        order.setdefault(r.doc_id, len(order))
+    place = {r.doc_id: r.place for r in cp.placed(mixed).collect()}
+    assert sorted(place, key=place.get) == sorted(order, key=order.get)
+    pieces = cp.sequences(spark, mixed, SF_SMALL).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+    members = {}
+    for r in pieces:
+        members.setdefault((r.sequence_id, r.mix_place), set()).add(r.doc_id)
+    assert len({s for s, _ in members}) == len(members)
+    assert all(at == min(place[i] for i in ids) for (_, at), ids in members.items())
