@@ -52,7 +52,7 @@ VERIFY = 16.0
 #: A cluster is compared in blocks of about so many classes, fewer if their sets are large: so many shingles in all.
 BLOCK_CLASSES, BLOCK_SHINGLES = 6_000, 1_200_000
 #: Of a pair of blocks, counts of so many pairs are held at once; frequent shingles are counted so many at a time.
-TILE, DENSE = 2_000_000, 512
+TILE, DENSE = 500_000, 512
 #: Shingles held by more classes are joined by stars, not by pairs.
 TOGETHER = 64
 #: Postings to a bucket, about.
@@ -182,7 +182,7 @@ def frequent(docs: DataFrame, total: int, least: int = 64) -> Frequent:
     only the order of shingles depends on). Counts add up to ``total`` at most, so at most FREQUENT shingles reach the driver."""
 
     def task(batches):
-        for held in _distinct(batches, 4_000_000):
+        for held in _distinct(batches, 2_000_000):
             u, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["s", "n"])
 
