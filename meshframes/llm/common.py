@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -22,6 +24,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system; a Python worker lives on between tasks and would hold its highest mark."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def releasing(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` with :func:`release` at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        release()
+
+    return run
+
+
 def with_arrow_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -44,7 +68,7 @@ def with_arrow_columns(
             new = fn(*(b.column(c) for c in inputs))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), *new], names=[*passed, *names])
 
-    return df.select(*[f"`{c}`" for c in read]).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in read]).mapInArrow(releasing(run), schema)
 
 
 def blocks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
