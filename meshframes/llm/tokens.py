@@ -3,12 +3,14 @@
 Both vocabularies cut a text before every run of white space that follows another character
 (no token reaches over that place), so ids of a text are the ids of its pieces
 ``[white space]*[other characters]+`` one after the other, and a piece seen before costs a lookup.
+Texts are encoded many at a time: their pieces, which also end where a sign follows a letter, lie one after the other in
+the joined bytes, so Arrow finds the distinct ones and puts their ids in place, and only distinct pieces are looked up.
 Of pieces that are one plain word with or without signs after it, the model alone is asked (its input is the word as
 the file's normalizer and byte alphabet leave it), which is several times as fast as the whole chain.
 Strings of the file's added tokens in a text are those tokens, as the library has it (or ordinary text, if
 that is asked for): the text is cut at them first, and what lies between is encoded as a text of its own.
 The memo lives as long as the Python worker; it keeps the pieces used last and is bounded by
-:data:`MEMO` pieces of at most :data:`LONGEST` characters in each of two generations.
+:data:`MEMO` pieces, and those of one block of texts, of at most :data:`LONGEST` characters in each of two generations.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from meshframes.llm.common import blocks
 
 #: Unicode White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -29,11 +34,24 @@ PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Characters that stand for the bytes of a word in both files: printable ones for themselves, the others from U+0100 on in their order.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+SPACE = ALPHABET[32]
 #: The signs that a plain word may end with.
 SIGNS = frozenset(x for x in map(chr, range(33, 127)) if not x.isalnum() and x != "'")
 #: Characters outside of those that Python lower-cases and splits at as the "lower" kind of file does.
 OTHER = re.compile("[^\x00-\x1b -\u012f\u0131-\u017f\u2010-\u2027]")
-MEMO = 500_000
+#: White space outside of ASCII; texts with it are cut one by one.
+FAR_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Where a long text may be cut.
+BEFORE_WHITE = re.compile("(?<=[^\t-\r ])(?=[\t-\r ])")
+IS_WHITE = np.isin(np.arange(256), [*range(9, 14), 32])
+IS_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+#: Last bytes of the letters of two bytes that begin with 0xC3: all but the signs U+00D7 and U+00F7.
+IS_LAST = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
+IS_SIGN = np.isin(np.arange(256), [x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"])
+SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Characters that are encoded at a time.
+BLOCK_CHARS = 4_000_000
+MEMO = 350_000
 BLOCK_PIECES = 100_000
 LONGEST = 48
 
@@ -74,6 +92,8 @@ class Encoder:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
+        if self.plain == "exact" and len(piece) <= LONGEST and piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            return self._bytes([t.id for t in self.tokenizer.model.tokenize(SPACE + piece[1:])])
         if self.plain == "lower" and piece.isascii() and len(piece) <= LONGEST:  # most pieces, without the chain below
             if piece.isalpha():
                 return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece.lower())])
@@ -108,7 +128,73 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [self._text(t) for t in texts]
+        joined = [i for i, t in enumerate(texts) if self._joins(t)]
+        if len(joined) < len(texts):
+            out = [b""] * len(texts)
+            for i, x in zip(joined, self._many([texts[i] for i in joined])):
+                out[i] = x
+            for i in sorted(set(range(len(texts))) - set(joined)):
+                out[i] = self._text(texts[i])
+            return out
+        return self._many(texts)
+
+    def _joins(self, text: str) -> bool:
+        """Whether the text can be cut as bytes: a file whose cuts are known, ASCII white space only, no added token."""
+        if not self.plain or any(x in text for x in self.added):
+            return False
+        if self.plain == "lower" and OTHER.search(text):
+            return False
+        return text.isascii() or not FAR_WHITE.search(text)
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that join."""
+        out: list[bytes] = []
+        for s, e in blocks([len(t) for t in texts], BLOCK_CHARS):
+            if e - s > 1 or len(texts[s]) <= BLOCK_CHARS:
+                out += self._block(texts[s:e])
+                continue
+            parts, at = [], 0
+            while at < len(texts[s]):
+                cut = BEFORE_WHITE.search(texts[s], at + BLOCK_CHARS)
+                end = cut.start() if cut else len(texts[s])
+                parts += self._block([texts[s][at:end]])
+                at = end
+            out.append(b"".join(parts))
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        if self.plain == "lower":  # white space makes no token, so each word may stand behind one space
+            raw = [b" " + t.lower().encode().translate(SPACES) for t in texts]
+        else:
+            raw = [t.encode() for t in texts]
+        data, begins = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        if not data:
+            return [b""] * len(texts)
+        a = np.frombuffer(data, np.uint8)
+        white = IS_WHITE[a]
+        cut = np.zeros(len(a) + 1, bool)
+        cut[1:-1] = white[1:] & ~white[:-1]
+        # no token reaches from a letter to a sign
+        sign = np.flatnonzero(IS_SIGN[a])
+        before, two = a[np.maximum(sign - 1, 0)], a[np.maximum(sign - 2, 0)]
+        cut[sign[(sign > 0) & (IS_LETTER[before] | (sign > 1) & (two == 0xC3) & IS_LAST[before])]] = True
+        cut[begins] = True
+        starts = np.flatnonzero(cut)
+        pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)).dictionary_encode()
+        known = self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(known, pa.large_binary()).take(pieces.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        flat, at = memoryview(ids.buffers()[2] or b""), ends[np.searchsorted(starts, begins)].tolist()
+        return [bytes(flat[s:e]) for s, e in zip(at, at[1:])]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece."""
+        if len(self.young) > MEMO:
+            self.young = Memo(self, dict(self.young))
+        if self.plain == "lower":
+            pieces = [p.strip(" ") for p in pieces]
+        memo = self.young
+        return [memo[p] for p in pieces]
 
     def _text(self, text: str) -> bytes:
         if any(x in text for x in self.added):
@@ -119,10 +205,7 @@ class Encoder:
         pieces = self._pieces(text)
         parts = []
         for i in range(0, len(pieces), BLOCK_PIECES):
-            if len(self.young) > MEMO:
-                self.young = Memo(self, dict(self.young))
-            memo = self.young
-            parts.append(b"".join([memo[p] for p in pieces[i : i + BLOCK_PIECES]]))
+            parts.append(b"".join(self._known(pieces[i : i + BLOCK_PIECES])))
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
 

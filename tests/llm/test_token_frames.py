@@ -55,6 +55,41 @@ def test_memo_is_bounded(monkeypatch):
     assert len(own.young) <= 80 and len(own.young.old) <= 80 and not hasattr(own.young.old, "old")
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_texts_together_give_the_library_ids(file, monkeypatch):
+    import meshframes.llm.tokens as tokens
+
+    lib = library(file)
+    alphabet = st.sampled_from("abÉñ×÷ç,.'<=!  \n\t\r\x1c\xa0\u2003İΣ1½世\u0301\u0338s")
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet=alphabet, max_size=30), max_size=6), st.sampled_from([3, 20, 1000]))
+    def check(texts, most):
+        monkeypatch.setattr(tokens, "BLOCK_CHARS", most)
+        texts = [*texts, "", " ", "don't,'s l'été×, a.b,,  \n c÷. <|endoftext|>", "Été, a\n\nb"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(file).ids(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check()
+    assert Encoder(file).ids([]) == [] and Encoder(file).ids(["", ""]) == [b"", b""]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_distinct_pieces_are_looked_up_once(file):
+    import meshframes.llm.tokens as tokens
+
+    asked = []
+
+    class Asked(tokens.Memo):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    own, texts = Encoder(file), ["some words, été. " * 500, "other words, été. " * 500]
+    own.young = Asked(own, {})
+    assert np.frombuffer(own.ids(texts)[1], "<u4").tolist() == library(file).encode(texts[1], add_special_tokens=False).ids
+    assert len(asked) < 40
+
+
 class Source(io.BytesIO):
     def size(self):
         return len(self.getvalue())
