@@ -4,7 +4,7 @@ Documents are tokenized once into a stored table. Document frequencies of all to
 length are counted over all documents (one number for each id of the vocabulary reaches the driver). The documents are range-partitioned by a
 similarity key (a simhash of their tokens, then the smallest hash of their token pairs), so that documents of one language or kind, and near
 copies, lie together, and cut into shards of at most ``SHARD_DOCS`` documents or about ``SHARD_TOKENS`` tokens. Each shard is an inverted index whose postings
-hold BM25 weights. A window begins with a seed, the rest of the document cut last or else the first unused one; the index returns the
+hold BM25 weights; a token that many documents of the shard have is a row of weights of all of them instead, which is added as a whole. A window begins with a seed, the rest of the document cut last or else the first unused one; the index returns the
 unused neighbours of the seed, best first, and they fill the window; the last is cut where the window ends and its rest begins the
 next. So every sequence is full but a shard's last, which is cut into sequences at powers of two, which need no padding.
 
@@ -17,6 +17,7 @@ seed follow in the order of the similarity key; ties go to that order too; an em
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,10 @@ from meshframes.llm.tokens import encoder
 SHARD_DOCS = 2_048
 SHARD_TOKENS = 1_500_000
 SIGN_BITS = 12
+#: A token in at least one of so many documents of a shard is a row of weights, so rows hold at most this many times the shard's tokens.
+COMMON = 4
+#: Neighbours of a seed that are looked for one by one, before all are sorted.
+FEW = 16
 
 
 #: A lane of signs holds four counters of 16 bits, so runs of so many tokens are summed at once.
@@ -100,8 +105,10 @@ class Statistics:
 def postings(ids: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, token, how often) of each distinct token of each document, ordered by document."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    key, n = np.unique(np.repeat(np.arange(len(ids)), sizes) * vocabulary + np.concatenate(ids), return_counts=True)
-    return key // vocabulary, key % vocabulary, n
+    kind = np.uint32 if len(ids) * vocabulary < 1 << 32 else np.int64  # shorter numbers are sorted faster
+    key, n = np.unique(np.repeat(np.arange(len(ids), dtype=kind) * kind(vocabulary), sizes) + np.concatenate(ids).astype(kind), return_counts=True)
+    doc = key // kind(vocabulary)
+    return doc.astype(np.int64), (key - doc * kind(vocabulary)).astype(np.int64), n
 
 
 def statistics(tokens: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> Statistics:
@@ -139,22 +146,52 @@ class Shard:
         doc, token, weight = doc[used], token[used], weight[used]
         self.terms = np.split(token, np.searchsorted(doc, np.arange(1, len(ids))))
         order = np.argsort(token, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=size))])
+        doc, token, weight = doc[order].astype(np.int32), token[order], weight[order]
         self.n = len(ids)
+        self.row = np.full(size, -1)
+        common = np.flatnonzero(COMMON * np.bincount(token, minlength=size) >= self.n)
+        self.row[common] = np.arange(len(common))
+        self.rows, self.columns = np.zeros((len(common), self.n)), np.arange(self.n)
+        row = self.row[token]
+        rare = row < 0
+        self.rows[row[~rare], doc[~rare]] = weight[~rare]
+        self.doc, self.weight = doc[rare], weight[rare]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(token[rare], minlength=size))])
 
     def forget(self, used: np.ndarray) -> None:
         """Drops the postings of documents that are no longer asked for."""
         keep = ~used[self.doc]
         self.at = np.concatenate([[0], np.cumsum(keep)])[self.at]
         self.doc, self.weight = self.doc[keep], self.weight[keep]
+        keep = ~used[self.columns]
+        self.rows, self.columns = self.rows[:, keep], self.columns[keep]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the distinct tokens of ``seed``."""
         t = self.terms[seed]
+        row = self.row[t]
+        t = t[row < 0]
         lo, n = self.at[t], self.at[t + 1] - self.at[t]
         where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(t) else np.empty(0, np.int64)
-        return np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
+        common = np.zeros(len(self.columns))
+        for i in row[row >= 0].tolist():
+            common += self.rows[i]
+        score = np.zeros(self.n)
+        score[self.columns] = common
+        score += np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
+        return score
+
+
+def best_first(score: np.ndarray) -> Iterator[int]:
+    """Documents by falling score, ties in their order, until those below 0; changes ``score``."""
+    for _ in range(FEW):
+        doc = int(score.argmax())
+        if score[doc] < 0:
+            return
+        yield doc
+        score[doc] = -1.0
+    order = np.argsort(-score, kind="stable")
+    yield from order[: np.count_nonzero(score >= 0)].tolist()
 
 
 def pack_shard(ids: list[np.ndarray], stats: Statistics, window: int = 4096) -> list[list[tuple[int, int, int]]]:
@@ -196,9 +233,7 @@ def pack_shard(ids: list[np.ndarray], stats: Statistics, window: int = 4096) ->
             indexed = left
         score = index.scores(seed)
         score[~unused] = -1.0
-        for doc in np.argsort(-score, kind="stable").tolist():
-            if not unused[doc]:
-                break  # used ones are last
+        for doc in best_first(score):
             unused[doc] = False
             rest = put(doc, 0)
             if not current or rest >= 0:

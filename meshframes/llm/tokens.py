@@ -6,7 +6,8 @@ Both vocabularies cut a text before every run of white space that follows anothe
 Texts are encoded many at a time: their pieces, which also end where a sign follows a letter, lie one after the other in
 the joined bytes, so Arrow finds the distinct ones and puts their ids in place, and only distinct pieces are looked up.
 Of pieces that are one plain word with or without signs after it, the model alone is asked (its input is the word as
-the file's normalizer and byte alphabet leave it), which is several times as fast as the whole chain.
+the file's normalizer and byte alphabet leave it), which is several times as fast as the whole chain; new words of a
+block are brought into that form together and the model is asked for them in one loop.
 Strings of the file's added tokens in a text are those tokens, as the library has it (or ordinary text, if
 that is asked for): the text is cut at them first, and what lies between is encoded as a text of its own.
 The memo lives as long as the Python worker; it keeps the pieces used last and is bounded by
@@ -15,6 +16,7 @@ The memo lives as long as the Python worker; it keeps the pieces used last and i
 
 from __future__ import annotations
 
+import codecs
 import functools
 import os
 import re
@@ -35,10 +37,15 @@ PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
 SPACE = ALPHABET[32]
+BYTES = "".join(ALPHABET.get(b, chr(b)) for b in range(256))
+#: Words that the model alone is asked for, many at a time.
+WORD = re.compile(" *[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: The signs that a plain word may end with.
 SIGNS = frozenset(x for x in map(chr, range(33, 127)) if not x.isalnum() and x != "'")
 #: Characters outside of those that Python lower-cases and splits at as the "lower" kind of file does.
 OTHER = re.compile("[^\x00-\x1b -\u012f\u0131-\u017f\u2010-\u2027]")
+#: These and white space outside of ASCII.
+APART = re.compile("[^\x00-\x1b -\x84\x86-\x9f\xa1-\u012f\u0131-\u017f\u2010-\u2027]")
 #: White space outside of ASCII; texts with it are cut one by one.
 FAR_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Where a long text may be cut.
@@ -57,14 +64,18 @@ LONGEST = 48
 
 
 class Memo(dict):
-    """Ids by piece; learns a piece when it is asked for."""
+    """Ids by piece; learns a piece when it is asked for, or tells None of a new one while it does not learn."""
+
+    learning = True
 
     def __init__(self, encoder: Encoder, old: dict[str, bytes]) -> None:
         self.encoder, self.old = encoder, old
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes | None:
         v = self.old.get(piece)
         if v is None:
+            if not self.learning:
+                return None
             v = self.encoder.piece(piece)
             if len(piece) > LONGEST:
                 return v
@@ -94,6 +105,8 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         if self.plain == "exact" and len(piece) <= LONGEST and piece[0] == " " and piece.isascii() and piece[1:].isalpha():
             return self._bytes([t.id for t in self.tokenizer.model.tokenize(SPACE + piece[1:])])
+        if self.plain == "lower":
+            piece = piece.strip(" ")
         if self.plain == "lower" and piece.isascii() and len(piece) <= LONGEST:  # most pieces, without the chain below
             if piece.isalpha():
                 return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece.lower())])
@@ -118,7 +131,7 @@ class Encoder:
         return around[before] + self._bytes([t.id for t in self.tokenizer.model.tokenize(word)]) + around[after]
 
     @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
+    def _bytes(ids: list[int] | array) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str]:
@@ -142,9 +155,9 @@ class Encoder:
         """Whether the text can be cut as bytes: a file whose cuts are known, ASCII white space only, no added token."""
         if not self.plain or any(x in text for x in self.added):
             return False
-        if self.plain == "lower" and OTHER.search(text):
-            return False
-        return text.isascii() or not FAR_WHITE.search(text)
+        if text.isascii():
+            return self.plain != "lower" or not any(x in text for x in "\x1c\x1d\x1e\x1f")
+        return not (APART if self.plain == "lower" else FAR_WHITE).search(text)
 
     def _many(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that join."""
@@ -171,7 +184,7 @@ class Encoder:
         if not data:
             return [b""] * len(texts)
         a = np.frombuffer(data, np.uint8)
-        white = IS_WHITE[a]
+        white = a == 32 if self.plain == "lower" else IS_WHITE[a]
         cut = np.zeros(len(a) + 1, bool)
         cut[1:-1] = white[1:] & ~white[:-1]
         # no token reaches from a letter to a sign
@@ -191,10 +204,34 @@ class Encoder:
         """Ids of each piece."""
         if len(self.young) > MEMO:
             self.young = Memo(self, dict(self.young))
-        if self.plain == "lower":
-            pieces = [p.strip(" ") for p in pieces]
         memo = self.young
-        return [memo[p] for p in pieces]
+        if not self.plain:
+            return [memo[p] for p in pieces]
+        memo.learning = False
+        known = [memo[p] for p in pieces]
+        memo.learning = True
+        new = [i for i, v in enumerate(known) if v is None]
+        self._learn([pieces[i] for i in new])
+        for i in new:
+            known[i] = memo[pieces[i]]
+        return known
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts new pieces that are one word into the memo: the model is asked for them in one loop. Others are learnt when they are asked for."""
+        one = WORD.fullmatch
+        words = [p for p in dict.fromkeys(pieces) if len(p) <= LONGEST and one(p) and (self.plain == "lower" or p[:2] != "  ")]
+        if not words:
+            return
+        text = "\n".join(words)
+        if self.plain == "lower":
+            text = text.replace(" ", "").lower()
+        ask = self.tokenizer.model.tokenize
+        flat, ends = array("I"), [0]
+        for word in codecs.charmap_decode(text.encode(), "strict", BYTES)[0].split(ALPHABET[10]):
+            flat.extend([t.id for t in ask(word)])
+            ends.append(4 * len(flat))
+        data = self._bytes(flat)
+        self.young.update(zip(words, [data[s:e] for s, e in zip(ends, ends[1:])]))
 
     def _text(self, text: str) -> bytes:
         if any(x in text for x in self.added):

@@ -30,6 +30,42 @@ def test_scores_are_bm25():
         assert np.allclose(shard.scores(seed), want)
 
 
+def test_common_tokens_are_rows_and_the_unused_keep_their_scores():
+    rng = np.random.default_rng(1)
+    ids = [np.concatenate([rng.integers(3, 9, rng.integers(1, 30)), rng.integers(9, 95, 3), [2]]) for _ in range(40)]
+    s = stats(ids)
+    shard = packing.Shard(ids, s)
+    common = {t for t in range(100) if t != 2 and packing.COMMON * sum(t in d for d in ids) >= len(ids)}
+    assert common >= set(range(3, 9)) and len(shard.rows) == len(common)
+    assert len(shard.doc) == sum(len(set(d.tolist()) - common - {2}) for d in ids)  # rare tokens alone have postings
+    want = [shard.scores(seed) for seed in range(40)]
+    used = np.zeros(40, bool)
+    for some in (range(0, 40, 3), range(1, 40, 3), range(40)):
+        used[list(some)] = True
+        shard.forget(used)
+        assert shard.rows.shape[1] == (~used).sum()
+        for seed in range(40):
+            got = shard.scores(seed)
+            assert (got[~used] == want[seed][~used]).all() and not got[used].any()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([-1.0, 0.0, 0.5, 2.0, 3.0]), min_size=1, max_size=60))
+def test_best_first_is_the_sorted_order(score):
+    score = np.array(score)
+    want = [i for i in np.argsort(-score, kind="stable").tolist() if score[i] >= 0]
+    assert list(packing.best_first(score)) == want
+
+
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=10), st.sampled_from([100, 1 << 31]))
+@settings(max_examples=50, deadline=None)
+def test_postings_count_the_tokens_of_each_document(lengths, vocabulary):
+    rng = np.random.default_rng(len(lengths))
+    ids = [np.append(rng.integers(3, 20, n), [2, 99]).astype("<u2") for n in lengths]
+    got = packing.postings(ids, vocabulary)
+    assert list(zip(*(x.tolist() for x in got))) == [(i, t, d.tolist().count(t)) for i, d in enumerate(ids) for t in sorted(set(d.tolist()))]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 150), min_size=1, max_size=30), st.integers(0, 1000))
 def test_every_id_lies_in_one_piece_and_only_the_rest_is_cut(lengths, seed):

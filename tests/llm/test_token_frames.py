@@ -90,6 +90,21 @@ def test_distinct_pieces_are_looked_up_once(file):
     assert len(asked) < 40
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_new_words_are_learnt_together(file, monkeypatch):
+    lib, alone = library(file), []
+    piece = Encoder.piece
+    monkeypatch.setattr(Encoder, "piece", lambda self, x: alone.append(x) or piece(self, x))
+    letters = "abcdefgßéüÿÀÖØ"
+    words = [x + y + z for x in letters for y in letters for z in letters]
+    odd = ["µm", "ªº", "a×b", "c÷", "ñ" * 60, "x" * 47, "x" * 48, "ſt", "ĳs", "ŉ", "  two", "   three  ", "It's", "l'été", "d\n\ne", "Z1é"]
+    own = Encoder(file)
+    for text in (" ".join(words), " ".join(odd), "  ".join(words[:200]), " ".join([*words[:200], *words[:200], "\xa0", "é\u0301", *odd, *words[::-7]])):
+        alone.clear()
+        assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert len(alone) < 300 and not set(words) & {x.strip(" ") for x in alone if not x.startswith("  ")}
+
+
 class Source(io.BytesIO):
     def size(self):
         return len(self.getvalue())
