@@ -7,10 +7,15 @@ import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from meshframes.session import scratch_path
 
+#: A task gets Arrow batches of about so many bytes (one row at least), unless the session sets a limit of its own.
+BATCH_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,16 +41,48 @@ def release() -> None:
         trim(0)
 
 
+_kept: list[Callable] = []
+_stage = -1
+
+
+def kept_in_stage(make: Callable) -> Callable:
+    """A cache of ``make`` whose values a Python worker keeps between tasks of one stage, and forgets when it begins a task of another."""
+    cached = functools.cache(make)
+    _kept.append(cached)
+    return cached
+
+
+def _begin() -> None:
+    global _stage
+    context = TaskContext.get()
+    if context is None or context.stageId() == _stage:
+        return
+    _stage = context.stageId()
+    if any(c.cache_info().currsize for c in _kept):
+        for c in _kept:
+            c.cache_clear()
+        release()
+
+
 def releasing(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``task`` with :func:`release` at its end."""
+    """``task`` with :func:`release` at its end; what the worker keeps of another stage (:func:`kept_in_stage`) goes before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         yield from task(batches)
         release()
 
     return run
 
 
+def in_tasks(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` by a :func:`releasing` task, in batches of about :data:`BATCH_BYTES`: ten thousand whole texts may be any size."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(releasing(task), schema)
+
+
 def with_arrow_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -68,7 +105,7 @@ def with_arrow_columns(
             new = fn(*(b.column(c) for c in inputs))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), *new], names=[*passed, *names])
 
-    return df.select(*[f"`{c}`" for c in read]).mapInArrow(releasing(run), schema)
+    return in_tasks(df.select(*[f"`{c}`" for c in read]), run, schema)
 
 
 def blocks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from meshframes.llm.common import blocks, groups, releasing, stored, with_arrow_columns
+from meshframes.llm.common import blocks, groups, in_tasks, stored, with_arrow_columns
 from meshframes.llm.components import components
 from meshframes.llm.lang_id import mix
 
@@ -166,7 +166,7 @@ def identify(docs: DataFrame) -> DataFrame:
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(task), "doc_id long, n_shingles long, cls long")
+    return in_tasks(docs.select(F.col("doc_id").cast("long"), "text"), task, "doc_id long, n_shingles long, cls long")
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def frequent(docs: DataFrame, total: int, least: int = 64) -> Frequent:
             yield pa.RecordBatch.from_arrays([pa.array(u[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["s", "n"])
 
     least = max(least, -(-total // FREQUENT))
-    found = docs.select("text").mapInArrow(releasing(task), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    found = in_tasks(docs.select("text"), task, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     s, n = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(s)
     return Frequent(s[order], n[order])
@@ -271,9 +271,9 @@ def shared_prefixes(docs: DataFrame, known: Frequent, total: int) -> DataFrame:
             s, of = s[keep], of[keep]
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(cls[of]), *(pa.array(x[of]) for x in known.values())], names=["shingle", "cls", *known])
 
-    dealt = docs.select("text").mapInArrow(releasing(deal), "bucket long, cls binary, need binary, n binary, l binary, size binary, shingles binary")
+    dealt = in_tasks(docs.select("text"), deal, "bucket long, cls binary, need binary, n binary, l binary, size binary, shingles binary")
     together = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return together.mapInArrow(releasing(meet), "shingle long, cls long, need int, n int, l int")
+    return in_tasks(together, meet, "shingle long, cls long, need int, n int, l int")
 
 
 def peel(shared: DataFrame) -> DataFrame:
@@ -469,9 +469,9 @@ def join_classes(docs: DataFrame, named: DataFrame, known: Frequent, total: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     texts = docs.select("text", F.when(F.col("doc_id").isNotNull(), place).alias("place"))
-    sets = texts.mapInArrow(releasing(fetch), "cls long, shingles binary")
+    sets = in_tasks(texts, fetch, "cls long, shingles binary")
     work = units.join(sets, "cls").withColumn("unit", F.xxhash64("unit")).repartition(parts, "cluster", "unit").sortWithinPartitions("cluster", "unit", "side", "cls")
-    return work.select("cluster", "unit", "side", "cls", "shingles").mapInArrow(releasing(compare), "a long, b long")
+    return in_tasks(work.select("cluster", "unit", "side", "cls", "shingles"), compare, "a long, b long")
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ and at least ``ratio`` times as often as in the language where it is commonest.
 chosen n-grams reach the driver; their number is bounded by the sample. Copies of a text count once.
 
 Prediction (:func:`detect`) is one pass over whole texts without shuffle, in blocks of about
-a million characters (a longer text makes a block of its own).
+a quarter of a million characters (a longer text makes a block of its own).
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every
 text if nothing could be learnt; a text with letters but no known n-gram gets the most frequent
@@ -32,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from meshframes.llm.common import blocks, with_arrow_columns
+from meshframes.llm.common import blocks, in_tasks, with_arrow_columns
 
 UND = "und"
 #: Constants of the 64-bit mixing function splitmix64 and two odd multipliers.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 MUL_A, MUL_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SPACE = 32
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 
 
 @functools.cache
@@ -202,7 +202,7 @@ def fit(
                     g, n = np.unique(h[lang == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = in_tasks(sample.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     seen = sample.groupBy("lang").count().collect()
     docs_of = {r[0]: r[1] for r in seen}
     least = {k: (min_docs if n >= 20 else 1) for k, n in docs_of.items()}

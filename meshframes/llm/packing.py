@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from meshframes.llm.common import blocks, releasing, stored
+from meshframes.llm.common import blocks, in_tasks, stored
 from meshframes.llm.lang_id import mix
 from meshframes.llm.tokens import encoder
 
@@ -89,7 +89,7 @@ def tokenize(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int
                     names=["doc_id", "n", "ids", "sign", "pair"])
 
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return read.mapInArrow(releasing(task), "doc_id long, n long, ids binary, sign int, pair long")
+    return in_tasks(read, task, "doc_id long, n long, ids binary, sign int, pair long")
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def statistics(tokens: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id:
 
     total = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("t")).first()
     df = np.zeros(size)
-    for r in tokens.select("ids").mapInArrow(releasing(count), "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
+    for r in in_tasks(tokens.select("ids"), count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
         df[r["token"]] = r["df"]
     idf = np.log1p((total["n"] - df + 0.5) / (df + 0.5))
     idf[end_id] = 0.0
@@ -309,7 +309,7 @@ def pack(tokens: DataFrame, stats: Statistics, window: int = 4096, partitions: i
 
     keyed = tokens.select("doc_id", "ids", "sign", "pair", F.xxhash64("doc_id", "ids").alias("h"))
     ordered = keyed.repartitionByRange(n, "sign", "pair", "h").sortWithinPartitions("sign", "pair", "h", "doc_id").select("doc_id", "ids")
-    return ordered.mapInArrow(releasing(task), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return in_tasks(ordered, task, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = 4096) -> DataFrame:

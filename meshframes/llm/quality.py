@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from meshframes.llm.common import stored, with_arrow_columns
+from meshframes.llm.common import in_tasks, stored, with_arrow_columns
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_digits", "n_twins"]
 SPACES = b" \t\n\x0b\x0c\r"
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, cost: flo
             at = np.minimum((forest.score(rates(s)) * BINS).astype(np.int64), BINS - 1)
             yield pa.RecordBatch.from_arrays([b.column("good"), pa.array(at)], names=["good", "at"])
 
-    counts = passed.select("good", *STATS).mapInArrow(binned, "good boolean, at long").groupBy("good", "at").count().collect()
+    counts = in_tasks(passed.select("good", *STATS), binned, "good boolean, at long").groupBy("good", "at").count().collect()
     by = {True: np.zeros(BINS), False: np.zeros(BINS)}
     for good, at, n in counts:  # BINS rows of each class at most
         by[good][at] += n

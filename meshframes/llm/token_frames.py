@@ -37,7 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meshframes.llm.common import blocks, releasing
+from meshframes.llm.common import blocks, in_tasks
 from meshframes.llm.tokens import encoder
 
 #: Fixed values of the seekable format.
@@ -194,7 +194,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
             fs.move(part, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"number": [number], "path": [f"{path}/{name}"], "docs": [len(writer.ids)], "tokens": [sum(writer.counts)]})
 
-    rows = ordered.mapInArrow(releasing(task), "number long, path string, docs long, tokens long").collect()
+    rows = in_tasks(ordered, task, "number long, path string, docs long, tokens long").collect()
     out, at = [], 0
     for r in sorted(rows):
         out.append(TokenFile(r["number"], r["path"], r["docs"], r["tokens"], at))

@@ -10,14 +10,13 @@ the file's normalizer and byte alphabet leave it), which is several times as fas
 block are brought into that form together and the model is asked for them in one loop.
 Strings of the file's added tokens in a text are those tokens, as the library has it (or ordinary text, if
 that is asked for): the text is cut at them first, and what lies between is encoded as a text of its own.
-The memo lives as long as the Python worker; it keeps the pieces used last and is bounded by
+The memo lives as long as its Python worker has tasks of one stage, as a worker would hold it through all later stages; it keeps the pieces used last and is bounded by
 :data:`MEMO` pieces, and those of one block of texts, of at most :data:`LONGEST` characters in each of two generations.
 """
 
 from __future__ import annotations
 
 import codecs
-import functools
 import os
 import re
 import sys
@@ -26,7 +25,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from meshframes.llm.common import blocks
+from meshframes.llm.common import blocks, kept_in_stage
 
 #: Unicode White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -246,7 +245,7 @@ class Encoder:
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
-@functools.cache
+@kept_in_stage
 def encoder(file: str) -> Encoder:
-    """One encoder for each file and Python worker."""
+    """One encoder for each file, Python worker and stage."""
     return Encoder(file)
