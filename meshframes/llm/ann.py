@@ -10,9 +10,12 @@ A query walks the centroid graph best-first and takes every list whose centroid
 more if those hold fewer than the vectors asked for. ``ratio`` is calibrated on the sample against brute force for ``recall``; in all
 data neighbours are nearer than in a sample, so recall there is no lower.
 
-Lists are compared in blocks of ``BLOCK_ROWS`` vectors and ``BLOCK_QUERIES`` queries, whatever their size. Exact copies of a vector
+Neighbouring lists make up a bin, and a bin is dealt out in blocks of ``BLOCK_ROWS`` vectors and ``BLOCK_QUERIES`` queries (fewer where
+vectors are long), whatever its size. A vector and a query are sent to a bin once, with the lists of it that they are in or ask for; only
+pairs that share a list count. Single precision, less its largest rounding error, tells which of them may be among the k nearest; those are
+compared in double precision. No task holds more than a block, so memory grows with neither vectors nor queries nor lists asked. Exact copies of a vector
 share one entry with their k + 1 smallest ids, as no other copy can be among the k nearest of any query. Scores are
-cosines in double precision of the original vectors.
+cosines in double precision of the original vectors; vectors of floats are kept as floats until then.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or vectors of another length than the
 most frequent one (the shortest of several); repeated rows count once; ties go to the smaller id; queries without candidates
@@ -21,19 +24,25 @@ give no rows; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from meshframes.llm.common import stored
+from meshframes.llm.common import in_tasks, release, stored, with_arrow_columns
 
-BLOCK_ROWS = 5_000
-BLOCK_QUERIES = 2_000
+BLOCK_ROWS = 40_000
+BLOCK_QUERIES = 16_000
+#: Numbers in a block's vectors, and in an array that is made of them.
+BLOCK_VALUES = 2_560_000
+ARRAY_VALUES = 1_048_576
+#: Bins at least, if there are as many lists, so that small tables are spread over tasks too.
+BINS = 64
 DEGREE = 24
 WALK = 48
+BINNED = "array<struct<bin: int, lists: array<int>>>"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -67,21 +76,28 @@ def balanced_lists(x: np.ndarray, lists: int, seed: int = 11) -> np.ndarray:
     return unit(means)
 
 
+def slices(n: int, width: int, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of 0 to ``n`` whose rows of ``width`` numbers make up an array of about ``ARRAY_VALUES``."""
+    step = max(1, min(most or n, ARRAY_VALUES // max(1, width)))
+    return ((s, min(n, s + step)) for s in range(0, n, step))
+
+
 def neighbour_graph(c: np.ndarray) -> list[np.ndarray]:
     """The nearest centroids of each, in both directions, and links that make the graph whole."""
     n = len(c)
-    d = distances(c, c)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, : min(DEGREE, n - 1)]
-    links = [set(row.tolist()) for row in near]
-    for i in range(n):
-        for j in near[i].tolist():
-            links[j].add(i)
-    for i in range(n):  # every centroid reaches an earlier one, its nearest
-        if i:
-            j = int(np.argmin(d[i, :i]))
-            links[i].add(j)
-            links[j].add(i)
+    links: list[set[int]] = [set() for _ in range(n)]
+    for s, e in slices(n, n):
+        d = distances(c[s:e], c)
+        for i in range(s, e):
+            if i:  # every centroid reaches an earlier one, its nearest
+                j = int(np.argmin(d[i - s, :i]))
+                links[i].add(j)
+                links[j].add(i)
+        d[np.arange(e - s), np.arange(s, e)] = np.inf
+        for i, near in zip(range(s, e), np.argsort(d, axis=1, kind="stable")[:, : min(DEGREE, n - 1)].tolist()):
+            links[i].update(near)
+            for j in near:
+                links[j].add(i)
     return [np.array(sorted(x), np.int64) for x in links]
 
 
@@ -98,64 +114,65 @@ class Index:
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, is it the nearest list) of each entry, for unit vectors."""
-        d = distances(x, self.centroids)
-        near = np.argsort(d, axis=1, kind="stable")[:, : 4 * self.replicas]
-        far = np.take_along_axis(d, near, axis=1)
-        between = distances(self.centroids, self.centroids)
-        rows, lists, first = [], [], []
-        for i in range(len(x)):
-            chosen = [near[i, 0]]
-            for j, dist in zip(near[i, 1:], far[i, 1:]):
-                if dist > self.border * far[i, 0] or len(chosen) == self.replicas:
-                    break
-                if all(between[j, c] >= dist for c in chosen):
-                    chosen.append(j)
-            rows += [i] * len(chosen)
-            lists += chosen
-            first += [True] + [False] * (len(chosen) - 1)
-        return np.array(rows, np.int64), np.array(lists, np.int64), np.array(first, bool)
+        n = len(self.centroids)
+        width = min(n, 4 * self.replicas)
+        parts = []
+        for s, e in slices(len(x), max(n, width * x.shape[1])):
+            d = distances(x[s:e], self.centroids)
+            near = np.argpartition(d, width - 1, axis=1)[:, :width] if width < n else np.broadcast_to(np.arange(n), d.shape)
+            far = np.take_along_axis(d, near, axis=1)
+            order = np.lexsort((near, far), axis=1)
+            near, far = np.take_along_axis(near, order, axis=1), np.take_along_axis(far, order, axis=1)
+            c = self.centroids[near]
+            between = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (c @ c.transpose(0, 2, 1))))
+            chosen = np.zeros(near.shape, bool)
+            chosen[:, 0] = True
+            for p in range(1, width):
+                ok = (far[:, p] <= self.border * far[:, 0]) & (chosen.sum(axis=1) < self.replicas)
+                chosen[:, p] = ok & ((between[:, p] >= far[:, p, None]) | ~chosen).all(axis=1)
+            row, at = np.nonzero(chosen)
+            parts.append((row + s, near[row, at], at == 0))
+        return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+    def reach(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`walk` as (distances, centroids)."""
+        n = len(self.centroids)
+        d = np.full(n, np.inf)
+        seen, ahead = np.zeros(n, bool), np.zeros(n, bool)
+        new = np.zeros(1, np.int64)
+        narrow = True  # first to the nearest, then to all within ratio
+        while True:
+            d[new] = distances(q[None], self.centroids[new])[0]
+            seen[new] = ahead[new] = True
+            met = d[seen]
+            edge = np.partition(met, WALK - 1)[WALK - 1] if len(met) > WALK else np.inf
+            at = np.flatnonzero(ahead & (d <= edge))
+            if not len(at):
+                narrow = False
+            if not narrow:
+                at = np.flatnonzero(ahead & (d <= max(edge, self.ratio * met.min())))
+            if not len(at):
+                break
+            ahead[at] = False
+            fresh = np.zeros(n, bool)
+            fresh[np.concatenate([self.graph[i] for i in at])] = True
+            new = np.flatnonzero(fresh & ~seen)
+
+        def taken(at: np.ndarray) -> tuple[np.ndarray, int, float]:
+            at = at[np.argsort(d[at], kind="stable")]
+            total = np.cumsum(self.held[at])
+            return at, max(int(np.searchsorted(d[at], self.ratio * d[at[0]], "right")), int(np.searchsorted(total, self.k + 1)) + 1), total[-1]
+
+        at, count, total = taken(np.flatnonzero(seen))
+        if total < self.k + 1 and len(at) < n:
+            d = distances(q[None], self.centroids)[0]
+            at, count, _ = taken(np.arange(n))
+        return d[at[:count]], at[:count]
 
     def walk(self, q: np.ndarray) -> list[tuple[float, int]]:
         """(distance, centroid), nearest first: all met within ``ratio`` of the nearest, and enough others."""
-        need = self.k + 1
-        start = 0
-        d0 = float(distances(q[None], self.centroids[:1])[0, 0])
-        seen = {start}
-        todo, met = [(d0, start)], [(d0, start)]
-        best: list[float] = [-d0]  # the WALK nearest so far, as a heap of their opposites
-        nearest = d0
-        while todo:
-            d, at = heapq.heappop(todo)
-            if len(best) >= WALK and d > -best[0] and d > self.ratio * nearest:
-                break
-            new = [j for j in self.graph[at].tolist() if j not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for dist, j in zip(distances(q[None], self.centroids[new])[0].tolist(), new):
-                nearest = min(nearest, dist)
-                met.append((dist, j))
-                heapq.heappush(todo, (dist, j))
-                heapq.heappush(best, -dist)
-                if len(best) > WALK:
-                    heapq.heappop(best)
-        met.sort()
-        out, total = [], 0.0
-        for dist, j in met:
-            if dist > self.ratio * nearest and total >= need:
-                break
-            out.append((dist, j))
-            total += self.held[j]
-        if total < need and len(met) < len(self.centroids):
-            rest = distances(q[None], self.centroids)[0]
-            out = []
-            total = 0.0
-            for j in np.argsort(rest, kind="stable").tolist():
-                out.append((float(rest[j]), j))
-                total += self.held[j]
-                if total >= need and rest[j] > self.ratio * nearest:
-                    break
-        return out
+        far, at = self.reach(q)
+        return list(zip(far.tolist(), at.tolist()))
 
 
 def usable(col: Column) -> Column:
@@ -165,8 +182,10 @@ def usable(col: Column) -> Column:
 
 
 def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): the vectors that take part, as doubles."""
-    v = F.transform(F.col(embedding), lambda x: x.cast("double") + F.lit(0.0))
+    """(vec_id, v): the vectors that take part, as doubles; as floats, if they come so."""
+    kind = df.schema[embedding].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    v = F.transform(F.col(embedding), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     good = df.where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     top = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return good.where(F.size("v") == top[0].n) if top else good
@@ -199,91 +218,195 @@ def fit(entries: DataFrame, k: int = 5, sample: int = 20_000, list_size: int = 2
     rng = np.random.default_rng(3)
     queries = rng.choice(len(x), min(300, len(x)), replace=False)
     row, at, _ = index.assign(x)
-    member = np.zeros((len(x), len(centroids)), bool)
-    member[row, at] = True
+    held_in = np.full((len(x), replicas), len(centroids))  # lists of each, and one that none is in
+    held_in[row, np.arange(len(row)) - np.searchsorted(row, row)] = at
     score = x[queries] @ x.T
     score[np.arange(len(queries)), queries] = -2.0
     true = np.argsort(-score, axis=1, kind="stable")[:, : min(k, max(0, len(x) - 1))]
-    for ratio in np.arange(1.02, 2.0, 0.02):
-        index.ratio = float(ratio)
-        found = []
+
+    def recall_at(ratio: float) -> float:
+        index.ratio, found = float(ratio), []
         for q, want in zip(queries, true):
-            taken = [j for _, j in index.walk(x[q])]
-            found.append(member[want][:, taken].any(axis=1).mean() if len(want) else 1.0)
-        index.sample_recall = float(np.mean(found))
-        if index.sample_recall >= recall:
-            break
+            taken = np.zeros(len(centroids) + 1, bool)
+            taken[index.reach(x[q])[1]] = True
+            found.append(taken[held_in[want]].any(axis=1).mean() if len(want) else 1.0)
+        return float(np.mean(found))
+
+    ratios = np.arange(1.02, 2.0, 0.02)  # the least that reaches recall, as a wider walk finds no less; else the last
+    low, high = 0, len(ratios) - 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if recall_at(ratios[mid]) >= recall else (mid + 1, high)
+    index.sample_recall = recall_at(ratios[low])
     return index
 
 
+def binned(lists: np.ndarray, row: np.ndarray, n: int, bins: int, total: int) -> pa.Array:
+    """``lists`` of ``n`` rows, of ``total`` in all, by bin: equal runs of consecutive lists, which lie near each other. ``row`` is ascending."""
+    at = lists * bins // total
+    order = np.lexsort((lists, at, row))
+    row, at, lists = row[order], at[order], lists[order]
+    start = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(at, prepend=-1)) if len(row) else np.zeros(0, np.int64)
+    inner = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)), pa.int32()), pa.array(lists, pa.int32()))
+    pairs = pa.StructArray.from_arrays([pa.array(at[start], pa.int32()), inner], ["bin", "lists"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[start], np.arange(n + 1)), pa.int32()), pairs)
+
+
+def _member(col, lists: np.ndarray) -> np.ndarray:
+    """Which of ``lists`` (ascending) each row holds."""
+    out = np.zeros((len(col), len(lists)), bool)
+    if len(lists):
+        row, value = np.repeat(np.arange(len(col)), col.value_lengths().to_numpy(zero_copy_only=False)), col.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(lists, value), len(lists) - 1)
+        there = lists[at] == value
+        out[row[there], at[there]] = True
+    return out
+
+
+class Nearest:
+    """The k nearest ids of each of some queries, over one block of entries after another."""
+
+    def __init__(self, k: int, query_id: np.ndarray, q: np.ndarray, asked: np.ndarray):
+        self.k, self.query_id, self.q, self.asked = k, query_id, q, asked
+        self.short = unit(q).astype(np.float32)
+        # products of unit vectors in single precision are off by less
+        self.slack = (q.shape[1] + 8) * 2.0**-23
+        self.score, self.id = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+
+    def add(self, x: np.ndarray, ids: np.ndarray, first: np.ndarray, member: np.ndarray) -> None:
+        """Entries: their vectors, the ids of entry i from ``first[i]`` to ``first[i + 1]``, and which lists each is in."""
+        short = unit(x).astype(np.float32)
+        rows = np.flatnonzero((self.asked & member.any(axis=0)).any(axis=1))
+        shared = member.T.astype(np.float32)
+        for s, e in slices(len(rows), len(x)):
+            r = rows[s:e]
+            score = self.short[r] @ short.T
+            edge = self.score[r, -1] - self.slack
+            few = np.flatnonzero(np.isneginf(edge))  # no k ids yet: k + 1 entries hold k other ids at least
+            if len(few):
+                score[few] = part = np.where(self.asked[r[few]].astype(np.float32) @ shared > 0, score[few], np.float32(-9))
+                nth = max(0, len(x) - self.k - 1)
+                edge[few] = np.maximum(np.partition(part, nth, axis=1)[:, nth] - 2 * self.slack, -8)
+            self._merge(r, score >= edge.astype(np.float32)[:, None], x, ids, first, member)
+            few = few[np.isneginf(self.score[r[few], -1])]
+            if len(few):  # ids with several vectors among them
+                self._merge(r[few], score[few] > -8, x, ids, first, member)
+
+    def _merge(self, rows: np.ndarray, near: np.ndarray, x: np.ndarray, ids: np.ndarray, first: np.ndarray, member: np.ndarray) -> None:
+        i, j = np.divmod(np.flatnonzero(near), len(x))
+        i = rows[i]
+        for s, e in slices(len(i), max(x.shape[1], member.shape[1])):
+            self._compare(i[s:e], j[s:e], x, ids, first, member)
+
+    def _compare(self, i: np.ndarray, j: np.ndarray, x: np.ndarray, ids: np.ndarray, first: np.ndarray, member: np.ndarray) -> None:
+        there = (self.asked[i] & member[j]).any(axis=1)
+        i, j = i[there], j[there]
+        score = cosines(self.q[i], x[j])
+        n = first[j + 1] - first[j]
+        at = np.repeat(np.arange(len(j)), n)
+        new = ids[first[j][at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+        row, score = i[at], score[at]
+        other = new != self.query_id[row]
+        row, score, new = row[other], score[other], new[other]
+        old = np.unique(row)
+        row, score, new = np.concatenate([row, np.repeat(old, self.k)]), np.concatenate([score, self.score[old].ravel()]), np.concatenate([new, self.id[old].ravel()])
+        held = ~np.isneginf(score)
+        row, score, new = row[held], score[held], new[held]
+        order = np.lexsort((-score, new, row))  # an id counts once, by its best vector
+        row, score, new = row[order], score[order], new[order]
+        best = np.ones(len(row), bool)
+        best[1:] = (row[1:] != row[:-1]) | (new[1:] != new[:-1])
+        row, score, new = row[best], score[best], new[best]
+        order = np.lexsort((new, -score, row))
+        row, score, new = row[order], score[order], new[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < self.k
+        self.score[row[top], rank[top]], self.id[row[top], rank[top]] = score[top], new[top]
+
+    def table(self) -> pa.Table:
+        row, rank = np.nonzero(~np.isneginf(self.score))
+        return pa.table({"query_id": pa.array(self.query_id[row], pa.int64()), "vec_id": pa.array(self.id[row, rank], pa.int64()), "score": pa.array(self.score[row, rank], pa.float64())})
+
+
 def search(index: Index, entries: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found in ``entries`` (v, ids) for each of ``queries`` (vec_id, v)."""
-    spark, k = entries.sparkSession, index.k
+    spark, k, lists = entries.sparkSession, index.k, len(index.centroids)
+    width = index.centroids.shape[1]
+    block_rows, block_queries = (max(1, min(n, BLOCK_VALUES // width)) for n in (BLOCK_ROWS, BLOCK_QUERIES))
+    bins = min(lists, max(BINS, -(-entries.count() * index.replicas // block_rows)))
     shared = spark.sparkContext.broadcast(index)  # bounded by the lists
 
-    def place(batches):
-        for b in batches:
-            x = _matrix(b.column("v"))
-            for s in range(0, len(x), 2_000):
-                row, at, first = shared.value.assign(unit(x[s : s + 2_000]))
-                part = b.slice(s, 2_000).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(first), part.column("ids"), part.column("v")], names=["list", "first", "ids", "v"])
-
-    placed = stored(entries.select("ids", "v").mapInArrow(place, "list int, first boolean, ids array<long>, v array<double>"), "posting-lists")
-    sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("first"), F.size("ids")).otherwise(0)).alias("held")).collect()
-    held, rows = np.zeros(len(index.centroids)), np.zeros(len(index.centroids), np.int64)
-    for r in sizes:  # a row for each list
-        held[r["list"]], rows[r["list"]] = r["held"], r["n"]
+    def place():
+        def run(v: pa.Array) -> list[pa.Array]:
+            row, at, first = shared.value.assign(unit(_matrix(v)))
+            return [pa.array(at[first], pa.int32()), binned(at, row, len(v), bins, lists)]
+
+        return run
+
+    new = T.StructType.fromDDL(f"home int, bins {BINNED}")
+    placed = stored(with_arrow_columns(entries.select("ids", "v"), ["v"], new.fields, place), "posting-lists")
+    held = np.zeros(lists)
+    for r in placed.groupBy("home").agg(F.sum(F.size("ids")).alias("n")).collect():  # a row for each list
+        held[r["home"]] = r["n"]
     index.held = held
     graph = spark.sparkContext.broadcast(index)
 
     def route(batches):
         for b in batches:
-            q = _matrix(b.column("v"))
-            if not len(q):
-                continue
-            taken = [[j for _, j in graph.value.walk(x) if rows[j]] for x in unit(q)]
-            row = np.repeat(np.arange(len(q)), [len(t) for t in taken])
-            part = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array([j for t in taken for j in t], pa.int32()), part.column("vec_id"), part.column("v")], names=["list", "query_id", "q"])
-
-    routed = stored(queries.select("vec_id", "v").dropDuplicates(["vec_id", "v"]).mapInArrow(route, "list int, query_id long, q array<double>"), "routed-queries")
-    asked = {r["list"]: r["count"] for r in routed.groupBy("list").count().collect()}
-    cuts = [(j, -(-int(rows[j]) // BLOCK_ROWS), -(-asked[j] // BLOCK_QUERIES)) for j in sorted(asked)]
+            for s, e in slices(b.num_rows, lists):
+                part = b.slice(s, e - s)
+                taken = [graph.value.reach(x)[1] for x in unit(_matrix(part.column("v")))]
+                row = np.repeat(np.arange(len(taken)), [len(t) for t in taken])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), binned(np.concatenate(taken), row, len(taken), bins, lists)], names=["query_id", "q", "bins"])
+
+    kind = queries.schema["v"].dataType.simpleString()
+    # few bytes but much work: as many tasks as partitions are set, which are not put together for their size
+    asking = queries.select("vec_id", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id").dropDuplicates(["vec_id", "v"])
+    routed = stored(in_tasks(asking, route, f"query_id long, q {kind}, bins {BINNED}"), "routed-queries")
+    rows, asked = ({r["bin"]: r["count"] for r in df.select(F.explode("bins.bin").alias("bin")).groupBy("bin").count().collect()} for df in (placed, routed))  # a row for each bin
+    cuts = [(j, -(-rows[j] // block_rows), -(-asked[j] // block_queries)) for j in sorted(rows.keys() & asked.keys())]
     if not cuts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    cut = F.broadcast(spark.createDataFrame(cuts, "list int, parts int, waves int"))  # a row for each list
-    left = placed.join(cut, "list").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int")).withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1)))
-    right = routed.join(cut, "list").withColumn("wave", F.pmod(F.xxhash64("query_id"), "waves").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = F.broadcast(spark.createDataFrame(cuts, "bin int, parts int, waves int"))  # a row for each bin
+    left = placed.select("ids", "v", F.explode("bins").alias("b")).select("ids", "v", "b.*").join(cut, "bin")
+    left = left.withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int")).withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1)))
+    right = routed.select("query_id", "q", F.explode("bins").alias("b")).select("query_id", "q", "b.*").join(cut, "bin")
+    right = right.withColumn("wave", F.pmod(F.xxhash64("query_id"), "waves").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if a.num_rows and b.num_rows:
-            x, q, ids = _matrix(a.column("v")), _matrix(b.column("q")), a.column("ids").to_pylist()
-            ux, uq = unit(x), unit(q)
-            for s in range(0, len(q), 256):
-                score = uq[s : s + 256] @ ux.T
-                # k + 1 entries hold k other ids at least; a little more for rounding
-                edge = -np.partition(-score, min(k, len(x) - 1), axis=1)[:, min(k, len(x) - 1)] - 1e-12
-                for i, query_id in enumerate(b.column("query_id").slice(s, 256).to_pylist()):
-                    best = []
-                    for j in np.flatnonzero(score[i] >= edge[i]).tolist():
-                        exact = cosine(q[s + i], x[j])
-                        best += [(-exact, v) for v in ids[j] if v != query_id]
-                    out += [(query_id, v, -e) for e, v in heapq.nsmallest(k, best)]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    keys = ["list", "part", "wave"]
-    pairs = left.select(*keys, "ids", "v").groupBy(keys).cogroup(right.select(*keys, "query_id", "q").groupBy(keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
+        if not (a.num_rows and b.num_rows):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        a, b = a.combine_chunks(), b.combine_chunks()
+        ours, asks, ids = (t.column(c).chunk(0) for t, c in ((a, "lists"), (b, "lists"), (a, "ids")))
+        local = np.unique(ours.flatten().to_numpy(zero_copy_only=False))
+        best = Nearest(k, b.column("query_id").to_numpy(), _matrix(b.column("q")), _member(asks, local))
+        # entries of one list come together, so that queries which ask for none of a block's lists are passed over
+        home = ours.flatten().to_numpy(zero_copy_only=False)[ours.offsets.to_numpy()[:-1] - ours.offsets[0].as_py()]
+        order = np.argsort(home, kind="stable")
+        for s, e in slices(len(order), max(width, len(local)), 1_024):
+            at = pa.array(order[s:e])
+            here = ids.take(at)
+            best.add(_matrix(a.column("v").chunk(0).take(at)), here.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(here.value_lengths().to_numpy(zero_copy_only=False))), _member(ours.take(at), local))
+        out = best.table()
+        del a, b, best, ours, asks, ids
+        release()
+        return out
+
+    keys = ["bin", "part", "wave"]
+    pairs = left.select(*keys, "ids", "v", "lists").groupBy(keys).cogroup(right.select(*keys, "query_id", "q", "lists").groupBy(keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of two matrices."""
+    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
-    return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+    return float(cosines(a[None], b[None])[0])
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, **options) -> DataFrame:
