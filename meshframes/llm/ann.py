@@ -209,7 +209,7 @@ def fit(entries: DataFrame, k: int = 5, sample: int = 20_000, list_size: int = 2
     if not total:
         return None
     share = min(1.0, sample / total)
-    some = entries.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.col("ids")[0]).select("v")
+    some = entries.where(F.pmod(F.xxhash64(F.col("v").cast("array<double>")), F.lit(1_000_000)) < share * 1_000_000).orderBy(F.col("ids")[0]).select("v")
     got = some.limit(2 * sample).toArrow()
     x = unit(_matrix(got.column("v"))) if got.num_rows else unit(_matrix(entries.limit(1).select("v").toArrow().column("v")))
     lists = 1 << max(0, int(np.ceil(np.log2(max(1.0, min(max_lists, total / list_size, len(x) / 4))))))
